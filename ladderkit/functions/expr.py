@@ -104,7 +104,13 @@ def hash_u32(id_col, seed: int = 42) -> Column:
 
 
 def rnd(x, d: int = 6) -> Column:
-    return F.round(c(x).cast("double"), d)
+    """Round for result comparison (``+ 0.0`` turns -0.0 into 0.0)."""
+    return F.round(c(x).cast("double"), d) + lit_d(0.0)
+
+
+def rndf(x, d: int = 6) -> Column:
+    """Round through float32 first: 7 significant digits, robust for values of any magnitude."""
+    return F.round(c(x).cast("float").cast("double"), d) + lit_d(0.0)
 
 
 def safe_corr(x, y) -> Column:

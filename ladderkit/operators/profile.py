@@ -99,14 +99,15 @@ def quality_profile(df: DataFrame, features: Sequence[str] | None = None) -> Dat
 
 
 def summary(df: DataFrame, features: Sequence[str], exact_median: bool = True) -> DataFrame:
-    """A1: mean, population/sample std, min, max, median per column (one scan)."""
+    """A1: mean, population/sample std, min, max (one aggregate) and median (sort-based quantile)."""
+    from .quantiles import quantiles
     long = to_long(df, features)
     x = F.col("x")
-    med = F.median(x) if exact_median else F.percentile_approx(x, 0.5, 10000)
-    return long.groupBy("feature").agg(
+    mom = long.groupBy("feature").agg(
         F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std_pop"),
-        F.stddev_samp(x).alias("std_samp"), F.min(x).alias("min"), F.max(x).alias("max"),
-        med.alias("median"))
+        F.stddev_samp(x).alias("std_samp"), F.min(x).alias("min"), F.max(x).alias("max"))
+    med = quantiles(long, "x", [0.5], group=["feature"], exact=exact_median)
+    return mom.join(med.select("feature", F.col("q").alias("median")), "feature", "left")
 
 
 def shape(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -117,21 +118,17 @@ def shape(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def percentiles(df: DataFrame, features: Sequence[str], ps: Sequence[float],
                 exact: bool = True, accuracy: int = 10000) -> DataFrame:
-    """Percentile list per column, linear interpolation (exact) or sketch (``exact=False``)."""
+    """Percentile list per column ``(feature, p, value)``; exact (sort-based) or sketch."""
+    from .quantiles import quantiles
     long = to_long(df, features)
-    arr = F.array(*[F.lit(float(p)) for p in ps])
-    agg = F.percentile(F.col("x"), arr) if exact else F.percentile_approx(F.col("x"), arr, accuracy)
-    out = long.groupBy("feature").agg(agg.alias("_q"))
-    return out.select("feature", F.posexplode("_q").alias("i", "value")).select(
-        "feature", F.element_at(F.array(*[F.lit(float(p)) for p in ps]), F.col("i") + 1).alias("p"), "value")
+    q = quantiles(long, "x", ps, group=["feature"], exact=exact, accuracy=accuracy)
+    return q.select("feature", "p", F.col("q").alias("value"))
 
 
 def percentile_values(df: DataFrame, col: str, ps: Sequence[float], exact: bool = True) -> list[float]:
-    """Percentile cut values as driver literals (one aggregate row; size fixed by ``ps``)."""
-    x = nan_to_null(F.col(col).cast("double"))
-    arr = F.array(*[F.lit(float(p)) for p in ps])
-    q = F.percentile(x, arr) if exact else F.percentile_approx(x, arr, 10000)
-    return [float(v) if v is not None else None for v in df.agg(q.alias("q")).first()["q"]]
+    """Percentile cut values as driver literals (``len(ps)`` numbers)."""
+    from .quantiles import quantile_values
+    return quantile_values(df, col, ps, exact=exact)
 
 
 def winsor_loss(df: DataFrame, col: str, levels: Sequence[float], exact: bool = True) -> DataFrame:

@@ -147,3 +147,32 @@ def global_rank(df: DataFrame, order, idx: str = "rn") -> DataFrame:
     """0-based ordinal position over the whole table without a single-task window."""
     out, _ = dense_index(df, _cols(order), idx=idx)
     return out
+
+
+def running_sum(df: DataFrame, order, cols: Sequence[str], suffix: str = "_cum",
+                inclusive: bool = True) -> DataFrame:
+    """Global running sums of ``cols`` along ``order`` without a single-task window.
+
+    Dense index -> fixed-size blocks -> per-block totals (one row per block to
+    the driver) -> prefix offsets broadcast back -> window running sum inside
+    each block. Adds ``_idx`` and ``<col><suffix>`` columns.
+    """
+    spark = df.sparkSession
+    ix, total = dense_index(df, _cols(order))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = max(1, math.ceil(total / max(1, n)))
+    ix = ix.withColumn("_blk", F.floor(F.col("_idx") / F.lit(size)).cast("long"))
+    tots = sorted(ix.groupBy("_blk").agg(*[F.sum(x).alias(x) for x in cols]).collect(), key=lambda r: r["_blk"])
+    acc = [0.0] * len(cols)
+    offs = []
+    for r in tots:
+        offs.append((int(r["_blk"]), *[float(a) for a in acc]))
+        acc = [a + float(r[x] or 0.0) for a, x in zip(acc, cols)]
+    schema = "_blk long, " + ", ".join(f"_off{i} double" for i in range(len(cols)))
+    off_df = spark.createDataFrame(offs, schema)
+    frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
+    w = Window.partitionBy("_blk").orderBy("_idx").rowsBetween(*frame)
+    out = ix.join(F.broadcast(off_df), "_blk")
+    for i, x in enumerate(cols):
+        out = out.withColumn(x + suffix, F.col(f"_off{i}") + F.coalesce(F.sum(x).over(w), F.lit(0.0)))
+    return out.drop("_blk", *[f"_off{i}" for i in range(len(cols))])

@@ -79,6 +79,20 @@ def v_wide(spark: SparkSession, sf: str) -> DataFrame:
         F.col("c_acctbal").alias("f8"), F.lit(1.0).cast("double").alias("f9"))
 
 
+BOOK_A = [f"a{i}" for i in range(1, LADDER_LEVELS + 1)]
+BOOK_V = [f"v{i}" for i in range(1, LADDER_LEVELS + 1)]
+LAGS = ["_LagT1", "_LagT2", "_LagT3"]
+
+
+def v_book_lags(spark: SparkSession, sf: str, strategy: str = "auto") -> DataFrame:
+    """v_book + ``grp = id % 50`` + lag-difference columns ``x_LagTk = x - lag(x, k)``."""
+    b = v_book(spark, sf).withColumn("grp", F.col("id") % 50)
+    cols = BOOK_A + BOOK_V
+    s = shift(b, ["grp"], ["id"], lags={x: [1, 2, 3] for x in cols}, strategy=strategy)
+    return s.select("id", "grp", *cols, *[
+        (F.col(x) - F.col(f"{x}_lag{k}")).alias(f"{x}_LagT{k}") for k in (1, 2, 3) for x in cols])
+
+
 WIDE_FEATURES = [f"f{i}" for i in range(1, 10)]
 
 
@@ -108,6 +122,12 @@ SQL_BOOK = "v_book AS (SELECT l_orderkey AS id, " + ", ".join(
     f"SUM(CASE WHEN l_linenumber = {i} THEN l_extendedprice / 1000.0 ELSE 0.0 END) AS v{i}"
     for i in range(1, LADDER_LEVELS + 1)) + " FROM lineitem GROUP BY l_orderkey)"
 
+SQL_BOOK_L = "v_book_l AS (SELECT id, id % 50 AS grp, " + ", ".join(
+    [f"a{i}, v{i}" for i in range(1, LADDER_LEVELS + 1)]) + ", " + ", ".join(
+    f"{x} - lag({x}, {k}) OVER w AS {x}_LagT{k}" for k in (1, 2, 3)
+    for x in [f"a{i}" for i in range(1, LADDER_LEVELS + 1)] + [f"v{i}" for i in range(1, LADDER_LEVELS + 1)]
+) + " FROM v_book WINDOW w AS (PARTITION BY id % 50 ORDER BY id))"
+
 SQL_WIDE = """v_wide AS (
   SELECT o_orderkey AS id, c_nationkey AS grp, SUM(l_extendedprice * (1.0 - l_discount)) / 1000.0 AS target,
          SUM(l_quantity) AS f1, o_totalprice AS f2, AVG(l_discount) AS f3, AVG(l_tax) AS f4,
@@ -118,7 +138,7 @@ SQL_WIDE = """v_wide AS (
 
 SQL_PREDS = """v_preds AS (SELECT id, grp, target AS y, 1.5 * f1 AS p1, f5 * f7 / 700.0 AS p2, 10.0 * f5 AS p3 FROM v_wide)"""
 
-_CTE = {"v_ticks": [SQL_TICKS], "v_book": [SQL_BOOK], "v_wide": [SQL_WIDE],
+_CTE = {"v_ticks": [SQL_TICKS], "v_book": [SQL_BOOK], "v_book_l": [SQL_BOOK, SQL_BOOK_L], "v_wide": [SQL_WIDE],
         "v_preds": [SQL_WIDE, SQL_PREDS]}
 
 
