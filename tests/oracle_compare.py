@@ -32,7 +32,7 @@ def duck(sf_dir: str):
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is getattr(__import__("pandas"), "NA", object()):
         return None
     if isinstance(v, float):
         if math.isnan(v):
