@@ -80,10 +80,12 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def scan_recursive(spark: SparkSession, root: str, glob: str = "*.parquet", fmt: str = "parquet",
-                   **options) -> DataFrame:
+                   schema: str | T.StructType | None = None, **options) -> DataFrame:
     """Recursive discovery under ``root`` filtered by a file-name glob."""
     r = (spark.read.format(fmt).option("recursiveFileLookup", True)
          .option("pathGlobFilter", glob))
+    if schema is not None:
+        r = r.schema(schema)
     for k, v in options.items():
         r = r.option(k, v)
     return r.load(root)
