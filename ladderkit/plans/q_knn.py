@@ -1,3 +1,63 @@
-"""Queries (see registry)."""
+"""Step 11 queries: exact kNN join, kNN back-test, approximate (home-partition) kNN."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.expr import hash01, rndf, safe_corr
+from ..operators import knn as Kn
+from ..operators.metrics import r2_col
+from ..sources.scan import scan
+from . import sqlgen as S
+from .q_windows import h01
+from .registry import register
+
+_KS = [1, 3, 5, 10, 20]
+
+
+def _split(spark, sf):
+    e = scan(spark, sf, "embeddings", ["vec_id", "embedding", "label"])
+    probe = hash01("vec_id") < 0.2
+    return e.filter(probe), e.filter(~probe)
+
+
+_KNN_CTE = f"""WITH p AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings WHERE {h01('vec_id')} < 0.2),
+b AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings WHERE {h01('vec_id')} >= 0.2),
+d AS (SELECT p.vec_id AS probe_id, p.label AS y, b.vec_id AS base_id, b.label AS lb, list_distance(p.e, b.e) AS dist FROM p, b),
+r AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY dist, base_id) AS rank FROM d)
+"""
+
+
+@register("knn_exact", _KNN_CTE + f"""
+SELECT probe_id, CAST(rank AS INTEGER) AS rank, base_id, {S.rf('dist')} AS dist FROM r WHERE rank <= 5""")
+def knn_exact(spark, sf):
+    """Exact 5-NN of every probe vector (pivot partitions + triangle-inequality pruning, no cross join)."""
+    probe, base = _split(spark, sf)
+    nn = Kn.knn(probe, base, 5)
+    return nn.select("probe_id", "rank", "base_id", rndf("dist").alias("dist"))
+
+
+@register("knn_backtest", _KNN_CTE + ", pr AS (" + "\nUNION ALL\n".join(
+    f"SELECT {K} AS k, probe_id, MAX(y) AS y, SUM(lb / (dist + 1e-8)) / SUM(1.0 / (dist + 1e-8)) AS p FROM r "
+    f"WHERE rank <= {K} GROUP BY probe_id" for K in _KS) + f""")
+SELECT CAST(k AS INTEGER) AS k, CAST(COUNT(*) AS BIGINT) AS n,
+       {S.rf('1.0 - SUM(pow(y - p, 2)) / (var_pop(y) * COUNT(*))')} AS r2, {S.rf(S.corr('p', 'y'))} AS corr
+FROM pr GROUP BY k""")
+def knn_backtest(spark, sf):
+    """Distance-weighted kNN label prediction on held-out vectors - R^2 and corr per K."""
+    probe, base = _split(spark, sf)
+    nn = Kn.knn(probe, base, max(_KS))
+    pred = Kn.knn_predict(nn, base, _KS).join(
+        probe.select(F.col("vec_id").alias("probe_id"), F.col("label").cast("double").alias("y")), "probe_id")
+    long = pred.select("y", F.explode(F.array(*[F.struct(F.lit(K).alias("k"), F.col(f"pred_k{K}").alias("p"))
+                                                  for K in _KS])).alias("e")).select("y", "e.k", "e.p")
+    return long.groupBy("k").agg(F.count(F.lit(1)).alias("n"), rndf(r2_col("y", "p")).alias("r2"),
+                                 rndf(safe_corr("p", "y")).alias("corr"))
+
+
+@register("knn_approx")
+def knn_approx(spark, sf):
+    """J13 (approximate): home-partition-only search - bounded work; recall is checked in the tests."""
+    probe, base = _split(spark, sf)
+    nn = Kn.knn(probe, base, 5, exact=False)
+    return nn.select("probe_id", "rank", "base_id", rndf("dist").alias("dist"))
