@@ -1,3 +1,250 @@
-"""Queries (see registry)."""
+"""Step 12 queries: model steps on Spark ML / Gram aggregates (rows-only checks; see tests for invariants).
+
+Learners differ from the reference's native boosting libraries, so the numbers
+are not comparable with its logged scores; what is checked is the mechanics:
+fold hygiene, OOF coverage, determinism, grid shapes and closed-form identities.
+"""
 
 from __future__ import annotations
+
+import uuid
+
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import functions as F
+
+from ..functions.book import oscillators
+from ..functions.expr import clean, hash01, lit_d, rndf
+from ..operators import folds as Fo
+from ..operators import ml as M
+from ..operators.metrics import importance_mean, regression_metrics
+from ..operators.windows import forward_block
+from ..session import ensure_checkpoint_dir
+from .fixtures import v_preds, v_ticks, v_wide
+from .registry import register
+
+FEATS = [f"f{i}" for i in range(1, 9)]
+BASE_FEATS = ["f1", "f2", "f8"]
+
+
+def _wide_folds(spark, sf):
+    return Fo.group_kfold(v_wide(spark, sf), "grp", 5, method="greedy")
+
+
+def _round_metrics(df, keep):
+    return df.select(*keep, *[rndf(c).alias(c) for c in df.columns if c not in keep])
+
+
+@register("standardize")
+def standardize(spark, sf):
+    """M1: scaler fitted on the training folds only, applied to the held-out fold."""
+    d = _wide_folds(spark, sf)
+    tr, te = d.filter("fold <> 0"), d.filter("fold = 0")
+    m = M.standardize_fit(tr, FEATS)
+    from pyspark.ml.functions import vector_to_array
+    z = m.transform(te).select(vector_to_array("std").alias("z"))
+    return z.select(F.posexplode("z").alias("i", "v")).groupBy("i").agg(
+        rndf(F.avg("v")).alias("mean"), rndf(F.stddev_samp("v")).alias("std"))
+
+
+@register("pca")
+def pca(spark, sf):
+    """M2: PCA to 3 components after standardisation; variance of each score column."""
+    s = M.pca_scores(v_wide(spark, sf), FEATS, 3)
+    return s.select(F.posexplode("pcs").alias("component", "v")).groupBy("component").agg(
+        rndf(F.var_pop("v")).alias("variance"))
+
+
+@register("quantile_normal")
+def quantile_normal(spark, sf):
+    """M3: rank -> inverse normal CDF (global rank via the dense index)."""
+    q = M.quantile_normal(v_preds(spark, sf).select("id", "p2"), "p2", "id")
+    return q.select("id", rndf("qnorm").alias("qnorm"))
+
+
+@register("ridge_grid")
+def ridge_grid(spark, sf):
+    """M4: ridge alpha grid under group 5-fold CV from one grouped Gram aggregate."""
+    return _round_metrics(M.ridge_grid(spark, _wide_folds(spark, sf), FEATS, "target", "fold", [0.01, 1.0, 100.0, 10000.0]),
+                          ["alpha", "fold"])
+
+
+@register("ablation")
+def ablation(spark, sf):
+    """Base columns only vs all columns, mean held-out R^2 per alpha."""
+    d = _wide_folds(spark, sf)
+    out = None
+    for name, feats in (("base", BASE_FEATS), ("all", FEATS)):
+        g = M.ridge_grid(spark, d, feats, "target", "fold", [1.0, 100.0]).groupBy("alpha").agg(
+            rndf(F.avg("r2")).alias("mean_r2")).withColumn("feature_set", F.lit(name))
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+@register("elastic_grid")
+def elastic_grid(spark, sf):
+    """M5: elastic net (l1 ratio 0.5) alpha grid, per held-out fold R^2."""
+    d = _wide_folds(spark, sf).withColumn("label", F.col("target"))
+    rows = None
+    for a in (0.01, 0.1):
+        for k in range(5):
+            lr = LinearRegression(labelCol="label", regParam=a, elasticNetParam=0.5, maxIter=50)
+            m = M.make_pipeline(FEATS, lr).fit(d.filter(F.col("fold") != k))
+            r = regression_metrics(m.transform(d.filter(F.col("fold") == k)), "label", "prediction").select(
+                F.lit(a).alias("alpha"), F.lit(k).alias("fold"), rndf("r2").alias("r2"))
+            rows = r if rows is None else rows.unionByName(r)
+    return rows
+
+
+@register("cv_oof")
+def cv_oof(spark, sf):
+    """M7 + M9 + M10: boosted trees with early stopping under group folds; per-fold metrics."""
+    oof, _, _ = M.cv_oof(_wide_folds(spark, sf), FEATS, "target", "fold", lambda: M.gbt(validation="_val"),
+                         early_stopping=True)
+    return _round_metrics(regression_metrics(oof, "target", "pred", ["fold"]), ["fold", "n"])
+
+
+@register("importance_mean")
+def importance_mean_q(spark, sf):
+    """Mean feature importance over folds (random forest, group folds)."""
+    _, imp, _ = M.cv_oof(_wide_folds(spark, sf), FEATS, "target", "fold", lambda: M.forest())
+    return _round_metrics(importance_mean(imp, "feature", "gain"), ["feature", "n"])
+
+
+@register("robust_fit")
+def robust_fit(spark, sf):
+    """M8: Huber (linear), absolute-loss boosting and Fair-loss IRLS; in-sample R^2 of each."""
+    d = v_wide(spark, sf).withColumn("label", F.col("target"))
+    hub = M.make_pipeline(FEATS, LinearRegression(labelCol="label", loss="huber", regParam=0.0, maxIter=50)).fit(d)
+    gab = M.make_pipeline(FEATS, M.gbt(loss="absolute"), standardize=False).fit(d)
+    beta = M.fair_irls(d, FEATS, "target")
+    fair = lit_d(beta[0])
+    for i, f in enumerate(FEATS):
+        fair = fair + F.col(f) * lit_d(beta[i + 1])
+    parts = [regression_metrics(hub.transform(d), "label", "prediction").withColumn("model", F.lit("huber")),
+             regression_metrics(gab.transform(d), "label", "prediction").withColumn("model", F.lit("gbt_absolute")),
+             regression_metrics(d.withColumn("prediction", fair), "label", "prediction").withColumn("model", F.lit("fair_irls"))]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return _round_metrics(out, ["model", "n"])
+
+
+@register("seed_average")
+def seed_average(spark, sf):
+    """Three seeds of a subsampled forest averaged by ID."""
+    d = v_wide(spark, sf).withColumn("label", F.col("target"))
+    preds = []
+    for seed in (1, 2, 3):
+        m = M.make_pipeline(FEATS, M.forest(seed=seed, trees=6), standardize=False).fit(d)
+        preds.append(m.transform(d).select("id", F.col("prediction").alias("pred")))
+    avg = M.seed_average(preds)
+    return avg.select("id", "n_seeds", rndf("pred").alias("pred"))
+
+
+@register("fold_mean")
+def fold_mean(spark, sf):
+    """Per-fold models score the holdout rows; predictions averaged by ID."""
+    d = _wide_folds(spark, sf)
+    hold = hash01("id") < 0.2
+    _, _, tests = M.cv_oof(d.filter(~hold), FEATS, "target", "fold", lambda: M.gbt(), test=d.filter(hold))
+    fm = M.fold_mean_score(tests)
+    return fm.select("id", "n_models", rndf("pred").alias("pred"))
+
+
+@register("stack_fit")
+def stack_fit(spark, sf):
+    """OOF boosted-tree and ridge predictions + oscillators into a ridge meta-model, x1.15."""
+    d = _wide_folds(spark, sf)
+    gb, _, _ = M.cv_oof(d, FEATS, "target", "fold", lambda: M.gbt())
+    lr, _, _ = M.cv_oof(d, FEATS, "target", "fold",
+                        lambda: LinearRegression(labelCol="label", regParam=0.1, solver="normal"))
+    osc = d.select("id", *oscillators(FEATS, 2))
+    wide = (gb.select("id", "target", F.col("pred").alias("p_gbt"))
+            .join(lr.select("id", F.col("pred").alias("p_lr")), "id").join(osc, "id"))
+    _, out = M.stack_fit(wide, ["p_gbt", "p_lr", "osc_0", "osc_1"], "target")
+    return _round_metrics(regression_metrics(out, "target", "stacked"), ["n"])
+
+
+@register("residual_fit")
+def residual_fit(spark, sf):
+    """Learn the residual over a base margin (1.5 * f1) and add it back."""
+    d = v_wide(spark, sf)
+    out = M.residual_fit(d, FEATS, "target", F.col("f1") * 1.5, lambda: M.gbt())
+    base = regression_metrics(out, "target", "_base").withColumn("model", F.lit("base"))
+    res = regression_metrics(out, "target", "pred").withColumn("model", F.lit("base_plus_residual"))
+    return _round_metrics(base.unionByName(res), ["model", "n"])
+
+
+@register("tune")
+def tune(spark, sf):
+    """Bounded, seeded random search with a train/validation split."""
+    return _round_metrics(M.tune(v_wide(spark, sf), FEATS, "target"), ["max_depth", "step_size"])
+
+
+@register("compare_params")
+def compare_params(spark, sf):
+    """Capacity comparison - boosted trees per parameter set on two folds."""
+    d = _wide_folds(spark, sf).filter(F.col("fold") < 2)
+    out = None
+    for depth, it in ((2, 5), (3, 8), (4, 8)):
+        oof, _, _ = M.cv_oof(d, FEATS, "target", "fold", lambda: M.gbt(max_iter=it, depth=depth))
+        r = regression_metrics(oof, "target", "pred").select(F.lit(depth).alias("max_depth"), F.lit(it).alias("max_iter"),
+                                                             rndf("r2").alias("r2"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@register("blend_fold")
+def blend_fold(spark, sf):
+    """Fixed 0.7 boosted trees + 0.3 ridge blend, per-fold R^2."""
+    d = _wide_folds(spark, sf)
+    gb, _, _ = M.cv_oof(d, FEATS, "target", "fold", lambda: M.gbt())
+    lr, _, _ = M.cv_oof(d, FEATS, "target", "fold",
+                        lambda: LinearRegression(labelCol="label", regParam=0.1, solver="normal"))
+    j = gb.select("id", "fold", "target", F.col("pred").alias("a")).join(lr.select("id", F.col("pred").alias("b")), "id")
+    j = j.withColumn("blend", F.col("a") * 0.7 + F.col("b") * 0.3)
+    return _round_metrics(regression_metrics(j, "target", "blend", ["fold"]), ["fold", "n"])
+
+
+@register("drift_rank")
+def drift_rank(spark, sf):
+    """Adversarial train-vs-test classifier, features ranked by importance, with its AUC."""
+    t = v_ticks(spark, sf)
+    feats = ["price", "s2", "price_l1", "s2_l1"]
+    t = t.select("is_test", *[clean(f, null=0.0).alias(f) for f in feats])
+    r = M.drift_rank(t.filter("is_test = 0"), t.filter("is_test = 1"), feats)
+    return r.select("feature", "rank", rndf("importance").alias("importance"), rndf("auc").alias("auc"))
+
+
+@register("forward_regression")
+def forward_regression(spark, sf):
+    """M6: ridge of the target on the next 5 price ratios (W3); coefficients."""
+    fb = forward_block(v_ticks(spark, sf), "price", ["grp"], ["t", "id"], 5).filter("is_test = 0")
+    cols = [f"fwd_{i}" for i in range(1, 6)]
+    ok = F.col("target").isNotNull()
+    for c_ in cols:
+        ok = ok & F.col(c_).isNotNull()
+    d = fb.filter(ok).withColumn("label", F.col("target"))
+    m = M.make_pipeline(cols, LinearRegression(labelCol="label", regParam=0.001, solver="normal"), standardize=False).fit(d)
+    lr = m.stages[-1]
+    rows = [(c_, float(v)) for c_, v in zip(cols, lr.coefficients.toArray())] + [("intercept", float(lr.intercept))]
+    return spark.createDataFrame(rows, "term string, coef double").select("term", rndf("coef").alias("coef"))
+
+
+@register("refit_score")
+def refit_score(spark, sf):
+    """Refit on all labelled rows and score the unlabelled ones."""
+    d = v_wide(spark, sf)
+    hold = hash01("id") < 0.2
+    p = M.refit_score(d.filter(~hold), d.filter(hold), FEATS, "target")
+    return p.select("id", rndf("pred").alias("pred"))
+
+
+@register("save_load")
+def save_load(spark, sf):
+    """Persist a fitted pipeline to the shared folder, load it, check identical predictions."""
+    d = v_wide(spark, sf).withColumn("label", F.col("target"))
+    m = M.make_pipeline(FEATS, LinearRegression(labelCol="label", regParam=0.1, solver="normal")).fit(d)
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/ladderkit-model-{uuid.uuid4().hex}"
+    m2 = M.save_load_roundtrip(m, path)
+    a = m.transform(d).select("id", F.col("prediction").alias("a"))
+    b = m2.transform(d).select("id", F.col("prediction").alias("b"))
+    return a.join(b, "id").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("a") - F.col("b"))).alias("max_abs_diff"))
