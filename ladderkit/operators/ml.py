@@ -218,7 +218,9 @@ def cv_oof(df: DataFrame, feats: Sequence[str], y: str, fold: str, make_est, id_
     importances ``(fold, feature, gain)`` and, if ``test`` is given, per-fold test predictions.
     ``early_stopping`` (M10) marks a hash-chosen 10 % of the training fold as validation.
     """
-    data = df.withColumn("label", F.col(y).cast("double"))
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    data = df.withColumn("label", F.col(y).cast("double")).persist()  # read once for all k fits
     folds = sorted(r[0] for r in data.select(fold).distinct().collect())  # the k fold labels
     oof, imps, tests = None, [], None
     spark = df.sparkSession
@@ -239,6 +241,10 @@ def cv_oof(df: DataFrame, feats: Sequence[str], y: str, fold: str, make_est, id_
             tp = model.transform(test).select(id_col, F.lit(int(k)).alias(fold), F.col("prediction").alias("pred"))
             tests = tp if tests is None else tests.unionByName(tp)
     imp_df = spark.createDataFrame(imps, "fold int, feature string, gain double") if imps else None
+    oof = oof.checkpoint()  # materialise OOF on the shared folder, then release the cached input
+    if tests is not None:
+        tests = tests.checkpoint()
+    data.unpersist()
     return oof, imp_df, tests
 
 

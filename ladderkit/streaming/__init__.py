@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference works on two static tables; it has no stream source, watermark,
+event-time window or stateful operator, so nothing here is built. The
+row-wise feature expressions in :mod:`ladderkit.functions` are narrow Column
+expressions and can be applied unchanged to a ``readStream`` DataFrame.
+"""
