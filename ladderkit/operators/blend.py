@@ -169,9 +169,17 @@ def std_scale(df: DataFrame, pred: str, y: str, clip_to_target: bool = False, ou
 
 
 def quantile_linear_fit(df: DataFrame, pred: str, y: str, qs: Sequence[float]) -> tuple[float, float]:
-    """Least squares of target quantiles on prediction quantiles (exact, interpolated)."""
-    xs = quantile_values(df, pred, qs)
-    ys = quantile_values(df, y, qs)
+    """Least squares of target quantiles on prediction quantiles (exact, interpolated).
+
+    Both quantile sets come from one grouped sort over the stacked ``(side, value)`` frame.
+    """
+    from .quantiles import quantiles
+    stacked = df.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col(pred).cast("double").alias("v")),
+                                          F.struct(F.lit(1).alias("side"), F.col(y).cast("double").alias("v")))).alias("e"))
+    got = {(int(r["side"]), float(r["p"])): r["q"] for r in
+           quantiles(stacked.select("e.side", "e.v"), "v", qs, group=["side"]).collect()}
+    xs = [got[(0, float(q))] for q in qs]
+    ys = [got[(1, float(q))] for q in qs]
     k = len(qs)
     sx, sy = sum(xs), sum(ys)
     sxy = sum(a * b for a, b in zip(xs, ys))

@@ -38,10 +38,27 @@ def _cols(xs) -> list:
     return list(xs)
 
 
+_GROUP_SIZE_CACHE: dict = {}
+
+
 def max_group_rows(df: DataFrame, group: Sequence) -> int:
-    """Row count of the heaviest group (partial aggregation, one row to the driver)."""
+    """Row count of the heaviest group (partial aggregation, one row to the driver).
+
+    Memoised per (plan, group): the answer only selects a physical strategy -
+    both strategies give identical results - so a stale entry can cost speed,
+    never correctness.
+    """
+    try:
+        ck = (df.semanticHash(), tuple(str(g) for g in group))
+    except Exception:  # noqa: BLE001 - plans without a semantic hash are simply not cached
+        ck = None
+    if ck is not None and ck in _GROUP_SIZE_CACHE:
+        return _GROUP_SIZE_CACHE[ck]
     row = df.groupBy(*group).count().agg(F.max("count").alias("m")).first()
-    return int(row["m"] or 0)
+    m = int(row["m"] or 0)
+    if ck is not None:
+        _GROUP_SIZE_CACHE[ck] = m
+    return m
 
 
 def choose_strategy(df: DataFrame, group: Sequence, strategy: str = "auto") -> str:

@@ -91,3 +91,70 @@ def schema_align_union(spark, sf):
         F.round(F.sum(F.coalesce("price_l1", F.lit(0.0))), 4).alias("sum_l1"),
         F.round(F.sum(F.coalesce("s2_l1", F.lit(0.0))), 4).alias("sum_s2_l1"),
         F.round(F.sum("absent_feature"), 4).alias("sum_absent"))
+
+
+# S4, S5, S13, P2-P8, P14, A10 ------------------------------------------------------
+@register("row_count", """SELECT CAST((SELECT COUNT(*) FROM lineitem) AS BIGINT) AS n_lineitem,
+       CAST((SELECT COUNT(*) FROM orders) AS BIGINT) AS n_orders, CAST((SELECT COUNT(*) FROM events) AS BIGINT) AS n_events""")
+def row_count(spark, sf):
+    """Row counts (answered from Parquet metadata, no column read)."""
+    from ..sources.scan import scan
+    k = F.lit(1).alias("_k")
+    parts = [scan(spark, sf, t).agg(F.count(F.lit(1)).alias(f"n_{t}")).select("*", k) for t in ("lineitem", "orders", "events")]
+    return parts[0].join(parts[1], "_k").join(parts[2], "_k").drop("_k")
+
+
+@register("head_rows", with_views("v_ticks") + "SELECT id, price FROM v_ticks ORDER BY t, id LIMIT 10")
+def head_rows(spark, sf):
+    """First 10 rows under an explicit order (top-n, no global sort)."""
+    from ..sources.scan import head
+    return head(v_ticks(spark, sf), 10, ["t", "id"]).select("id", "price")
+
+
+@register("schema_diff")
+def schema_diff(spark, sf):
+    """S13 + U4: column-set comparison of the train and test sides (schema metadata only)."""
+    from ..sources.scan import schema_diff as sd
+    t = v_ticks(spark, sf)
+    return sd(spark, t.drop("is_test"), t.drop("target", "is_test", "s2_l1"))
+
+
+_PLANT = ("CASE WHEN s2 = 0 THEN CAST('inf' AS DOUBLE) WHEN s2 = 1 THEN CAST('-inf' AS DOUBLE) "
+          "WHEN s2 = 2 THEN CAST('nan' AS DOUBLE) ELSE price_l1 END")
+
+
+@register("clean_values", with_views("v_ticks", extra=[f"c AS (SELECT id, {_PLANT} AS x, price FROM v_ticks)"]) + """
+SELECT CAST(COUNT(*) AS BIGINT) AS n_rows,
+       CAST(COUNT(*) FILTER (WHERE x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x)) AS BIGINT) AS n_finite,
+       CAST(COUNT(*) FILTER (WHERE x IS NOT NULL) AS BIGINT) AS n_not_null,
+       ROUND(SUM(CASE WHEN isnan(x) OR isinf(x) THEN 0.0 ELSE COALESCE(x, 0.0) END), 4) AS sum_clean0,
+       ROUND(SUM(CASE WHEN isnan(x) THEN 0.0 WHEN x = CAST('inf' AS DOUBLE) THEN 100.0
+                      WHEN x = CAST('-inf' AS DOUBLE) THEN -100.0 ELSE COALESCE(x, 0.0) END), 4) AS sum_clean100,
+       ROUND(SUM(ABS(price) + 1e-10), 4) AS sum_safe_den,
+       CAST(COUNT(*) FILTER (WHERE price > 100.0) AS BIGINT) AS n_masked FROM c""")
+def clean_values(spark, sf):
+    """P4 cleaning variants, P6 finite-only, P7 not-null, P8 boolean mask, P14 safe denominators."""
+    from ..functions.expr import clean, is_finite, safe_den
+    t = v_ticks(spark, sf)
+    x = (F.when(F.col("s2") == 0, F.lit(float("inf"))).when(F.col("s2") == 1, F.lit(float("-inf")))
+         .when(F.col("s2") == 2, F.lit(float("nan"))).otherwise(F.col("price_l1")))
+    c = t.select("id", x.alias("x"), "price")
+    return c.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(is_finite("x")).alias("n_finite"),
+                 F.count("x").alias("n_not_null"),
+                 F.round(F.sum(clean("x", null=0.0)), 4).alias("sum_clean0"),
+                 F.round(F.sum(clean("x", pos=100.0, neg=-100.0, null=0.0)), 4).alias("sum_clean100"),
+                 F.round(F.sum(safe_den("price")), 4).alias("sum_safe_den"),
+                 F.count_if(F.col("price") > 100.0).alias("n_masked"))
+
+
+_PC = "COALESCE(covar_pop(price_l1, target) / NULLIF(stddev_pop(price_l1) * stddev_pop(target), 0), 0.0)"
+
+
+@register("pair_corr", with_views("v_ticks") + f"""
+SELECT ROUND({_PC}, 6) + 0.0 AS corr, ROUND(pow({_PC}, 2), 6) + 0.0 AS corr_sq
+FROM v_ticks WHERE price_l1 IS NOT NULL AND target IS NOT NULL""")
+def pair_corr(spark, sf):
+    """A10: ad-hoc safe Pearson correlation and its square."""
+    from ..operators.aggregates import pair_corr as pc
+    t = v_ticks(spark, sf).filter(F.col("price_l1").isNotNull() & F.col("target").isNotNull())
+    return pc(t, "price_l1", "target").select(rnd("corr").alias("corr"), rnd("corr_sq").alias("corr_sq"))
