@@ -27,6 +27,8 @@ from ..session import ensure_checkpoint_dir
 
 MAX_GROUP_ROWS_CONF = "ladderkit.window.maxGroupRows"
 DEFAULT_MAX_GROUP_ROWS = 2_000_000
+MAX_BLOCK_ROWS_CONF = "ladderkit.block.maxRows"
+DEFAULT_MAX_BLOCK_ROWS = 4_000_000
 _POS_BITS = 33
 
 
@@ -82,7 +84,7 @@ def dense_index(df: DataFrame, order: Sequence, idx: str = "_idx",
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or range_partitions(df)
     order = _cols(order)
     ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("_mid", F.monotonically_increasing_id()))
@@ -104,6 +106,25 @@ def dense_index(df: DataFrame, order: Sequence, idx: str = "_idx",
     return out, acc
 
 
+def range_partitions(df: DataFrame) -> int:
+    """Range-partition count: at least the shuffle setting and at least the input's own partition
+    count (a proxy for its size read from the JVM plan - no job), so a sort task never holds a
+    disproportionate slice of a very large input."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        n = max(n, int(df._jdf.rdd().getNumPartitions()))
+    except Exception:  # noqa: BLE001 - the setting alone is a valid fallback
+        pass
+    return n
+
+
+def block_size(spark, total: int, halo: int = 0) -> int:
+    """Rows per block: spread over the range partitions, never above ``ladderkit.block.maxRows``."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cap = int(spark.conf.get(MAX_BLOCK_ROWS_CONF, str(DEFAULT_MAX_BLOCK_ROWS)))
+    return halo + max(1, min(cap, math.ceil(total / max(1, n))))
+
+
 def _default_name(col: str, off: int) -> str:
     return f"{col}_lag{-off}" if off < 0 else f"{col}_lead{off}"
 
@@ -135,8 +156,7 @@ def _blocked_shift(df, group, order, specs, name):
     k_lead = max([o for _, o in specs if o > 0] or [0])
     cols = df.columns
     ix, total = dense_index(df, group + order)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = max(k_lag, k_lead) + max(1, math.ceil(total / max(1, n)))
+    size = block_size(df.sparkSession, total, halo=max(k_lag, k_lead))
     blk = F.floor(F.col("_idx") / F.lit(size)).cast("long")
     pos = F.col("_idx") - blk * F.lit(size)
     targets = F.array(blk,
@@ -176,8 +196,7 @@ def running_sum(df: DataFrame, order, cols: Sequence[str], suffix: str = "_cum",
     """
     spark = df.sparkSession
     ix, total = dense_index(df, _cols(order))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = max(1, math.ceil(total / max(1, n)))
+    size = block_size(spark, total)
     ix = ix.withColumn("_blk", F.floor(F.col("_idx") / F.lit(size)).cast("long"))
     tots = sorted(ix.groupBy("_blk").agg(*[F.sum(x).alias(x) for x in cols]).collect(), key=lambda r: r["_blk"])
     acc = [0.0] * len(cols)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import c, lit_d, nz, safe_corr
 from .metrics import r2_col
 from .quantiles import quantile_values
-from .sequence import _cols, choose_strategy, dense_index, shift
+from .sequence import _cols, block_size, choose_strategy, dense_index, shift
 
 
 # W6-W8 -------------------------------------------------------------------------
@@ -75,8 +75,7 @@ def _blocked_fill(df, col, group, order, direction, out):
     spark = df.sparkSession
     cols = df.columns
     ix, total = dense_index(df, group + order)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = max(1, math.ceil(total / max(1, n)))
+    size = block_size(spark, total)
     ix = ix.withColumn("_blk", F.floor(F.col("_idx") / F.lit(size)).cast("long"))
     gkey = F.struct(*[F.col(g) for g in group]) if group else F.lit(0)
     nn = ix.filter(F.col(col).isNotNull())

@@ -81,3 +81,20 @@ def test_rank_avg_ties(spark):
     r = W.rank_avg(df, "p").toPandas().sort_values("id")
     # scipy rankdata: [5, 1.5, 5, 3, 5, 1.5, 7]
     assert list(r["rank_avg"]) == [5.0, 1.5, 5.0, 3.0, 5.0, 1.5, 7.0]
+
+
+def test_tiny_blocks_cross_many_boundaries(spark):
+    """With 50-row blocks every hot-group lag/lead/fill crosses dozens of block edges."""
+    df = _skewed(spark)
+    spark.conf.set(Sq.MAX_BLOCK_ROWS_CONF, "50")
+    try:
+        spec = dict(lags={"x": [1, 3]}, leads={"x": [2]})
+        a = Sq.shift(df, ["grp"], ["t", "id"], strategy="window", **spec)
+        b = Sq.shift(df, ["grp"], ["t", "id"], strategy="blocked", **spec)
+        assert _rows(a, ["id", "x_lag1", "x_lag3", "x_lead2"]) == _rows(b, ["id", "x_lag1", "x_lag3", "x_lead2"])
+        for direction in ("forward", "backward"):
+            fa = W.fill(df, "x", ["grp"], ["t", "id"], direction, out="f", strategy="window")
+            fb = W.fill(df, "x", ["grp"], ["t", "id"], direction, out="f", strategy="blocked")
+            assert _rows(fa, ["id", "f"]) == _rows(fb, ["id", "f"])
+    finally:
+        spark.conf.unset(Sq.MAX_BLOCK_ROWS_CONF)
