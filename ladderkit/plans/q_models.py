@@ -19,7 +19,8 @@ from ..operators import ml as M
 from ..operators.metrics import importance_mean, regression_metrics
 from ..operators.windows import forward_block
 from ..session import ensure_checkpoint_dir
-from .fixtures import v_preds, v_ticks, v_wide
+from . import sqlgen as S
+from .fixtures import v_preds, v_ticks, v_wide, with_views
 from .registry import register
 
 FEATS = [f"f{i}" for i in range(1, 9)]
@@ -34,16 +35,26 @@ def _round_metrics(df, keep):
     return df.select(*keep, *[rndf(c).alias(c) for c in df.columns if c not in keep])
 
 
-@register("standardize")
+_STD_SQL = with_views("v_wide", extra=[
+    "s AS (SELECT grp, COUNT(*) AS n FROM v_wide GROUP BY grp)",
+    "fm AS (SELECT grp, (row_number() OVER (ORDER BY n DESC, grp) - 1) % 5 AS fold FROM s)",
+    "d AS (SELECT v.*, fm.fold FROM v_wide v JOIN fm ON fm.grp = v.grp)",
+    "st AS (SELECT " + ", ".join(f"AVG(f{i}) AS m{i}, stddev_samp(f{i}) AS s{i}" for i in range(1, 9)) + " FROM d WHERE fold <> 0)",
+    "z AS (" + "\nUNION ALL\n".join(f"SELECT {i - 1} AS i, (f{i} - m{i}) / s{i} AS v FROM d CROSS JOIN st WHERE fold = 0"
+                                     for i in range(1, 9)) + ")"]) + f"""
+SELECT CAST(i AS INTEGER) AS i, {S.r('AVG(v)', 5)} AS mean, {S.r('stddev_samp(v)', 5)} AS std FROM z GROUP BY i"""
+
+
+@register("standardize", _STD_SQL)
 def standardize(spark, sf):
-    """M1: scaler fitted on the training folds only, applied to the held-out fold."""
-    d = _wide_folds(spark, sf)
+    """M1: scaler fitted on the training folds only (round-robin group folds), applied to the held-out fold."""
+    d = Fo.group_kfold(v_wide(spark, sf), "grp", 5, method="round_robin")
     tr, te = d.filter("fold <> 0"), d.filter("fold = 0")
     m = M.standardize_fit(tr, FEATS)
     from pyspark.ml.functions import vector_to_array
     z = m.transform(te).select(vector_to_array("std").alias("z"))
     return z.select(F.posexplode("z").alias("i", "v")).groupBy("i").agg(
-        rndf(F.avg("v")).alias("mean"), rndf(F.stddev_samp("v")).alias("std"))
+        (F.round(F.avg("v"), 5) + 0.0).alias("mean"), (F.round(F.stddev_samp("v"), 5) + 0.0).alias("std"))
 
 
 @register("pca")
@@ -54,7 +65,37 @@ def pca(spark, sf):
         rndf(F.var_pop("v")).alias("variance"))
 
 
-@register("quantile_normal")
+def _inv_norm_sql(p: str) -> str:
+    """SQL twin of :func:`ladderkit.operators.ml.inv_norm_cdf` (same Horner order and constants)."""
+    a, b, cc, d = M.ACKLAM
+
+    def lit(v):
+        return f"CAST({v!r} AS DOUBLE)"
+
+    def poly(coef, x):
+        out = lit(coef[0])
+        for k in coef[1:]:
+            out = f"(({out}) * ({x}) + {lit(k)})"
+        return out
+
+    q = f"({p} - 0.5)"
+    r = f"({q} * {q})"
+    central = f"(({poly(a, r)}) * {q} / (({poly(b, r)}) * {r} + 1.0))"
+
+    def tail(x):
+        den = f"((((({lit(d[0])} * {x} + {lit(d[1])}) * {x} + {lit(d[2])}) * {x} + {lit(d[3])}) * {x}) + 1.0)"
+        return poly(cc, x), den
+    ql = f"sqrt(-2.0 * ln({p}))"
+    qh = f"sqrt(-2.0 * ln(1.0 - {p}))"
+    nl, dl = tail(ql)
+    nh, dh = tail(qh)
+    return (f"CASE WHEN {p} < 0.02425 THEN ({nl}) / {dl} WHEN {p} > {1 - 0.02425!r} THEN (-({nh})) / {dh} "
+            f"ELSE {central} END")
+
+
+@register("quantile_normal", with_views("v_preds", extra=[
+    "r AS (SELECT id, (row_number() OVER (ORDER BY p2, id) - 1 + 0.5) / (SELECT CAST(COUNT(*) AS DOUBLE) FROM v_preds) AS p "
+    "FROM v_preds)"]) + f"SELECT id, {S.rf(_inv_norm_sql('p'))} AS qnorm FROM r")
 def quantile_normal(spark, sf):
     """M3: rank -> inverse normal CDF (global rank via the dense index)."""
     q = M.quantile_normal(v_preds(spark, sf).select("id", "p2"), "p2", "id")
