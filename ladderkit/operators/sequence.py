@@ -106,16 +106,15 @@ def dense_index(df: DataFrame, order: Sequence, idx: str = "_idx",
     return out, acc
 
 
+RANGE_PARTITIONS_CONF = "ladderkit.rangePartitions"
+
+
 def range_partitions(df: DataFrame) -> int:
-    """Range-partition count: at least the shuffle setting and at least the input's own partition
-    count (a proxy for its size read from the JVM plan - no job), so a sort task never holds a
-    disproportionate slice of a very large input."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        n = max(n, int(df._jdf.rdd().getNumPartitions()))
-    except Exception:  # noqa: BLE001 - the setting alone is a valid fallback
-        pass
-    return n
+    """Range-partition count for the dense index: ``ladderkit.rangePartitions`` if set, else
+    ``spark.sql.shuffle.partitions`` (size it for the data, as for any sort). Nothing is
+    executed to decide - asking an adaptive plan for its RDD would run its upstream stages."""
+    conf = df.sparkSession.conf
+    return int(conf.get(RANGE_PARTITIONS_CONF, None) or conf.get("spark.sql.shuffle.partitions"))
 
 
 def block_size(spark, total: int, halo: int = 0) -> int:
