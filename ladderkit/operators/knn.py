@@ -108,17 +108,20 @@ def _keep_topk(pairs: DataFrame, k: int) -> DataFrame:
 def knn(probe: DataFrame, base: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding",
         n_pivots: int = 16, block: int = 2048, exact: bool = True) -> DataFrame:
     """``(probe_id, rank, base_id, dist)`` for the k nearest base rows of every probe (Euclidean)."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(base.sparkSession)
     piv = _pivots(base, id_col, vec, n_pivots)
     P = len(piv)
     bd = _pivot_dists(base, id_col, vec, piv)
-    radius = {int(r["home"]): float(r["r"]) for r in bd.groupBy("home").agg(F.max("dhome").alias("r")).collect()}
-    rad = [radius.get(p, 0.0) for p in range(P)]
+    # base rows with their partition, materialised once (reused by both phases and the salt plans)
     base_parts = base.select(F.col(id_col).alias("_bid"), F.col(vec).alias("_bv")).join(
-        bd.select(F.col(id_col).alias("_bid"), F.col("home").alias("part")), "_bid")
-    qd = _pivot_dists(probe, id_col, vec, piv)
+        bd.select(F.col(id_col).alias("_bid"), F.col("home").alias("part"), "dhome"), "_bid").checkpoint()
+    radius = {int(r["part"]): float(r["r"]) for r in base_parts.groupBy("part").agg(F.max("dhome").alias("r")).collect()}
+    rad = [radius.get(p, 0.0) for p in range(P)]
+    qd = _pivot_dists(probe, id_col, vec, piv).checkpoint()
     probe_v = probe.select(F.col(id_col).alias("_pid"), F.col(vec).alias("_qv"))
     q_home = probe_v.join(qd.select(F.col(id_col).alias("_pid"), F.col("home").alias("part")), "_pid")
-    phase1 = _keep_topk(_salted_topk(q_home, base_parts, k, block), k)
+    phase1 = _keep_topk(_salted_topk(q_home, base_parts, k, block), k).checkpoint()
     if not exact:
         return phase1.select("probe_id", "rank", "base_id", "dist")
     tau = phase1.groupBy("probe_id").agg(F.count(F.lit(1)).alias("_n"), F.max("dist").alias("_d")).select(
