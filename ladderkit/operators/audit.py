@@ -75,6 +75,8 @@ def drift_scores(train: DataFrame, test: DataFrame, features: Sequence[str], bin
     KS: counts per (feature, value) on each side, then a distributed running sum
     along (feature, value) gives both empirical CDFs at every distinct value.
     """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(train.sparkSession)
     feats = list(features)
 
     def long(df, side):
@@ -82,21 +84,21 @@ def drift_scores(train: DataFrame, test: DataFrame, features: Sequence[str], bin
             F.col("x").isNotNull() & ~F.isnan("x")).withColumn("side", F.lit(side))
 
     u = long(train, 0).unionByName(long(test, 1))
+    # per-(feature, value) counts: everything below derives from this table, materialised once
     per = u.groupBy("feature", "x").agg(F.count_if(F.col("side") == 0).cast("double").alias("a"),
-                                        F.count_if(F.col("side") == 1).cast("double").alias("b"))
-    tot = per.groupBy("feature").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+                                        F.count_if(F.col("side") == 1).cast("double").alias("b")).checkpoint()
+    tot = per.groupBy("feature").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"), F.min("x").alias("lo"),
+                                     F.max("x").alias("hi"))
     cum = running_sum(per, ["feature", "x"], ["a", "b"])
     start = cum.groupBy("feature").agg(F.min(F.col("a_cum") - F.col("a")).alias("a0"),
                                        F.min(F.col("b_cum") - F.col("b")).alias("b0"))
     ks = (cum.join(start, "feature").join(tot, "feature")
           .groupBy("feature").agg(F.max(F.abs((F.col("a_cum") - F.col("a0")) / F.col("na")
                                               - (F.col("b_cum") - F.col("b0")) / F.col("nb"))).alias("ks")))
-    rng = u.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    binned = u.join(rng, "feature").withColumn(
+    binned = per.join(tot, "feature").withColumn(
         "bin", F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo"))
                                                                  * F.lit(float(bins))), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int"))
-    cnt = binned.groupBy("feature", "bin").agg(F.count_if(F.col("side") == 0).alias("ca"),
-                                               F.count_if(F.col("side") == 1).alias("cb"))
+    cnt = binned.groupBy("feature", "bin").agg(F.sum("a").alias("ca"), F.sum("b").alias("cb"))
     sh = cnt.join(tot, "feature").select("feature", (F.col("ca") / F.col("na") + lit_d(eps)).alias("pa"),
                                          (F.col("cb") / F.col("nb") + lit_d(eps)).alias("pb"))
     psi = sh.groupBy("feature").agg(F.sum((F.col("pa") - F.col("pb")) * F.ln(F.col("pa") / F.col("pb"))).alias("psi"))

@@ -171,7 +171,8 @@ def fixed_scale(spark, sf):
 
 # B11, B12 --------------------------------------------------------------------
 def _variants(spark, sf):
-    p = v_preds(spark, sf)
+    # the prediction table feeds five passes (moments, two sorts, a join): materialise it once
+    p = v_preds(spark, sf).checkpoint()
     st = p.agg(F.stddev_pop("y").alias("sy"), F.stddev_pop("p2").alias("sp"), F.min("y").alias("lo"),
                F.max("y").alias("hi")).first()
     m, b = Bl.quantile_linear_fit(p, "p2", "y", _QS)
