@@ -222,7 +222,13 @@ def hop(edges: DataFrame, k: int) -> DataFrame:
 
 
 def hop_returns(df: DataFrame, edges: DataFrame, price: str, id_col: str = "id", scale: float = 100.0) -> DataFrame:
-    """J11 + B14 inputs: 1- and 2-hop returns; ret2 := ret1 without a 2nd hop; 0 when unlinked."""
+    """J11 + B14 inputs: 1- and 2-hop returns; ret2 := ret1 without a 2nd hop; 0 when unlinked.
+
+    The edge set feeds three joins, so it is materialised once (reliable checkpoint).
+    """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    edges = edges.select("src", "dst").checkpoint()
     e2 = hop(edges, 2)
     pr = df.select(F.col(id_col).alias("_pid"), F.col(price).alias("_p"))
     base = df.select(F.col(id_col).alias("id"), F.col(price).alias("p0"))
