@@ -201,7 +201,8 @@ _LAGFAM_SQL += [("lag_accel", f"{_m[1][0]} - {_m[2][0]}"),
 def lag_family(spark, sf):
     """Lag-family two-moment mean/std (full-length divisor) and their dynamics."""
     b = v_book_lags(spark, sf)
-    stats = {k: B.lag_family_stats([x + f"_LagT{k}" for x in BOOK_A], n_total=_FAM_L) for k in (1, 2, 3)}
+    fams = {k: P.cols_like(b, suffix=f"_LagT{k}", prefix="a") for k in (1, 2, 3)}  # P2: select by name pattern
+    stats = {k: B.lag_family_stats(fams[k], n_total=_FAM_L) for k in (1, 2, 3)}
     cols = [stats[k][0].alias(f"lag_t{k}_mean") for k in (1, 2, 3)]
     cols += [stats[k][1].alias(f"lag_t{k}_std") for k in (1, 2, 3)]
     cols += B.lag_family_dynamics(stats[1][0], stats[2][0], stats[3][0], stats[1][1], stats[2][1])

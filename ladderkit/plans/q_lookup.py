@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import hash01, key, lit_d, rnd, rndf, safe_corr
 from ..operators import link as L
 from ..operators.metrics import r2_col
+from ..sources.scan import join_on_id
 from . import sqlgen as S
 from .fixtures import v_preds, v_ticks, with_views
 from .q_windows import h01
@@ -153,4 +154,4 @@ def join_predictions(spark, sf):
     """Align prediction tables from different sources by ID (inner join, not by position)."""
     p = v_preds(spark, sf)
     a, b = p.select("id", "p1"), p.filter(hash01("id") < 0.9).select("id", "p2")
-    return a.join(b, "id").select("id", rndf("p1").alias("p1"), rndf("p2").alias("p2"))
+    return join_on_id(a, b, "id").select("id", rndf("p1").alias("p1"), rndf("p2").alias("p2"))

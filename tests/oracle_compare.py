@@ -90,7 +90,7 @@ def main(argv):
     names = [a for a in argv[1:] if not a.startswith("/")]
     import __spark_entry__ as E
     from ladderkit.session import local_session
-    spark = local_session(8, shuffle_partitions=8)
+    spark = local_session(8, shuffle_partitions=int(os.environ.get("ORACLE_PARTITIONS", "8")))
     qs, sqls = E.queries(), E.oracle_sql()
     con = duck(sf)
     names = names or list(qs)
