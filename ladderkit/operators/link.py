@@ -18,7 +18,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import c, key, lit_d, nz, sdiv
+from ..functions.expr import c, key, lit_d, nz, safe_corr, sdiv
 from .sequence import shift
 from .windows import fill
 
@@ -312,7 +312,7 @@ def decode_horizon(chains: DataFrame, df: DataFrame, price: str, target: str, hm
         long = r.select(F.col(target).alias("_y"), F.explode(F.array(*[
             F.struct(F.lit(h).alias("h"), F.col(f"ret_{h}").alias("ret")) for h in hs])).alias("e")).select(
             "_y", "e.h", "e.ret").filter(F.col("ret").isNotNull() & F.col("_y").isNotNull())
-        stats = long.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.corr("ret", "_y").alias("corr"))
+        stats = long.groupBy("h").agg(F.count(F.lit(1)).alias("n"), safe_corr("ret", "_y").alias("corr"))
         hit = stats.filter((F.col("n") >= min_pairs) & (F.col("corr") > thr)).orderBy("h").limit(1).collect()
         if hit:
             return spark.createDataFrame([(int(hit[0]["h"]), int(hit[0]["n"]), float(hit[0]["corr"]))],
