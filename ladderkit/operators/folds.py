@@ -23,9 +23,21 @@ def holdout(df: DataFrame, id_col: str = "id", frac: float = 0.2, seed: int = 42
     return df.withColumn(out, (hash01(id_col, seed) < frac).cast("int"))
 
 
+TOPN_MAX = 100_000
+
+
 def sample_n(df: DataFrame, n: int, id_col: str = "id", seed: int = 42) -> DataFrame:
-    """Fixed-size sample without replacement: the ``n`` rows with the smallest hash (a top-n)."""
-    return df.withColumn("_h", hash01(id_col, seed)).orderBy("_h", id_col).limit(n).drop("_h")
+    """Fixed-size sample without replacement: the ``n`` rows with the smallest ``(hash, id)``.
+
+    Up to ``TOPN_MAX`` rows this is a top-n (each task keeps n, one merge); beyond it the same
+    rows are selected with the dense index (``_idx < n``), so a large sample never funnels
+    through a single task.
+    """
+    h = df.withColumn("_h", hash01(id_col, seed))
+    if n <= TOPN_MAX:
+        return h.orderBy("_h", id_col).limit(n).drop("_h")
+    ix, _ = dense_index(h, ["_h", id_col])
+    return ix.filter(F.col("_idx") < n).drop("_h", "_idx")
 
 
 def kfold(df: DataFrame, k: int, id_col: str = "id", seed: int = 42, balanced: bool = True,
@@ -48,6 +60,9 @@ def stratified_split(df: DataFrame, label: str, frac: float = 0.2, id_col: str =
     return j.withColumn(out, ((F.col("_idx") - F.col("_s")) < cut).cast("int")).drop("_h", "_idx", "_s", "_n")
 
 
+GREEDY_MAX_GROUPS = 1_000_000
+
+
 def group_sizes(df: DataFrame, group: str) -> DataFrame:
     return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
 
@@ -62,6 +77,8 @@ def group_kfold(df: DataFrame, group: str, k: int, method: str = "greedy", out:
     the rows themselves. The group -> fold map is joined back on the key.
     """
     sizes = group_sizes(df, group)
+    if method == "greedy" and sizes.count() > GREEDY_MAX_GROUPS:
+        method = "round_robin"  # the driver-side assignment is for group tables of bounded size
     if method == "round_robin":
         ix, _ = dense_index(sizes.withColumn("_neg", -F.col("n")), ["_neg", group])
         fmap = ix.select(group, F.pmod(F.col("_idx"), F.lit(k)).cast("int").alias(out))

@@ -156,3 +156,15 @@ def test_knn_exact_matches_brute_force_and_approx_recall(spark):
     approx = Kn.knn(probe, base, 3, n_pivots=6, block=50, exact=False).toPandas()
     hits = len(set(map(tuple, approx[["probe_id", "base_id"]].to_numpy())) & set(map(tuple, got[["probe_id", "base_id"]].to_numpy())))
     assert hits / len(got) > 0.3
+
+
+def test_sample_n_large_path_equals_topn(spark):
+    df = spark.range(3000)
+    small = {r.id for r in Fo.sample_n(df, 700).collect()}
+    old = Fo.TOPN_MAX
+    Fo.TOPN_MAX = 10
+    try:
+        large = {r.id for r in Fo.sample_n(df, 700).collect()}
+    finally:
+        Fo.TOPN_MAX = old
+    assert small == large and len(small) == 700
