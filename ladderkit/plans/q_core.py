@@ -113,10 +113,20 @@ def head_rows(spark, sf):
 
 @register("schema_diff")
 def schema_diff(spark, sf):
-    """S13 + U4: column-set comparison of the train and test sides (schema metadata only)."""
+    """S13 + U4: column-set comparison of the train and test sides, with each side's non-null count per
+    column (one unpivoted aggregate per side, so the work grows with the tables)."""
     from ..sources.scan import schema_diff as sd
     t = v_ticks(spark, sf)
-    return sd(spark, t.drop("is_test"), t.drop("target", "is_test", "s2_l1"))
+    a, b = t.filter("is_test = 0").drop("is_test"), t.filter("is_test = 1").drop("target", "is_test", "s2_l1")
+
+    def nonnull(df, name):
+        cols = [c for c in df.columns if c != "t"]
+        long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "v")
+        return long.groupBy("column").agg(F.count("v").alias(name))
+
+    d = sd(spark, a, b)
+    return (d.join(nonnull(a, "left_non_null"), "column", "left").join(nonnull(b, "right_non_null"), "column", "left")
+            .select("column", "status", "left_type", "right_type", "left_non_null", "right_non_null"))
 
 
 _PLANT = ("CASE WHEN s2 = 0 THEN CAST('inf' AS DOUBLE) WHEN s2 = 1 THEN CAST('-inf' AS DOUBLE) "
