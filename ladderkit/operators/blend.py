@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import c, clip, lit_d
 from .metrics import r2_col
-from .quantiles import quantile_values
 
 
 class Moments:

@@ -9,8 +9,6 @@ stratification uses per-label offsets from one small aggregate.
 
 from __future__ import annotations
 
-from typing import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 

@@ -18,7 +18,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import c, key, lit_d, nz, safe_corr, sdiv
+from ..functions.expr import c, key, lit_d, safe_corr, sdiv
 from .sequence import shift
 from .windows import fill
 

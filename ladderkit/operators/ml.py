@@ -11,7 +11,6 @@ driver - the data is read once for the whole grid.
 
 from __future__ import annotations
 
-import math
 from typing import Sequence
 
 import numpy as np
@@ -26,7 +25,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import c, lit_d
-from .metrics import r2_col, regression_metrics
 from .windows import rank_ordinal
 
 

@@ -18,7 +18,7 @@ A dense index is also what global (unpartitioned) ranks need, so it is exposed.
 from __future__ import annotations
 
 import math
-from typing import Callable, Iterable, Sequence
+from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F

@@ -8,7 +8,6 @@ dense-index plan when one group is too large for one task. Global
 
 from __future__ import annotations
 
-import math
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
