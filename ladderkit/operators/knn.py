@@ -64,18 +64,16 @@ def _group_topk(k: int):
             return pd.DataFrame({"probe_id": pd.Series([], dtype="int64"), "base_id": pd.Series([], dtype="int64"),
                                  "dist": pd.Series([], dtype="float64")})
         Q = np.stack(probes["_qv"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
+        base = base.sort_values("_bid", kind="stable")  # equal distances then rank by base id
         Bm = np.stack(base["_bv"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
         bid = base["_bid"].to_numpy(dtype=np.int64)
         d2 = ((Q[:, None, :] - Bm[None, :, :]) ** 2).sum(axis=2)
         kk = min(k, d2.shape[1])
-        out_p, out_b, out_d = [], [], []
-        for i, pid in enumerate(probes["_pid"].to_numpy(dtype=np.int64)):
-            order = np.lexsort((bid, d2[i]))[:kk]
-            out_p.append(np.full(kk, pid))
-            out_b.append(bid[order])
-            out_d.append(np.sqrt(d2[i, order]))
-        return pd.DataFrame({"probe_id": np.concatenate(out_p), "base_id": np.concatenate(out_b),
-                             "dist": np.concatenate(out_d)})
+        order = np.argsort(d2, axis=1, kind="stable")[:, :kk]  # (distance, base_id) order per probe
+        rows = np.arange(len(Q))[:, None]
+        pid = probes["_pid"].to_numpy(dtype=np.int64)
+        return pd.DataFrame({"probe_id": np.repeat(pid, kk), "base_id": bid[order].ravel(),
+                             "dist": np.sqrt(d2[rows, order]).ravel()})
     return fn
 
 
