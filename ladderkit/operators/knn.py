@@ -113,7 +113,7 @@ def knn(probe: DataFrame, base: DataFrame, k: int, id_col: str = "vec_id", vec:
     bd = _pivot_dists(base, id_col, vec, piv)
     # base rows with their partition, materialised once (reused by both phases and the salt plans)
     base_parts = base.select(F.col(id_col).alias("_bid"), F.col(vec).alias("_bv")).join(
-        bd.select(F.col(id_col).alias("_bid"), F.col("home").alias("part"), "dhome"), "_bid").checkpoint()
+        bd.select(F.col(id_col).alias("_bid"), F.col("home").alias("part"), "dhome"), "_bid").checkpoint(eager=False)
     radius = {int(r["part"]): float(r["r"]) for r in base_parts.groupBy("part").agg(F.max("dhome").alias("r")).collect()}
     rad = [radius.get(p, 0.0) for p in range(P)]
     qd = _pivot_dists(probe, id_col, vec, piv).checkpoint()

@@ -264,8 +264,8 @@ def assemble_chains(nodes: DataFrame, edges: DataFrame, min_len: int = 10, id_co
     prev = edges.select(F.col("dst").alias("node"), F.col("src").alias("ptr"))
     cur = (nodes.select(F.col(id_col).alias("node")).join(prev, "node", "left")
            .withColumn("dist", F.when(F.col("ptr").isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long"))
-           .withColumn("root", F.when(F.col("ptr").isNull(), F.col("node")))).checkpoint()
-    active = cur.filter(F.col("ptr").isNotNull()).count()
+           .withColumn("root", F.when(F.col("ptr").isNull(), F.col("node")))).checkpoint(eager=False)
+    active = cur.filter(F.col("ptr").isNotNull()).count()  # also materialises the checkpoint
     rounds = 0
     while active and rounds < max_rounds:
         nxt = cur.alias("a").join(cur.alias("b"), F.col("a.ptr") == F.col("b.node"), "left").select(
@@ -274,8 +274,8 @@ def assemble_chains(nodes: DataFrame, edges: DataFrame, min_len: int = 10, id_co
             (F.col("a.dist") + F.coalesce(F.col("b.dist"), F.lit(0))).alias("dist"),
             F.coalesce(F.col("a.root"), F.when(F.col("b.ptr").isNull(), F.coalesce(F.col("b.root"), F.col("b.node"))))
             .alias("root"))
-        cur = nxt.checkpoint()
-        still = cur.filter(F.col("ptr").isNotNull()).count()
+        cur = nxt.checkpoint(eager=False)
+        still = cur.filter(F.col("ptr").isNotNull()).count()  # materialises this round's checkpoint
         rounds += 1
         if still == active:  # only cycles keep a pointer
             break
