@@ -151,6 +151,14 @@ def importance_mean_q(spark, sf):
     return _round_metrics(importance_mean(imp, "feature", "gain"), ["feature", "n"])
 
 
+@register("top_importance")
+def top_importance(spark, sf):
+    """The top-3 features by fold-averaged importance (a top-k report)."""
+    _, imp, _ = M.cv_oof(_wide_folds(spark, sf), FEATS, "target", "fold", lambda: M.forest())
+    top = importance_mean(imp, "feature", "gain").orderBy(F.col("mean_gain").desc(), "feature").limit(3)
+    return _round_metrics(top, ["feature", "n"])
+
+
 @register("robust_fit")
 def robust_fit(spark, sf):
     """M8: Huber (linear), absolute-loss boosting and Fair-loss IRLS; in-sample R^2 of each."""
