@@ -268,3 +268,54 @@ def rank_map_knots(spark, sf):
     p = v_preds(spark, sf)
     m = W.rank_map_knots(p.select("id", "p2"), "p2", "id", p, "y", _KP)
     return m.select("id", rndf("mapped").alias("mapped"))
+
+
+# W2 (two-sided shift sweep) --------------------------------------------------
+_SW_COLS = ["price", "price_l1", "price_l2", "price_l3"]
+_SW_SHIFTS = [s for s in range(-3, 4)]
+
+
+def _sw_specs():
+    """(column, shift, kind) triples: raw shifted value; for price also diff and ratio to |price|."""
+    out = []
+    for c_ in _SW_COLS:
+        for s in _SW_SHIFTS:
+            if s == 0 and c_ == "price":
+                continue
+            out.append((c_, s, "raw"))
+            if c_ == "price":
+                out += [(c_, s, "diff"), (c_, s, "ratio")]
+    return out
+
+
+def _sw_sql():
+    parts = []
+    for c_, s, kind in _sw_specs():
+        v = c_ if s == 0 else (f"lead({c_}, {s}) OVER w" if s > 0 else f"lag({c_}, {-s}) OVER w")
+        e = {"raw": v, "diff": f"({v}) - price",
+             "ratio": f"CASE WHEN price = 0 THEN NULL ELSE (({v}) - price) / ABS(price) END"}[kind]
+        parts.append(f"SELECT '{c_}' AS col, {s} AS shift, '{kind}' AS kind, target AS y, ({v}) AS sv, {e} AS v, is_test "
+                     f"FROM v_ticks WINDOW w AS (PARTITION BY grp ORDER BY t, id)")
+    return "sw2 AS (" + "\nUNION ALL\n".join(parts) + ")"
+
+
+@register("shift_sweep", with_views("v_ticks", extra=[_sw_sql()]) + f"""
+SELECT col, CAST(shift AS INTEGER) AS shift, kind, CAST(COUNT(*) AS BIGINT) AS n, {S.rf(S.corr('v', 'y'))} AS corr
+FROM sw2 WHERE is_test = 0 AND y IS NOT NULL AND sv IS NOT NULL AND v IS NOT NULL GROUP BY col, shift, kind""")
+def shift_sweep(spark, sf):
+    """W2 (two-sided): four price columns shifted by -3..3 within the group (one skew-checked pass),
+    each raw / difference / ratio series correlated with the target on train rows."""
+    t = v_ticks(spark, sf)
+    s = shift(t, ["grp"], ["t", "id"], lags={c_: [1, 2, 3] for c_ in _SW_COLS}, leads={c_: [1, 2, 3] for c_ in _SW_COLS})
+    p = F.col("price")
+    structs = []
+    for c_, sh, kind in _sw_specs():
+        sv = F.col(c_) if sh == 0 else F.col(f"{c_}_lead{sh}" if sh > 0 else f"{c_}_lag{-sh}")
+        v = {"raw": sv, "diff": sv - p, "ratio": F.try_divide(sv - p, F.abs(p))}[kind]
+        structs.append(F.struct(F.lit(c_).alias("col"), F.lit(sh).alias("shift"), F.lit(kind).alias("kind"),
+                                sv.alias("sv"), v.alias("v")))
+    long = s.filter("is_test = 0").select(F.col("target").alias("y"), F.explode(F.array(*structs)).alias("e")).select(
+        "y", "e.col", "e.shift", "e.kind", "e.sv", "e.v")
+    ok = F.col("y").isNotNull() & F.col("sv").isNotNull() & F.col("v").isNotNull()
+    return long.filter(ok).groupBy("col", "shift", "kind").agg(
+        F.count(F.lit(1)).alias("n"), rndf(safe_corr("v", "y")).alias("corr"))
