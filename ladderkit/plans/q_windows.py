@@ -319,3 +319,22 @@ def shift_sweep(spark, sf):
     ok = F.col("y").isNotNull() & F.col("sv").isNotNull() & F.col("v").isNotNull()
     return long.filter(ok).groupBy("col", "shift", "kind").agg(
         F.count(F.lit(1)).alias("n"), rndf(safe_corr("v", "y")).alias("corr"))
+
+
+def _sweep_global_sql(hs):
+    parts = [f"SELECT {h} AS h, target AS y, 100.0 * COALESCE((lead(price, {h}) OVER w - price) / NULLIF(ABS(price) + 1e-10, 0), 0.0) AS ret, "
+             f"lead(price, {h}) OVER w - price AS diff, is_test FROM v_ticks WINDOW w AS (ORDER BY id)" for h in hs]
+    return "swg AS (" + "\nUNION ALL\n".join(parts) + ")"
+
+
+@register("horizon_sweep_global", with_views("v_ticks", extra=[_sweep_global_sql(range(1, 10))]) + f"""
+SELECT CAST(h AS INTEGER) AS h, CAST(COUNT(*) AS BIGINT) AS n,
+       {S.rf('1.0 - SUM(pow(y - ret, 2)) / (var_pop(y) * COUNT(*))')} AS r2_return,
+       {S.rf('1.0 - SUM(pow(y - diff, 2)) / (var_pop(y) * COUNT(*))')} AS r2_diff,
+       {S.rf(S.corr('ret', 'y'))} AS corr_return
+FROM swg WHERE is_test = 0 AND y IS NOT NULL AND diff IS NOT NULL GROUP BY h""")
+def horizon_sweep_global(spark, sf):
+    """W2 (ungrouped): horizons 1..9 along the global ID order - the blocked dense-index plan, never one task."""
+    t = v_ticks(spark, sf)
+    sw = W.horizon_sweep(t, "price", "target", None, ["id"], range(1, 10), scale=100.0, mask=F.col("is_test") == 0)
+    return sw.select("h", "n", *[rndf(x).alias(x) for x in ["r2_return", "r2_diff", "corr_return"]])
