@@ -328,3 +328,17 @@ def save_load_roundtrip(model: PipelineModel, path: str) -> PipelineModel:
     """Persist a fitted pipeline and load it back."""
     model.write().overwrite().save(path)
     return PipelineModel.load(path)
+
+
+def pca_fit_array(train: DataFrame, col: str, k: int) -> PipelineModel:
+    """M2 on an array column: standardise + PCA fitted on ``train`` only (use ``pca_apply`` on any frame)."""
+    from pyspark.ml.functions import array_to_vector
+    v = train.withColumn("_vec", array_to_vector(F.col(col)))
+    return Pipeline(stages=[StandardScaler(inputCol="_vec", outputCol="_std", withMean=True, withStd=True),
+                            PCA(k=k, inputCol="_std", outputCol="_pca")]).fit(v)
+
+
+def pca_apply(model: PipelineModel, df: DataFrame, col: str, out: str = "pcs") -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+    v = df.withColumn("_vec", array_to_vector(F.col(col)))
+    return model.transform(v).withColumn(out, vector_to_array("_pca")).drop("_vec", "_std", "_pca")

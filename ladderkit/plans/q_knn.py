@@ -76,3 +76,13 @@ def knn_approx(spark, sf):
     probe, base = _split(spark, sf)
     nn = Kn.knn(probe, base, 5, exact=False)
     return nn.select("probe_id", "rank", "base_id", rndf("dist").alias("dist"))
+
+
+@register("knn_pca")
+def knn_pca(spark, sf):
+    """J13 + M2: exact 5-NN in a 15-component PCA space fitted on the base vectors only."""
+    from ..operators import ml as M
+    probe, base = _split(spark, sf)
+    model = M.pca_fit_array(base, "embedding", 15)
+    nn = Kn.knn(M.pca_apply(model, probe, "embedding"), M.pca_apply(model, base, "embedding"), 5, vec="pcs")
+    return nn.select("probe_id", "rank", "base_id", rndf("dist").alias("dist"))
