@@ -146,6 +146,16 @@ def best(df: DataFrame, name: str, score: str) -> DataFrame:
     return df.orderBy(F.col(score).desc(), F.col(name).asc()).limit(1)
 
 
+def combine_scalars(parts: Sequence[tuple[str, DataFrame]], value: str = "v") -> DataFrame:
+    """Put named one-row scalar frames side by side: union them as ``(name, v)`` rows and pick each
+    name with one conditional aggregate - no join, so no cartesian product is ever planned."""
+    u = None
+    for name, df in parts:
+        r = df.select(F.lit(name).alias("_name"), F.col(value).cast("double").alias("_v"))
+        u = r if u is None else u.unionByName(r)
+    return u.agg(*[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name, _ in parts])
+
+
 def pair_corr(df: DataFrame, a, b, name: str = "corr") -> DataFrame:
     """A10: safe Pearson correlation and its square for an ad-hoc pair."""
     return df.agg(safe_corr(a, b).alias(name)).withColumn(f"{name}_sq", F.col(name) * F.col(name))

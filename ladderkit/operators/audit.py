@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import lit_d, safe_corr
-from .aggregates import histogram
+from .aggregates import combine_scalars, histogram
 from .folds import sample_n
 from .metrics import regression_metrics
 from .sequence import running_sum
@@ -23,17 +23,18 @@ def check_predictions(preds: DataFrame, expected: DataFrame, id_col: str = "ID",
     """V1: prediction-table contract - row count, exact ID set (anti joins both ways), duplicates, NULLs."""
     e = expected.select(id_col).distinct()
     p = preds.select(id_col, value)
-    missing = e.join(p, id_col, "left_anti").agg(F.count(F.lit(1)).alias("n_missing"))
-    extra = p.join(e, id_col, "left_anti").agg(F.count(F.lit(1)).alias("n_extra"))
-    stats = p.agg(F.count(F.lit(1)).alias("n_rows"), (F.count(F.lit(1)) - F.count_distinct(id_col)).alias("n_dup_ids"),
-                  F.count_if(F.col(value).isNull() | F.isnan(F.col(value))).alias("n_null"))
-    n_exp = e.agg(F.count(F.lit(1)).alias("n_expected"))
-    # combine the one-row aggregates through a constant key (equi-join, one row each side)
-    k = F.lit(1).alias("_k")
-    res = stats.select("*", k)
-    for part in (n_exp, missing, extra):
-        res = res.join(part.select("*", k), "_k")
-    return res.drop("_k").withColumn(
+    # each check is one aggregate; combine_scalars places the one-row results side by side (no join)
+    parts = [
+        ("n_rows", p.agg(F.count(F.lit(1)).alias("v"))),
+        ("n_dup_ids", p.agg((F.count(F.lit(1)) - F.count_distinct(id_col)).alias("v"))),
+        ("n_null", p.agg(F.count_if(F.col(value).isNull() | F.isnan(F.col(value))).alias("v"))),
+        ("n_expected", e.agg(F.count(F.lit(1)).alias("v"))),
+        ("n_missing", e.join(p, id_col, "left_anti").agg(F.count(F.lit(1)).alias("v"))),
+        ("n_extra", p.join(e, id_col, "left_anti").agg(F.count(F.lit(1)).alias("v"))),
+    ]
+    res = combine_scalars(parts)
+    res = res.select(*[F.col(n).cast("long").alias(n) for n, _ in parts])
+    return res.withColumn(
         "ok", ((F.col("n_missing") == 0) & (F.col("n_extra") == 0) & (F.col("n_null") == 0)
                & (F.col("n_dup_ids") == 0) & (F.col("n_rows") == F.col("n_expected"))).cast("int"))
 
@@ -47,12 +48,11 @@ def leakage_audit(train: DataFrame, test: DataFrame, id_col: str, time_key: Colu
     """V2: one row per check - id overlap, time-key overlap, duplicated feature vectors,
     price-key overlap (shares of test rows) and the ID-target correlation on train."""
     def overlap_share(name: str, a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-        ka = a.select(*keys).dropna().distinct()
-        hit = b.select(*keys).dropna().join(ka, keys, "left_semi").agg(F.count(F.lit(1)).alias("h"))
-        tot = b.agg(F.count(F.lit(1)).alias("t"))
-        k = F.lit(1).alias("_k")
-        return hit.select("*", k).join(tot.select("*", k), "_k").select(
-            F.lit(name).alias("check_name"), (F.col("h") / F.col("t")).cast("double").alias("value"))
+        # share of b's rows whose key occurs in a: left equi-join on a's distinct keys, then one average
+        ka = a.select(*keys).dropna().distinct().withColumn("_hit", F.lit(1.0))
+        j = b.select(*keys).join(ka, keys, "left")
+        return j.agg(F.avg(F.coalesce(F.col("_hit"), F.lit(0.0))).alias("value")).select(
+            F.lit(name).alias("check_name"), F.col("value").cast("double").alias("value"))
 
     tr = train.select(F.col(id_col).alias("_id"), time_key.alias("_t"), price_key.alias("_p"), *feature_cols, target)
     te = test.select(F.col(id_col).alias("_id"), time_key.alias("_t"), price_key.alias("_p"), *feature_cols)
@@ -107,11 +107,11 @@ def drift_scores(train: DataFrame, test: DataFrame, features: Sequence[str], bin
 
 def report_kpis(df: DataFrame, y: str, p: str) -> DataFrame:
     """V5 KPIs: n, R^2, RMSE, MAE plus target/prediction mean and std."""
-    m = regression_metrics(df, y, p)
-    s = df.agg(F.avg(y).alias("y_mean"), F.stddev_pop(y).alias("y_std"), F.avg(p).alias("p_mean"),
-               F.stddev_pop(p).alias("p_std"))
-    k = F.lit(1).alias("_k")
-    return m.select("*", k).join(s.select("*", k), "_k").drop("_k")
+    from .metrics import mae_col, r2_col, rmse_col
+    ok = F.col(y).isNotNull() & F.col(p).isNotNull()
+    return df.agg(F.count(F.when(ok, 1)).alias("n"), r2_col(y, p).alias("r2"), rmse_col(y, p).alias("rmse"),
+                  mae_col(y, p).alias("mae"), F.avg(y).alias("y_mean"), F.stddev_pop(y).alias("y_std"),
+                  F.avg(p).alias("p_mean"), F.stddev_pop(p).alias("p_std"))
 
 
 def report_histograms(df: DataFrame, series: dict[str, Column], bins: int = 20) -> DataFrame:

@@ -98,10 +98,11 @@ def schema_align_union(spark, sf):
        CAST((SELECT COUNT(*) FROM orders) AS BIGINT) AS n_orders, CAST((SELECT COUNT(*) FROM events) AS BIGINT) AS n_events""")
 def row_count(spark, sf):
     """Row counts (answered from Parquet metadata, no column read)."""
+    from ..operators.aggregates import combine_scalars
     from ..sources.scan import scan
-    k = F.lit(1).alias("_k")
-    parts = [scan(spark, sf, t).agg(F.count(F.lit(1)).alias(f"n_{t}")).select("*", k) for t in ("lineitem", "orders", "events")]
-    return parts[0].join(parts[1], "_k").join(parts[2], "_k").drop("_k")
+    parts = [(f"n_{t}", scan(spark, sf, t).agg(F.count(F.lit(1)).alias("v"))) for t in ("lineitem", "orders", "events")]
+    out = combine_scalars(parts)
+    return out.select(*[F.col(n).cast("long").alias(n) for n, _ in parts])
 
 
 @register("head_rows", with_views("v_ticks") + "SELECT id, price FROM v_ticks ORDER BY t, id LIMIT 10")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import hash_u32, lit_d, rndf, sdiv
@@ -36,9 +37,9 @@ SELECT fold, CAST(n AS BIGINT) AS n, {S.rf('r2')} AS r2, {S.rf('rmse')} AS rmse,
 def fold_metrics(spark, sf):
     """Per-fold R^2 / RMSE / MAE and sizes, plus mean and std of R^2 over folds."""
     p = v_preds(spark, sf).withColumn("fold", F.pmod(hash_u32("id"), F.lit(5)).cast("int"))
-    per, over = Me.fold_metrics(p, "y", "p1", "fold")
-    k = F.lit(1).alias("_k")
-    j = per.select("*", k).join(over.select("mean_r2", "std_r2", k), "_k")
+    per, _ = Me.fold_metrics(p, "y", "p1", "fold")
+    folds = Window.partitionBy()  # over the k-row per-fold table only
+    j = per.withColumn("mean_r2", F.avg("r2").over(folds)).withColumn("std_r2", F.stddev_pop("r2").over(folds))
     return j.select("fold", "n", *[rndf(c).alias(c) for c in ["r2", "rmse", "mae", "mean_r2", "std_r2"]])
 
 
