@@ -103,7 +103,8 @@ def _blocked_fill(df, col, group, order, direction, out):
 
 
 def fill_interp(df: DataFrame, col: str, group, order, strategy: str = "auto") -> DataFrame:
-    """Forward fill, backward fill and their midpoint."""
+    """Forward fill, backward fill and their midpoint (the plan is chosen once for both fills)."""
+    strategy = choose_strategy(df, _cols(group), strategy)
     f = fill(df, col, group, order, "forward", strategy=strategy)
     b = fill(f, col, group, order, "backward", strategy=strategy)
     return b.withColumn(f"{col}_interp", (F.col(f"{col}_ffill") + F.col(f"{col}_bfill")) / lit_d(2.0))
