@@ -168,14 +168,43 @@ def _fold_r2(fold_mom, m, sd, ybar, beta):
 
 
 def ridge_grid(spark: SparkSession, df: DataFrame, feats: Sequence[str], y: str, fold: str,
-               alphas: Sequence[float]) -> DataFrame:
-    """M4: ridge alpha grid under (grouped) CV - R^2 on each held-out fold, from one aggregate."""
-    g = FoldGram(df, feats, y, fold)
+               alphas: Sequence[float], winsor: tuple[float, float] | None = None) -> DataFrame:
+    """M4: ridge alpha grid under (grouped) CV - R^2 on each held-out fold, from one aggregate.
+
+    ``winsor=(lo, hi)``: the *training* target of every fold is clipped to that training fold's
+    ``lo``/``hi`` percentiles (computed inside the fold - clipping before the split would leak),
+    while R^2 is scored on the original held-out target. Percentiles for all folds come from one
+    grouped sort; the clipped targets of all folds enter the same single Gram aggregate.
+    """
+    feats = list(feats)
+    if winsor is None:
+        g = FoldGram(df, feats, y, fold)
+        rows = []
+        for a in alphas:
+            for f in sorted(g.folds):
+                m, sd, ybar, beta = _ridge_solve(*g.total(exclude=f), a)
+                rows.append((float(a), int(f), _fold_r2(g.folds[f], m, sd, ybar, beta)))
+        return spark.createDataFrame(rows, "alpha double, fold int, r2 double")
+    from .quantiles import quantiles
+    ks = sorted(r[0] for r in df.select(fold).distinct().collect())  # the k fold labels
+    # every row joins the training side of each fold it does not belong to
+    trains = F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: k != F.col(fold))
+    ex = df.select(F.col(y).cast("double").alias("_y"), F.explode(trains).alias("_k"))
+    cut = {(int(r["_k"]), float(r["p"])): r["q"] for r in quantiles(ex, "_y", list(winsor), group=["_k"]).collect()}
+    clipped = [F.least(F.greatest(F.col(y), F.lit(cut[(k, float(winsor[0]))])), F.lit(cut[(k, float(winsor[1]))]))
+               .alias(f"_yc{i}") for i, k in enumerate(ks)]
+    extra = [f"_yc{i}" for i in range(len(ks))]
+    g = FoldGram(df.select(fold, *feats, y, *clipped), feats + extra, y, fold)
+    nf = len(feats)
     rows = []
     for a in alphas:
-        for f in sorted(g.folds):
-            m, sd, ybar, beta = _ridge_solve(*g.total(exclude=f), a)
-            rows.append((float(a), int(f), _fold_r2(g.folds[f], m, sd, ybar, beta)))
+        for i, f in enumerate(ks):
+            n, s_, Q = g.total(exclude=f)
+            idx = list(range(nf)) + [nf + i]  # train on the fold's own clipped target
+            m, sd, ybar, beta = _ridge_solve(n, s_[idx], Q[np.ix_(idx, idx)], a)
+            nk, sk, Qk = g.folds[f]
+            ev = list(range(nf)) + [len(sk) - 1]  # evaluate on the original target
+            rows.append((float(a), int(f), _fold_r2((nk, sk[ev], Qk[np.ix_(ev, ev)]), m, sd, ybar, beta)))
     return spark.createDataFrame(rows, "alpha double, fold int, r2 double")
 
 

@@ -47,3 +47,20 @@ def test_inverse_normal_cdf(spark):
     got = [r[0] for r in df.select(M.inv_norm_cdf(F.col("p"))).collect()]
     for p, g in zip(ps, got):
         assert abs(g - NormalDist().inv_cdf(p)) < 1e-8
+
+
+def test_ridge_grid_winsorised_inside_folds(spark):
+    df, pdf = _data(spark)
+    got = M.ridge_grid(spark, df, ["x1", "x2", "x3"], "y", "fold", [5.0], winsor=(0.05, 0.95)).toPandas()
+    for _, row in got.iterrows():
+        tr, te = pdf[pdf.fold != row.fold], pdf[pdf.fold == row.fold]
+        lo, hi = np.quantile(tr.y, 0.05), np.quantile(tr.y, 0.95)
+        ytr = np.clip(tr.y.to_numpy(), lo, hi)
+        Xtr = tr[["x1", "x2", "x3"]].to_numpy()
+        m, s = Xtr.mean(0), Xtr.std(0)
+        Z = (Xtr - m) / s
+        beta = np.linalg.solve(Z.T @ Z + 5.0 * np.eye(3), Z.T @ (ytr - ytr.mean()))
+        pred = ytr.mean() + ((te[["x1", "x2", "x3"]].to_numpy() - m) / s) @ beta
+        yt = te.y.to_numpy()
+        r2 = 1 - np.sum((yt - pred) ** 2) / np.sum((yt - yt.mean()) ** 2)
+        assert abs(r2 - row.r2) < 1e-9
