@@ -286,3 +286,14 @@ def target_scaling(spark, sf):
     return out.agg(rnd(F.avg("z")).alias("mean_z"), rnd(F.stddev_pop("z")).alias("std_z"),
                    rnd(F.min("mm")).alias("min_mm"), rnd(F.max("mm")).alias("max_mm"),
                    rndf(F.sum("pct")).alias("sum_pct"))
+
+
+@register("ols_all")
+def ols_all(spark, sf):
+    """A17 (all features): ridge lambda = 0.01 on all standardised features, no intercept, from the same
+    single moment aggregate; coefficients and R^2."""
+    feats = [f"f{i}" for i in range(1, 9)]
+    mom = A.moments(v_wide(spark, sf), feats, "target")
+    beta, r2 = A.ols_standardized(mom, list(range(len(feats))), ridge=0.01)
+    rows = [(f, float(b)) for f, b in zip(feats, beta)] + [("r2", r2)]
+    return spark.createDataFrame(rows, "term string, value double").select("term", rndf("value").alias("value"))

@@ -64,3 +64,16 @@ def test_ridge_grid_winsorised_inside_folds(spark):
         yt = te.y.to_numpy()
         r2 = 1 - np.sum((yt - pred) ** 2) / np.sum((yt - yt.mean()) ** 2)
         assert abs(r2 - row.r2) < 1e-9
+
+
+def test_ols_standardized_matches_numpy(spark):
+    from ladderkit.operators import aggregates as A
+    df, pdf = _data(spark)
+    mom = A.moments(df, ["x1", "x2", "x3"], "y")
+    beta, r2 = A.ols_standardized(mom, [0, 1, 2], ridge=0.01)
+    X = pdf[["x1", "x2", "x3"]].to_numpy()
+    Z = (X - X.mean(0)) / X.std(0)
+    y = pdf.y.to_numpy()
+    b = np.linalg.solve(Z.T @ Z + 0.01 * np.eye(3), Z.T @ y)  # no intercept, y not centred
+    want = 1 - np.sum((y - Z @ b) ** 2) / np.sum((y - y.mean()) ** 2)
+    assert np.allclose(beta, b, rtol=1e-9) and abs(r2 - want) < 1e-9
