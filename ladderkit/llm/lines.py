@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import stash
 
 NUM, DEN = 90, 100
-BUCKETS = 1 << 20
+BUCKETS = 1 << 18
 BROADCAST_ROWS = 500_000
 
 
@@ -57,8 +57,8 @@ def _lines(docs: DataFrame, ranks: DataFrame) -> DataFrame:
     def number(w: Column) -> Column:
         h = F.xxhash64(w)
         rank = F.element_at(F.col("ranks"), _bucket(h) + 1)
-        # 20 bits of rank (one a bucket, so 20 bits of the hash) and the upper 43 bits of the hash
-        return F.coalesce(F.shiftleft(rank.cast("long"), 43).bitwiseOR(F.shiftrightunsigned(h, 21)), F.lit(0).cast("long"))
+        # 18 bits of rank (one a bucket, so 18 bits of the hash) and the upper 45 bits of the hash
+        return F.coalesce(F.shiftleft(rank.cast("long"), 45).bitwiseOR(F.shiftrightunsigned(h, 19)), F.lit(0).cast("long"))
 
     words = F.sort_array(F.array_distinct(F.transform(_words(F.col("t")), number)))
     return (docs.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line", "t"))
