@@ -50,47 +50,66 @@ def kfold(df: DataFrame, k: int, id_col: str = "id", seed: int = 42, balanced: b
 
 def stratified_split(df: DataFrame, label: str, frac: float = 0.2, id_col: str = "id", seed: int = 42,
                      out: str = "is_test") -> DataFrame:
-    """Per label, the ``floor(frac * n_label + 0.5)`` rows with the smallest hash go to the test side."""
+    """Per label, the ``floor(frac * n_label + 0.5)`` rows with the smallest hash go to the test
+    side. Rows without a label are a label of their own."""
     ix, _ = dense_index(df.withColumn("_h", hash01(id_col, seed)), [label, "_h", id_col])
-    starts = ix.groupBy(label).agg(F.min("_idx").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    j = ix.join(starts, label)
+    starts = ix.groupBy(F.col(label).alias("_l")).agg(F.min("_idx").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    j = ix.join(starts, ix[label].eqNullSafe(starts["_l"]))
     cut = F.floor(F.lit(frac) * F.col("_n") + F.lit(0.5))
-    return j.withColumn(out, ((F.col("_idx") - F.col("_s")) < cut).cast("int")).drop("_h", "_idx", "_s", "_n")
-
-
-GREEDY_MAX_GROUPS = 1_000_000
+    return j.withColumn(out, ((F.col("_idx") - F.col("_s")) < cut).cast("int")).drop("_h", "_idx", "_s", "_n", "_l")
 
 
 def group_sizes(df: DataFrame, group: str) -> DataFrame:
     return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
 
 
+def greedy_runs(classes: list[tuple[int, int]], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """Largest-first assignment to the lightest of ``k`` folds (ties: lowest fold), for whole size classes.
+
+    ``classes`` are (size, number of groups), largest size first. Within a class the folds take
+    their groups in the order of (load, fold); all loads grow by the same size, so the order
+    repeats itself over the folds that have come level. The result is runs
+    ``(size, first rank, end rank, fold order)``, at most ``k`` a class, over the ranks of all groups.
+    """
+    load, runs, rank = [0] * k, [], 0
+    for size, count in classes:
+        low = min(load)
+        level = [(x - low) // size for x in load]
+        inside = [(x - low) % size for x in load]
+        steps = sorted(set(level))
+        left = count
+        for at, step in enumerate(steps):
+            order = sorted((i for i in range(k) if level[i] <= step), key=lambda i: (inside[i], i))
+            take = left if at + 1 == len(steps) else min(left, (steps[at + 1] - step) * len(order))
+            if not take:
+                break
+            runs.append((size, rank, rank + take, order))
+            for pos, i in enumerate(order):
+                load[i] += size * (take // len(order) + (pos < take % len(order)))
+            rank, left = rank + take, left - take
+    return runs
+
+
 def group_kfold(df: DataFrame, group: str, k: int, method: str = "greedy", out: str = "fold") -> DataFrame:
-    """Whole groups to folds.
+    """Whole groups to folds; rows without a group are one group.
 
-    ``round_robin``: groups ranked by (size desc, key asc), fold = rank % k
-    (distributed, SQL-checkable). ``greedy``: largest group first to the
-    currently lightest fold (ties: lowest fold), the usual balanced group
-    k-fold; it works on the group-size table (one row per group), never on
-    the rows themselves. The group -> fold map is joined back on the key.
+    Groups are ranked by (size desc, key asc, null first) on the dense index. ``round_robin``:
+    fold = rank % k. ``greedy``: largest group first to the lightest fold (ties: lowest fold),
+    the usual balanced group k-fold, at any number of groups: only the table of distinct group
+    sizes (about the square root of the rows at most) reaches the driver, the groups stay in Spark.
     """
     sizes = group_sizes(df, group)
-    if method == "greedy" and sizes.count() > GREEDY_MAX_GROUPS:
-        method = "round_robin"  # the driver-side assignment is for group tables of bounded size
+    ix, _ = dense_index(sizes.withColumn("_neg", -F.col("n")), ["_neg", group])
     if method == "round_robin":
-        ix, _ = dense_index(sizes.withColumn("_neg", -F.col("n")), ["_neg", group])
-        fmap = ix.select(group, F.pmod(F.col("_idx"), F.lit(k)).cast("int").alias(out))
+        fmap = ix.select(F.col(group).alias("_g"), F.pmod(F.col("_idx"), F.lit(k)).cast("int").alias(out))
     else:
-        rows = sorted(((r[group], int(r["n"])) for r in sizes.collect()), key=lambda t: (-t[1], t[0]))
-        load = [0] * k
-        assign = []
-        for g, n in rows:
-            f = min(range(k), key=lambda i: (load[i], i))
-            load[f] += n
-            assign.append((g, f))
-        gtype = sizes.schema[group].dataType.simpleString()
-        fmap = df.sparkSession.createDataFrame(assign, f"{group} {gtype}, {out} int")
-    return df.join(fmap, group)
+        classes = sorted(((int(r["n"]), int(r["c"])) for r in
+                          sizes.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True)
+        runs = df.sparkSession.createDataFrame(greedy_runs(classes, k), "n long, _from long, _to long, _order array<int>")
+        place = F.pmod(F.col("_idx") - F.col("_from"), F.size("_order")) + 1
+        fmap = (ix.join(runs, "n").filter((F.col("_idx") >= F.col("_from")) & (F.col("_idx") < F.col("_to")))
+                .select(F.col(group).alias("_g"), F.element_at("_order", place.cast("int")).alias(out)))
+    return df.join(fmap, df[group].eqNullSafe(fmap["_g"])).drop("_g")
 
 
 def fold_sizes(df: DataFrame, fold: str = "fold", group: str | None = None) -> DataFrame:

@@ -161,26 +161,32 @@ def link_tolerance(df: DataFrame, a_keys: Sequence[str], b_keys: Sequence[str],
                    exact: bool = False) -> DataFrame:
     """Link A to the first B (smallest id) whose ``b_keys`` are within ``tol`` of A's ``a_keys``.
 
-    Bucket equi-join on the keys rounded to ``d`` decimals, then the residual
-    ``|diff| < tol``. ``exact=True`` also probes the +-1 neighbouring buckets of
-    every key part, so pairs straddling a rounding boundary are found (the
-    reference's bucket equality misses them). Returns ``(a_id, b_id)``.
+    Bucket equi-join on the keys rounded to ``d`` decimals, then the residual ``|diff| < tol``.
+    ``exact=True`` buckets by ``floor(x / tol)`` and also probes the +-1 neighbours of every key
+    part, so every pair within ``tol`` is found whatever ``tol`` is (the reference's bucket
+    equality misses pairs across a rounding boundary). Both sides are reduced to their distinct
+    key values first, the build side with its smallest id, so flat prices do not multiply.
+    Returns ``(a_id, b_id)``.
     """
     k = len(a_keys)
-    names = [f"_b{i}" for i in range(k)]
-    b = df.select(F.col(id_col).alias("_bid"), *[F.col(x).alias(f"_bv{i}") for i, x in enumerate(b_keys)],
-                  *[key(x, d).alias(n) for x, n in zip(b_keys, names)]).dropna()
+    names, av, bv = ([f"{p}{i}" for i in range(k)] for p in ("_b", "_av", "_bv"))
+
+    def bucket(x: str) -> Column:
+        return F.floor(F.col(x) / F.lit(tol)) if exact else key(x, d)
+
+    b = df.select(F.col(id_col).alias("_bid"), *[F.col(x).alias(v) for x, v in zip(b_keys, bv)]).dropna()
+    b = b.groupBy(*bv).agg(F.min("_bid").alias("_bid")).select("_bid", *bv, *[bucket(v).alias(n) for v, n in zip(bv, names)])
     a = df if probe_filter is None else df.filter(probe_filter)
-    a = a.select(F.col(id_col).alias("_aid"), *[F.col(x).alias(f"_av{i}") for i, x in enumerate(a_keys)],
-                 *[key(x, d).alias(n) for x, n in zip(a_keys, names)]).dropna()
+    a = a.select(F.col(id_col).alias("a_id"), *[F.col(x).alias(v) for x, v in zip(a_keys, av)]).dropna()
+    probe = a.select(*av).distinct().select(*av, *[bucket(v).alias(n) for v, n in zip(av, names)])
     if exact:
         for n in names:
-            a = a.withColumn(n, F.explode(F.array(F.col(n) - 1, F.col(n), F.col(n) + 1)))
+            probe = probe.withColumn(n, F.explode(F.array(F.col(n) - 1, F.col(n), F.col(n) + 1)))
     cond = F.lit(True)
-    for i in range(k):
-        cond = cond & (F.abs(F.col(f"_bv{i}") - F.col(f"_av{i}")) < F.lit(tol))
-    j = a.join(b, names).filter(cond)
-    return j.groupBy("_aid").agg(F.min("_bid").alias("b_id")).withColumnRenamed("_aid", "a_id")
+    for x, y in zip(av, bv):
+        cond = cond & (F.abs(F.col(y) - F.col(x)) < F.lit(tol))
+    found = probe.join(b, names).filter(cond).groupBy(*av).agg(F.min("_bid").alias("b_id"))
+    return a.join(found, av).select("a_id", "b_id")
 
 
 # J10 ---------------------------------------------------------------------------
@@ -232,10 +238,13 @@ def hop_returns(df: DataFrame, edges: DataFrame, price: str, id_col: str = "id",
     e2 = hop(edges, 2)
     pr = df.select(F.col(id_col).alias("_pid"), F.col(price).alias("_p"))
     base = df.select(F.col(id_col).alias("id"), F.col(price).alias("p0"))
-    j = (base.join(edges.withColumnRenamed("src", "id").withColumnRenamed("dst", "n1"), "id", "left")
-         .join(e2.withColumnRenamed("src", "id").withColumnRenamed("dst", "n2"), "id", "left")
-         .join(pr.withColumnRenamed("_pid", "n1").withColumnRenamed("_p", "p1"), "n1", "left")
-         .join(pr.withColumnRenamed("_pid", "n2").withColumnRenamed("_p", "p2"), "n2", "left"))
+
+    def looked_up(e: DataFrame, n: str, p: str) -> DataFrame:
+        """Price at the edge's end: only linked rows take part, unlinked ones share no null key."""
+        return (e.select(F.col("src").alias("id"), F.col("dst").alias(n)).join(pr, F.col(n) == F.col("_pid"), "left")
+                .select("id", n, F.col("_p").alias(p)))
+
+    j = (base.join(looked_up(edges, "n1", "p1"), "id", "left").join(looked_up(e2, "n2", "p2"), "id", "left"))
     r1 = sdiv(lit_d(scale) * (F.col("p1") - F.col("p0")), F.col("p0"))
     r2 = sdiv(lit_d(scale) * (F.col("p2") - F.col("p0")), F.col("p0"))
     return j.select("id", "n1", "n2",
@@ -249,38 +258,34 @@ def project_horizons(ret1: Column, ret2: Column, w1: float = 0.8044, w2: float =
 
 
 # J12 ---------------------------------------------------------------------------
-def assemble_chains(nodes: DataFrame, edges: DataFrame, min_len: int = 10, id_col: str = "id",
-                    max_rounds: int = 64) -> DataFrame:
+def assemble_chains(nodes: DataFrame, edges: DataFrame, min_len: int = 10, id_col: str = "id") -> DataFrame:
     """Chains of an injective edge set as ``(chain_id, pos, id)``.
 
-    Pointer doubling on predecessor links: every round doubles the jump and
-    adds the distance (one self-join + one reliable checkpoint per round).
-    Nodes whose pointer never reaches a root lie on cycles and are dropped,
-    as in the reference; chains of ``min_len`` rows or fewer are dropped.
+    Pointer doubling on predecessor links: every round doubles the jump and adds the distance.
+    Only rows that still have a pointer are joined and rewritten (one reliable checkpoint a
+    round); rows whose root is known are kept aside and only looked up. Nodes whose pointer
+    never reaches a root lie on cycles and are dropped, as in the reference; chains of
+    ``min_len`` rows or fewer are dropped.
     """
     from ..session import ensure_checkpoint_dir
     spark = nodes.sparkSession
     ensure_checkpoint_dir(spark)
     prev = edges.select(F.col("dst").alias("node"), F.col("src").alias("ptr"))
-    cur = (nodes.select(F.col(id_col).alias("node")).join(prev, "node", "left")
-           .withColumn("dist", F.when(F.col("ptr").isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long"))
-           .withColumn("root", F.when(F.col("ptr").isNull(), F.col("node")))).checkpoint(eager=False)
-    active = cur.filter(F.col("ptr").isNotNull()).count()  # also materialises the checkpoint
-    rounds = 0
-    while active and rounds < max_rounds:
-        nxt = cur.alias("a").join(cur.alias("b"), F.col("a.ptr") == F.col("b.node"), "left").select(
-            F.col("a.node").alias("node"),
-            F.when(F.col("a.ptr").isNull(), F.lit(None)).otherwise(F.col("b.ptr")).cast("long").alias("ptr"),
-            (F.col("a.dist") + F.coalesce(F.col("b.dist"), F.lit(0))).alias("dist"),
-            F.coalesce(F.col("a.root"), F.when(F.col("b.ptr").isNull(), F.coalesce(F.col("b.root"), F.col("b.node"))))
-            .alias("root"))
-        cur = nxt.checkpoint(eager=False)
-        still = cur.filter(F.col("ptr").isNotNull()).count()  # materialises this round's checkpoint
-        rounds += 1
+    start = nodes.select(F.col(id_col).alias("node")).join(prev, "node", "left").checkpoint()
+    done = start.filter(F.col("ptr").isNull()).select("node", F.lit(0).cast("long").alias("dist"), F.col("node").alias("root"))
+    act = start.filter(F.col("ptr").isNotNull()).select("node", F.lit(1).cast("long").alias("dist"), "ptr")
+    active = act.count()
+    while active:
+        known = (done.withColumn("ptr", F.lit(None).cast("long"))
+                 .unionByName(act.withColumn("root", F.lit(None).cast("long"))))
+        nxt = (act.alias("a").join(known.alias("b"), F.col("a.ptr") == F.col("b.node"))
+               .select("a.node", (F.col("a.dist") + F.col("b.dist")).alias("dist"), "b.root", "b.ptr")).checkpoint()
+        done = done.unionByName(nxt.filter(F.col("root").isNotNull()).select("node", "dist", "root"))
+        act = nxt.filter(F.col("ptr").isNotNull()).select("node", "dist", "ptr")
+        still = act.count()
         if still == active:  # only cycles keep a pointer
             break
         active = still
-    done = cur.filter(F.col("root").isNotNull())
     lens = done.groupBy("root").agg(F.count(F.lit(1)).alias("_len")).filter(F.col("_len") > min_len)
     return done.join(lens, "root").select(F.col("root").alias("chain_id"), F.col("dist").alias("pos"),
                                           F.col("node").alias(id_col))

@@ -8,6 +8,7 @@ that setting is absent (local tests and the bench).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -40,8 +41,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory, setting a scratch one only if unset.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``; we honour it.
-    Only when nothing is configured (local tests) do we create one under /tmp.
+    The cluster names a shared folder in ``spark.checkpoint.dir``; we honour it. Only a
+    ``local`` master, whose threads share one machine, gets a scratch folder when nothing is
+    configured; any other master without the setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -49,6 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
+    if not conf_dir and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="ladderkit-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
