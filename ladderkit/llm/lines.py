@@ -23,7 +23,7 @@ from .common import stash
 
 NUM, DEN = 90, 100
 BUCKETS = 1 << 18
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 500_000   # rows of a few numbers each
 
 
 def _words(text: Column) -> Column:
@@ -156,7 +156,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
             .groupBy("doc").agg(F.collect_set(F.xxhash64("line", "hash")).alias("__gone"))
             .select(F.col("doc").alias("__doc"), "__gone"))
     gone = stash(gone, "line-gone")
-    rows = docs.join(_small(gone, gone.count()), docs[id_col].eqNullSafe(F.col("__doc")), "left").drop("__doc")
+    gone_size = gone.agg(F.coalesce(F.sum(F.size("__gone") + 2), F.lit(0))).first()[0]   # numbers it holds
+    rows = docs.join(_small(gone, gone_size), docs[id_col].eqNullSafe(F.col("__doc")), "left").drop("__doc")
     parts = F.split(F.col(text), "\n", -1)
     goes = F.when(F.col("__gone").isNotNull(), F.transform(parts, lambda t, i: F.array_contains(
         "__gone", F.xxhash64(i, F.xxhash64(t)))))

@@ -64,12 +64,13 @@ def _valid(kind: str, value: Column) -> Column:
     return F.when(n.between(13, 19), _luhn(digits)).otherwise(F.lit(False))
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """Every match with its place in code points and up to CONTEXT code points of the text between
-    it and its neighbours."""
+def _matches(text: Column, pattern: str, valid=None) -> Column:
+    """Every match that is ``valid``, with its place in code points and up to CONTEXT code points
+    of the text between it and its neighbours."""
     gaps = F.split(text, pattern, -1)
-    parts = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda h, i: F.struct(
-        h.alias("h"), gaps[i].alias("a"), gaps[i + 1].alias("b")))
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    # one more gap than matches: the last zipped entry has no match
+    parts = F.arrays_zip(hits.alias("h"), gaps.alias("a"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("b"))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["a"])
@@ -77,14 +78,15 @@ def _matches(text: Column, pattern: str) -> Column:
         span = F.struct(s.alias("s"), e.alias("e"), x["h"].alias("value"),
                         F.right(x["a"], F.lit(CONTEXT)).alias("left"), F.left(x["b"], F.lit(CONTEXT)).alias("right"),
                         (F.length(x["a"]) > CONTEXT).alias("cutl"), (F.length(x["b"]) > CONTEXT).alias("cutr"))
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        ok = F.lit(True) if valid is None else valid(x["h"])
+        return F.struct(e.alias("at"), F.when(ok, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    return F.aggregate(F.filter(parts, lambda x: x["h"].isNotNull()), start, step, lambda acc: acc["out"])
 
 
 def _kind_spans(text: Column, k: int) -> Column:
-    spans = F.filter(_matches(text, _PATTERN[KINDS[k]]), lambda x: _valid(KINDS[k], x["value"]))
+    spans = _matches(text, _PATTERN[KINDS[k]], lambda value: _valid(KINDS[k], value))
     return F.transform(spans, lambda x: F.struct(
         F.lit(k).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["value"].alias("value"), x["left"].alias("left"),
         x["right"].alias("right"), x["cutl"].alias("cutl"), x["cutr"].alias("cutr")))
