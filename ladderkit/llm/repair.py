@@ -51,8 +51,16 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, round_rules: int = ROUND_RUL
         often = often[np.argsort(-count[often], kind="stable")][:round_rules]
         by_key = np.sort(pairs[often])
         rank_of = np.argsort(np.argsort(-count[often], kind="stable"))[np.argsort(pairs[often])]
-        at = np.minimum(np.searchsorted(by_key, key), len(by_key) - 1)
-        hit = by_key[at] == key
+        # most places fall out by the first symbol of their pair, the rest is looked up
+        leads = np.zeros(first + made, bool)
+        leads[by_key >> 32] = True
+        near = np.flatnonzero(leads[seq[:-1]])
+        found = np.minimum(np.searchsorted(by_key, key[near]), len(by_key) - 1)
+        ok = by_key[found] == key[near]
+        hit = np.zeros(len(key), bool)
+        hit[near] = ok
+        at = np.zeros(len(key), np.int64)
+        at[near] = found
         # a place wins against its neighbours by rank; runs of one pair alternate
         want = np.where(hit, rank_of[at] * 2 + (np.arange(len(key)) & 1), np.iinfo(np.int64).max)
         keep = hit.copy()

@@ -13,8 +13,9 @@ import re
 
 import numpy as np
 
-MEMO = 400_000      # chunks a worker remembers
+MEMO = 1_000_000    # chunks a worker remembers
 MEMO_CHARS = 48     # longer chunks are encoded each time
+JOINED = 512        # new chunks encoded at once
 
 _LEADING = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: Blanks, joiners and controls on which libraries may differ, besides the space and the line feed.
@@ -31,6 +32,12 @@ class Encoder:
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_str(config)
         self.library.encode_special_tokens = True   # their strings in a text are ordinary text
+        # a second copy that does know them: one of them parts chunks that are encoded together
+        self.parted = Tokenizer.from_str(config)
+        special = [(i, t.content) for i, t in self.parted.get_added_tokens_decoder().items()
+                   if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.part_id, self.part = special[-1] if special else (None, None)
+        self.special = [t.content for t in self.parted.get_added_tokens_decoder().values()]
         self.blanks = blanks
         self.end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         self.memo: dict[str, bytes] = {}
@@ -44,20 +51,53 @@ class Encoder:
         return _STATE[key]
 
     def _chunks(self, text: str) -> list[str]:
+        """Keys of the memo. In "leading" mode a key without a blank in front is the word after
+        one space; the first word of a text is marked by a zero character."""
         if self.blanks == "dropped":
             return text.replace("\n", " ").split(" ")
-        if self.blanks == "leading" and not _ODD.search(text):
-            return _LEADING.findall(text)
-        return [text]
+        if self.blanks != "leading" or _ODD.search(text):
+            return ["\0" + text]
+        out = []
+        for k, line in enumerate(text.split("\n")):
+            words = line.split(" ")
+            if "" in words:   # runs of blanks: the general split
+                return ["\0" + c if c[0] not in " \n" else c for c in _LEADING.findall(text)]
+            words[0] = ("\n" if k else "\0") + words[0]
+            out += words
+        return out
+
+    def _plain(self, key: str) -> str:
+        """The piece of text that a key stands for."""
+        if self.blanks == "dropped" or key[0] in " \n":
+            return key
+        return key[1:] if key[0] == "\0" else " " + key
+
+    def _new(self, keys: list[str]) -> dict[str, bytes]:
+        """Ids of chunks that are not in the memo, many in one call, parted by a special token."""
+        pieces = [self._plain(k) if k else "" for k in keys]
+        if self.part is None or self.blanks is None:
+            return {k: np.array(e.ids, "<u4").tobytes()
+                    for k, e in zip(keys, self.library.encode_batch_fast(pieces, add_special_tokens=False))}
+        odd = [i for i, p in enumerate(pieces) if len(p) > MEMO_CHARS or any(s in p for s in self.special) or not p]
+        got = {keys[i]: np.array(e.ids, "<u4").tobytes() for i, e in
+               zip(odd, self.library.encode_batch_fast([pieces[i] for i in odd], add_special_tokens=False))}
+        alone = set(odd)
+        rest = [i for i in range(len(keys)) if i not in alone]
+        for a in range(0, len(rest), JOINED):
+            some = rest[a:a + JOINED]
+            ids = np.array(self.parted.encode(self.part.join([pieces[i] for i in some]), add_special_tokens=False).ids, "<u4")
+            cut = np.flatnonzero(ids == self.part_id).tolist()
+            raw = ids.tobytes()
+            got.update(zip([keys[i] for i in some], [raw[4 * x:4 * y] for x, y in
+                                                     zip([0] + [c + 1 for c in cut], cut + [len(ids)])]))
+        return got
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, the end id last; null counts as empty."""
         out = []
         for i in range(0, len(texts), 128):
             split = [self._chunks(t or "") for t in texts[i:i + 128]]
-            new = list(set().union(*split).difference(self.memo))
-            got = {c: np.array(e.ids, "<u4").tobytes()
-                   for c, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False))}
+            got = self._new(list(set().union(*split).difference(self.memo)))
             if len(self.memo) + len(got) > MEMO:
                 known = {c: self.memo[c] for x in split for c in x if c in self.memo}
                 self.memo.clear()
