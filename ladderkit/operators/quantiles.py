@@ -6,7 +6,7 @@ Here an exact linear-interpolation quantile is computed from a distributed
 sort instead: a dense index over ``(group..., x)``, per-group start/count
 (one small aggregate), then the two neighbouring order statistics of every
 requested ``p`` are fetched by an equi-join on the index. Memory per task is
-bounded by the range partition, whatever the skew.
+bounded by the range partition; rows of one tied value share a partition.
 
 ``exact=False`` switches to the ``percentile_approx`` sketch (bounded memory,
 one pass, approximate).
