@@ -36,46 +36,49 @@ _KIND = {2: "<u2", 4: "<u4"}
 def compress(ids: np.ndarray, rounds: int = ROUNDS, round_rules: int = ROUND_RULES,
              min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, int]:
     """(sequence, rules as pairs, first rule symbol); symbols below the first rule are ids."""
-    seq = ids.astype(np.int64)
-    first = int(seq.max(initial=-1)) + 1
+    first = int(ids.max()) + 1 if len(ids) else 0
+    # symbols of 16 bits make pair keys of 32, which sort faster
+    kind, bits = (np.uint32, 16) if first + rounds * round_rules <= 1 << 16 else (np.uint64, 32)
+    seq = ids.astype(kind)
     rules: list[np.ndarray] = []
     made = 0
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        key = seq[:-1] << 32 | seq[1:]
-        pairs, count = np.unique(key, return_counts=True)
+        key = np.sort(seq[:-1] << kind(bits) | seq[1:])
+        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        count = np.diff(head, append=len(key))
         often = np.flatnonzero(count >= min_count)
         if not len(often):
             break
         often = often[np.argsort(-count[often], kind="stable")][:round_rules]
-        by_key = np.sort(pairs[often])
-        rank_of = np.argsort(np.argsort(-count[often], kind="stable"))[np.argsort(pairs[often])]
-        # most places fall out by the first symbol of their pair, the rest is looked up
-        leads = np.zeros(first + made, bool)
-        leads[by_key >> 32] = True
-        near = np.flatnonzero(leads[seq[:-1]])
-        found = np.minimum(np.searchsorted(by_key, key[near]), len(by_key) - 1)
-        ok = by_key[found] == key[near]
-        hit = np.zeros(len(key), bool)
-        hit[near] = ok
-        at = np.zeros(len(key), np.int64)
-        at[near] = found
+        pairs = np.stack([key[head[often]] >> kind(bits), key[head[often]] & kind((1 << bits) - 1)], axis=1).astype(np.int64)
+        # rank of a pair by the row of its first symbol and the column of its second; `none` elsewhere
+        none = len(pairs)
+        (lefts, i), (rights, j) = (np.unique(pairs[:, c], return_inverse=True) for c in (0, 1))
+        rank = np.full((len(lefts) + 1, len(rights) + 1), none, np.int32)
+        rank[i + 1, j + 1] = np.arange(none)
+        row, column = np.zeros((2, first + made), np.int32)
+        row[lefts] = np.arange(1, len(lefts) + 1) * (len(rights) + 1)
+        column[rights] = np.arange(1, len(rights) + 1)
+        at = rank.ravel()[row[seq[:-1]] + column[seq[1:]]]
         # a place wins against its neighbours by rank; runs of one pair alternate
-        want = np.where(hit, rank_of[at] * 2 + (np.arange(len(key)) & 1), np.iinfo(np.int64).max)
-        keep = hit.copy()
+        want = at * 2
+        want[1::2] += 1
+        keep = at < none
         keep[1:] &= want[1:] < want[:-1]
         keep[:-1] &= want[:-1] < want[1:]
         places = np.flatnonzero(keep)
-        used, symbol = np.unique(at[places], return_inverse=True)
-        seq = seq.copy()
-        seq[places] = first + made + symbol
+        used = np.flatnonzero(np.bincount(at[places], minlength=none))
+        symbol = np.zeros(none, kind)
+        symbol[used] = first + made + np.arange(len(used))
+        seq[places] = symbol[at[places]]
         rest = np.ones(len(seq), bool)
         rest[places + 1] = False
         seq = seq[rest]
-        rules.append(np.stack([by_key[used] >> 32, by_key[used] & 0xFFFFFFFF], axis=1))
+        rules.append(pairs[used])
         made += len(used)
-    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), first
+    return seq.astype(np.int64), np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), first
 
 
 def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:

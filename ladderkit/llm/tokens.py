@@ -85,7 +85,7 @@ class Encoder:
         rest = [i for i in range(len(keys)) if i not in alone]
         for a in range(0, len(rest), JOINED):
             some = rest[a:a + JOINED]
-            ids = np.array(self.parted.encode(self.part.join([pieces[i] for i in some]), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.parted.encode_batch_fast([self.part.join([pieces[i] for i in some])], add_special_tokens=False)[0].ids, "<u4")
             cut = np.flatnonzero(ids == self.part_id).tolist()
             raw = ids.tobytes()
             got.update(zip([keys[i] for i in some], [raw[4 * x:4 * y] for x, y in
