@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -82,8 +83,19 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, round_rules: int = ROUND_RUL
 
 
 def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    """All ids of a symbol sequence: rules are replaced by their pairs until none is left."""
+    """All ids of a symbol sequence. A short one has its rules replaced by their pairs until none
+    is left; for one longer than the rule list every rule is spelled out once and looked up."""
     seq = seq.astype(np.int64)
+    if len(seq) > len(rules):
+        words: list[list[int]] = []
+        for a, b in rules.tolist():
+            words.append((words[a - first] if a >= first else [a]) + (words[b - first] if b >= first else [b]))
+        size = np.ones(first + len(words), np.int64)
+        size[first:] = [len(w) for w in words]
+        spelled = np.concatenate([np.arange(first), np.fromiter(chain.from_iterable(words), np.int64)])
+        n = size[seq]
+        shift = (np.cumsum(size) - size)[seq] - (np.cumsum(n) - n)
+        return spelled[np.repeat(shift, n) + np.arange(n.sum())]
     while True:
         big = seq >= first
         if not big.any():
@@ -197,7 +209,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
         for b in batches:
             for r in b.itertuples(index=False):
                 shard = Shard.of(r)
-                raw = shard.ids().astype("<u4").tobytes()
+                raw = memoryview(shard.ids().astype("<u4").tobytes())
                 n = shard.doc_lengths.astype(np.int64)
                 end = np.cumsum(n)
                 yield pd.DataFrame({
