@@ -110,20 +110,28 @@ def quantile_normal(df: DataFrame, col: str, id_col: str, out: str = "qnorm") ->
 
 # M4, M5, M8 (Gram) -------------------------------------------------------------
 class FoldGram:
-    """Per-fold raw moments of ``[x..., y]`` from one grouped aggregate."""
+    """Per-fold moments of ``[x..., y]`` about the overall means, from one grouped aggregate.
 
-    def __init__(self, df: DataFrame, feats: Sequence[str], y: str, fold: str):
+    A first pass takes the means as literals, so columns whose mean dwarfs their spread lose no
+    digits. The last ``like_y`` features are variants of ``y`` and are shifted by its mean.
+    """
+
+    def __init__(self, df: DataFrame, feats: Sequence[str], y: str, fold: str, like_y: int = 0):
         self.feats = list(feats)
         cols = self.feats + [y]
         k = len(cols)
-        aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(F.col(x).cast("double")).alias(f"s{i}") for i, x in enumerate(cols)]
-        for i in range(k):
-            for j in range(i, k):
-                aggs.append(F.sum(F.col(cols[i]).cast("double") * F.col(cols[j]).cast("double")).alias(f"q{i}_{j}"))
         ok = F.lit(True)
         for x in cols:
             ok = ok & F.col(x).isNotNull()
-        rows = df.filter(ok).groupBy(fold).agg(*aggs).collect()  # one row per fold
+        d = df.filter(ok)
+        mean = [v or 0.0 for v in d.agg(*[F.avg(F.col(x).cast("double")) for x in cols]).first()]
+        mean[k - 1 - like_y:] = [mean[-1]] * (like_y + 1)
+        xs = [F.col(x).cast("double") - lit_d(v) for x, v in zip(cols, mean)]
+        aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)]
+        for i in range(k):
+            for j in range(i, k):
+                aggs.append(F.sum(xs[i] * xs[j]).alias(f"q{i}_{j}"))
+        rows = d.groupBy(fold).agg(*aggs).collect()  # one row per fold
         self.folds = {}
         for r in rows:
             s = np.array([r[f"s{i}"] for i in range(k)], dtype=float)
@@ -194,7 +202,7 @@ def ridge_grid(spark: SparkSession, df: DataFrame, feats: Sequence[str], y: str,
     clipped = [F.least(F.greatest(F.col(y), F.lit(cut[(k, float(winsor[0]))])), F.lit(cut[(k, float(winsor[1]))]))
                .alias(f"_yc{i}") for i, k in enumerate(ks)]
     extra = [f"_yc{i}" for i in range(len(ks))]
-    g = FoldGram(df.select(fold, *feats, y, *clipped), feats + extra, y, fold)
+    g = FoldGram(df.select(fold, *feats, y, *clipped), feats + extra, y, fold, like_y=len(extra))
     nf = len(feats)
     rows = []
     for a in alphas:
@@ -211,17 +219,20 @@ def ridge_grid(spark: SparkSession, df: DataFrame, feats: Sequence[str], y: str,
 def fair_irls(df: DataFrame, feats: Sequence[str], y: str, c_fair: float = 1.0, iters: int = 6) -> np.ndarray:
     """M8 (Fair loss): iteratively reweighted least squares, one weighted Gram aggregate per iteration.
 
+    The sums are taken about the column means, so large means lose no digits.
     Returns ``[intercept, beta...]`` on the raw features.
     """
     cols = list(feats)
     k = len(cols) + 1
     beta = np.zeros(k)
-    xs = [lit_d(1.0)] + [F.col(x).cast("double") for x in cols]
+    mean = [v or 0.0 for v in df.agg(*[F.avg(F.col(x).cast("double")) for x in [*cols, y]]).first()]
+    xs = [lit_d(1.0)] + [F.col(x).cast("double") - lit_d(v) for x, v in zip(cols, mean)]
+    target = F.col(y).cast("double") - lit_d(mean[-1])
     for _ in range(iters):
         pred = sum((xs[i] * lit_d(beta[i]) for i in range(k)), lit_d(0.0))
-        w = lit_d(1.0) / (lit_d(1.0) + F.abs(F.col(y) - pred) / lit_d(c_fair))
+        w = lit_d(1.0) / (lit_d(1.0) + F.abs(target - pred) / lit_d(c_fair))
         aggs = [F.sum(w * xs[i] * xs[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)]
-        aggs += [F.sum(w * xs[i] * F.col(y)).alias(f"b{i}") for i in range(k)]
+        aggs += [F.sum(w * xs[i] * target).alias(f"b{i}") for i in range(k)]
         r = df.agg(*aggs).first()
         A = np.zeros((k, k))
         for i in range(k):
@@ -229,7 +240,7 @@ def fair_irls(df: DataFrame, feats: Sequence[str], y: str, c_fair: float = 1.0,
                 A[i, j] = A[j, i] = r[f"a{i}_{j}"]
         bvec = np.array([r[f"b{i}"] for i in range(k)])
         beta = np.linalg.solve(A + 1e-9 * np.eye(k), bvec)
-    return beta
+    return np.concatenate([[beta[0] + mean[-1] - beta[1:] @ mean[:-1]], beta[1:]])
 
 
 # M7, M9-M12, A24 ---------------------------------------------------------------

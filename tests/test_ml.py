@@ -31,6 +31,35 @@ def test_ridge_grid_matches_direct_solve(spark):
         assert abs(r2 - row.r2) < 1e-9
 
 
+def test_ridge_grid_keeps_digits_when_means_dwarf_spreads(spark):
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(800, 2)) * 0.04 + 1e5
+    y = 1e4 + 0.5 * (X[:, 0] - 1e5) + rng.normal(size=800)
+    pdf = pd.DataFrame({"x1": X[:, 0], "x2": X[:, 1], "y": y, "fold": np.arange(800) % 4})
+    df = spark.createDataFrame(pdf)
+    for winsor in (None, (0.0, 1.0)):  # cuts at the extremes change nothing
+        got = M.ridge_grid(spark, df, ["x1", "x2"], "y", "fold", [1.0], winsor=winsor).toPandas()
+        assert len(got) == 4
+        for _, row in got.iterrows():
+            tr, te = pdf[pdf.fold != row.fold], pdf[pdf.fold == row.fold]
+            Xtr = tr[["x1", "x2"]].to_numpy()
+            m, s = Xtr.mean(0), Xtr.std(0)
+            Z = (Xtr - m) / s
+            beta = np.linalg.solve(Z.T @ Z + np.eye(2), Z.T @ (tr.y.to_numpy() - tr.y.mean()))
+            pred = tr.y.mean() + ((te[["x1", "x2"]].to_numpy() - m) / s) @ beta
+            r2 = 1 - np.sum((te.y - pred) ** 2) / np.sum((te.y - te.y.mean()) ** 2)
+            assert abs(r2 - row.r2) < 1e-9
+
+
+def test_fair_fit_keeps_digits_when_means_dwarf_spreads(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=500) * 0.04
+    y = 3.0 * x + rng.normal(size=500) * 0.01
+    near, far = (M.fair_irls(spark.createDataFrame(pd.DataFrame({"x": x + a, "y": y + b})), ["x"], "y")
+                 for a, b in ((0.0, 0.0), (1e5, 1e4)))
+    assert abs(near[1] - far[1]) < 1e-6 and abs(far[0] + far[1] * 1e5 - 1e4 - near[0]) < 1e-6
+
+
 def test_oof_covers_every_row_once(spark):
     df, pdf = _data(spark, n=300)
     oof, imp, _ = M.cv_oof(df, ["x1", "x2", "x3"], "y", "fold", lambda: M.forest(trees=4, depth=3))
