@@ -2,11 +2,11 @@
 
 ``percentile()`` keeps a value->count map per group in one buffer, which grows
 with the number of distinct values - unbounded on a 100 TB feature column.
-Here an exact linear-interpolation quantile is computed from a distributed
-sort instead: a dense index over ``(group..., x)``, per-group start/count
-(one small aggregate), then the two neighbouring order statistics of every
-requested ``p`` are fetched by an equi-join on the index. Memory per task is
-bounded by the range partition; rows of one tied value share a partition.
+Here equal values are counted first, so a value that most rows share is one
+row afterwards; a running sum of the counts along ``(group..., x)`` gives every
+distinct value the range of sorted positions it covers, and the two neighbouring
+order statistics of every requested ``p`` are the values whose ranges hold them.
+Memory per task is bounded by the range partition of the distinct values.
 
 ``exact=False`` switches to the ``percentile_approx`` sketch (bounded memory,
 one pass, approximate).
@@ -14,13 +14,14 @@ one pass, approximate).
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import nan_to_null
-from .sequence import dense_index
+from ..functions.expr import lit_d, nan_to_null
+from .sequence import running_sum
 
 
 def quantiles(df: DataFrame, value, ps: Sequence[float], group: Sequence[str] = (),
@@ -38,19 +39,31 @@ def quantiles(df: DataFrame, value, ps: Sequence[float], group: Sequence[str] =
         agg = d.groupBy(*group).agg(F.percentile_approx("_x", p_arr, accuracy).alias("_q"))
         return agg.select(*group, F.posexplode("_q").alias("_i", "q")).select(
             *group, F.element_at(p_arr, F.col("_i") + 1).alias("p"), "q")
-    ix, _ = dense_index(d, group + ["_x"])
-    g = ix.groupBy(*group).agg(F.min("_idx").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    h = (F.col("_n") - 1).cast("double") * F.col("p")
-    t = (g.select(*group, "_s", "_n", F.explode(p_arr).alias("p"))
-         .withColumn("_lo", F.floor(h).cast("long")).withColumn("_hi", F.ceil(h).cast("long"))
-         .withColumn("_fr", h - F.floor(h)))
-    want = (t.select(*group, "p", "_fr", (F.col("_s") + F.col("_lo")).alias("_idx"), F.lit(0).alias("_role"))
-            .unionByName(t.select(*group, "p", "_fr", (F.col("_s") + F.col("_hi")).alias("_idx"),
-                                  F.lit(1).alias("_role"))))
-    picked = want.join(ix.select("_idx", "_x"), "_idx")
+    # one row per distinct value, its rows covering the positions [_before, _n_cum) of the sorted input
+    runs = running_sum(d.groupBy(*group, "_x").agg(F.count(F.lit(1)).alias("_n")), group + ["_x"], ["_n"])
+    runs = runs.withColumn("_before", F.col("_n_cum") - F.col("_n"))
+    if group:
+        # renamed keys and a null-safe match keep the rows whose group is null
+        g = runs.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)]).agg(
+            F.min("_before").alias("_s"), F.sum("_n").alias("_t"))
+        on = reduce(lambda u, v: u & v, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)])
+        runs = runs.join(g, on)
+    else:
+        total = runs.agg(F.sum("_n")).first()[0] or 0
+        runs = runs.withColumn("_s", lit_d(0.0)).withColumn("_t", F.lit(total))
+
+    def place(p):
+        h = (F.col("_t") - 1).cast("double") * p
+        lo, hi = F.col("_s") + F.floor(h), F.col("_s") + F.ceil(h)
+        return F.struct(p.alias("p"), (h - F.floor(h)).alias("_fr"),
+                        ((F.col("_before") <= lo) & (lo < F.col("_n_cum"))).alias("_is_lo"),
+                        ((F.col("_before") <= hi) & (hi < F.col("_n_cum"))).alias("_is_hi"))
+
+    picked = (runs.select(*group, "_x", F.explode(F.filter(F.transform(p_arr, place), lambda e: e["_is_lo"] | e["_is_hi"]))
+                          .alias("_e")).select(*group, "_x", "_e.*"))
     out = picked.groupBy(*group, "p").agg(
-        F.max(F.when(F.col("_role") == 0, F.col("_x"))).alias("_xl"),
-        F.max(F.when(F.col("_role") == 1, F.col("_x"))).alias("_xh"),
+        F.max(F.when(F.col("_is_lo"), F.col("_x"))).alias("_xl"),
+        F.max(F.when(F.col("_is_hi"), F.col("_x"))).alias("_xh"),
         F.first("_fr").alias("_fr"))
     return out.select(*group, "p", (F.col("_xl") + F.col("_fr") * (F.col("_xh") - F.col("_xl"))).alias("q"))
 

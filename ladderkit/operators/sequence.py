@@ -78,8 +78,7 @@ def dense_index(df: DataFrame, order: Sequence, idx: str = "_idx",
 
     Range-partition + sort within partitions, persist through a reliable
     checkpoint (so a lost executor cannot reshuffle rows between the count and
-    the use), count rows per partition (one row per partition to the driver; this
-    job also materialises the checkpoint),
+    the use), count rows per partition of the copy (one row per partition to the driver),
     and add the prefix offset with a broadcast join whose size is bounded by
     the partition count. Returns ``(frame, total_rows)``.
     """
@@ -89,10 +88,8 @@ def dense_index(df: DataFrame, order: Sequence, idx: str = "_idx",
     order = _cols(order)
     ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("_mid", F.monotonically_increasing_id()))
-    # Lazy reliable checkpoint: the count job below computes the partitions and Spark then writes
-    # them to the checkpoint folder; every later use reads the written copy. Offsets only need the
-    # per-partition row counts, which the range shuffle fixes, so they match the written copy.
-    ranged = ranged.checkpoint(eager=False)
+    # written at once, so that the count job and every later use read the copy and sort nothing
+    ranged = ranged.checkpoint()
     pid = F.shiftright(F.col("_mid"), _POS_BITS)
     counts = sorted((int(r["_p"]), int(r["n"])) for r in
                     ranged.groupBy(pid.alias("_p")).agg(F.count(F.lit(1)).alias("n")).collect())

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import c, lit_d, nz, safe_corr
 from .metrics import r2_col
 from .quantiles import quantile_values
-from .sequence import _cols, block_size, choose_strategy, dense_index, shift
+from .sequence import _cols, block_size, choose_strategy, dense_index, running_sum, shift
 
 
 # W6-W8 -------------------------------------------------------------------------
@@ -196,12 +196,13 @@ def autocorr(df: DataFrame, col: str, group, order, lags: Sequence[int]) -> Data
 def rank_avg(df: DataFrame, col: str, out: str = "rank_avg") -> DataFrame:
     """1-based average-tie rank (scipy ``rankdata``) without a single-task window.
 
-    A dense index gives each row a position; the first/last position of each
-    distinct value (a partial aggregate) gives the tie average; joined back on
-    the value (AQE splits a hot value on the big side).
+    Equal values are counted first; the running sum of the counts gives each distinct value
+    its positions and so the tie average; joined back on the value (AQE splits a hot value
+    on the big side).
     """
-    ix, _ = dense_index(df.select(col).filter(F.col(col).isNotNull()), [col])
-    ties = ix.groupBy(col).agg(((F.min("_idx") + F.max("_idx")) / 2.0 + 1.0).alias(out))
+    counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+    ties = running_sum(counts, [col], ["_n"]).select(
+        col, (F.col("_n_cum") - (F.col("_n") - 1) / lit_d(2.0)).alias(out))
     return df.join(ties, col, "left")
 
 

@@ -2,9 +2,13 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from ladderkit.operators.folds import group_kfold, greedy_runs, stratified_split
+from ladderkit.operators import quantiles as Q
+from ladderkit.operators import windows as W
 from ladderkit.operators.link import assemble_chains, link_tolerance
 
 
@@ -97,3 +101,41 @@ def test_scratch_folder_only_for_a_local_master():
 
     with pytest.raises(ValueError):
         session.ensure_checkpoint_dir(Session())
+
+
+def _tied(spark, n=4000):
+    rnd = random.Random(9)
+    rows = [(rnd.choice(["a", "a", "a", None, "b"]), 0.0 if rnd.random() < 0.9 else rnd.gauss(0, 1)) for _ in range(n)]
+    return spark.createDataFrame(rows + [("c", None), ("d", float("nan"))], "g string, x double"), rows
+
+
+def test_quantiles_where_most_rows_share_a_value(spark):
+    df, rows = _tied(spark)
+    ps = [0.0, 0.03, 0.25, 0.5, 0.951, 1.0]
+    assert np.allclose(Q.quantile_values(df, "x", ps), np.quantile([x for _, x in rows], ps), atol=1e-12)
+    got = {(r["g"], r["p"]): r["q"] for r in Q.quantiles(df, "x", ps, group=["g"]).collect()}
+    assert set(got) == {(g, p) for g in ("a", "b", None) for p in ps}  # groups without a number have no row
+    for g in ("a", "b", None):
+        assert np.allclose([got[g, p] for p in ps], np.quantile([x for k, x in rows if k == g], ps), atol=1e-12)
+    assert Q.quantile_values(df.filter("g = 'c'"), "x", [0.5]) == [None]
+
+
+def test_average_rank_where_most_rows_share_a_value(spark):
+    df, rows = _tied(spark)
+    got = W.rank_avg(df.filter("g in ('a', 'b') or g is null"), "x", "r").toPandas()
+    assert np.allclose(got["r"], pd.Series(got["x"]).rank().to_numpy())
+
+
+def test_tied_values_are_counted_before_they_are_sorted(spark, monkeypatch):
+    """The range sort sees one row a distinct value, so a value of most rows fills no partition."""
+    from ladderkit.operators import sequence
+    seen, inner = [], sequence.dense_index
+
+    def spy(d, *args, **kw):
+        seen.append(d.count())
+        return inner(d, *args, **kw)
+
+    monkeypatch.setattr(sequence, "dense_index", spy)
+    df, rows = _tied(spark)
+    Q.quantile_values(df, "x", [0.5])
+    assert seen == [len({x for _, x in rows})]
