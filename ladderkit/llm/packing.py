@@ -158,12 +158,10 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = WINDOW, end_id: i
         def lengths():
             nonlocal seen
             for b in batches:
-                for i in range(0, len(b), 128):
-                    part = b.iloc[i:i + 128]
-                    for key, got in zip(part["id"], encoder.encode(part["t"].tolist())):
-                        held[seen] = (key, got)
-                        yield seen, len(got) // 4
-                        seen += 1
+                for key, got in zip(b["id"], encoder.encode(b["t"].tolist())):
+                    held[seen] = (key, got)
+                    yield seen, len(got) // 4
+                    seen += 1
 
         for pieces in _groups(lengths(), capacity, GROUP):
             rows = []

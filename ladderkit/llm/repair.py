@@ -179,15 +179,13 @@ def encode_table(docs: DataFrame, tokenizer_path: str, end_id: int = 2, blanks:
         part = TaskContext.get().partitionId()
         keys, parts, size, shard = [], [], 0, 0
         for b in batches:
-            for i in range(0, len(b), 128):
-                some = b.iloc[i:i + 128]
-                for key, got in zip(some["id"], encoder.encode(some["t"].tolist())):
-                    keys.append(None if pd.isna(key) else int(key))
-                    parts.append(got)
-                    size += len(got) // 4
-                    if size >= shard_ids:
-                        yield row(part, shard, keys, parts)
-                        keys, parts, size, shard = [], [], 0, shard + 1
+            for key, got in zip(b["id"], encoder.encode(b["t"].tolist())):
+                keys.append(None if pd.isna(key) else int(key))
+                parts.append(got)
+                size += len(got) // 4
+                if size >= shard_ids:
+                    yield row(part, shard, keys, parts)
+                    keys, parts, size, shard = [], [], 0, shard + 1
         if parts:
             yield row(part, shard, keys, parts)
 

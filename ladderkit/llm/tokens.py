@@ -2,7 +2,8 @@
 
 Byte-pair encoders split a text into pre-tokens first and treat each alone. Where that split is
 known to fall before every blank that follows a non-blank, a text is cut there, equal chunks are
-encoded once, and the ids are joined: the same ids as for the whole text.
+encoded once, and the ids are joined: the same ids as for the whole text. New chunks are encoded
+many in one text, whose ids are parted again by the bytes that each id spells.
 """
 
 from __future__ import annotations
@@ -10,16 +11,23 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MEMO = 1_000_000    # chunks a worker remembers
 MEMO_CHARS = 48     # longer chunks are encoded each time
 JOINED = 512        # new chunks encoded at once
+BATCH_CHARS = 1 << 22   # characters whose chunks are looked up together
 
 _LEADING = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: Blanks, joiners and controls on which libraries may differ, besides the space and the line feed.
 _ODD = re.compile("[\\x00-\\x09\\x0b-\\x1f\\x7f-\\xa0\\xad\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u2064\\u3000\\ufeff]")
+_RUNS = ("  ", " \n", "\n ", "\n\n")
+_WORD_END = "</w>"
 _STATE: dict = {}
 
 
@@ -32,12 +40,11 @@ class Encoder:
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_str(config)
         self.library.encode_special_tokens = True   # their strings in a text are ordinary text
-        # a second copy that does know them: one of them parts chunks that are encoded together
-        self.parted = Tokenizer.from_str(config)
-        special = [(i, t.content) for i, t in self.parted.get_added_tokens_decoder().items()
-                   if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
-        self.part_id, self.part = special[-1] if special else (None, None)
-        self.special = [t.content for t in self.parted.get_added_tokens_decoder().values()]
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        #: bytes an id spells: byte-level vocabularies write each byte as one character
+        self.spells = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.spells[i] = len(token.removesuffix(_WORD_END))
         self.blanks = blanks
         self.end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         self.memo: dict[str, bytes] = {}
@@ -50,21 +57,17 @@ class Encoder:
             _STATE[key] = cls(config, blanks, end_id)
         return _STATE[key]
 
-    def _chunks(self, text: str) -> list[str]:
-        """Keys of the memo. In "leading" mode a key without a blank in front is the word after
-        one space; the first word of a text is marked by a zero character."""
+    def _keys(self, text: str) -> str | list[str]:
+        """Keys of the memo, as one string if they are its parts between single spaces. In
+        "leading" mode a key without a blank in front is the word after one space; the first word
+        of a text is marked by a zero character."""
         if self.blanks == "dropped":
-            return text.replace("\n", " ").split(" ")
+            return text.replace("\n", " ")
         if self.blanks != "leading" or _ODD.search(text):
             return ["\0" + text]
-        out = []
-        for k, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            if "" in words:   # runs of blanks: the general split
-                return ["\0" + c if c[0] not in " \n" else c for c in _LEADING.findall(text)]
-            words[0] = ("\n" if k else "\0") + words[0]
-            out += words
-        return out
+        if text == "" or text[0] in " \n" or text[-1] in " \n" or any(run in text for run in _RUNS):
+            return ["\0" + c if c[0] not in " \n" else c for c in _LEADING.findall(text)]
+        return "\0" + text.replace("\n", " \n")
 
     def _plain(self, key: str) -> str:
         """The piece of text that a key stands for."""
@@ -72,40 +75,86 @@ class Encoder:
             return key
         return key[1:] if key[0] == "\0" else " " + key
 
+    def _joins(self, key: str) -> bool:
+        """Whether the chunk can stand among others in one text without changing its ids or theirs."""
+        if len(key) > MEMO_CHARS or not key:
+            return False
+        if self.blanks == "dropped":
+            return not _ODD.search(key)
+        return key[0] not in "\0 \n" or (key[0] == "\n" and len(key) > 1 and key[1] not in " \n")
+
+    def _joined(self, keys: list[str]) -> dict[str, bytes] | None:
+        """Ids of chunks encoded as one text; None if its ids don't part where the chunks do."""
+        pieces = [self._plain(k) for k in keys]
+        text = (" " if self.blanks == "dropped" else "").join(pieces)
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        if self.blanks == "dropped" and self.library.normalizer is not None:
+            pieces = self.library.normalizer.normalize_str(text).split(" ")
+        if len(pieces) != len(keys):
+            return None
+        ends = np.cumsum([len(p.encode()) for p in pieces])
+        spelled = np.cumsum(self.spells[ids])
+        cut = np.searchsorted(spelled, ends)
+        if not len(ids) or spelled[-1] != ends[-1] or (spelled[cut] != ends).any():
+            return None
+        raw, stops = ids.tobytes(), (4 * (cut + 1)).tolist()
+        return {k: raw[a:b] for k, a, b in zip(keys, [0, *stops], stops)}
+
     def _new(self, keys: list[str]) -> dict[str, bytes]:
-        """Ids of chunks that are not in the memo, many in one call, parted by a special token."""
-        pieces = [self._plain(k) if k else "" for k in keys]
-        if self.part is None or self.blanks is None:
-            return {k: np.array(e.ids, "<u4").tobytes()
-                    for k, e in zip(keys, self.library.encode_batch_fast(pieces, add_special_tokens=False))}
-        odd = [i for i, p in enumerate(pieces) if len(p) > MEMO_CHARS or any(s in p for s in self.special) or not p]
-        got = {keys[i]: np.array(e.ids, "<u4").tobytes() for i, e in
-               zip(odd, self.library.encode_batch_fast([pieces[i] for i in odd], add_special_tokens=False))}
-        alone = set(odd)
-        rest = [i for i in range(len(keys)) if i not in alone]
-        for a in range(0, len(rest), JOINED):
-            some = rest[a:a + JOINED]
-            ids = np.array(self.parted.encode_batch_fast([self.part.join([pieces[i] for i in some])], add_special_tokens=False)[0].ids, "<u4")
-            cut = np.flatnonzero(ids == self.part_id).tolist()
-            raw = ids.tobytes()
-            got.update(zip([keys[i] for i in some], [raw[4 * x:4 * y] for x, y in
-                                                     zip([0] + [c + 1 for c in cut], cut + [len(ids)])]))
+        """Ids of chunks that are not in the memo."""
+        got: dict[str, bytes] = {}
+        together = [k for k in keys if self._joins(k)] if self.blanks else []
+        for a in range(0, len(together), JOINED):
+            got.update(self._joined(together[a:a + JOINED]) or {})
+        alone = [k for k in keys if k not in got]
+        made = self.library.encode_batch_fast([self._plain(k) if k else "" for k in alone], add_special_tokens=False)
+        got.update((k, np.array(e.ids, "<u4").tobytes()) for k, e in zip(alone, made))
         return got
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text, the end id last; null counts as empty."""
-        out = []
-        for i in range(0, len(texts), 128):
-            split = [self._chunks(t or "") for t in texts[i:i + 128]]
-            got = self._new(list(set().union(*split).difference(self.memo)))
-            if len(self.memo) + len(got) > MEMO:
-                known = {c: self.memo[c] for x in split for c in x if c in self.memo}
-                self.memo.clear()
-                self.memo.update(known)
-            memo = self.memo
-            memo.update(got)
-            out.extend(b"".join(map(memo.__getitem__, x)) + self.end for x in split)
-            for c in got:
-                if len(c) > MEMO_CHARS:
-                    del memo[c]
+        batch, chars = [], 0
+        for t in texts:
+            batch.append(t or "")
+            chars += len(batch[-1])
+            if chars >= BATCH_CHARS:
+                yield from self._batch(batch)
+                batch, chars = [], 0
+        if batch:
+            yield from self._batch(batch)
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        """Every different chunk is looked up once; its ids are copied to all its places."""
+        split = [self._keys(t) for t in texts]
+        order = sorted(range(len(split)), key=lambda i: isinstance(split[i], list))
+        plain = [split[i] for i in order if isinstance(split[i], str)]
+        listed = [split[i] for i in order[len(plain):]]
+        parts = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        coded = parts.flatten().dictionary_encode()
+        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        place = {k: len(keys) + i for i, k in enumerate(dict.fromkeys(chain.from_iterable(listed)))}
+        keys += place
+        code = np.concatenate([coded.indices.to_numpy(),
+                               np.fromiter((place[k] for k in chain.from_iterable(listed)), np.int64)])
+        chunks = np.concatenate([np.diff(parts.offsets.to_numpy()), [len(x) for x in listed]]).astype(np.int64)
+
+        memo = self.memo
+        found = list(map(memo.get, keys))
+        new = self._new(list({k for k, v in zip(keys, found) if v is None}))
+        found = [new[k] if v is None else v for k, v in zip(keys, found)]
+        memo.update((k, v) for k, v in new.items() if len(k) <= MEMO_CHARS)
+        if len(memo) > MEMO:   # the chunks seen first are the frequent ones: they stay
+            for k in list(memo)[MEMO // 2:]:
+                del memo[k]
+
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = np.cumsum(size) - size
+        n = size[code]
+        end = np.concatenate([[0], np.cumsum(n)])
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(start[code] - end[:-1], n) + np.arange(end[-1])]
+        raw = ids.tobytes()
+        stop = (4 * end[np.concatenate([[0], np.cumsum(chunks)])]).tolist()
+        out = [b""] * len(texts)
+        for i, a, b in zip(order, stop, stop[1:]):
+            out[i] = raw[a:b] + self.end
         return out
