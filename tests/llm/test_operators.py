@@ -284,11 +284,11 @@ def test_memo_gives_the_library_ids(some):
             assert np.frombuffer(got, "<u4").tolist() == B.token_ids(path, t)
 
 
-def test_small_memo_and_batches_give_the_library_ids(monkeypatch, docs):
+def test_small_memo_and_batches_give_the_library_ids(monkeypatch, texts):
     monkeypatch.setattr(tokens, "MEMO", 50)
     monkeypatch.setattr(tokens, "BATCH_CHARS", 500)
     monkeypatch.setattr(tokens, "JOINED", 7)
-    some = [*docs.text[:60], None, "", " ", "a <|endoftext|> b", "x\n\ny", "\nx y\n", "É ΣΑΣ ﬁ"]
+    some = [*list(texts.values())[:60], None, "", " ", "x\n\ny", "\nx y\n", "É ΣΑΣ ﬁ"]
     for path, blanks in ((BYTE, "leading"), (WORD, "dropped")):
         enc = tokens.Encoder(open(path, encoding="utf-8").read(), blanks, 2)
         for _ in range(2):
