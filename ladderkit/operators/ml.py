@@ -14,13 +14,12 @@ from __future__ import annotations
 from typing import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,37 +108,62 @@ def quantile_normal(df: DataFrame, col: str, id_col: str, out: str = "qnorm") ->
 
 
 # M4, M5, M8 (Gram) -------------------------------------------------------------
+def gram(df: DataFrame, cols: Sequence[str], mean: Sequence[float], fold: str | None = None, weight=None) -> dict:
+    """``{fold: (n, sums, X'X)}`` of ``cols`` about ``mean``, each row counted ``weight(x)`` times.
+
+    Arrow batches are multiplied to one block a fold and partition; the blocks are summed on the
+    shuffle by (fold, column), so the aggregates grow with the columns and not with their pairs.
+    Rows with a null in any column or without a fold are left out.
+    """
+    k = len(cols)
+    mean = np.array(mean, dtype=float)
+    names = [f"c{i}" for i in range(k)]
+    d = df.select((F.lit(0) if fold is None else F.col(fold)).alias("fold"),
+                  *[F.col(x).cast("double").alias(n) for x, n in zip(cols, names)]).dropna()
+
+    def blocks(batches):
+        acc: dict = {}
+        for b in batches:
+            x = b[names].to_numpy(np.float64) - mean
+            w = np.ones(len(x)) if weight is None else weight(x)
+            for f, at in b.groupby("fold").indices.items():
+                n, s, q = acc.get(f, (0.0, 0.0, 0.0))
+                xw = x[at] * w[at, None]
+                acc[f] = n + w[at].sum(), s + xw.sum(axis=0), q + xw.T @ x[at]
+        for f, (n, s, q) in acc.items():
+            out = pd.DataFrame(q, columns=[f"q{j}" for j in range(k)])
+            yield out.assign(fold=f, i=np.arange(k), n=n, s=s)
+
+    sums = ["n", "s", *[f"q{j}" for j in range(k)]]
+    schema = f"fold {d.schema['fold'].dataType.simpleString()}, i int, " + ", ".join(f"{x} double" for x in sums)
+    rows = d.mapInPandas(blocks, schema).groupBy("fold", "i").agg(*[F.sum(x).alias(x) for x in sums]).collect()
+    out: dict = {}
+    for r in rows:  # one row a fold and column
+        n, s, q = out.setdefault(r["fold"], (float(r["n"]), np.zeros(k), np.zeros((k, k))))
+        s[r["i"]] = r["s"]
+        q[r["i"]] = r[4:]
+    return out
+
+
+def _means(df: DataFrame, cols: Sequence[str]) -> list[float]:
+    """Means of the columns over the rows that are complete in all of them."""
+    d = df.select(*[F.col(x).cast("double").alias(f"c{i}") for i, x in enumerate(cols)]).dropna()
+    return [v or 0.0 for v in d.agg(*[F.avg(x) for x in d.columns]).first()]
+
+
 class FoldGram:
-    """Per-fold moments of ``[x..., y]`` about the overall means, from one grouped aggregate.
+    """Per-fold moments of ``[x..., y]`` about the overall means (see :func:`gram`).
 
-    A first pass takes the means as literals, so columns whose mean dwarfs their spread lose no
-    digits. The last ``like_y`` features are variants of ``y`` and are shifted by its mean.
+    A first pass takes the means, so columns whose mean dwarfs their spread lose no digits. The
+    last ``like_y`` features are variants of ``y`` and are shifted by its mean.
     """
 
-    def __init__(self, df: DataFrame, feats: Sequence[str], y: str, fold: str, like_y: int = 0):
+    def __init__(self, df: DataFrame, feats: Sequence[str], y: str, fold: str | None, like_y: int = 0):
         self.feats = list(feats)
         cols = self.feats + [y]
-        k = len(cols)
-        ok = F.lit(True)
-        for x in cols:
-            ok = ok & F.col(x).isNotNull()
-        d = df.filter(ok)
-        mean = [v or 0.0 for v in d.agg(*[F.avg(F.col(x).cast("double")) for x in cols]).first()]
-        mean[k - 1 - like_y:] = [mean[-1]] * (like_y + 1)
-        xs = [F.col(x).cast("double") - lit_d(v) for x, v in zip(cols, mean)]
-        aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)]
-        for i in range(k):
-            for j in range(i, k):
-                aggs.append(F.sum(xs[i] * xs[j]).alias(f"q{i}_{j}"))
-        rows = d.groupBy(fold).agg(*aggs).collect()  # one row per fold
-        self.folds = {}
-        for r in rows:
-            s = np.array([r[f"s{i}"] for i in range(k)], dtype=float)
-            Q = np.zeros((k, k))
-            for i in range(k):
-                for j in range(i, k):
-                    Q[i, j] = Q[j, i] = r[f"q{i}_{j}"]
-            self.folds[r[fold]] = (float(r["n"]), s, Q)
+        self.mean = _means(df, cols)
+        self.mean[len(cols) - 1 - like_y:] = [self.mean[-1]] * (like_y + 1)
+        self.folds = gram(df, cols, self.mean, fold)
 
     def total(self, exclude=None):
         n, s, Q = 0.0, 0.0, 0.0
@@ -163,7 +187,8 @@ def _ridge_solve(n, s, Q, alpha):
     return m, sd, ybar, beta
 
 
-def _fold_r2(fold_mom, m, sd, ybar, beta):
+def _fold_errors(fold_mom, m, sd, ybar, beta) -> tuple[float, float]:
+    """Squared error of a fold under a fit, and the fold's squared spread about its own mean."""
     nk, sk, Qk = fold_mom
     k = len(m)
     sz = (sk[:k] - nk * m) / sd
@@ -171,13 +196,28 @@ def _fold_r2(fold_mom, m, sd, ybar, beta):
     szy = (Qk[:k, k] - m * sk[k]) / sd
     yy, sy = Qk[k, k], sk[k]
     sse = yy - 2 * ybar * sy + nk * ybar ** 2 - 2 * beta @ (szy - ybar * sz) + beta @ Szz @ beta
-    sst = yy - sy * sy / nk
-    return float(1.0 - sse / sst) if sst > 0 else 0.0
+    return float(sse), float(yy - sy * sy / nk)
+
+
+def _spread(g: FoldGram) -> float:
+    """Squared spread of ``y`` (the last column) about its overall mean."""
+    n, s, Q = g.total()
+    return float(Q[-1, -1] - s[-1] ** 2 / n) if n else 0.0
+
+
+def _grid_frame(spark: SparkSession, errors: list[tuple[float, int, float, float]], spread: float) -> DataFrame:
+    """(alpha, fold, r2, pooled_r2): R^2 per fold, and over all out-of-fold rows of the alpha."""
+    pooled: dict[float, float] = {}
+    for a, _, sse, _ in errors:
+        pooled[a] = pooled.get(a, 0.0) + sse
+    return spark.createDataFrame([(a, f, 1.0 - sse / sst if sst > 0 else 0.0, 1.0 - pooled[a] / spread if spread > 0 else 0.0)
+                                  for a, f, sse, sst in errors], "alpha double, fold int, r2 double, pooled_r2 double")
 
 
 def ridge_grid(spark: SparkSession, df: DataFrame, feats: Sequence[str], y: str, fold: str,
                alphas: Sequence[float], winsor: tuple[float, float] | None = None) -> DataFrame:
-    """M4: ridge alpha grid under (grouped) CV - R^2 on each held-out fold, from one aggregate.
+    """M4: ridge alpha grid under (grouped) CV - R^2 on each held-out fold and pooled over all of
+    them (about the overall mean), from one aggregate.
 
     ``winsor=(lo, hi)``: the *training* target of every fold is clipped to that training fold's
     ``lo``/``hi`` percentiles (computed inside the fold - clipping before the split would leak),
@@ -191,8 +231,8 @@ def ridge_grid(spark: SparkSession, df: DataFrame, feats: Sequence[str], y: str,
         for a in alphas:
             for f in sorted(g.folds):
                 m, sd, ybar, beta = _ridge_solve(*g.total(exclude=f), a)
-                rows.append((float(a), int(f), _fold_r2(g.folds[f], m, sd, ybar, beta)))
-        return spark.createDataFrame(rows, "alpha double, fold int, r2 double")
+                rows.append((float(a), int(f), *_fold_errors(g.folds[f], m, sd, ybar, beta)))
+        return _grid_frame(spark, rows, _spread(g))
     from .quantiles import quantiles
     ks = sorted(r[0] for r in df.select(fold).distinct().collect())  # the k fold labels
     # every row joins the training side of each fold it does not belong to
@@ -212,41 +252,33 @@ def ridge_grid(spark: SparkSession, df: DataFrame, feats: Sequence[str], y: str,
             m, sd, ybar, beta = _ridge_solve(n, s_[idx], Q[np.ix_(idx, idx)], a)
             nk, sk, Qk = g.folds[f]
             ev = list(range(nf)) + [len(sk) - 1]  # evaluate on the original target
-            rows.append((float(a), int(f), _fold_r2((nk, sk[ev], Qk[np.ix_(ev, ev)]), m, sd, ybar, beta)))
-    return spark.createDataFrame(rows, "alpha double, fold int, r2 double")
+            rows.append((float(a), int(f), *_fold_errors((nk, sk[ev], Qk[np.ix_(ev, ev)]), m, sd, ybar, beta)))
+    return _grid_frame(spark, rows, _spread(g))
 
 
 def fair_irls(df: DataFrame, feats: Sequence[str], y: str, c_fair: float = 1.0, iters: int = 6) -> np.ndarray:
     """M8 (Fair loss): iteratively reweighted least squares, one weighted Gram aggregate per iteration.
 
-    The sums are taken about the column means, so large means lose no digits.
-    Returns ``[intercept, beta...]`` on the raw features.
+    The sums are taken about the column means, so large means lose no digits; rows with a null in
+    any column are left out. Returns ``[intercept, beta...]`` on the raw features.
     """
-    cols = list(feats)
-    k = len(cols) + 1
-    beta = np.zeros(k)
-    mean = [v or 0.0 for v in df.agg(*[F.avg(F.col(x).cast("double")) for x in [*cols, y]]).first()]
-    xs = [lit_d(1.0)] + [F.col(x).cast("double") - lit_d(v) for x, v in zip(cols, mean)]
-    target = F.col(y).cast("double") - lit_d(mean[-1])
+    cols = [*feats, y]
+    mean = np.array(_means(df, cols))
+    beta = np.zeros(len(cols))
     for _ in range(iters):
-        pred = sum((xs[i] * lit_d(beta[i]) for i in range(k)), lit_d(0.0))
-        w = lit_d(1.0) / (lit_d(1.0) + F.abs(target - pred) / lit_d(c_fair))
-        aggs = [F.sum(w * xs[i] * xs[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)]
-        aggs += [F.sum(w * xs[i] * target).alias(f"b{i}") for i in range(k)]
-        r = df.agg(*aggs).first()
-        A = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                A[i, j] = A[j, i] = r[f"a{i}_{j}"]
-        bvec = np.array([r[f"b{i}"] for i in range(k)])
-        beta = np.linalg.solve(A + 1e-9 * np.eye(k), bvec)
+        def weight(x, b=beta):
+            return 1.0 / (1.0 + np.abs(x[:, -1] - b[0] - x[:, :-1] @ b[1:]) / c_fair)
+        (n, s, Q), = gram(df, cols, mean, weight=weight).values()
+        A = np.block([[np.array([[n]]), s[None, :-1]], [s[:-1, None], Q[:-1, :-1]]])
+        beta = np.linalg.solve(A + 1e-9 * np.eye(len(A)), np.concatenate([[s[-1]], Q[:-1, -1]]))
     return np.concatenate([[beta[0] + mean[-1] - beta[1:] @ mean[:-1]], beta[1:]])
 
 
 # M7, M9-M12, A24 ---------------------------------------------------------------
-def gbt(seed: int = 42, max_iter: int = 8, depth: int = 3, loss: str = "squared", validation: str | None = None):
+def gbt(seed: int = 42, max_iter: int = 8, depth: int = 3, loss: str = "squared", validation: str | None = None,
+        step: float = 0.1):
     extra = {"validationIndicatorCol": validation, "validationTol": 0.01} if validation else {}
-    return GBTRegressor(labelCol="label", maxIter=max_iter, maxDepth=depth, stepSize=0.1, seed=seed, lossType=loss,
+    return GBTRegressor(labelCol="label", maxIter=max_iter, maxDepth=depth, stepSize=step, seed=seed, lossType=loss,
                         subsamplingRate=0.8, **extra)
 
 
@@ -255,17 +287,19 @@ def forest(seed: int = 42, trees: int = 12, depth: int = 4):
 
 
 def cv_oof(df: DataFrame, feats: Sequence[str], y: str, fold: str, make_est, id_col: str = "id",
-           early_stopping: bool = False, test: DataFrame | None = None):
+           early_stopping: bool = False, test: DataFrame | None = None, only: Sequence[int] | None = None):
     """M7: fit on ``fold != k``, predict ``fold == k`` for every fold; union = out-of-fold predictions.
 
     Returns ``(oof, importances, test_preds)``: OOF ``(id, fold, y, pred)``, per-fold feature
     importances ``(fold, feature, gain)`` and, if ``test`` is given, per-fold test predictions.
-    ``early_stopping`` (M10) marks a hash-chosen 10 % of the training fold as validation.
+    ``early_stopping`` (M10) marks a hash-chosen 10 % of the training fold as validation. With
+    ``only`` just those folds are held out and scored, each by a model of all the other folds.
     """
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     data = df.withColumn("label", F.col(y).cast("double")).persist()  # read once for all k fits
     folds = sorted(r[0] for r in data.select(fold).distinct().collect())  # the k fold labels
+    folds = [k for k in folds if only is None or k in only]
     oof, imps, tests = None, [], None
     spark = df.sparkSession
     for k in folds:
@@ -306,54 +340,100 @@ def seed_average(preds: Sequence[DataFrame], id_col: str = "id") -> DataFrame:
 
 
 # M14 ---------------------------------------------------------------------------
-def drift_rank(train: DataFrame, test: DataFrame, feats: Sequence[str], seed: int = 42) -> DataFrame:
-    """Adversarial validation - classify train vs test, rank features by importance, report AUC."""
+def drift_rank(train: DataFrame, test: DataFrame, feats: Sequence[str], id_col: str = "id", batch: int = 100,
+               drop: int = 85, folds: int = 3, seed: int = 42) -> DataFrame:
+    """Adversarial validation - classify train vs test from each batch of features under folds
+    by the hash of the id; ``auc`` is over the held-out scores of the batch, ``importance`` the mean
+    over its folds. Features are ranked by importance over all batches, the first ``drop`` are to go.
+    """
+    from ..functions.expr import hash01
     from .metrics import auc
-    u = (train.select(*feats).withColumn("label", F.lit(0.0))
-         .unionByName(test.select(*feats).withColumn("label", F.lit(1.0))))
-    clf = GBTClassifier(labelCol="label", maxIter=8, maxDepth=3, seed=seed)
-    m = make_pipeline(feats, clf, standardize=False).fit(u)
-    imp = m.stages[-1].featureImportances.toArray()
-    scored = m.transform(u).select("label", vector_to_array("probability")[1].alias("score"))
-    a = auc(scored, "label", "score").first()["auc"]
-    rows = sorted(zip(feats, imp), key=lambda t: (-t[1], t[0]))
+    rows = (train.select(id_col, *feats).withColumn("label", F.lit(0.0))
+            .unionByName(test.select(id_col, *feats).withColumn("label", F.lit(1.0))))
+    u = rows.withColumn("_fold", F.floor(hash01(id_col, seed) * folds).cast("int")).checkpoint()
+    found = []
+    for i in range(0, len(feats), batch):
+        some = list(feats[i:i + batch])
+        scored, gain = None, np.zeros(len(some))
+        for k in range(folds):
+            clf = GBTClassifier(labelCol="label", maxIter=8, maxDepth=3, seed=seed)
+            m = make_pipeline(some, clf, standardize=False).fit(u.filter(F.col("_fold") != k))
+            gain += m.stages[-1].featureImportances.toArray() / folds
+            p = m.transform(u.filter(F.col("_fold") == k)).select("label", vector_to_array("probability")[1].alias("score"))
+            scored = p if scored is None else scored.unionByName(p)
+        a = float(auc(scored, "label", "score").first()["auc"])
+        found += [(f, i // batch, float(v), a) for f, v in zip(some, gain)]
+    found.sort(key=lambda t: (-t[2], t[0]))
     return train.sparkSession.createDataFrame(
-        [(f, float(v), i + 1, float(a)) for i, (f, v) in enumerate(rows)], "feature string, importance double, rank int, auc double")
+        [(f, n, v, r, a, r <= drop) for r, (f, n, v, a) in enumerate(found, 1)],
+        "feature string, batch int, importance double, rank int, auc double, dropped boolean")
 
 
 # M15, M16, M22 -----------------------------------------------------------------
-def stack_fit(oof_wide: DataFrame, base_cols: Sequence[str], y: str, reg: float = 0.01, scale: float = 1.15):
-    """Linear meta-model on out-of-fold base predictions (ridge), output scaled."""
-    lr = LinearRegression(labelCol="label", regParam=reg, elasticNetParam=0.0, solver="normal")
-    data = oof_wide.withColumn("label", F.col(y).cast("double"))
-    m = make_pipeline(base_cols, lr, standardize=False).fit(data)
-    return m, m.transform(data).withColumn("stacked", F.col("prediction") * lit_d(scale))
-
-
-def residual_fit(df: DataFrame, feats: Sequence[str], y: str, base: Column, make_est) -> DataFrame:
-    """Learn ``y - base`` and add the base margin back."""
-    data = df.withColumn("_base", base).withColumn("label", (F.col(y) - F.col("_base")).cast("double"))
-    m = make_pipeline(feats, make_est(), standardize=False).fit(data)
-    return m.transform(data).withColumn("pred", F.col("_base") + F.col("prediction"))
+def evidence_ridge(n: float, s: np.ndarray, Q: np.ndarray, iters: int = 300, tol: float = 1e-10,
+                   prior: float = 1e-6) -> tuple[np.ndarray, float, float, float]:
+    """(coefficients, intercept, noise precision, weight precision) of a Gaussian linear model whose
+    two precisions maximise the evidence by fixed-point updates, from the moments of ``[x..., y]``."""
+    k = len(s) - 1
+    C = Q - np.outer(s, s) / n
+    S, b, yy = C[:k, :k], C[:k, k], C[k, k]
+    val, vec = np.linalg.eigh(S)
+    val = np.clip(val, 0.0, None)
+    turned = vec.T @ b
+    alpha, lam = (n / yy if yy > 0 else 1.0), 1.0
+    coef = np.zeros(k)
+    for _ in range(iters):
+        last, coef = coef, vec @ (turned / (val + lam / alpha))
+        used = float(np.sum(alpha * val / (lam + alpha * val)))
+        sse = max(float(yy - 2 * coef @ b + coef @ S @ coef), 0.0)
+        lam = (used + 2 * prior) / (float(coef @ coef) + 2 * prior)
+        alpha = (n - used + 2 * prior) / (sse + 2 * prior)
+        if np.abs(coef - last).sum() < tol:
+            break
+    return coef, float((s[k] - coef @ s[:k]) / n), float(alpha), float(lam)
+
+
+def stack_fit(oof_wide: DataFrame, base_cols: Sequence[str], y: str, scale: float = 1.15):
+    """Linear meta-model on out-of-fold base predictions, its noise and weight precisions by
+    evidence updates from one Gram aggregate; returns ``(terms, rows with stacked)``, output scaled."""
+    g = FoldGram(oof_wide, base_cols, y, None)
+    coef, intercept, alpha, lam = evidence_ridge(*g.total())
+    mean = np.array(g.mean)
+    intercept += float(mean[-1] - coef @ mean[:-1])
+    out = lit_d(intercept)
+    for x, v in zip(base_cols, coef):
+        out = out + F.col(x).cast("double") * lit_d(float(v))
+    terms = {"intercept": intercept, "alpha": alpha, "lambda": lam, **dict(zip(base_cols, coef.tolist()))}
+    return terms, oof_wide.withColumn("stacked", out * lit_d(scale))
+
+
+def residual_fit(df: DataFrame, feats: Sequence[str], y: str, base: Column, make_est, fold: str, id_col: str = "id",
+                 test: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Learn ``y - base`` under folds and add the base margin back: out-of-fold rows
+    ``(id, y, base, pred)`` and, with ``test``, its rows' predictions averaged over the folds' models."""
+    data = df.withColumn("_base", base).withColumn("_res", (F.col(y) - F.col("_base")).cast("double"))
+    oof, _, tests = cv_oof(data, feats, "_res", fold, make_est, id_col, test=test)
+    rows = (oof.select(id_col, "pred").join(data.select(id_col, y, F.col("_base").alias("base")), id_col)
+            .withColumn("pred", F.col("base") + F.col("pred")))
+    if tests is not None:
+        tests = (fold_mean_score(tests, id_col).join(test.select(id_col, base.alias("base")), id_col)
+                 .withColumn("pred", F.col("base") + F.col("pred")))
+    return rows, tests
 
 
 # M18, M19, M23 -----------------------------------------------------------------
-def tune(df: DataFrame, feats: Sequence[str], y: str, n_trials: int = 4, seed: int = 42, parallelism: int = 2):
-    """Bounded random search (seeded) with a train/validation split."""
+def tune(df: DataFrame, feats: Sequence[str], y: str, fold: str, n_trials: int = 4, seed: int = 42,
+         only: Sequence[int] | None = None) -> DataFrame:
+    """Bounded random search - exactly ``n_trials`` seeded draws of depth and step, each scored by
+    the R^2 of its out-of-fold predictions (of the folds ``only``, if given)."""
+    from .metrics import regression_metrics
     rng = np.random.default_rng(seed)
-    est = gbt(seed)
-    grid = ParamGridBuilder()
-    depths = sorted({int(d) for d in rng.integers(2, 5, size=n_trials)})
-    steps = sorted({float(round(s, 3)) for s in rng.uniform(0.05, 0.3, size=max(1, n_trials // 2))})
-    grid = grid.addGrid(est.maxDepth, depths).addGrid(est.stepSize, steps).build()
-    ev = RegressionEvaluator(labelCol="label", metricName="r2")
-    tvs = TrainValidationSplit(estimator=make_pipeline(feats, est, standardize=False), estimatorParamMaps=grid,
-                               evaluator=ev, trainRatio=0.8, seed=seed, parallelism=parallelism)
-    model = tvs.fit(df.withColumn("label", F.col(y).cast("double")))
-    out = []
-    for pm, metric in zip(grid, model.validationMetrics):
-        out.append((int(pm[est.maxDepth]), float(pm[est.stepSize]), float(metric)))
-    return df.sparkSession.createDataFrame(out, "max_depth int, step_size double, r2 double")
+    rows = []
+    for t in range(n_trials):
+        depth, step = int(rng.integers(2, 6)), float(round(rng.uniform(0.05, 0.3), 3))
+        oof, _, _ = cv_oof(df, feats, y, fold, lambda: gbt(seed, depth=depth, step=step), only=only)
+        rows.append((t, depth, step, float(regression_metrics(oof, y, "pred").first()["r2"])))
+    return df.sparkSession.createDataFrame(rows, "trial int, max_depth int, step_size double, r2 double")
 
 
 def refit_score(train: DataFrame, test: DataFrame, feats: Sequence[str], y: str, reg: float = 0.1,

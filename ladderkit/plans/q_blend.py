@@ -54,12 +54,12 @@ def blend_simplex(spark, sf):
 
 
 # B4 --------------------------------------------------------------------------
-@register("scale_grid", with_views("v_preds", extra=["g AS (SELECT 0.5 + range * 0.05 AS scale FROM range(0, 30))"]) + f"""
+@register("scale_grid", with_views("v_preds", extra=["g AS (SELECT 0.5 + range * 0.05 AS scale FROM range(0, 50))"]) + f"""
 SELECT ROUND(scale, 6) AS scale, {S.rf(r2sql('scale * p1'))} AS r2 FROM v_preds CROSS JOIN g GROUP BY scale""")
 def scale_grid(spark, sf):
-    """Scale grid 0.5..1.95 on a prediction (closed-form optimum available via best_scale)."""
+    """Scale grid 0.5..2.95 on a prediction (closed-form optimum available via best_scale)."""
     mom = Bl.Moments(v_preds(spark, sf), "y", PRED_COLS)
-    g = Bl.scale_grid(spark, mom, [1.0, 0.0, 0.0])
+    g = Bl.scale_grid(spark, mom, [1.0, 0.0, 0.0], hi=3.0)
     return g.select(rnd("scale").alias("scale"), rndf("r2").alias("r2"))
 
 

@@ -25,10 +25,12 @@ from .registry import register
 
 FEATS = [f"f{i}" for i in range(1, 9)]
 BASE_FEATS = ["f1", "f2", "f8"]
+ALPHAS = [10.0 ** e for e in range(-2, 7)]
 
 
 def _wide_folds(spark, sf):
-    return Fo.group_kfold(v_wide(spark, sf), "grp", 5, method="greedy")
+    """Features and group folds, written once: every fit of a query reads the copy."""
+    return Fo.group_kfold(v_wide(spark, sf), "grp", 5, method="greedy").checkpoint()
 
 
 def _round_metrics(df, keep):
@@ -105,14 +107,14 @@ def quantile_normal(spark, sf):
 @register("ridge_grid")
 def ridge_grid(spark, sf):
     """M4: ridge alpha grid under group 5-fold CV from one grouped Gram aggregate."""
-    return _round_metrics(M.ridge_grid(spark, _wide_folds(spark, sf), FEATS, "target", "fold", [0.01, 1.0, 100.0, 10000.0]),
+    return _round_metrics(M.ridge_grid(spark, _wide_folds(spark, sf), FEATS, "target", "fold", ALPHAS),
                           ["alpha", "fold"])
 
 
 @register("ridge_grid_winsor")
 def ridge_grid_winsor(spark, sf):
     """M4 (winsorised target): training targets clipped at 1/99 % of each training fold, R^2 on the original."""
-    g = M.ridge_grid(spark, _wide_folds(spark, sf), FEATS, "target", "fold", [1.0, 100.0], winsor=(0.01, 0.99))
+    g = M.ridge_grid(spark, _wide_folds(spark, sf), FEATS, "target", "fold", [1.0, 100.0, 10000.0], winsor=(0.01, 0.99))
     return _round_metrics(g, ["alpha", "fold"])
 
 
@@ -130,16 +132,17 @@ def ablation(spark, sf):
 
 @register("elastic_grid")
 def elastic_grid(spark, sf):
-    """M5: elastic net (l1 ratio 0.5) alpha grid, per held-out fold R^2."""
-    d = _wide_folds(spark, sf).withColumn("label", F.col("target"))
+    """M5: elastic net (l1 ratio 0.5) alpha grid, R^2 per held-out fold and, with a null fold, pooled."""
+    d = _wide_folds(spark, sf)
     rows = None
-    for a in (0.01, 0.1):
-        for k in range(5):
-            lr = LinearRegression(labelCol="label", regParam=a, elasticNetParam=0.5, maxIter=50)
-            m = M.make_pipeline(FEATS, lr).fit(d.filter(F.col("fold") != k))
-            r = regression_metrics(m.transform(d.filter(F.col("fold") == k)), "label", "prediction").select(
-                F.lit(a).alias("alpha"), F.lit(k).alias("fold"), rndf("r2").alias("r2"))
-            rows = r if rows is None else rows.unionByName(r)
+    for a in (0.0001, 0.001, 0.01):
+        oof, _, _ = M.cv_oof(d, FEATS, "target", "fold",
+                             lambda: LinearRegression(labelCol="label", regParam=a, elasticNetParam=0.5, maxIter=50))
+        per = regression_metrics(oof, "target", "pred", ["fold"]).select(F.lit(a).alias("alpha"), "fold", rndf("r2").alias("r2"))
+        all_ = regression_metrics(oof, "target", "pred").select(F.lit(a).alias("alpha"), F.lit(None).cast("int").alias("fold"),
+                                                                rndf("r2").alias("r2"))
+        both = per.unionByName(all_)
+        rows = both if rows is None else rows.unionByName(both)
     return rows
 
 
@@ -168,17 +171,18 @@ def top_importance(spark, sf):
 
 @register("robust_fit")
 def robust_fit(spark, sf):
-    """M8: Huber (linear), absolute-loss boosting and Fair-loss IRLS; in-sample R^2 of each."""
-    d = v_wide(spark, sf).withColumn("label", F.col("target"))
-    hub = M.make_pipeline(FEATS, LinearRegression(labelCol="label", loss="huber", regParam=0.0, maxIter=50)).fit(d)
-    gab = M.make_pipeline(FEATS, M.gbt(loss="absolute"), standardize=False).fit(d)
-    beta = M.fair_irls(d, FEATS, "target")
+    """M8: Huber (linear), absolute-loss boosting and Fair-loss IRLS; R^2 of each on a held-out group fold."""
+    d = _wide_folds(spark, sf).withColumn("label", F.col("target"))
+    tr, te = d.filter("fold <> 0"), d.filter("fold = 0")
+    hub = M.make_pipeline(FEATS, LinearRegression(labelCol="label", loss="huber", regParam=0.0, maxIter=50)).fit(tr)
+    gab = M.make_pipeline(FEATS, M.gbt(loss="absolute"), standardize=False).fit(tr)
+    beta = M.fair_irls(tr, FEATS, "target")
     fair = lit_d(beta[0])
     for i, f in enumerate(FEATS):
         fair = fair + F.col(f) * lit_d(beta[i + 1])
-    parts = [regression_metrics(hub.transform(d), "label", "prediction").withColumn("model", F.lit("huber")),
-             regression_metrics(gab.transform(d), "label", "prediction").withColumn("model", F.lit("gbt_absolute")),
-             regression_metrics(d.withColumn("prediction", fair), "label", "prediction").withColumn("model", F.lit("fair_irls"))]
+    parts = [regression_metrics(hub.transform(te), "label", "prediction").withColumn("model", F.lit("huber")),
+             regression_metrics(gab.transform(te), "label", "prediction").withColumn("model", F.lit("gbt_absolute")),
+             regression_metrics(te.withColumn("prediction", fair), "label", "prediction").withColumn("model", F.lit("fair_irls"))]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return _round_metrics(out, ["model", "n"])
 
@@ -186,7 +190,7 @@ def robust_fit(spark, sf):
 @register("seed_average")
 def seed_average(spark, sf):
     """Three seeds of a subsampled forest averaged by ID."""
-    d = v_wide(spark, sf).withColumn("label", F.col("target"))
+    d = v_wide(spark, sf).withColumn("label", F.col("target")).checkpoint()
     preds = []
     for seed in (1, 2, 3):
         m = M.make_pipeline(FEATS, M.forest(seed=seed, trees=6), standardize=False).fit(d)
@@ -207,7 +211,7 @@ def fold_mean(spark, sf):
 
 @register("stack_fit")
 def stack_fit(spark, sf):
-    """OOF boosted-tree and ridge predictions + oscillators into a ridge meta-model, x1.15."""
+    """OOF boosted-tree and ridge predictions + oscillators into an evidence-tuned meta-model, x1.15."""
     d = _wide_folds(spark, sf)
     gb, _, _ = M.cv_oof(d, FEATS, "target", "fold", lambda: M.gbt())
     lr, _, _ = M.cv_oof(d, FEATS, "target", "fold",
@@ -221,27 +225,26 @@ def stack_fit(spark, sf):
 
 @register("residual_fit")
 def residual_fit(spark, sf):
-    """Learn the residual over a base margin (1.5 * f1) and add it back."""
-    d = v_wide(spark, sf)
-    out = M.residual_fit(d, FEATS, "target", F.col("f1") * 1.5, lambda: M.gbt())
-    base = regression_metrics(out, "target", "_base").withColumn("model", F.lit("base"))
+    """Learn the residual over a base margin (1.5 * f1) under group folds and add it back."""
+    out, _ = M.residual_fit(_wide_folds(spark, sf), FEATS, "target", F.col("f1") * 1.5, lambda: M.gbt(), "fold")
+    base = regression_metrics(out, "target", "base").withColumn("model", F.lit("base"))
     res = regression_metrics(out, "target", "pred").withColumn("model", F.lit("base_plus_residual"))
     return _round_metrics(base.unionByName(res), ["model", "n"])
 
 
 @register("tune")
 def tune(spark, sf):
-    """Bounded, seeded random search with a train/validation split."""
-    return _round_metrics(M.tune(v_wide(spark, sf), FEATS, "target"), ["max_depth", "step_size"])
+    """Bounded, seeded random search; each trial is scored on a held-out group fold."""
+    return _round_metrics(M.tune(_wide_folds(spark, sf), FEATS, "target", "fold", only=[0]), ["trial", "max_depth"])
 
 
 @register("compare_params")
 def compare_params(spark, sf):
-    """Capacity comparison - boosted trees per parameter set on two folds."""
-    d = _wide_folds(spark, sf).filter(F.col("fold") < 2)
+    """Capacity comparison - boosted trees per parameter set, two folds scored, each by a model of the others."""
+    d = _wide_folds(spark, sf)
     out = None
-    for depth, it in ((2, 5), (3, 8), (4, 8)):
-        oof, _, _ = M.cv_oof(d, FEATS, "target", "fold", lambda: M.gbt(max_iter=it, depth=depth))
+    for depth, it in ((2, 5), (3, 8), (4, 8), (5, 8), (3, 16)):
+        oof, _, _ = M.cv_oof(d, FEATS, "target", "fold", lambda: M.gbt(max_iter=it, depth=depth), only=[0, 1])
         r = regression_metrics(oof, "target", "pred").select(F.lit(depth).alias("max_depth"), F.lit(it).alias("max_iter"),
                                                              rndf("r2").alias("r2"))
         out = r if out is None else out.unionByName(r)
@@ -262,19 +265,19 @@ def blend_fold(spark, sf):
 
 @register("drift_rank")
 def drift_rank(spark, sf):
-    """Adversarial train-vs-test classifier, features ranked by importance, with its AUC."""
+    """Train-vs-test classifiers per batch of features with their held-out AUC; the top features are to go."""
     t = v_ticks(spark, sf)
     feats = ["price", "s2", "price_l1", "s2_l1"]
-    t = t.select("is_test", *[clean(f, null=0.0).alias(f) for f in feats])
-    r = M.drift_rank(t.filter("is_test = 0"), t.filter("is_test = 1"), feats)
-    return r.select("feature", "rank", rndf("importance").alias("importance"), rndf("auc").alias("auc"))
+    t = t.select("id", "is_test", *[clean(f, null=0.0).alias(f) for f in feats])
+    r = M.drift_rank(t.filter("is_test = 0"), t.filter("is_test = 1"), feats, batch=2, drop=1)
+    return r.select("feature", "batch", "rank", "dropped", rndf("importance").alias("importance"), rndf("auc").alias("auc"))
 
 
 @register("forward_regression")
 def forward_regression(spark, sf):
-    """M6: ridge of the target on the next 5 price ratios (W3); coefficients."""
-    fb = forward_block(v_ticks(spark, sf), "price", ["grp"], ["t", "id"], 5).filter("is_test = 0")
-    cols = [f"fwd_{i}" for i in range(1, 6)]
+    """M6: ridge of the target on the next 19 price ratios (W3); coefficients."""
+    fb = forward_block(v_ticks(spark, sf), "price", ["grp"], ["t", "id"], 19).filter("is_test = 0")
+    cols = [f"fwd_{i}" for i in range(1, 20)]
     ok = F.col("target").isNotNull()
     for c_ in cols:
         ok = ok & F.col(c_).isNotNull()

@@ -32,7 +32,7 @@ def shift_q(spark, sf):
 
 
 # W2 --------------------------------------------------------------------------
-_HS = list(range(1, 13))
+_HS = list(range(1, 25))
 
 
 def _sweep_sql():
@@ -50,7 +50,7 @@ SELECT CAST(h AS INTEGER) AS h, CAST(COUNT(*) AS BIGINT) AS n,
        {S.rf(S.corr('ret', 'y'))} AS corr_return
 FROM sw WHERE is_test = 0 AND y IS NOT NULL AND diff IS NOT NULL GROUP BY h""")
 def horizon_sweep(spark, sf):
-    """Forward-return sweep over horizons 1..12 in one window pass, scored on train rows."""
+    """Forward-return sweep over horizons 1..24 in one window pass, scored on train rows."""
     t = v_ticks(spark, sf)
     sw = W.horizon_sweep(t, "price", "target", ["grp"], ["t", "id"], _HS, scale=100.0, mask=F.col("is_test") == 0)
     return sw.select("h", "n", *[rndf(x).alias(x) for x in ["r2_return", "r2_diff", "corr_return"]])
@@ -69,12 +69,12 @@ def best_horizon(spark, sf):
 
 # W3 --------------------------------------------------------------------------
 @register("forward_block", with_views("v_ticks") + "SELECT id, " + ", ".join(
-    f"{S.rf(S.nz(f'lead(price, {i}) OVER w - price', 'ABS(price) + 1e-8'))} AS fwd_{i}" for i in range(1, 6))
+    f"{S.rf(S.nz(f'lead(price, {i}) OVER w - price', 'ABS(price) + 1e-8'))} AS fwd_{i}" for i in range(1, 20))
     + " FROM v_ticks WINDOW w AS (PARTITION BY grp ORDER BY t, id)")
 def forward_block(spark, sf):
-    """The next 5 prices as ratios to the current one."""
-    fb = W.forward_block(v_ticks(spark, sf), "price", ["grp"], ["t", "id"], 5)
-    return fb.select("id", *[rndf(f"fwd_{i}").alias(f"fwd_{i}") for i in range(1, 6)])
+    """The next 19 prices as ratios to the current one."""
+    fb = W.forward_block(v_ticks(spark, sf), "price", ["grp"], ["t", "id"], 19)
+    return fb.select("id", *[rndf(f"fwd_{i}").alias(f"fwd_{i}") for i in range(1, 20)])
 
 
 # W4 --------------------------------------------------------------------------
@@ -327,7 +327,7 @@ def _sweep_global_sql(hs):
     return "swg AS (" + "\nUNION ALL\n".join(parts) + ")"
 
 
-@register("horizon_sweep_global", with_views("v_ticks", extra=[_sweep_global_sql(range(1, 10))]) + f"""
+@register("horizon_sweep_global", with_views("v_ticks", extra=[_sweep_global_sql(range(1, 20))]) + f"""
 SELECT CAST(h AS INTEGER) AS h, CAST(COUNT(*) AS BIGINT) AS n,
        {S.rf('1.0 - SUM(pow(y - ret, 2)) / (var_pop(y) * COUNT(*))')} AS r2_return,
        {S.rf('1.0 - SUM(pow(y - diff, 2)) / (var_pop(y) * COUNT(*))')} AS r2_diff,
@@ -336,5 +336,5 @@ FROM swg WHERE is_test = 0 AND y IS NOT NULL AND diff IS NOT NULL GROUP BY h""")
 def horizon_sweep_global(spark, sf):
     """W2 (ungrouped): horizons 1..9 along the global ID order - the blocked dense-index plan, never one task."""
     t = v_ticks(spark, sf)
-    sw = W.horizon_sweep(t, "price", "target", None, ["id"], range(1, 10), scale=100.0, mask=F.col("is_test") == 0)
+    sw = W.horizon_sweep(t, "price", "target", None, ["id"], range(1, 20), scale=100.0, mask=F.col("is_test") == 0)
     return sw.select("h", "n", *[rndf(x).alias(x) for x in ["r2_return", "r2_diff", "corr_return"]])
