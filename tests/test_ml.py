@@ -106,3 +106,97 @@ def test_ols_standardized_matches_numpy(spark):
     b = np.linalg.solve(Z.T @ Z + 0.01 * np.eye(3), Z.T @ y)  # no intercept, y not centred
     want = 1 - np.sum((y - Z @ b) ** 2) / np.sum((y - y.mean()) ** 2)
     assert np.allclose(beta, b, rtol=1e-9) and abs(r2 - want) < 1e-9
+
+
+def test_gram_of_a_wide_frame_equals_numpy(spark):
+    rng = np.random.default_rng(8)
+    k, n = 120, 400
+    X = rng.normal(size=(n, k)) + rng.normal(size=k) * 1e4
+    names = [f"x{i}" for i in range(k)]
+    pdf = pd.DataFrame(X, columns=names).assign(fold=np.arange(n) % 3)
+    mean = X.mean(axis=0)
+    got = M.gram(spark.createDataFrame(pdf).repartition(5), names, mean, "fold")
+    assert sorted(got) == [0, 1, 2]
+    for f, (m, s, Q) in got.items():
+        Z = X[pdf.fold == f] - mean
+        assert m == len(Z) and np.allclose(s, Z.sum(axis=0), atol=1e-8) and np.allclose(Q, Z.T @ Z, rtol=1e-9, atol=1e-8)
+
+
+def test_gram_leaves_out_incomplete_rows(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 0), (3.0, None, 0), (5.0, 7.0, None), (2.0, 1.0, 1)], "a double, b double, fold int")
+    got = M.gram(df, ["a", "b"], [0.0, 0.0], "fold")
+    assert {f: m for f, (m, _, _) in got.items()} == {0: 1.0, 1: 1.0}
+    assert got[0][2].tolist() == [[1.0, 2.0], [2.0, 4.0]]
+    assert M.gram(df.limit(0), ["a", "b"], [0.0, 0.0], "fold") == {}
+
+
+def test_pooled_r2_of_the_ridge_grid(spark):
+    df, pdf = _data(spark)
+    got = M.ridge_grid(spark, df, ["x1", "x2", "x3"], "y", "fold", [0.5]).toPandas()
+    sse = 0.0
+    for k in range(4):
+        yt = pdf[pdf.fold == k].y
+        sse += (1 - got[got.fold == k].r2.iloc[0]) * np.sum((yt - yt.mean()) ** 2)
+    assert np.allclose(got.pooled_r2, 1 - sse / np.sum((pdf.y - pdf.y.mean()) ** 2), atol=1e-9)
+
+
+def test_evidence_updates_recover_both_precisions(spark):
+    rng = np.random.default_rng(9)
+    n, k = 4000, 30
+    X, w = rng.normal(size=(n, k)) + 50.0, rng.normal(size=k) * 0.5
+    y = X @ w + 7.0 + rng.normal(size=n) * 2.0
+    D = np.column_stack([X, y])
+    mean = D.mean(axis=0)
+    Z = D - mean
+    coef, at_zero, alpha, lam = M.evidence_ridge(float(n), Z.sum(axis=0), Z.T @ Z)
+    assert abs(alpha - 0.25) < 0.02 and 1.5 < lam < 10.0
+    # a fixed point: the ridge of that penalty
+    S, b = Z[:, :k].T @ Z[:, :k], Z[:, :k].T @ Z[:, k]
+    assert np.allclose(coef, np.linalg.solve(S + lam / alpha * np.eye(k), b), atol=1e-6) and abs(at_zero) < 1e-6
+    assert np.abs(coef - w).max() < 0.2
+
+
+def test_only_some_folds_are_scored_by_models_of_all_others(spark):
+    df, pdf = _data(spark)
+    from pyspark.ml.regression import LinearRegression
+    make = lambda: LinearRegression(labelCol="label", solver="normal")
+    oof, _, _ = M.cv_oof(df, ["x1", "x2", "x3"], "y", "fold", make, only=[0, 2])
+    got = oof.toPandas().set_index("id").pred
+    assert sorted(got.index) == pdf.id[pdf.fold.isin([0, 2])].tolist()
+    for k in (0, 2):
+        tr, te = pdf[pdf.fold != k], pdf[pdf.fold == k]
+        A = np.column_stack([np.ones(len(tr)), tr[["x1", "x2", "x3"]]])
+        beta = np.linalg.lstsq(A, tr.y, rcond=None)[0]
+        want = np.column_stack([np.ones(len(te)), te[["x1", "x2", "x3"]]]) @ beta
+        assert np.allclose(got[te.id], want, atol=1e-6)
+
+
+def test_residual_fit_adds_the_margin_back(spark):
+    df, pdf = _data(spark)
+    from pyspark.ml.regression import LinearRegression
+    make = lambda: LinearRegression(labelCol="label", solver="normal")
+    feats = ["x1", "x2", "x3"]
+    rows, tests = M.residual_fit(df, feats, "y", F.col("x1") * 1.5, make, "fold", test=df)
+    plain, _, _ = M.cv_oof(df, feats, "y", "fold", make)
+    # a linear learner with an intercept absorbs a linear margin
+    both = rows.toPandas().set_index("id").pred, plain.toPandas().set_index("id").pred
+    assert len(both[0]) == len(pdf) and np.allclose(both[0].sort_index(), both[1].sort_index(), atol=1e-6)
+    t = tests.toPandas()
+    assert len(t) == len(pdf) and set(t.n_models) == {4}
+
+
+def test_tune_makes_exactly_the_trials_asked_for(spark):
+    df, _ = _data(spark, n=200)
+    got = [M.tune(df, ["x1", "x3"], "y", "fold", n_trials=3, only=[0]).collect() for _ in range(2)]
+    assert [r.trial for r in got[0]] == [0, 1, 2] and got[0] == got[1]
+
+
+def test_drift_auc_is_held_out(spark):
+    rng = np.random.default_rng(10)
+    pdf = pd.DataFrame({"id": np.arange(600), "same": rng.normal(size=600), "noise": rng.normal(size=600),
+                        "moved": rng.normal(size=600) + (np.arange(600) >= 300) * 3.0})
+    df = spark.createDataFrame(pdf)
+    got = M.drift_rank(df.filter("id < 300"), df.filter("id >= 300"), ["same", "noise", "moved"], batch=2, drop=1).toPandas()
+    auc = got.drop_duplicates("batch").set_index("batch").auc
+    assert 0.4 < auc[0] < 0.6 and auc[1] > 0.95   # in-sample scores of noise would be far above a half
+    assert got.feature[got["rank"] == 1].item() == "moved" and got.dropped.sum() == 1
