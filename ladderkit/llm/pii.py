@@ -2,12 +2,14 @@
 
 Base spans are the leftmost non-overlapping matches of each kind that pass its check. The values
 found are the protected entities. Corpus co-occurrence then estimates how strongly a term near a
-value reveals it: with N documents, the information of a value is log(N / df(value)), and what a
-term tells of it is the pointwise mutual information log(N co / (df(value) df(term))). A term
-that tells at least ``SHARE`` of the value's information, with ``SUPPORT`` documents to show it,
-exceeds the disclosure threshold and becomes a span of kind ``term`` wherever it stands in the
-context of the value: generalised to its stem where the stem stays below the threshold, else
-removed. All of it runs as DataFrame operations.
+value reveals it: with N documents and p = df(value) / N, the information of a value is log(1 / p),
+and what a term tells of it is the smoothed pointwise mutual information log(q / p), where
+q = (co + PRIOR p) / (df(term) + PRIOR) is the chance of the value where the term stands, drawn
+towards p as by ``PRIOR`` documents of no news. Smoothing weighs scarce evidence without a least
+count, so values of one document have terms too. A term that tells at least ``SHARE`` of the
+value's information exceeds the disclosure threshold and becomes a span of kind ``term`` wherever
+it stands in the context of the value: generalised to its stem where the stem stays below the
+threshold, else removed. All of it runs as DataFrame operations.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from .common import stash
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 CONTEXT = 64       # code points on either side of a value
-SUPPORT = 3
+PRIOR = 0.5        # documents
 SHARE = 0.9
 STEM = 4
 _WORD = r"\p{L}{3,}"
@@ -138,6 +140,12 @@ def _stem(term: Column) -> Column:
     return F.concat(F.left(term, F.lit(STEM)), F.lit("*"))
 
 
+def _share(co: Column, df: Column, p: Column) -> Column:
+    """The share of a value's information that a term tells."""
+    q = (co + PRIOR * p) / (df + PRIOR)
+    return F.log(q / p) / -F.log(p)
+
+
 def disclosing_terms(docs: DataFrame, spans: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """(ent, term, co, share, generalise): the terms that exceed the threshold for a value.
 
@@ -150,15 +158,13 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, terms: DataFrame, text:
           .groupBy("w").agg(F.count("*").alias("df")))
     pairs = F.array_distinct(F.flatten(F.transform("terms", lambda x: F.array(
         F.struct(x["ent"].alias("ent"), x["term"].alias("term")), F.struct(x["ent"].alias("ent"), _stem(x["term"]).alias("term"))))))
-    co = (terms.select(F.explode(pairs).alias("p")).groupBy("p.ent", "p.term").agg(F.count("*").alias("co"))
-          .filter(F.col("co") >= SUPPORT))
+    co = terms.select(F.explode(pairs).alias("p")).groupBy("p.ent", "p.term").agg(F.count("*").alias("co"))
     ents = (spans.select(F.explode(F.array_distinct(F.transform("spans", _entity))).alias("ent"))
             .groupBy("ent").agg(F.count("*").alias("ent_df")))
     total = docs.agg(F.count("*").alias("n")).scalar()
     scored = (co.withColumn("w", F.xxhash64("term")).join(df, "w").join(ents, "ent")
-              .withColumn("info", F.log(total / F.col("ent_df")))
-              .withColumn("share", F.when(F.col("info") > 0,
-                                          F.log(total * F.col("co") / (F.col("ent_df") * F.col("df"))) / F.col("info"))))
+              .withColumn("p", F.col("ent_df") / total)
+              .withColumn("share", F.when(F.col("p") < 1, _share(F.col("co"), F.col("df"), F.col("p")))))
     over = scored.filter(F.col("share") >= SHARE).select("ent", "term", "co", "share")
     stems = over.filter(F.col("term").endswith("*")).select("ent", F.col("term").alias("stem"), F.lit(False).alias("open"))
     return (over.filter(~F.col("term").endswith("*")).withColumn("stem", _stem(F.col("term")))

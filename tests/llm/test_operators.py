@@ -120,6 +120,19 @@ def test_pii_disclosing_terms_are_found_and_sanitised(spark):
     assert "zorblatt" not in clean[0] and "[EMAIL]" in clean[0] and "reach" in clean[0] and clean[100] == rows[4][1]
 
 
+def test_pii_values_of_one_document_have_terms(spark):
+    rows = [(0, "reach zorblatt at boss@corp.example about plans"), (1, "reach a desk at desk@corp.example about plans")]
+    rows += [(100 + i, f"plans about the desk and reach far {i}") for i in range(200)]
+    got = {r["doc_id"]: r for r in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got[0]["spans"].endswith(",term:6:14") and got[0]["n_term"] == 1 and got[1]["n_term"] == 0
+
+
+def test_pii_terms_occur_on_the_given_tables(spark):
+    got = run(spark, "op2_pii_disclosure")
+    assert got.n_term.sum() > 0
+    assert (got.spans.str.count("term:") == got.n_term).all()
+
+
 # 3 ------------------------------------------------------------------------------
 
 def test_line_dedup(spark, texts):
