@@ -1,15 +1,16 @@
 """Personal data: fixed kinds found by pattern, and terms that give a protected value away.
 
 Base spans are the leftmost non-overlapping matches of each kind that pass its check. The values
-found are the protected entities. Corpus co-occurrence then estimates how strongly a term near a
-value reveals it: with N documents and p = df(value) / N, the information of a value is log(1 / p),
-and what a term tells of it is the smoothed pointwise mutual information log(q / p), where
-q = (co + PRIOR p) / (df(term) + PRIOR) is the chance of the value where the term stands, drawn
-towards p as by ``PRIOR`` documents of no news. Smoothing weighs scarce evidence without a least
-count, so values of one document have terms too. A term that tells at least ``SHARE`` of the
-value's information exceeds the disclosure threshold and becomes a span of kind ``term`` wherever
-it stands in the context of the value: generalised to its stem where the stem stays below the
-threshold, else removed. All of it runs as DataFrame operations.
+found are the protected entities. Corpus co-occurrence then estimates how strongly a term reveals
+a value, both counted over whole documents: with N documents and p = df(value) / N, the
+information of a value is log(1 / p), and what a term tells of it is the smoothed pointwise mutual
+information log(q / p), where q = (co + PRIOR p) / (df(term) + PRIOR) is the chance of the value
+where the term stands, drawn towards p as by ``PRIOR`` documents of no news. Smoothing weighs
+scarce evidence without a least count, so values of one document have terms too. A term that tells
+at least ``SHARE`` of the value's information exceeds the disclosure threshold and becomes a span
+of kind ``term`` wherever it stands outside base spans, in documents with the value and in all
+others: generalised to its stem where the stem stays below the threshold, else removed. Terms are
+compared by 64 bits of their hash. All of it runs as DataFrame operations.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from pyspark.sql import functions as F
 from .common import stash
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-CONTEXT = 64       # code points on either side of a value
 PRIOR = 0.5        # documents
 SHARE = 0.9
 STEM = 4
+TABLE_BITS = 1 << 23   # of the disclosing terms; false passes only cost a row
 _WORD = r"\p{L}{3,}"
 
 # The four patterns of the contract. Repetitions are possessive where nothing can be given back,
@@ -38,7 +39,7 @@ _PATTERN = {
 }
 _MAYBE = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-_SPAN = "array<struct<s:int,e:int,value:string,left:string,right:string,cutl:boolean,cutr:boolean>>"
+_SPAN = "array<struct<s:int,e:int,value:string>>"
 
 
 def _luhn(digits: Column) -> Column:
@@ -66,22 +67,18 @@ def _valid(kind: str, value: Column) -> Column:
     return F.when(n.between(13, 19), _luhn(digits)).otherwise(F.lit(False))
 
 
-def _matches(text: Column, pattern: str, valid=None) -> Column:
-    """Every match that is ``valid``, with its place in code points and up to CONTEXT code points
-    of the text between it and its neighbours."""
+def _matches(text: Column, pattern: str, valid) -> Column:
+    """Every match that is ``valid``, with its place in code points."""
     gaps = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     # one more gap than matches: the last zipped entry has no match
-    parts = F.arrays_zip(hits.alias("h"), gaps.alias("a"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("b"))
+    parts = F.arrays_zip(hits.alias("h"), gaps.alias("a"))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["a"])
         e = s + F.length(x["h"])
-        span = F.struct(s.alias("s"), e.alias("e"), x["h"].alias("value"),
-                        F.right(x["a"], F.lit(CONTEXT)).alias("left"), F.left(x["b"], F.lit(CONTEXT)).alias("right"),
-                        (F.length(x["a"]) > CONTEXT).alias("cutl"), (F.length(x["b"]) > CONTEXT).alias("cutr"))
-        ok = F.lit(True) if valid is None else valid(x["h"])
-        return F.struct(e.alias("at"), F.when(ok, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        span = F.struct(s.alias("s"), e.alias("e"), x["h"].alias("value"))
+        return F.struct(e.alias("at"), F.when(valid(x["h"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
     return F.aggregate(F.filter(parts, lambda x: x["h"].isNotNull()), start, step, lambda acc: acc["out"])
@@ -90,17 +87,21 @@ def _matches(text: Column, pattern: str, valid=None) -> Column:
 def _kind_spans(text: Column, k: int) -> Column:
     spans = _matches(text, _PATTERN[KINDS[k]], lambda value: _valid(KINDS[k], value))
     return F.transform(spans, lambda x: F.struct(
-        F.lit(k).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["value"].alias("value"), x["left"].alias("left"),
-        x["right"].alias("right"), x["cutl"].alias("cutl"), x["cutr"].alias("cutr")))
+        F.lit(k).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["value"].alias("value")))
 
 
 def _of_kind(k: int) -> Column:
     return F.filter("spans", lambda x: x["kind"] == k)
 
 
+def _words(text: Column) -> Column:
+    """The distinct words of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower))
+
+
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, h1, h2, spans): h1 and h2 hash the text (null as empty), spans are structs of
-    kind, s, e, value and context, in the order of kind and start."""
+    """(doc_id, h1, h2, spans, words): h1 and h2 hash the text (null as empty), spans are structs of
+    kind, s, e and value, in the order of kind and start, words the distinct words of a text with spans."""
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), t.alias("t"), F.xxhash64(t).alias("h1"),
                        F.xxhash64(t, F.lit(1)).alias("h2"))
@@ -110,7 +111,8 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
         rows = rows.withColumn(f"s{k}", F.when(maybe, _kind_spans(F.col("t"), k)))
         found.append(f"s{k}")
     empty = F.array().cast("array<struct<kind:int," + _SPAN[13:])
-    return rows.select("doc_id", "h1", "h2", F.concat(*[F.coalesce(F.col(c), empty) for c in found]).alias("spans"))
+    rows = rows.withColumn("spans", F.concat(*[F.coalesce(F.col(c), empty) for c in found]))
+    return rows.select("doc_id", "h1", "h2", "spans", F.when(F.size("spans") > 0, _words(F.col("t"))).alias("words"))
 
 
 def _entity(x: Column) -> Column:
@@ -119,23 +121,6 @@ def _entity(x: Column) -> Column:
     return F.xxhash64(x["kind"], plain)
 
 
-def _context_terms(spans: DataFrame) -> DataFrame:
-    """(h1, h2, doc_id, terms): every word in the context of a value, outside all base spans, with
-    the value's identity; words that the context cuts are left out."""
-
-    def words(x: Column, side: str) -> Column:
-        ctx = x[side]
-        at = x["s"] - F.length(ctx) if side == "left" else x["e"]
-        whole = (lambda w: ~(x["cutl"] & (w["s"] == 0))) if side == "left" else \
-            (lambda w: ~(x["cutr"] & (w["e"] == F.length(ctx))))
-        return F.transform(F.filter(_matches(ctx, _WORD), whole), lambda w: F.struct(
-            _entity(x).alias("ent"), F.lower(w["value"]).alias("term"), (at + w["s"]).alias("s"), (at + w["e"]).alias("e")))
-
-    near = F.flatten(F.transform("spans", lambda x: F.concat(words(x, "left"), words(x, "right"))))
-    clear = F.filter(near, lambda w: ~F.exists("spans", lambda x: (x["s"] < w["e"]) & (w["s"] < x["e"])))
-    return spans.filter(F.size("spans") > 0).select("doc_id", "h1", "h2", clear.alias("terms"))
-
-
 def _stem(term: Column) -> Column:
     return F.concat(F.left(term, F.lit(STEM)), F.lit("*"))
 
@@ -146,30 +131,78 @@ def _share(co: Column, df: Column, p: Column) -> Column:
     return F.log(q / p) / -F.log(p)
 
 
-def disclosing_terms(docs: DataFrame, spans: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """(ent, term, co, share, generalise): the terms that exceed the threshold for a value.
+def _pairs(spans: DataFrame) -> DataFrame:
+    """(id, n, w, s, co): how many documents hold a word w and a class of values, and n, how many
+    hold the class; s is the word's stem, null where w is itself a stem.
+
+    Equal texts are looked at once, with their number. Values that stand in the same texts tell the
+    same and are one class, so a long list of values does not meet each word of its text.
+    """
+    ents = F.array_distinct(F.transform("spans", _entity))
+    texts = (spans.filter(F.size("spans") > 0).select("h1", "h2", F.struct(ents.alias("ents"), "words").alias("one"))
+             .groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.any_value("one").alias("one")))
+    held = texts.select("h1", "h2", "copies", F.explode("one.ents").alias("ent"))
+    classes = (held.groupBy("ent").agg(F.sum("copies").alias("n"), F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2"))
+               .select("ent", F.struct(F.xxhash64("x1", "x2", "n").alias("id"), "n").alias("class")))
+    dealt = held.join(classes, "ent").groupBy("h1", "h2").agg(F.collect_set("class").alias("classes"))
+    words = F.concat(
+        F.transform("one.words", lambda w: F.struct(F.xxhash64(w).alias("w"), F.xxhash64(_stem(w)).alias("s"))),
+        F.transform(F.array_distinct(F.transform("one.words", _stem)),
+                    lambda w: F.struct(F.xxhash64(w).alias("w"), F.lit(None).cast("long").alias("s")))).cast("array<struct<w:long,s:long>>")
+    return (texts.join(dealt, ["h1", "h2"]).select("copies", F.explode("classes").alias("c"), words.alias("words"))
+            .select("c.*", "copies", F.explode("words").alias("x")).groupBy("id", "n", "x.w", "x.s")
+            .agg(F.sum("copies").alias("co")))
+
+
+def disclosing_terms(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
+    """(w, generalise): the hashes of the terms that exceed the threshold for a value.
 
     Document frequencies count every document and word of the corpus; a document adds one row a
     distinct word, summed up before the shuffle.
     """
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(_WORD), F.lit(0)))
+    words = _words(F.col(text))
     both = F.concat(words, F.array_distinct(F.transform(words, _stem)))
     df = (docs.select(F.explode(both).alias("w")).select(F.xxhash64("w").alias("w"))
           .groupBy("w").agg(F.count("*").alias("df")))
-    pairs = F.array_distinct(F.flatten(F.transform("terms", lambda x: F.array(
-        F.struct(x["ent"].alias("ent"), x["term"].alias("term")), F.struct(x["ent"].alias("ent"), _stem(x["term"]).alias("term"))))))
-    co = terms.select(F.explode(pairs).alias("p")).groupBy("p.ent", "p.term").agg(F.count("*").alias("co"))
-    ents = (spans.select(F.explode(F.array_distinct(F.transform("spans", _entity))).alias("ent"))
-            .groupBy("ent").agg(F.count("*").alias("ent_df")))
     total = docs.agg(F.count("*").alias("n")).scalar()
-    scored = (co.withColumn("w", F.xxhash64("term")).join(df, "w").join(ents, "ent")
-              .withColumn("p", F.col("ent_df") / total)
+    scored = (_pairs(spans).join(df, "w").withColumn("p", F.col("n") / total)
               .withColumn("share", F.when(F.col("p") < 1, _share(F.col("co"), F.col("df"), F.col("p")))))
-    over = scored.filter(F.col("share") >= SHARE).select("ent", "term", "co", "share")
-    stems = over.filter(F.col("term").endswith("*")).select("ent", F.col("term").alias("stem"), F.lit(False).alias("open"))
-    return (over.filter(~F.col("term").endswith("*")).withColumn("stem", _stem(F.col("term")))
-            .join(stems, ["ent", "stem"], "left")
-            .select("ent", "term", "co", "share", F.coalesce("open", F.lit(True)).alias("generalise")))
+    over = stash(scored.filter(F.col("share") >= SHARE).select("id", "w", "s"), "over")
+    stems = over.filter(F.col("s").isNull()).select("id", F.col("w").alias("s"), F.lit(False).alias("open"))
+    return (over.filter(F.col("s").isNotNull()).join(stems, ["id", "s"], "left")
+            .groupBy("w").agg(F.min(F.coalesce("open", F.lit(True))).alias("generalise")))
+
+
+def _bit(w: Column) -> Column:
+    return w.bitwiseAND(F.lit(TABLE_BITS - 1))
+
+
+def _table(terms: DataFrame) -> DataFrame:
+    """One row, ``bits``: a bit table of the terms' hashes, as numbers of 64 bits."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))
+    some = (terms.select(_bit(F.col("w")).alias("bit")).select(F.shiftright("bit", 6).alias("id"), one.alias("one"))
+            .groupBy("id").agg(F.bit_or("one").alias("v")))
+    full = (terms.sparkSession.range(TABLE_BITS >> 6).join(some, "id", "left")
+            .select(F.struct("id", F.coalesce("v", F.lit(0).cast("long")).alias("v")).alias("x")))
+    return full.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["v"]).alias("bits"))
+
+
+def _marks(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
+    """(h1, h2, terms): every occurrence of a term in the whole of each distinct text."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(t.alias("t"), F.xxhash64(t).alias("h1"), F.xxhash64(t, F.lit(1)).alias("h2"),
+                       _table(terms).scalar().alias("bits"))
+
+    def maybe(word: Column) -> Column:
+        bit = _bit(F.xxhash64(F.lower(word)))
+        row = F.element_at(F.col("bits"), F.shiftright(bit, 6).cast("int") + 1)
+        return F.getbit(row, bit.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    found = rows.select("h1", "h2", F.transform(_matches(F.col("t"), _WORD, maybe), lambda x: F.struct(
+        x["s"].alias("s"), x["e"].alias("e"), F.xxhash64(F.lower(x["value"])).alias("w"))).alias("terms"))
+    return (found.filter(F.size("terms") > 0).groupBy("h1", "h2").agg(F.any_value("terms").alias("terms"))
+            .select("h1", "h2", F.explode("terms").alias("x")).select("h1", "h2", "x.*").join(terms, "w")
+            .groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("s", "e", "generalise"))).alias("terms")))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -180,14 +213,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     spans; extra columns are ignored.
     """
     spans = stash(base_spans(docs, id_col, text), "spans")
-    terms = stash(_context_terms(spans), "terms")
-    over = stash(disclosing_terms(docs, spans, terms, text), "over")
-    hits = (terms.select("h1", "h2", F.explode("terms").alias("x")).select("h1", "h2", "x.*").distinct()
-            .join(over, ["ent", "term"]).groupBy("h1", "h2", "s", "e").agg(F.min("generalise").alias("generalise"))
-            .groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("s", "e", "generalise"))).alias("terms")))
+    terms = stash(disclosing_terms(docs, spans, text), "terms")
+    hits = _marks(docs, terms, text)
+    clear = F.filter("terms", lambda w: ~F.exists("spans", lambda x: (x["s"] < w["e"]) & (w["s"] < x["e"])))
     none = F.array().cast("array<struct<s:int,e:int,generalise:boolean>>")
-    return (spans.join(hits, ["h1", "h2"], "left")
-            .select("doc_id", "h1", "h2", "spans", F.coalesce("terms", none).alias("terms")))
+    return (spans.drop("words").join(hits, ["h1", "h2"], "left")
+            .select("doc_id", "h1", "h2", "spans", F.coalesce(clear, none).alias("terms")))
 
 
 def _listed(spans: Column) -> Column:

@@ -1,7 +1,10 @@
 """Corpus operators against brute force, on the smallest tables and on hard rows."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -127,10 +130,45 @@ def test_pii_values_of_one_document_have_terms(spark):
     assert got[0]["spans"].endswith(",term:6:14") and got[0]["n_term"] == 1 and got[1]["n_term"] == 0
 
 
-def test_pii_terms_occur_on_the_given_tables(spark):
+def test_pii_terms_are_counted_and_marked_over_whole_texts(spark):
+    far = "nothing of note " * 20
+    rows = [(i, f"Hopkinson, 42 elm street, card 4111 1111 1111 1111 {far}signed HOPKINSON {i}") for i in range(4)]
+    rows += [(9, "hopkinson of elm street, card lost")]
+    rows += [(100 + i, f"{far}signed elm street card {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.digest(pii.find(df)).collect()}
+    at = rows[0][1].index("HOPKINSON")
+    assert got[0][1:] == ["term:0:9", f"term:{at}:{at + 9}"] and got[9] == ["term:0:9"] and got[100] == [""]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert all("hopkinson" not in t.lower() for t in clean.values())
+
+
+def test_pii_terms_occur_on_the_given_tables(spark, texts):
     got = run(spark, "op2_pii_disclosure")
     assert got.n_term.sum() > 0
     assert (got.spans.str.count("term:") == got.n_term).all()
+    want = disclosing(texts)
+    assert {r.doc_id: [x for x in r.spans.split(",") if x.startswith("term:")] for r in got.itertuples()} == want
+
+
+def disclosing(texts):
+    """{id: term spans} by plain counts over whole documents."""
+    words = {i: [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]{3,}", t or "")] for i, t in texts.items()}
+    base = {i: B.base_spans(t) for i, t in texts.items()}
+    held, df = defaultdict(set), Counter(w for ws in words.values() for w in {w for _, _, w in ws})
+    for i, spans in base.items():
+        for kind, s, e in spans:
+            value = texts[i][s:e]
+            held[kind, re.sub("[^0-9]", "", value) if kind in ("card", "phone") else value.lower()].add(i)
+    over = set()
+    for ids in held.values():
+        p = len(ids) / len(texts)
+        for w, co in Counter(w for i in ids for w in {w for _, _, w in words[i]}).items():
+            q = (co + pii.PRIOR * p) / (df[w] + pii.PRIOR)
+            if math.log(q / p) >= pii.SHARE * math.log(1 / p):
+                over.add(w)
+    return {i: [f"term:{s}:{e}" for s, e, w in ws if w in over and not any(a < e and s < b for _, a, b in base[i])]
+            for i, ws in words.items()}
 
 
 # 3 ------------------------------------------------------------------------------
