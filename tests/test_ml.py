@@ -2,9 +2,12 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
 from ladderkit.operators import ml as M
+from tests.conftest import SF001
 
 
 def _data(spark, n=600, seed=2):
@@ -191,6 +194,19 @@ def test_tune_makes_exactly_the_trials_asked_for(spark):
     assert [r.trial for r in got[0]] == [0, 1, 2] and got[0] == got[1]
 
 
+def test_tune_query_scores_the_rows_of_every_fold(spark, monkeypatch):
+    whole, scored = M.cv_oof, []
+
+    def quick(df, feats, y, fold, make_est, **kw):
+        out = whole(df, feats, y, fold, lambda: LinearRegression(labelCol="label", solver="normal"), **kw)
+        scored.append((out[0].count(), df.count()))
+        return out
+
+    monkeypatch.setattr(M, "cv_oof", quick)
+    assert len(E.queries()["tune"](spark, SF001).collect()) == len(scored) == 4
+    assert all(n == rows > 0 for n, rows in scored)
+
+
 def test_drift_auc_is_held_out(spark):
     rng = np.random.default_rng(10)
     pdf = pd.DataFrame({"id": np.arange(600), "same": rng.normal(size=600), "noise": rng.normal(size=600),
