@@ -61,8 +61,8 @@ def standardize(spark, sf):
 
 @register("pca")
 def pca(spark, sf):
-    """M2: PCA to 3 components after standardisation; variance of each score column."""
-    s = M.pca_scores(v_wide(spark, sf), FEATS, 3)
+    """M2: PCA to all components after standardisation; variance of each score column."""
+    s = M.pca_scores(v_wide(spark, sf), FEATS, len(FEATS))
     return s.select(F.posexplode("pcs").alias("component", "v")).groupBy("component").agg(
         rndf(F.var_pop("v")).alias("variance"))
 
@@ -216,10 +216,11 @@ def stack_fit(spark, sf):
     gb, _, _ = M.cv_oof(d, FEATS, "target", "fold", lambda: M.gbt())
     lr, _, _ = M.cv_oof(d, FEATS, "target", "fold",
                         lambda: LinearRegression(labelCol="label", regParam=0.1, solver="normal"))
-    osc = d.select("id", *oscillators(FEATS, 2))
+    osc = oscillators(FEATS, len(FEATS) // 2)
+    names = [f"osc_{i}" for i in range(len(osc))]
     wide = (gb.select("id", "target", F.col("pred").alias("p_gbt"))
-            .join(lr.select("id", F.col("pred").alias("p_lr")), "id").join(osc, "id"))
-    _, out = M.stack_fit(wide, ["p_gbt", "p_lr", "osc_0", "osc_1"], "target")
+            .join(lr.select("id", F.col("pred").alias("p_lr")), "id").join(d.select("id", *osc), "id"))
+    _, out = M.stack_fit(wide, ["p_gbt", "p_lr", *names], "target")
     return _round_metrics(regression_metrics(out, "target", "stacked"), ["n"])
 
 

@@ -216,3 +216,18 @@ def test_drift_auc_is_held_out(spark):
     auc = got.drop_duplicates("batch").set_index("batch").auc
     assert 0.4 < auc[0] < 0.6 and auc[1] > 0.95   # in-sample scores of noise would be far above a half
     assert got.feature[got["rank"] == 1].item() == "moved" and got.dropped.sum() == 1
+
+
+def test_pca_query_keeps_every_component(spark):
+    got = E.queries()["pca"](spark, SF001).toPandas()
+    assert sorted(got.component) == list(range(8))
+    assert abs(got.variance.sum() - 8) < 0.05   # all of the standardised features' variance
+
+
+def test_stack_fit_query_takes_every_oscillator(spark, monkeypatch):
+    given, whole, folds = [], M.stack_fit, M.cv_oof
+    monkeypatch.setattr(M, "cv_oof", lambda df, feats, y, fold, make_est: folds(
+        df, feats, y, fold, lambda: LinearRegression(labelCol="label", solver="normal")))
+    monkeypatch.setattr(M, "stack_fit", lambda wide, cols, y: given.append(cols) or whole(wide, cols, y))
+    assert len(E.queries()["stack_fit"](spark, SF001).collect()) == 1
+    assert given == [["p_gbt", "p_lr", "osc_0", "osc_1", "osc_2", "osc_3"]]
