@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, lines, packing, pii, quality, repair, sharding, topk
+from . import (decontaminate, jaccard, language, lines, packing, pii, quality, repair, sharding, spelling, topk, toxicity,
+               whitening)
 from .common import crc_mod, stash, table
 
 TOP_K = 10
@@ -71,6 +72,23 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding")
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(crc_mod(F.col("doc_id"), 4) != 2)
+    model = toxicity.fit(docs, labels.select("doc_id", F.col("toxic").alias("label")))
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    scored = toxicity.add_score(docs.select("doc_id", held_out.alias("held_out"), "text"), model, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.count_words(table(spark, sf_dir, "documents")))
+
+
 SQL = {
     "op5_exact_topk": f"""
         WITH v AS (
@@ -88,7 +106,8 @@ SQL = {
 
 def queries() -> dict:
     fns = [op1_language_mixture, op2_pii_disclosure, op3_line_dedup, op4_packing, op5_exact_topk,
-           op6_quality_classifier, op7_repair_tokens, op8_sharding, op9_ngram_jaccard, op10_string_tiling]
+           op6_quality_classifier, op7_repair_tokens, op8_sharding, op9_ngram_jaccard, op10_string_tiling,
+           op11_embedding_whitening, op12_toxicity, op13_spelling_variants]
     return {f.__name__: f for f in fns}
 
 
