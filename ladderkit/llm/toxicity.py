@@ -3,10 +3,9 @@
 A text is sentences of words. A word becomes pieces of up to ``PIECE`` symbols (its letters, a start
 and an end mark), each next piece ``PIECE`` / 2 symbols on, so whole words of any length count.
 Between two pieces stands the gap-weighted subsequence kernel: all ``ORDER`` symbols in order within
-``SPAN`` places, each place skipped costing a factor ``DECAY``. Signs and digits between letters are
-places without a symbol (a run of them is one place) and letters that stand alone one after
-another are read as one word too, so insults with gaps or inserted characters still share most
-subsequences. The kernel is normalised and raised to ``POWER``; two sentences' kernel is its sum over
+``SPAN`` places, each place skipped costing a factor ``DECAY``, so a word with inserted letters still
+shares most subsequences with the word itself. Signs and digits between letters are no places, and
+letters that stand alone one after another are read as one word too. The kernel is normalised and raised to ``POWER``; two sentences' kernel is its sum over
 their pieces.
 
 Landmarks are pieces of the training texts: those that tell toxic from other documents best, their
@@ -45,21 +44,24 @@ LANDMARKS = 96      # a half for toxic pieces, a quarter for their neighbours, a
 CANDIDATES = 2000   # pieces that reach the driver to choose landmarks from
 PIECE = 8           # symbols of a piece
 ORDER = 3           # symbols of a subsequence
-SPAN = 6            # places within which they stand
+SPAN = 5            # places within which they stand
 DECAY = 0.6
-POWER = 4
+POWER = 3
 ALIKE = 0.9         # a landmark has no other one as near as this
 SENTENCE = 40       # words
+SLIGHT = 0.25       # of the bias: sentences that rise less count as none
 COST = 1.0          # of a margin's violation
 NEWTON = 12
 LEAST = 1e-3        # sentences whose kernel values are all below count as ones without any in the fit
 DOCUMENTS = 64      # training documents taken together
+AT_ONCE = 1024      # pieces whose kernel values are made together
 MEMO = 200_000      # words a worker remembers
 MEMO_CHARS = 24
 CHUNK_CHARS = 1 << 21   # characters of texts taken together
-_BREAK = " "
+_BREAK = "\u00b6"     # stands for a line feed among the words
+_AROUND = ".,;:!?'\"()[]{}|*%&$#@-_/0123456789"    # signs around a word don't change its pieces
 _START, _END, _SEP = 60, 61, 63
-_TRIPLES = np.array(list(combinations(range(PIECE), ORDER)))
+_TRIPLES = np.array([c for c in combinations(range(PIECE), ORDER) if c[-1] - c[0] < SPAN])
 
 
 def _symbol_table() -> np.ndarray:
@@ -89,19 +91,16 @@ def pieces(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     word, sym = word[at], sym[at]
     if not len(at):
         return np.zeros(0, np.int64), np.zeros((0, PIECE), np.uint8), np.zeros((0, PIECE), np.int64)
-    step = 1 + (np.diff(at, prepend=at[0] - 1) > 1)
     first = np.flatnonzero(np.diff(word, prepend=-1))
     count = np.diff(first, append=len(at))
-    step[first] = 1
     # the marks go around each word's letters
     n = count + 2
     start = np.cumsum(n) - n
     full = np.zeros(n.sum(), np.uint8)
-    gap = np.ones(len(full), np.int64)
     place = np.arange(len(at)) - np.repeat(first, count) + np.repeat(start, count) + 1
-    full[place], gap[place] = sym, step
+    full[place] = sym
     full[start], full[start + n - 1] = _START, _END
-    where = np.cumsum(gap)
+    where = np.arange(len(full))
     # pieces
     half = PIECE // 2
     many = 1 + np.maximum(0, -(-(n - PIECE) // half))
@@ -138,7 +137,7 @@ def _norms(code: np.ndarray, weight: np.ndarray) -> np.ndarray:
 class Landmarks:
     """Pieces with the kernel at hand; ``turn`` makes Nystroem coordinates of kernel values."""
     row: np.ndarray         # subsequence code -> row of ``table``, -1 for none
-    table: np.ndarray       # rows of weights, a column a landmark, normalised
+    table: np.ndarray       # rows of weights, a column a landmark, normalised; the last one is zero
     turn: np.ndarray
 
     @classmethod
@@ -148,7 +147,7 @@ class Landmarks:
         known = np.unique(code[code >= 0])
         row = np.full(1 << 18, -1, np.int32)
         row[known] = np.arange(len(known))
-        table = np.zeros((len(known), len(symbols)), np.float32)
+        table = np.zeros((len(known) + 1, len(symbols)), np.float32)
         piece, col = np.nonzero(code >= 0)
         np.add.at(table, (row[code[piece, col]], piece), weight[piece, col] / norm[piece])
         return cls(row, table, np.eye(len(symbols)))
@@ -162,16 +161,12 @@ class Landmarks:
     def kernel(self, symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Normalised kernel, raised to ``POWER``, of each piece with each landmark."""
         out = np.zeros((len(symbols), self.table.shape[1]), np.float32)
-        for lo in range(0, len(symbols), 8192):
-            code, weight = subsequences(symbols[lo:lo + 8192], places[lo:lo + 8192])
-            row = np.where(code >= 0, self.row[code], -1)
-            piece, col = np.nonzero(row >= 0)
-            if not len(piece):
-                continue
-            value = self.table[row[piece, col]] * weight[piece, col].astype(np.float32)[:, None]
-            first = np.flatnonzero(np.diff(piece, prepend=-1))
-            seen = piece[first]
-            out[lo + seen] = (np.add.reduceat(value, first, axis=0) / _norms(code[seen], weight[seen]).astype(np.float32)[:, None]) ** POWER
+        for lo in range(0, len(symbols), AT_ONCE):
+            code, weight = subsequences(symbols[lo:lo + AT_ONCE], places[lo:lo + AT_ONCE])
+            row = np.where(code >= 0, self.row[code], -1)       # the last row of the table is zero
+            values = np.matmul(weight.astype(np.float32)[:, None, :], self.table[row])[:, 0]
+            norm = np.maximum(_norms(code, weight), 1e-30).astype(np.float32)
+            out[lo:lo + AT_ONCE] = (values / norm[:, None]) ** POWER
         return out
 
     def words(self, words: list[str]) -> np.ndarray:
@@ -183,10 +178,15 @@ class Landmarks:
             out[owner[first]] = np.add.reduceat(self.kernel(symbols, places), first, axis=0)
         return out
 
+    def values(self, words: list[str], weights: np.ndarray) -> np.ndarray:
+        """Each word's kernel values times ``weights``."""
+        owner, symbols, places = pieces(words)
+        return np.bincount(owner, self.kernel(symbols, places) @ weights.astype(np.float32), minlength=len(words))
+
 
 @dataclass
 class Split:
-    """Texts as words: ``word`` numbers into ``distinct``, ``sentence`` numbers rising over all
+    """Texts as words: ``word`` numbers into ``distinct`` (without signs around), ``sentence`` numbers rising over all
     texts, ``text`` the text of each sentence; ``count`` the words of each text."""
     distinct: list[str]
     word: np.ndarray
@@ -215,10 +215,8 @@ def split(texts: list[str | None]) -> Split:
     sentence = np.cumsum(fresh | (nth % SENTENCE == 0)) - 1
     of = text[np.searchsorted(sentence, np.arange(sentence[-1] + 1))]
 
-    letters = np.bincount(pieces(distinct)[0], minlength=len(distinct)) == 1
-    single = np.zeros(len(distinct), bool)
-    short = [i for i in np.flatnonzero(letters) if sum(map(str.isalpha, distinct[i])) == 1]
-    single[short] = True
+    distinct = [w.strip(_AROUND) for w in distinct]
+    single = np.array([len(w) == 1 and w.isalpha() for w in distinct])
     lone = single[word]
     edge = np.flatnonzero(np.diff(np.concatenate([[0], lone.view(np.int8), [0]])))
     extra, places = [], []
@@ -262,8 +260,8 @@ class Model:
 
     def _words(self, words: list[str]) -> np.ndarray:
         found = [self.memo.get(w) for w in words]
-        new = [w for w, v in zip(words, found) if v is None]
-        values = dict(zip(new, (self.marks.words(new) @ self.weights).tolist())) if new else {}
+        new = list({w for w, v in zip(words, found) if v is None})
+        values = dict(zip(new, self.marks.values(new, self.weights).tolist())) if new else {}
         if len(self.memo) + len(values) > MEMO:
             self.memo.clear()
         self.memo.update((w, v) for w, v in values.items() if len(w) <= MEMO_CHARS)
@@ -278,7 +276,7 @@ class Model:
             if len(s.word):
                 margin = np.bincount(s.sentence, self._words(s.distinct)[s.word], minlength=len(s.text))
                 rise = np.clip(margin / max(-self.bias, 0.1), 0, 4)
-                rise[rise < 0.5] = 0
+                rise[rise < SLIGHT] = 0
                 out[done:done + len(part), 0] = np.bincount(s.text, rise, minlength=len(part))
             out[done:done + len(part), 1] = s.count
             done += len(part)
