@@ -2,90 +2,164 @@
 
 Plan (all distributed, no pair set is ever materialised):
 
-1. ``P`` pivots = the base rows with the smallest ``hash01(id)`` (P vectors to
-   the driver - bounded by P, not by the data).
-2. Every base row goes to its nearest pivot's partition; each partition keeps
-   its radius ``r_p`` (max distance of a member to the pivot).
-3. Phase 1: each probe searches its *home* partition; the k-th distance found
-   is an upper bound ``tau`` on its true k-th distance (inf if < k found).
-4. Phase 2: by the triangle inequality a partition can hold a closer point
-   only if ``d(q, pivot_p) - r_p <= tau``; only those partitions are probed.
-5. Distances are computed by a cogrouped ``applyInPandas`` on bounded groups:
-   a partition's base rows are salted into chunks of at most ``block`` rows and
-   its probes into chunks of at most ``block`` rows, so a hot partition is
-   split, never loaded into one task. Each group emits only its top-k per
-   probe; a final per-probe top-k (at most k x #groups rows per probe) merges.
-
-Ties are broken by ``(distance, base_id)``. ``exact=False`` stops after
-phase 1 (approximate, bounded work).
+1. A two-level pivot tree that grows with the base rows: one leaf pivot for every ``LEAF_ROWS`` rows
+   (those with the smallest ``hash01(id)``), at most as many as fit in ``PIVOT_BYTES``; the first
+   square root of them are the tops, every pivot hangs below its nearest top. A row looks at the
+   tops, then at one top's leaves: about twice the square root of the leaves, not all of them.
+2. One pass gives each base row its leaf; vectors travel along, nothing is joined back. Leaves and
+   tops keep their row counts and radii (largest distance of a member).
+3. Phase 1: each probe searches its nearest leaves until they hold ``k`` rows; the k-th distance
+   found is an upper bound ``tau`` on its true k-th distance.
+4. Phase 2: by the triangle inequality a top or leaf can hold a closer point only if
+   ``d(q, pivot) - radius <= tau``; only such leaves not searched yet are probed.
+5. A leaf's base rows and probes are salted into chunks of at most ``CHUNK_BYTES`` of vectors, so a
+   hot leaf is split and a chunk is seldom copied. A cogrouped ``applyInPandas`` goes over a pair of
+   chunks in tiles: ``|q|^2 + |b|^2 - 2 q.b`` in at most ``TILE_BYTES`` of distances, whose candidates
+   (rounding error allowed for) get exact distances before they are ranked. Each pair of chunks
+   emits its top-k per probe; a final per-probe top-k merges.
+
+Ties are broken by ``(distance, base_id)``. Rows with a null vector take no part. ``exact=False``
+searches the nearest leaf only (approximate, bounded work); ``n_pivots`` asks for one level of so
+many pivots in place of the tree.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import hash01, hash_u32, lit_d
 
+LEAF_ROWS = 256
+MIN_LEAVES = 16
+PIVOT_BYTES = 1 << 24
+CHUNK_BYTES = 1 << 25
+TILE_BYTES = 1 << 23
+
 _PAIR_SCHEMA = "probe_id long, base_id long, dist double"
 
 
-def _pivots(base: DataFrame, id_col: str, vec: str, n_pivots: int) -> np.ndarray:
-    rows = (base.select(id_col, vec).withColumn("_h", hash01(id_col, 7))
-            .orderBy("_h", id_col).limit(n_pivots).collect())
-    return np.array([np.asarray(r[vec], dtype=np.float64) for r in rows])
+def _matrix(col: pa.Array) -> np.ndarray:
+    """Rows of a list column as a matrix of doubles."""
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
 
 
-def _pivot_dists(df: DataFrame, id_col: str, vec: str, piv: np.ndarray) -> DataFrame:
-    """Distances of every row to every pivot (vectorised in pandas), plus the nearest pivot."""
-    P = len(piv)
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.stack([((x - v) ** 2).sum(axis=1) for v in y], axis=1)) if len(y) else np.zeros((len(x), 0))
 
-    def fn(it):
-        for pdf in it:
-            if pdf.empty:
-                continue
-            X = np.stack(pdf[vec].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-            d = np.sqrt(((X[:, None, :] - piv[None, :, :]) ** 2).sum(axis=2))
-            home = d.argmin(axis=1)
-            yield pd.DataFrame({"_id": pdf[id_col].astype("int64"), "home": home.astype("int32"),
-                                "pdist": list(d), "dhome": d[np.arange(len(d)), home]})
 
-    return df.select(id_col, vec).mapInPandas(
-        fn, f"_id long, home int, pdist array<double>, dhome double").withColumnRenamed("_id", id_col)
+@dataclass
+class Tree:
+    """Leaf pivots ordered by top: top ``t`` has the leaves ``first[t]`` to ``first[t + 1] - 1``."""
+    tops: np.ndarray
+    leaves: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, pivots: np.ndarray, n_tops: int) -> Tree:
+        tops = pivots[:n_tops]
+        near = _distances(pivots, tops).argmin(axis=1)
+        near[:n_tops] = np.arange(n_tops)       # a top is its own leaf, also beside an equal one
+        order = np.argsort(near, kind="stable")
+        return cls(tops, pivots[order], np.searchsorted(near[order], np.arange(n_tops + 1)))
+
+    def homes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(leaf, distance to it, distance to its top) of each row: nearest top, then its nearest leaf."""
+        to_top = _distances(x, self.tops)
+        top = to_top.argmin(axis=1)
+        leaf, dist = np.zeros(len(x), np.int64), np.zeros(len(x))
+        for t in np.unique(top):
+            at = np.flatnonzero(top == t)
+            d = _distances(x[at], self.leaves[self.first[t]:self.first[t + 1]])
+            leaf[at] = self.first[t] + d.argmin(axis=1)
+            dist[at] = d.min(axis=1)
+        return leaf, dist, to_top[np.arange(len(x)), top]
+
+    def top_of(self) -> np.ndarray:
+        return np.searchsorted(self.first, np.arange(len(self.leaves)), "right") - 1
+
+
+def _tree(base: DataFrame, n_pivots: int | None) -> tuple[Tree | None, int]:
+    """The tree of (_bid, _bv) rows and their number; the pivots' bytes are bounded."""
+    shape = base.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_bv")).alias("d")).first()
+    if not shape["n"] or not shape["d"]:
+        return None, 0
+    most = max(1, PIVOT_BYTES // (8 * shape["d"]))
+    count = min(most, n_pivots or max(MIN_LEAVES, math.ceil(shape["n"] / LEAF_ROWS)))
+    rows = (base.withColumn("_h", hash01("_bid", 7)).orderBy("_h", "_bid").limit(count).select("_bv").collect())
+    pivots = np.array([r["_bv"] for r in rows], np.float64)
+    return Tree.of(pivots, len(pivots) if n_pivots else math.isqrt(max(0, len(pivots) - 1)) + 1), shape["n"]
+
+
+def _tile_topk(q: np.ndarray, pid: np.ndarray, b: np.ndarray, bid: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(probe_id, base_id, dist): the k nearest of ``b`` for each row of ``q``, by exact distances.
+
+    Distances are made in tiles of at most ``TILE_BYTES``; |q|^2 + |b|^2 - 2 q.b may be off by a
+    few roundings of its terms, so all rows within that of the k-th are kept and ranked again."""
+    out = []
+    dim = q.shape[1]
+    # at most half the bytes a side of the tile, for its vectors as for its distances
+    n_b = max(1, min(len(b), TILE_BYTES // (16 * max(dim, 1)), 1 << 13))
+    n_q = max(1, min(len(q), TILE_BYTES // (16 * n_b)))
+    centre = b.mean(axis=0)          # near the data the terms are small, and so is their rounding
+    b_sq = ((b - centre) ** 2).sum(axis=1)
+    for lo in range(0, len(q), n_q):
+        part = q[lo:lo + n_q]
+        shifted = part - centre
+        q_sq = (shifted ** 2).sum(axis=1)
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for at in range(0, len(b), n_b):
+            tile = b[at:at + n_b]
+            near = shifted @ (tile - centre).T
+            near *= -2
+            near += b_sq[at:at + n_b]
+            near += q_sq[:, None]
+            slack = 8 * (dim + 4) * np.finfo(float).eps * (q_sq + b_sq[at:at + n_b].max())
+            if near.shape[1] > k:
+                cut = np.partition(near, k - 1, axis=1)[:, k - 1]
+                rows, cols = np.nonzero(near <= (cut + 2 * slack)[:, None])
+            else:
+                rows, cols = (v.ravel() for v in np.indices(near.shape))
+            exact = np.empty(len(rows))
+            step = max(1, TILE_BYTES // (16 * max(dim, 1)))
+            for s in range(0, len(rows), step):
+                exact[s:s + step] = ((part[rows[s:s + step]] - tile[cols[s:s + step]]) ** 2).sum(axis=1)
+            rows = np.concatenate([best[0], rows])
+            cols = np.concatenate([best[1], bid[at + cols]])
+            exact = np.concatenate([best[2], exact])
+            order = np.lexsort((cols, exact, rows))
+            rows = rows[order]
+            keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+            best = (rows[keep], cols[order][keep], exact[order][keep])
+        out.append((pid[lo + best[0]], best[1], np.sqrt(best[2])))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def _group_topk(k: int):
-    def fn(probes: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
-        if probes.empty or base.empty:
-            return pd.DataFrame({"probe_id": pd.Series([], dtype="int64"), "base_id": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype="float64")})
-        Q = np.stack(probes["_qv"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-        base = base.sort_values("_bid", kind="stable")  # equal distances then rank by base id
-        Bm = np.stack(base["_bv"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-        bid = base["_bid"].to_numpy(dtype=np.int64)
-        d2 = ((Q[:, None, :] - Bm[None, :, :]) ** 2).sum(axis=2)
-        kk = min(k, d2.shape[1])
-        order = np.argsort(d2, axis=1, kind="stable")[:, :kk]  # (distance, base_id) order per probe
-        rows = np.arange(len(Q))[:, None]
-        pid = probes["_pid"].to_numpy(dtype=np.int64)
-        return pd.DataFrame({"probe_id": np.repeat(pid, kk), "base_id": bid[order].ravel(),
-                             "dist": np.sqrt(d2[rows, order]).ravel()})
+    def fn(probes: pa.Table, base: pa.Table) -> pa.Table:
+        if probes.num_rows and base.num_rows:
+            cols = _tile_topk(_matrix(probes["_qv"].combine_chunks()), probes["_pid"].to_numpy(),
+                              _matrix(base["_bv"].combine_chunks()), base["_bid"].to_numpy(), k)
+        else:
+            cols = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table(dict(zip(("probe_id", "base_id", "dist"), cols)))
     return fn
 
 
-def _salted_topk(probe_parts: DataFrame, base_parts: DataFrame, k: int, block: int) -> DataFrame:
-    """probe_parts: (_pid, part, _qv); base_parts: (_bid, part, _bv). Top-k per probe per bounded group."""
+def _chunked_topk(probe_parts: DataFrame, base_parts: DataFrame, sizes: dict[int, int], most: int, k: int) -> DataFrame:
+    """Top-k of every probe in each pair of chunks. probe_parts: (_pid, part, _qv); base_parts:
+    (_bid, part, _bv), ``sizes`` its rows a part; ``most`` rows a chunk."""
     spark = probe_parts.sparkSession
-    bs = {int(r["part"]): int(r["n"]) for r in base_parts.groupBy("part").count().withColumnRenamed("count", "n").collect()}
-    ps = {int(r["part"]): int(r["n"]) for r in probe_parts.groupBy("part").count().withColumnRenamed("count", "n").collect()}
-    plan = [(p, max(1, math.ceil(bs.get(p, 0) / block)), max(1, math.ceil(ps.get(p, 0) / block))) for p in set(bs) | set(ps)]
+    probes = {int(r["part"]): int(r["n"]) for r in probe_parts.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    plan = [(p, max(1, math.ceil(sizes[p] / most)), max(1, math.ceil(n / most))) for p, n in probes.items() if p in sizes]
     if not plan:
         return spark.createDataFrame([], _PAIR_SCHEMA)
-    salts = F.broadcast(spark.createDataFrame(plan, "part int, _S int, _Q int"))  # one row per partition
+    salts = F.broadcast(spark.createDataFrame(plan, "part int, _S int, _Q int"))  # at most one row a leaf
     b = (base_parts.join(salts, "part")
          .withColumn("_sub", F.pmod(hash_u32("_bid", 11), F.col("_S")).cast("int"))
          .withColumn("_pc", F.explode(F.sequence(F.lit(0), F.col("_Q") - 1))))
@@ -95,7 +169,7 @@ def _salted_topk(probe_parts: DataFrame, base_parts: DataFrame, k: int, block: i
     keys = ["part", "_sub", "_pc"]
     return (q.select(*keys, "_pid", "_qv").groupBy(*keys)
             .cogroup(b.select(*keys, "_bid", "_bv").groupBy(*keys))
-            .applyInPandas(_group_topk(k), _PAIR_SCHEMA))
+            .applyInArrow(_group_topk(k), _PAIR_SCHEMA))
 
 
 def _keep_topk(pairs: DataFrame, k: int) -> DataFrame:
@@ -103,36 +177,106 @@ def _keep_topk(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _with_leaf(rows: DataFrame, tree: Tree) -> DataFrame:
+    """(_bid, _bv, part, d_leaf, d_top): vectors travel with their leaf."""
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                leaf, d_leaf, d_top = tree.homes(_matrix(b.column(1)))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf.astype(np.int32)), pa.array(d_leaf), pa.array(d_top)],
+                                                 names=["_bid", "_bv", "part", "d_leaf", "d_top"])
+    return rows.mapInArrow(run, "_bid long, _bv array<double>, part int, d_leaf double, d_top double")
+
+
+def _searched(x: np.ndarray, tree: Tree, sizes: np.ndarray, k: int, home_only: bool) -> list[np.ndarray]:
+    """Leaves of phase 1 for each row: the home leaf, or the nearest leaves of the nearest tops
+    until they hold k rows."""
+    homes = tree.homes(x)[0]
+    if home_only:
+        return [np.array([h]) for h in homes]
+    top_order = np.argsort(_distances(x, tree.tops), axis=1, kind="stable")
+    out = []
+    for i, v in enumerate(x):
+        found, held = [], 0
+        for t in top_order[i]:
+            leaves = np.arange(tree.first[t], tree.first[t + 1])
+            near = leaves[np.argsort(((tree.leaves[leaves] - v) ** 2).sum(axis=1), kind="stable")]
+            enough = np.searchsorted(np.cumsum(sizes[near]) + held, k) + 1
+            found.append(near[:enough])
+            held += sizes[near[:enough]].sum()
+            if held >= k:
+                break
+        out.append(np.concatenate(found))
+    return out
+
+
+def _probe_parts(rows: DataFrame, leaves_of) -> DataFrame:
+    """(_pid, part, _qv): each row once for every leaf that ``leaves_of``(vectors, tau) names."""
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists = leaves_of(_matrix(b.column(1)), b.column(2).to_numpy(zero_copy_only=False))
+            n = np.array([len(v) for v in lists])
+            at = pa.array(np.repeat(np.arange(len(n)), n))
+            part = np.concatenate(lists).astype(np.int32) if n.sum() else np.zeros(0, np.int32)
+            for lo in range(0, len(part), 1 << 14):
+                some = at.slice(lo, 1 << 14)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(some), pa.array(part[lo:lo + (1 << 14)]), b.column(1).take(some)],
+                                                 names=["_pid", "part", "_qv"])
+    return rows.mapInArrow(run, "_pid long, part int, _qv array<double>")
+
+
 def knn(probe: DataFrame, base: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding",
-        n_pivots: int = 16, block: int = 2048, exact: bool = True) -> DataFrame:
+        n_pivots: int | None = None, block: int | None = None, exact: bool = True) -> DataFrame:
     """``(probe_id, rank, base_id, dist)`` for the k nearest base rows of every probe (Euclidean)."""
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(base.sparkSession)
-    piv = _pivots(base, id_col, vec, n_pivots)
-    P = len(piv)
-    bd = _pivot_dists(base, id_col, vec, piv)
-    # base rows with their partition, materialised once (reused by both phases and the salt plans)
-    base_parts = base.select(F.col(id_col).alias("_bid"), F.col(vec).alias("_bv")).join(
-        bd.select(F.col(id_col).alias("_bid"), F.col("home").alias("part"), "dhome"), "_bid").checkpoint(eager=False)
-    radius = {int(r["part"]): float(r["r"]) for r in base_parts.groupBy("part").agg(F.max("dhome").alias("r")).collect()}
-    rad = [radius.get(p, 0.0) for p in range(P)]
-    qd = _pivot_dists(probe, id_col, vec, piv).checkpoint()
-    probe_v = probe.select(F.col(id_col).alias("_pid"), F.col(vec).alias("_qv"))
-    q_home = probe_v.join(qd.select(F.col(id_col).alias("_pid"), F.col("home").alias("part")), "_pid")
-    phase1 = _keep_topk(_salted_topk(q_home, base_parts, k, block), k).checkpoint()
+
+    def side(df: DataFrame, i: str, v: str) -> DataFrame:
+        return (df.filter(F.col(vec).isNotNull())
+                .select(F.col(id_col).cast("long").alias(i), F.col(vec).cast("array<double>").alias(v)))
+    rows = side(base, "_bid", "_bv")
+    tree, _ = _tree(rows, n_pivots)
+    if tree is None:
+        return base.sparkSession.createDataFrame([], "probe_id long, rank int, base_id long, dist double")
+    parts = _with_leaf(rows, tree).checkpoint()     # used by both phases
+    stats = parts.groupBy("part").agg(F.count("*").alias("n"), F.max("d_leaf").alias("r"), F.max("d_top").alias("rt")).collect()
+    sizes, radius = np.zeros(len(tree.leaves), np.int64), np.full(len(tree.leaves), -np.inf)
+    top_radius, top = np.full(len(tree.tops), -np.inf), tree.top_of()
+    for r in stats:
+        p = r["part"]
+        sizes[p], radius[p] = r["n"], r["r"]
+        top_radius[top[p]] = max(top_radius[top[p]], r["rt"])
+    held = {int(p): int(n) for p, n in enumerate(sizes) if n}
+    base_parts = parts.select("_bid", "part", "_bv")
+    block = block or max(1, CHUNK_BYTES // (8 * tree.tops.shape[1]))
+    home_only = not exact
+
+    def first(x, tau):
+        return _searched(x, tree, sizes, k, home_only)
+    probes = side(probe, "_pid", "_qv")
+    q1 = _probe_parts(probes.withColumn("tau", lit_d(0.0)), first)
+    phase1 = _keep_topk(_chunked_topk(q1, base_parts, held, block, k), k)
     if not exact:
         return phase1.select("probe_id", "rank", "base_id", "dist")
-    tau = phase1.groupBy("probe_id").agg(F.count(F.lit(1)).alias("_n"), F.max("dist").alias("_d")).select(
-        F.col("probe_id").alias("_pid"), F.when(F.col("_n") >= k, F.col("_d")).otherwise(lit_d(float("inf"))).alias("tau"))
-    rad_arr = F.array(*[lit_d(r) for r in rad])
-    cand = (qd.select(F.col(id_col).alias("_pid"), "home", "pdist").join(tau, "_pid", "left")
-            .withColumn("tau", F.coalesce("tau", lit_d(float("inf"))))
-            .withColumn("part", F.explode(F.filter(
-                F.sequence(F.lit(0), F.lit(P - 1)),
-                lambda p: (p != F.col("home")) & (F.element_at("pdist", p + 1) - F.element_at(rad_arr, p + 1) <= F.col("tau")))))
-            .select("_pid", F.col("part").cast("int").alias("part")))
-    q_more = probe_v.join(cand, "_pid")
-    phase2 = _salted_topk(q_more, base_parts, k, block)
+    phase1 = phase1.checkpoint()
+    tau = phase1.groupBy(F.col("probe_id").alias("_pid")).agg(
+        F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("tau"))
+
+    def more(x, tau):
+        """Leaves not searched yet whose ball reaches within tau, with room for its rounding."""
+        reach = np.where(np.isnan(tau), np.inf, tau * (1 + 1e-9) + 1e-12)
+        done = _searched(x, tree, sizes, k, False)
+        near_top = _distances(x, tree.tops) - top_radius * (1 + 1e-9) <= reach[:, None]
+        out = []
+        for i, v in enumerate(x):
+            leaves = np.flatnonzero(near_top[i][top] & (sizes > 0))
+            d = np.sqrt(((tree.leaves[leaves] - v) ** 2).sum(axis=1))
+            out.append(np.setdiff1d(leaves[d - radius[leaves] * (1 + 1e-9) <= reach[i]], done[i]))
+        return out
+    q2 = _probe_parts(probes.join(tau, "_pid", "left").select("_pid", "_qv", "tau"), more)
+    phase2 = _chunked_topk(q2, base_parts, held, block, k)
     both = phase1.select("probe_id", "base_id", "dist").unionByName(phase2)
     return _keep_topk(both, k).select("probe_id", "rank", "base_id", "dist")
 

@@ -12,7 +12,7 @@ from . import sqlgen as S
 from .q_windows import h01
 from .registry import register
 
-_KS = [1, 3, 5, 10, 20]
+_KS = [1, 3, 5, 10, 20, 50]
 
 
 def _split(spark, sf):
@@ -74,15 +74,25 @@ SELECT probe_id, CAST(rank AS INTEGER) AS rank, base_id, {S.rf('dist')} AS dist
 def knn_approx(spark, sf):
     """J13 (approximate): home-partition-only search - bounded work; recall vs exact is checked in the tests."""
     probe, base = _split(spark, sf)
-    nn = Kn.knn(probe, base, 5, exact=False)
+    nn = Kn.knn(probe, base, 5, n_pivots=16, exact=False)
     return nn.select("probe_id", "rank", "base_id", rndf("dist").alias("dist"))
 
 
-@register("knn_pca")
-def knn_pca(spark, sf):
-    """J13 + M2: exact 5-NN in a 15-component PCA space fitted on the base vectors only."""
+def _knn_pca(spark, sf, components):
     from ..operators import ml as M
     probe, base = _split(spark, sf)
-    model = M.pca_fit_array(base, "embedding", 15)
-    nn = Kn.knn(M.pca_apply(model, probe, "embedding"), M.pca_apply(model, base, "embedding"), 5, vec="pcs")
+    model = M.pca_fit_array(base, "embedding", components)
+    nn = Kn.knn(M.pca_apply(model, probe, "embedding"), M.pca_apply(model, base, "embedding"), max(_KS), vec="pcs")
     return nn.select("probe_id", "rank", "base_id", rndf("dist").alias("dist"))
+
+
+@register("knn_pca")
+def knn_pca(spark, sf):
+    """J13 + M2: exact 50-NN in a 15-component PCA space fitted on the base vectors only."""
+    return _knn_pca(spark, sf, 15)
+
+
+@register("knn_pca30")
+def knn_pca30(spark, sf):
+    """J13 + M2: exact 50-NN in a 30-component PCA space fitted on the base vectors only."""
+    return _knn_pca(spark, sf, 30)
