@@ -106,7 +106,7 @@ def summary(df: DataFrame, features: Sequence[str], exact_median: bool = True) -
     mom = long.groupBy("feature").agg(
         F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std_pop"),
         F.stddev_samp(x).alias("std_samp"), F.min(x).alias("min"), F.max(x).alias("max"))
-    med = quantiles(long, "x", [0.5], group=["feature"], exact=exact_median)
+    med = quantiles(long, "x", [0.5], group=["feature"], exact=exact_median, few_groups=True)
     return mom.join(med.select("feature", F.col("q").alias("median")), "feature", "left")
 
 
@@ -121,7 +121,7 @@ def percentiles(df: DataFrame, features: Sequence[str], ps: Sequence[float],
     """Percentile list per column ``(feature, p, value)``; exact (sort-based) or sketch."""
     from .quantiles import quantiles
     long = to_long(df, features)
-    q = quantiles(long, "x", ps, group=["feature"], exact=exact, accuracy=accuracy)
+    q = quantiles(long, "x", ps, group=["feature"], exact=exact, accuracy=accuracy, few_groups=True)
     return q.select("feature", "p", F.col("q").alias("value"))
 
 

@@ -1,15 +1,22 @@
 """Exact percentiles that scale (A1 median, A3, A19, P11, A20, B9).
 
-``percentile()`` keeps a value->count map per group in one buffer, which grows
-with the number of distinct values - unbounded on a 100 TB feature column.
-Here equal values are counted first, so a value that most rows share is one
-row afterwards; a running sum of the counts along ``(group..., x)`` gives every
-distinct value the range of sorted positions it covers, and the two neighbouring
-order statistics of every requested ``p`` are the values whose ranges hold them.
-Memory per task is bounded by the range partition of the distinct values.
-
-``exact=False`` switches to the ``percentile_approx`` sketch (bounded memory,
-one pass, approximate).
+``percentile()`` keeps a value->count map per group in one buffer, which grows with the number of
+distinct values - unbounded on a 100 TB feature column. Here the wanted order statistics are selected
+without sorting the rows:
+
+1. one pass makes a sketch per group (``percentile_approx``), whose values a little below and above
+   each wanted rank bracket it;
+2. one pass counts: rows outside all brackets add up to one number a gap, rows inside are counted a
+   value. Only the brackets' values (about ``4 / ACCURACY`` of the rows a rank; a value that most
+   rows share is one row) go on;
+3. running sums of these counts give every value its sorted positions, and the neighbours of a rank
+   are the values that hold them.
+
+A rank that falls into a gap shows that the sketch missed it; then the rows are sorted by value
+(``_sorted_quantiles``). Groups of at most ``SMALL_GROUP`` rows need no brackets: their buffers are
+bounded, so ``percentile()`` takes them, and a join on the keys of the larger ones parts the two.
+
+``exact=False`` switches to the ``percentile_approx`` sketch (bounded memory, one pass, approximate).
 """
 
 from __future__ import annotations
@@ -17,17 +24,25 @@ from __future__ import annotations
 from functools import reduce
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import lit_d, nan_to_null
+from ..session import ensure_checkpoint_dir
 from .sequence import running_sum
 
+ACCURACY = 10_000           # of the sketch: ranks are off by at most 1 / ACCURACY of the rows
+SMALL_GROUP = 20_000        # rows whose values a buffer may hold
+WINDOW_ROWS = 1_000_000     # counted values of a group that one task may order
+
 
 def quantiles(df: DataFrame, value, ps: Sequence[float], group: Sequence[str] = (),
-              exact: bool = True, accuracy: int = 10000) -> DataFrame:
+              exact: bool = True, accuracy: int = 10000, few_groups: bool = False) -> DataFrame:
     """Return ``(group..., p, q)``: quantile ``q`` of ``value`` at each ``p`` (NULL/NaN skipped).
 
+    ``few_groups`` says that the groups are few (columns of a table, say): all are bracketed, without
+    the pass that finds the small ones. It changes the plan, not the rows.
+
     Linear interpolation between order statistics ``floor(h)`` and ``ceil(h)``
     with ``h = (n - 1) * p`` (NumPy's default / SQL ``quantile_cont``).
     """
@@ -39,18 +54,88 @@ def quantiles(df: DataFrame, value, ps: Sequence[float], group: Sequence[str] =
         agg = d.groupBy(*group).agg(F.percentile_approx("_x", p_arr, accuracy).alias("_q"))
         return agg.select(*group, F.posexplode("_q").alias("_i", "q")).select(
             *group, F.element_at(p_arr, F.col("_i") + 1).alias("p"), "q")
-    # one row per distinct value, its rows covering the positions [_before, _n_cum) of the sorted input
-    runs = running_sum(d.groupBy(*group, "_x").agg(F.count(F.lit(1)).alias("_n")), group + ["_x"], ["_n"])
-    runs = runs.withColumn("_before", F.col("_n_cum") - F.col("_n"))
+    ensure_checkpoint_dir(df.sparkSession)
+    if not group or few_groups:
+        return _selected(d, group, ps)
+    sizes = d.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    least, most = sizes.agg(F.min("_n"), F.max("_n")).first()
+    if (most or 0) <= SMALL_GROUP:
+        return _small(d, group, ps)
+    if least > SMALL_GROUP:
+        return _selected(d, group, ps)
+    hot = _renamed(sizes.filter(F.col("_n") > SMALL_GROUP), group)
+    return (_small(d.join(hot, _same(group), "left_anti"), group, ps)
+            .unionByName(_selected(d.join(hot, _same(group), "left_semi"), group, ps)))
+
+
+def _renamed(df: DataFrame, group: Sequence[str], *others: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], *others)
+
+
+def _same(group: Sequence[str]) -> Column:
+    """Null-safe match with renamed keys: rows whose group is null form a group."""
+    return reduce(lambda u, v: u & v, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)])
+
+
+def _small(d: DataFrame, group: list[str], ps: Sequence[float]) -> DataFrame:
+    p_arr = F.array(*[F.lit(float(p)) for p in ps])
+    agg = d.groupBy(*group).agg(F.percentile("_x", p_arr).alias("_q"))
+    return (agg.select(*group, F.posexplode("_q").alias("_i", "q"))
+            .select(*group, F.element_at(p_arr, F.col("_i") + 1).alias("p"), "q"))
+
+
+def _selected(d: DataFrame, group: list[str], ps: Sequence[float]) -> DataFrame:
+    """Bracket, count, keep the brackets' values; eager up to those values."""
+    margin = 2.0 / ACCURACY
+    points = [v for p in ps for v in (max(0.0, p - margin), min(1.0, p + margin))]
+    sketch = F.percentile_approx("_x", F.array(*map(F.lit, points)), ACCURACY).alias("_s")
     if group:
-        # renamed keys and a null-safe match keep the rows whose group is null
-        g = runs.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)]).agg(
-            F.min("_before").alias("_s"), F.sum("_n").alias("_t"))
-        on = reduce(lambda u, v: u & v, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)])
-        runs = runs.join(g, on)
+        found = _renamed(d.groupBy(*group).agg(sketch), group, "_s").checkpoint()   # a row for each large group
+        rows, low = d.join(found, _same(group)), lambda i: F.col("_s")[i]
+    else:
+        found = d.agg(sketch).first()["_s"]
+        if found is None:
+            return d.sparkSession.createDataFrame([], "p double, q double")
+        rows, low = d, lambda i: lit_d(found[i])
+    x, n = F.col("_x"), len(ps)
+    inside = reduce(lambda u, v: u | v, [x.between(low(2 * i), low(2 * i + 1)) for i in range(n)])
+    gap = reduce(lambda u, v: u + v, [(low(2 * i + 1) < x).cast("int") for i in range(n)])
+    counted = (rows.select(*group, "_x", inside.alias("_in"), gap.alias("_gap"))
+               .groupBy(*group, F.when(F.col("_in"), x).alias("_value"), F.when(~F.col("_in"), F.col("_gap")).alias("_of"))
+               .agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_at")).drop("_of").checkpoint())
+    largest = counted.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    if largest <= WINDOW_ROWS:
+        w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+        runs = counted.withColumn("_n_cum", F.sum("_n").over(w.orderBy("_at"))).withColumn("_t", F.sum("_n").over(w))
+        runs = runs.withColumn("_before", F.col("_n_cum") - F.col("_n")).withColumn("_s", F.lit(0))
     else:
+        runs = _positions(running_sum(counted, group + ["_at"], ["_n"]), group)
+    out = _pick(runs.withColumnRenamed("_value", "_picked"), group, ps, F.col("_picked").isNull()).checkpoint()
+    if out.filter("_missed").head(1):
+        return _sorted_quantiles(d, group, ps)
+    return out.drop("_missed")
+
+
+def _sorted_quantiles(d: DataFrame, group: list[str], ps: Sequence[float]) -> DataFrame:
+    """By sorting: one row per distinct value, its rows covering the positions [_before, _n_cum)."""
+    runs = running_sum(d.groupBy(*group, "_x").agg(F.count(F.lit(1)).alias("_n")), group + ["_x"], ["_n"])
+    return _pick(_positions(runs, group).withColumnRenamed("_x", "_picked"), group, ps, F.lit(False)).drop("_missed")
+
+
+def _positions(runs: DataFrame, group: list[str]) -> DataFrame:
+    """Adds ``_before``, the group's first position ``_s`` and its number of rows ``_t``."""
+    runs = runs.withColumn("_before", F.col("_n_cum") - F.col("_n"))
+    if not group:
         total = runs.agg(F.sum("_n")).first()[0] or 0
-        runs = runs.withColumn("_s", lit_d(0.0)).withColumn("_t", F.lit(total))
+        return runs.withColumn("_s", lit_d(0.0)).withColumn("_t", F.lit(total))
+    g = runs.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)]).agg(
+        F.min("_before").alias("_s"), F.sum("_n").alias("_t"))
+    return runs.join(g, _same(group))
+
+
+def _pick(runs: DataFrame, group: list[str], ps: Sequence[float], missing: Column) -> DataFrame:
+    """(group..., p, q, _missed) from the rows whose positions hold a wanted rank."""
+    p_arr = F.array(*[F.lit(float(p)) for p in ps])
 
     def place(p):
         h = (F.col("_t") - 1).cast("double") * p
@@ -59,13 +144,15 @@ def quantiles(df: DataFrame, value, ps: Sequence[float], group: Sequence[str] =
                         ((F.col("_before") <= lo) & (lo < F.col("_n_cum"))).alias("_is_lo"),
                         ((F.col("_before") <= hi) & (hi < F.col("_n_cum"))).alias("_is_hi"))
 
-    picked = (runs.select(*group, "_x", F.explode(F.filter(F.transform(p_arr, place), lambda e: e["_is_lo"] | e["_is_hi"]))
-                          .alias("_e")).select(*group, "_x", "_e.*"))
+    picked = (runs.select(*group, "_picked", missing.alias("_gone"),
+                          F.explode(F.filter(F.transform(p_arr, place), lambda e: e["_is_lo"] | e["_is_hi"])).alias("_e"))
+              .select(*group, "_picked", "_gone", "_e.*"))
     out = picked.groupBy(*group, "p").agg(
-        F.max(F.when(F.col("_is_lo"), F.col("_x"))).alias("_xl"),
-        F.max(F.when(F.col("_is_hi"), F.col("_x"))).alias("_xh"),
-        F.first("_fr").alias("_fr"))
-    return out.select(*group, "p", (F.col("_xl") + F.col("_fr") * (F.col("_xh") - F.col("_xl"))).alias("q"))
+        F.max(F.when(F.col("_is_lo"), F.col("_picked"))).alias("_xl"),
+        F.max(F.when(F.col("_is_hi"), F.col("_picked"))).alias("_xh"),
+        F.first("_fr").alias("_fr"), F.max("_gone").alias("_missed"))
+    between = F.col("_xl") + F.col("_fr") * (F.col("_xh") - F.col("_xl"))
+    return out.select(*group, "p", F.when(F.col("_fr") == 0, F.col("_xl")).otherwise(between).alias("q"), "_missed")
 
 
 def quantile_values(df: DataFrame, value, ps: Sequence[float], exact: bool = True) -> list[float]:
