@@ -19,9 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import pii
 from .common import stash
 
-NUM, DEN = 90, 100
+NUM, DEN = 75, 100
 BUCKETS = 1 << 18
 BROADCAST_ROWS = 500_000   # rows of a few numbers each
 
@@ -92,10 +93,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, ranks: DataFrame, groups: DataF
     sets are made again, from the documents where they stand first."""
     need = stash(pairs.select(F.col("x").alias("s1")).union(pairs.select("y")).distinct()
                  .join(groups.select("s1", "doc", "line", "hash"), "s1"), "line-need")
-    ids = need.select(F.col("doc").alias("need_doc")).distinct()
-    ids = _small(ids, need.count())
-    some = docs.join(ids, F.col("doc").eqNullSafe(F.col("need_doc")), "left_semi")
-    sets = (_lines(some, ranks).select("s1", "n", "words").join(_small(need.select("s1"), need.count()), "s1", "left_semi")
+    rows = need.count()
+    if rows <= BROADCAST_ROWS:
+        ids = F.broadcast(need.select(F.col("doc").alias("need_doc")).distinct())
+        made = _lines(docs.join(ids, F.col("doc").eqNullSafe(F.col("need_doc")), "left_semi"), ranks)
+    else:   # texts stay where they are: a table of fixed size passes nearly only the lines that are needed
+        bits = pii.bit_table(need.select(F.col("s1").alias("w")))
+        made = _lines(docs, ranks).withColumn("bits", bits.scalar()).filter(pii.in_bit_table(F.col("s1"), "bits"))
+    sets = (made.select("s1", "n", "words").join(_small(need.select("s1"), rows), "s1", "left_semi")
             .dropDuplicates(["s1"]).join(need, "s1").withColumn("at", F.struct("doc", "line", "hash")).drop("doc", "line", "hash"))
     sets = stash(sets, "line-sets")
     x = sets.select(F.col("s1").alias("x"), F.col("words").alias("xw"), F.col("at").alias("xa"))

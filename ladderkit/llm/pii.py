@@ -177,7 +177,7 @@ def _bit(w: Column) -> Column:
     return w.bitwiseAND(F.lit(TABLE_BITS - 1))
 
 
-def _table(terms: DataFrame) -> DataFrame:
+def bit_table(terms: DataFrame) -> DataFrame:
     """One row, ``bits``: a bit table of the terms' hashes, as numbers of 64 bits."""
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))
     some = (terms.select(_bit(F.col("w")).alias("bit")).select(F.shiftright("bit", 6).alias("id"), one.alias("one"))
@@ -187,16 +187,20 @@ def _table(terms: DataFrame) -> DataFrame:
     return full.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["v"]).alias("bits"))
 
 
+def in_bit_table(h: Column, bits: str) -> Column:
+    bit = _bit(h)
+    row = F.element_at(F.col(bits), F.shiftright(bit, 6).cast("int") + 1)
+    return F.getbit(row, bit.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def _marks(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """(h1, h2, terms): every occurrence of a term in the whole of each distinct text."""
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(t.alias("t"), F.xxhash64(t).alias("h1"), F.xxhash64(t, F.lit(1)).alias("h2"),
-                       _table(terms).scalar().alias("bits"))
+                       bit_table(terms).scalar().alias("bits"))
 
     def maybe(word: Column) -> Column:
-        bit = _bit(F.xxhash64(F.lower(word)))
-        row = F.element_at(F.col("bits"), F.shiftright(bit, 6).cast("int") + 1)
-        return F.getbit(row, bit.bitwiseAND(F.lit(63)).cast("int")) == 1
+        return in_bit_table(F.xxhash64(F.lower(word)), "bits")
 
     found = rows.select("h1", "h2", F.transform(_matches(F.col("t"), _WORD, maybe), lambda x: F.struct(
         x["s"].alias("s"), x["e"].alias("e"), F.xxhash64(F.lower(x["value"])).alias("w"))).alias("terms"))

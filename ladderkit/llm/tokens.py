@@ -18,10 +18,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO = 1_000_000    # chunks a worker remembers
+MEMO_BYTES = 64 << 20   # of chunks a worker remembers, with what Python needs for each
+ENTRY_BYTES = 260       # of a chunk besides its characters and ids
 MEMO_CHARS = 48     # longer chunks are encoded each time
 JOINED = 512        # new chunks encoded at once
-BATCH_CHARS = 1 << 22   # characters whose chunks are looked up together
+BATCH_CHARS = 1 << 21   # characters whose chunks are looked up together
 
 _LEADING = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: Blanks, joiners and controls on which libraries may differ, besides the space and the line feed.
@@ -39,7 +40,10 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_str(config)
-        self.library.encode_special_tokens = True   # their strings in a text are ordinary text
+        added = sorted({t.content for t in self.library.get_added_tokens_decoder().values() if t.content}, key=len, reverse=True)
+        #: the library finds added tokens before it splits: texts that hold one (in any case, as
+        #: normalisers may change it) are encoded whole
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         vocab = self.library.get_vocab(with_added_tokens=True)
         #: bytes an id spells: byte-level vocabularies write each byte as one character
         self.spells = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -48,6 +52,7 @@ class Encoder:
         self.blanks = blanks
         self.end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         self.memo: dict[str, bytes] = {}
+        self.memo_bytes = 0
 
     @classmethod
     def shared(cls, config: str, blanks: str | None, end_id: int | None = None) -> Encoder:
@@ -61,6 +66,8 @@ class Encoder:
         """Keys of the memo, as one string if they are its parts between single spaces. In
         "leading" mode a key without a blank in front is the word after one space; the first word
         of a text is marked by a zero character."""
+        if self.added and self.added.search(text):
+            return [text if self.blanks == "dropped" else "\0" + text]
         if self.blanks == "dropped":
             return text.replace("\n", " ")
         if self.blanks != "leading" or _ODD.search(text):
@@ -77,7 +84,7 @@ class Encoder:
 
     def _joins(self, key: str) -> bool:
         """Whether the chunk can stand among others in one text without changing its ids or theirs."""
-        if len(key) > MEMO_CHARS or not key:
+        if len(key) > MEMO_CHARS or not key or (self.added and self.added.search(key)):
             return False
         if self.blanks == "dropped":
             return not _ODD.search(key)
@@ -142,10 +149,12 @@ class Encoder:
         found = list(map(memo.get, keys))
         new = self._new(list({k for k, v in zip(keys, found) if v is None}))
         found = [new[k] if v is None else v for k, v in zip(keys, found)]
-        memo.update((k, v) for k, v in new.items() if len(k) <= MEMO_CHARS)
-        if len(memo) > MEMO:   # the chunks seen first are the frequent ones: they stay
-            for k in list(memo)[MEMO // 2:]:
-                del memo[k]
+        for k, v in new.items():   # the chunks seen first are the frequent ones: they stay
+            if self.memo_bytes >= MEMO_BYTES:
+                break
+            if len(k) <= MEMO_CHARS:
+                memo[k] = v
+                self.memo_bytes += ENTRY_BYTES + len(k) + len(v)
 
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         start = np.cumsum(size) - size

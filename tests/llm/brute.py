@@ -89,7 +89,7 @@ def line_words(line):
     return frozenset(w for w in re.split("[ \t\r]", line.lower()) if w)
 
 
-def dedup_lines(rows, num=90, den=100):
+def dedup_lines(rows, num=75, den=100):
     """[(id, text, removed line numbers)] for (id, text) rows of distinct ids."""
     lines = []
     for i, t in sorted(rows, key=lambda r: r[0]):
