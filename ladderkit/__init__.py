@@ -6,7 +6,6 @@ Layout:
   operators/  DataFrame operators: profiling, aggregates, quantiles, windows, joins/linking,
               kNN, folds, metrics, blending, audits, Spark ML steps
   plans/      fixture views and the registered query plans (with their DuckDB oracle SQL)
-  streaming/  empty on purpose (the reference has no streams)
 """
 
 __all__ = ["sources", "functions", "operators", "plans", "session"]

@@ -123,7 +123,7 @@ FROM ac WHERE x IS NOT NULL AND v IS NOT NULL GROUP BY k"""
 
 @register("autocorr", with_views("v_ticks", extra=[_ac_sql("grp", "t, id")]) + _AC_SELECT)
 def autocorr(spark, sf):
-    """Squared serial correlation of the target at shifts 1..9 inside each group."""
+    """Squared serial correlation of the target at shifts 1..19 inside each group."""
     a = W.autocorr(v_ticks(spark, sf), "target", ["grp"], ["t", "id"], range(1, 10))
     return a.select("k", "n", rndf("corr2").alias("corr2"))
 
@@ -334,7 +334,7 @@ SELECT CAST(h AS INTEGER) AS h, CAST(COUNT(*) AS BIGINT) AS n,
        {S.rf(S.corr('ret', 'y'))} AS corr_return
 FROM swg WHERE is_test = 0 AND y IS NOT NULL AND diff IS NOT NULL GROUP BY h""")
 def horizon_sweep_global(spark, sf):
-    """W2 (ungrouped): horizons 1..9 along the global ID order - the blocked dense-index plan, never one task."""
+    """W2 (ungrouped): horizons 1..19 along the global ID order - the blocked dense-index plan, never one task."""
     t = v_ticks(spark, sf)
     sw = W.horizon_sweep(t, "price", "target", None, ["id"], range(1, 20), scale=100.0, mask=F.col("is_test") == 0)
     return sw.select("h", "n", *[rndf(x).alias(x) for x in ["r2_return", "r2_diff", "corr_return"]])
