@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO_BYTES = 64 << 20   # of chunks a worker remembers, with what Python needs for each
+MEMO_BYTES = 160 << 20  # of chunks a worker remembers, with what Python needs for each
 ENTRY_BYTES = 260       # of a chunk besides its characters and ids
 MEMO_CHARS = 48     # longer chunks are encoded each time
 JOINED = 512        # new chunks encoded at once
