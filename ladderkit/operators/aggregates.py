@@ -165,26 +165,21 @@ def pair_corr(df: DataFrame, a, b, name: str = "corr") -> DataFrame:
 
 
 def moments(df: DataFrame, cols: Sequence[str], y: str) -> dict:
-    """One aggregate of n, means and the population covariance matrix of ``cols + [y]``.
+    """n, means and the population covariance matrix of ``cols + [y]`` over rows finite in all of them.
 
-    Returns plain numbers (size fixed by the column count) for small solves on the driver.
+    The matrix comes as Gram blocks about the means (``ml.gram``), so the plan grows with the
+    columns and not with their pairs. Returns plain numbers (size fixed by the column count)
+    for small solves on the driver.
     """
+    from .ml import _means, gram
     allc = list(cols) + [y]
-    ok = F.lit(True)
-    for x in allc:
-        ok = ok & is_finite(x)
-    d = df.filter(ok)
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(x).alias(f"m_{i}") for i, x in enumerate(allc)]
-    for i in range(len(allc)):
-        for j in range(i, len(allc)):
-            aggs.append(F.covar_pop(allc[i], allc[j]).alias(f"c_{i}_{j}"))
-    r = d.agg(*aggs).first()
     k = len(allc)
-    cov = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            cov[i, j] = cov[j, i] = r[f"c_{i}_{j}"] or 0.0
-    return {"n": r["n"], "mean": np.array([r[f"m_{i}"] or 0.0 for i in range(k)]), "cov": cov}
+    d = df.select(*[F.when(is_finite(x), c(x).cast("double")).alias(f"c{i}") for i, x in enumerate(allc)])
+    mean = np.array(_means(d, d.columns))
+    n, s, q = gram(d, d.columns, mean).get(0, (0.0, np.zeros(k), np.zeros((k, k))))
+    if n:
+        s, q = s / n, q / n
+    return {"n": int(n), "mean": mean + s, "cov": q - np.outer(s, s)}
 
 
 def ols_standardized(mom: dict, idx: Sequence[int], ridge: float = 0.0) -> tuple[np.ndarray, float]:

@@ -256,6 +256,61 @@ def ridge_grid(spark: SparkSession, df: DataFrame, feats: Sequence[str], y: str,
     return _grid_frame(spark, rows, _spread(g))
 
 
+def _soft(v: float, t: float) -> float:
+    return float(np.sign(v) * max(abs(v) - t, 0.0))
+
+
+def _elastic_solve(n, s, Q, l1: float, l2: float, beta, tol: float = 1e-10, sweeps: int = 10_000):
+    """Elastic net by coordinate descent on the correlations of ``[x..., y]``, started at ``beta``.
+
+    Minimises ``|y - xb|^2 / 2n + l1 |b|_1 + l2 |b|^2 / 2`` over population-standardised x and y.
+    Returns ``(means, sds, mean of y, coefficients in units of y, coefficients)``.
+    """
+    k = len(s) - 1
+    m = s / n
+    cov = Q / n - np.outer(m, m)
+    sd = np.sqrt(np.clip(np.diag(cov), 0.0, None))
+    sd = np.where(sd == 0, 1.0, sd)
+    corr = cov / np.outer(sd, sd)
+    A, b = corr[:k, :k], corr[:k, k]
+    beta = np.array(beta, dtype=float)
+    for _ in range(sweeps):
+        step = 0.0
+        for j in range(k):
+            if A[j, j] <= 0:  # a constant column
+                beta[j] = 0.0
+                continue
+            new = _soft(b[j] - A[j] @ beta + A[j, j] * beta[j], l1) / (A[j, j] + l2)
+            step, beta[j] = max(step, abs(new - beta[j])), new
+        if step < tol:
+            break
+    return m[:k], sd[:k], m[k], beta * sd[k], beta
+
+
+def elastic_grid(spark: SparkSession, df: DataFrame, feats: Sequence[str], y: str, fold: str,
+                 alphas: Sequence[float], l1_ratio: float = 0.5) -> DataFrame:
+    """M5: elastic-net alpha grid under (grouped) CV from one grouped Gram aggregate.
+
+    The rows are read for the means and the moments only; every (alpha, fold) fit is a coordinate
+    descent on the training folds' moments, from the fit of the next larger alpha. ``alpha`` is in
+    units of y, as Spark ML's ``regParam`` is. Returns (alpha, fold, r2, pooled_r2).
+    """
+    g = FoldGram(df, feats, y, fold)
+    rows = []
+    for f in sorted(g.folds):
+        n, s, Q = g.total(exclude=f)
+        sd_y = float(np.sqrt(max(Q[-1, -1] / n - (s[-1] / n) ** 2, 0.0))) if n else 0.0
+        beta = np.zeros(len(g.feats))
+        for a in sorted(alphas, reverse=True):
+            if sd_y == 0:  # nothing to learn from: the mean, or zero without rows
+                k = len(beta)
+                fit = np.zeros(k), np.ones(k), (s[-1] / n if n else 0.0), beta
+            else:
+                *fit, beta = _elastic_solve(n, s, Q, l1_ratio * a / sd_y, (1.0 - l1_ratio) * a / sd_y, beta)
+            rows.append((float(a), int(f), *_fold_errors(g.folds[f], *fit)))
+    return _grid_frame(spark, rows, _spread(g))
+
+
 def fair_irls(df: DataFrame, feats: Sequence[str], y: str, c_fair: float = 1.0, iters: int = 6) -> np.ndarray:
     """M8 (Fair loss): iteratively reweighted least squares, one weighted Gram aggregate per iteration.
 
@@ -436,6 +491,43 @@ def tune(df: DataFrame, feats: Sequence[str], y: str, fold: str, n_trials: int =
     return df.sparkSession.createDataFrame(rows, "trial int, max_depth int, step_size double, r2 double")
 
 
+def tune_pruned(df: DataFrame, feats: Sequence[str], y: str, fold: str, n_trials: int = 8, seed: int = 42,
+                startup: int = 3, draw=None) -> DataFrame:
+    """M18 with pruning: seeded draws, scored fold by fold, stopped by the median rule.
+
+    After each fold the trial's R^2 over the rows predicted so far is held against the median of
+    the earlier trials' R^2 after as many folds; a trial below it is stopped. The first ``startup``
+    trials run through. ``draw(rng)`` gives a trial's ``(depth, step, learner)``. Returns (trial,
+    max_depth, step_size, folds_scored, pruned, r2), with r2 over the folds scored.
+    """
+    from .metrics import regression_metrics
+
+    def default(rng):
+        depth, step = int(rng.integers(2, 6)), float(round(rng.uniform(0.05, 0.3), 3))
+        return depth, step, lambda: gbt(seed, depth=depth, step=step)
+
+    rng = np.random.default_rng(seed)
+    folds = sorted(r[0] for r in df.select(fold).distinct().collect())  # the k fold labels
+    reached: list[list[float]] = [[] for _ in folds]  # by folds scored, the scores of earlier trials
+    rows = []
+    for t in range(n_trials):
+        depth, step, make = (draw or default)(rng)
+        oof, scores, pruned = None, [], False
+        for i, k in enumerate(folds):
+            part, _, _ = cv_oof(df, feats, y, fold, make, only=[k])
+            oof = part if oof is None else oof.unionByName(part)
+            r2 = regression_metrics(oof, y, "pred").first()["r2"]
+            scores.append(0.0 if r2 is None else float(r2))
+            if t >= startup and reached[i] and scores[-1] < float(np.median(reached[i])) and i + 1 < len(folds):
+                pruned = True
+                break
+        for i, v in enumerate(scores):
+            reached[i].append(v)
+        rows.append((t, depth, step, len(scores), pruned, scores[-1] if scores else None))
+    return df.sparkSession.createDataFrame(
+        rows, "trial int, max_depth int, step_size double, folds_scored int, pruned boolean, r2 double")
+
+
 def refit_score(train: DataFrame, test: DataFrame, feats: Sequence[str], y: str, reg: float = 0.1,
                 id_col: str = "id") -> DataFrame:
     """Refit the chosen setting on all labelled rows and score the unlabelled table."""

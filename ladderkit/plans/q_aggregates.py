@@ -211,7 +211,7 @@ def top_bottom(spark, sf):
 
 
 # A17 -------------------------------------------------------------------------
-_OLS = ["f1", "f2", "f5", "f7"]
+_OLS = [f"f{i}" for i in range(1, 9)]
 
 
 def _ols_pair_sql(a, b):
@@ -231,7 +231,7 @@ def _ols_pair_sql(a, b):
 
 @register("ols_pairs", with_views("v_wide") + _union(_ols_pair_sql(a, b) for a, b in combinations(_OLS, 2)))
 def ols_pairs(spark, sf):
-    """OLS on standardised pairs (no intercept) from one Gram aggregate; solves on the driver."""
+    """OLS on every pair of standardised features (no intercept) from one Gram aggregate; solves on the driver."""
     mom = A.moments(v_wide(spark, sf), _OLS, "target")
     rows = []
     for i, j in combinations(range(len(_OLS)), 2):

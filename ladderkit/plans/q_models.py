@@ -132,18 +132,11 @@ def ablation(spark, sf):
 
 @register("elastic_grid")
 def elastic_grid(spark, sf):
-    """M5: elastic net (l1 ratio 0.5) alpha grid, R^2 per held-out fold and, with a null fold, pooled."""
-    d = _wide_folds(spark, sf)
-    rows = None
-    for a in (0.0001, 0.001, 0.01):
-        oof, _, _ = M.cv_oof(d, FEATS, "target", "fold",
-                             lambda: LinearRegression(labelCol="label", regParam=a, elasticNetParam=0.5, maxIter=50))
-        per = regression_metrics(oof, "target", "pred", ["fold"]).select(F.lit(a).alias("alpha"), "fold", rndf("r2").alias("r2"))
-        all_ = regression_metrics(oof, "target", "pred").select(F.lit(a).alias("alpha"), F.lit(None).cast("int").alias("fold"),
-                                                                rndf("r2").alias("r2"))
-        both = per.unionByName(all_)
-        rows = both if rows is None else rows.unionByName(both)
-    return rows
+    """M5: elastic net (l1 ratio 0.5) alpha grid from one Gram aggregate, R^2 per held-out fold and, with a
+    null fold, pooled."""
+    g = M.elastic_grid(spark, _wide_folds(spark, sf), FEATS, "target", "fold", [0.0001, 0.001, 0.01])
+    per = g.select("alpha", "fold", rndf("r2").alias("r2"))
+    return per.unionByName(g.select("alpha", F.lit(None).cast("int").alias("fold"), rndf("pooled_r2").alias("r2")).distinct())
 
 
 @register("cv_oof")
@@ -239,6 +232,13 @@ def tune(spark, sf):
     return _round_metrics(M.tune(_wide_folds(spark, sf), FEATS, "target", "fold"), ["trial", "max_depth"])
 
 
+@register("tune_pruned")
+def tune_pruned(spark, sf):
+    """Seeded search whose trials are scored fold by fold and stopped by the median rule."""
+    t = M.tune_pruned(_wide_folds(spark, sf), FEATS, "target", "fold", n_trials=5, startup=2)
+    return t.select("trial", "max_depth", "step_size", "folds_scored", "pruned", rndf("r2").alias("r2"))
+
+
 @register("compare_params")
 def compare_params(spark, sf):
     """Capacity comparison - boosted trees per parameter set, two folds scored, each by a model of the others."""

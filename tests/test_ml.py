@@ -231,3 +231,56 @@ def test_stack_fit_query_takes_every_oscillator(spark, monkeypatch):
     monkeypatch.setattr(M, "stack_fit", lambda wide, cols, y: given.append(cols) or whole(wide, cols, y))
     assert len(E.queries()["stack_fit"](spark, SF001).collect()) == 1
     assert given == [["p_gbt", "p_lr", "osc_0", "osc_1", "osc_2", "osc_3"]]
+
+
+def test_moments_equal_numpy_and_skip_rows_not_finite(spark):
+    from ladderkit.operators import aggregates as A
+    rng = np.random.default_rng(12)
+    X = rng.normal(size=(500, 40)) + rng.normal(size=40) * 1e4
+    names = [f"x{i}" for i in range(39)] + ["y"]
+    pdf = pd.DataFrame(X, columns=names)
+    bad = pdf.copy().iloc[:2]
+    bad.loc[bad.index[0], "x3"], bad.loc[bad.index[1], "y"] = np.nan, np.inf
+    mom = A.moments(spark.createDataFrame(pd.concat([pdf, bad])).repartition(4), names[:-1], "y")
+    assert mom["n"] == 500 and np.allclose(mom["mean"], X.mean(axis=0), rtol=1e-12)
+    assert np.allclose(mom["cov"], np.cov(X.T, bias=True), rtol=1e-8, atol=1e-9)
+    empty = A.moments(spark.createDataFrame(pdf).limit(0), names[:-1], "y")
+    assert empty["n"] == 0 and not empty["cov"].any()
+
+
+def test_elastic_grid_equals_spark_ml(spark):
+    df, _ = _data(spark)
+    feats, alphas = ["x1", "x2", "x3"], [0.001, 0.05, 0.4]
+    got = M.elastic_grid(spark, df, feats, "y", "fold", alphas).toPandas()
+    assert len(got) == 12
+    for a in alphas:
+        for k in range(4):
+            lr = LinearRegression(labelCol="label", regParam=a, elasticNetParam=0.5, maxIter=500, tol=1e-12)
+            m = M.make_pipeline(feats, lr).fit(df.filter(F.col("fold") != k).withColumn("label", F.col("y")))
+            te = m.transform(df.filter(F.col("fold") == k)).select("y", "prediction").toPandas()
+            r2 = 1 - ((te.y - te.prediction) ** 2).sum() / ((te.y - te.y.mean()) ** 2).sum()
+            assert abs(r2 - got[(got.alpha == a) & (got.fold == k)].r2.iloc[0]) < 1e-6
+
+
+def test_elastic_grid_drops_weak_features_and_takes_constants(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 2))
+    pdf = pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "k": 7.0, "y": 2.0 * x[:, 0] + rng.normal(size=400) * 0.1,
+                        "fold": np.arange(400) % 2})
+    g = M.FoldGram(spark.createDataFrame(pdf), ["a", "b", "k"], "y", "fold")
+    *_, beta = M._elastic_solve(*g.total(), 0.1, 0.1, np.zeros(3))
+    assert beta[0] > 0.5 and beta[1] == 0.0 and beta[2] == 0.0
+
+
+def test_pruning_stops_a_bad_trial_and_keeps_the_best(spark):
+    df, _ = _data(spark, n=400)
+
+    def draw(rng, seen=[]):
+        seen.append(1)
+        reg = [1.0, 0.5, 50.0, 0.0][len(seen) - 1]   # the third learns next to nothing, the last is the best
+        return 0, reg, lambda: LinearRegression(labelCol="label", regParam=reg, solver="normal")
+
+    got = M.tune_pruned(df, ["x1", "x2", "x3"], "y", "fold", n_trials=4, startup=2, draw=draw).toPandas()
+    assert got.pruned.tolist() == [False, False, True, False]
+    assert got.folds_scored.tolist() == [4, 4, 1, 4]
+    assert got.r2.idxmax() == 3
