@@ -443,3 +443,13 @@ def test_tiling_finds_reordered_passages(spark):
 def test_tiles_do_not_overlap(doc, item):
     got = decontaminate.tiles(np.array(doc, np.uint64), np.array(item, np.uint64), 2)
     assert sum(x[2] for x in got) == B.tiling(doc, item, 2)
+
+
+def test_a_stash_leaves_the_session_setting_as_it_was(spark):
+    for before in (None, "false", "true"):
+        if before is not None:
+            spark.conf.set(common.CLEANUP, before)
+        kept = spark.conf.get(common.CLEANUP, None)
+        out = common.stash(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "test")
+        assert out.count() == 7 and spark.conf.get(common.CLEANUP, None) == kept
+    spark.conf.unset(common.CLEANUP)
