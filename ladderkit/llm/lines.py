@@ -16,6 +16,9 @@ each of its prefix words, and afterwards only pairs with a line that is still op
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,7 @@ from .common import stash
 NUM, DEN = 75, 100
 BUCKETS = 1 << 18
 BROADCAST_ROWS = 500_000   # rows of a few numbers each
+SLICES = 4                 # parts of the words that are joined one after the other, to hold less disk at a time
 
 
 def _words(text: Column) -> Column:
@@ -88,6 +92,14 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _sliced(pairs: Callable[[Column], DataFrame]) -> DataFrame:
+    """The distinct rows of ``pairs(part)`` over all parts of the words, each part a write of its
+    own, whose shuffle files go before the next one starts."""
+    part = F.pmod(F.col("w"), F.lit(SLICES))
+    return stash(reduce(DataFrame.union, [stash(pairs(part == i).distinct(), "line-part") for i in range(SLICES)])
+                 .distinct(), "line-pairs")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, ranks: DataFrame, groups: DataFrame) -> DataFrame:
     """(late): the sets of ``pairs`` (x, y) that truly match a set at an earlier place. The whole
     sets are made again, from the documents where they stand first."""
@@ -136,22 +148,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
         return (g.select("s1", "n", "parity", *more, F.posexplode(F.slice("prefix", F.lit(1), length)).alias("place", "w")))
 
     # each line against the earliest line of each word of its shorter prefix
-    own = postings(groups, shorter, "doc", "line")
-    first = (own.groupBy("w").agg(F.min(F.struct("doc", "line", "s1", "n", "parity", "place")).alias("e"))
-             .select("w", F.col("e.s1").alias("s1"), F.col("e.n").alias("n"), F.col("e.parity").alias("parity"),
-                     F.col("e.place").alias("place")))
-    tried = (postings(groups, shorter).alias("a").join(first.alias("b"), "w")
-             .filter((F.col("a.s1") != F.col("b.s1")) & _passes("a", "b"))
-             .select(F.col("a.s1").alias("x"), F.col("b.s1").alias("y")).distinct())
-    late = stash(_verified(stash(tried, "line-pairs"), base, ranks, groups), "line-late")
+    def tried(part: Column) -> DataFrame:
+        own = postings(groups, shorter, "doc", "line").filter(part)
+        first = (own.groupBy("w").agg(F.min(F.struct("doc", "line", "s1", "n", "parity", "place")).alias("e"))
+                 .select("w", F.col("e.s1").alias("s1"), F.col("e.n").alias("n"), F.col("e.parity").alias("parity"),
+                         F.col("e.place").alias("place")))
+        return (postings(groups, shorter).filter(part).alias("a").join(first.alias("b"), "w")
+                .filter((F.col("a.s1") != F.col("b.s1")) & _passes("a", "b"))
+                .select(F.col("a.s1").alias("x"), F.col("b.s1").alias("y")))
+
+    late = stash(_verified(_sliced(tried), base, ranks, groups), "line-late")
     closed = late.withColumn("closed", F.lit(True))
     marked = groups.join(_small(closed, late.count()), "s1", "left").withColumn("open", F.col("closed").isNull())
-    a = postings(marked, shorter, "open").alias("a")
-    b = postings(marked, probe, "open").alias("b")
-    rest = a.join(b, (F.col("a.w") == F.col("b.w")) & F.expr("a.open or b.open")
-                  & F.expr("a.n < b.n or (a.n = b.n and a.s1 < b.s1)") & _passes("a", "b"))
-    rest = stash(rest.select(F.col("a.s1").alias("x"), F.col("b.s1").alias("y")).distinct(), "line-pairs")
-    late = stash(late.union(_verified(rest, base, ranks, groups)).distinct(), "line-late")
+
+    def rest(part: Column) -> DataFrame:
+        a = postings(marked, shorter, "open").filter(part).alias("a")
+        b = postings(marked, probe, "open").filter(part).alias("b")
+        return (a.join(b, (F.col("a.w") == F.col("b.w")) & F.expr("a.open or b.open")
+                       & F.expr("a.n < b.n or (a.n = b.n and a.s1 < b.s1)") & _passes("a", "b"))
+                .select(F.col("a.s1").alias("x"), F.col("b.s1").alias("y")))
+
+    late = stash(late.union(_verified(_sliced(rest), base, ranks, groups)).distinct(), "line-late")
 
     # a line stays if it stands at the first place of its set and no earlier line matches the set
     stay = groups.join(_small(late, late.count()), "s1", "left_anti").select("doc", "line", "hash")
