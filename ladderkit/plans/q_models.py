@@ -16,6 +16,7 @@ from ..functions.book import oscillators
 from ..functions.expr import clean, hash01, lit_d, rndf
 from ..operators import folds as Fo
 from ..operators import ml as M
+from ..operators import trees as T
 from ..operators.metrics import importance_mean, regression_metrics
 from ..operators.windows import forward_block
 from ..session import ensure_checkpoint_dir
@@ -147,6 +148,20 @@ def cv_oof(spark, sf):
     return _round_metrics(regression_metrics(oof, "target", "pred", ["fold"]), ["fold", "n"])
 
 
+@register("symmetric_trees")
+def symmetric_trees(spark, sf):
+    """M9: boosted symmetric trees (one cut a level) of all folds at once; out-of-fold metrics per fold."""
+    oof, _ = T.boosted_oof(_wide_folds(spark, sf), FEATS, "target", "fold", rounds=6, depth=4)
+    return _round_metrics(regression_metrics(oof, "target", "pred", ["fold"]), ["fold", "n"])
+
+
+@register("dart_trees")
+def dart_trees(spark, sf):
+    """M9: boosting that leaves out earlier trees by seed and rescales them; out-of-fold metrics per fold."""
+    oof, _ = T.boosted_oof(_wide_folds(spark, sf), FEATS, "target", "fold", rounds=8, depth=3, symmetric=False, drop=0.1)
+    return _round_metrics(regression_metrics(oof, "target", "pred", ["fold"]), ["fold", "n"])
+
+
 @register("importance_mean")
 def importance_mean_q(spark, sf):
     """Mean feature importance over folds (random forest, group folds)."""
