@@ -28,7 +28,7 @@ from .common import stash
 NUM, DEN = 75, 100
 BUCKETS = 1 << 18
 BROADCAST_ROWS = 500_000   # rows of a few numbers each
-SLICES = 4                 # parts of the words that are joined one after the other, to hold less disk at a time
+SLICES = 4                 # parts of the words, and of the pairs, that are joined one after the other, to hold less disk
 
 
 def _words(text: Column) -> Column:
@@ -118,9 +118,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, ranks: DataFrame, groups: DataF
     x = sets.select(F.col("s1").alias("x"), F.col("words").alias("xw"), F.col("at").alias("xa"))
     y = sets.select(F.col("s1").alias("y"), F.col("words").alias("yw"), F.col("at").alias("ya"))
     both = F.size(F.array_intersect("xw", "yw"))
-    return (pairs.join(x, "x").join(y, "y").withColumn("o", both)
-            .filter(f"{DEN} * o >= {NUM} * (size(xw) + size(yw) - o)").filter("xa <> ya")
-            .select(F.when(F.col("xa") < F.col("ya"), F.col("y")).otherwise(F.col("x")).alias("s1")).distinct())
+
+    def checked(i: int) -> DataFrame:   # a part of the pairs at a time, since each carries a set
+        part = pairs.filter(F.pmod("y", F.lit(SLICES)) == i)
+        return (part.join(y, "y").join(x, "x").withColumn("o", both)
+                .filter(f"{DEN} * o >= {NUM} * (size(xw) + size(yw) - o)").filter("xa <> ya")
+                .select(F.when(F.col("xa") < F.col("ya"), F.col("y")).otherwise(F.col("x")).alias("s1")).distinct())
+
+    return reduce(DataFrame.union, [stash(checked(i), "line-checked") for i in range(SLICES)]).distinct()
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
