@@ -40,9 +40,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item; rows are told apart by a hash of id and text, so ids may be null or equal."""
+    key = F.xxhash64("doc_id", "text")
+    found = decontaminate.contaminated(docs.withColumn("doc_id", key), table(spark, sf_dir, "benchmark"))
+    gone = found.select(F.col("doc_id").alias("__key")).distinct()
+    return docs.join(gone, key == F.col("__key"), "left_anti").select(*docs.columns)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The pipeline's stages, one by one, against brute force on the smallest tables."""
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from ladderkit.llm.common import stash, table
@@ -49,3 +50,13 @@ def test_empty_documents(spark):
         assert docs.count() == 0
         if "text" not in docs.columns:
             break
+
+
+def test_decontamination_tells_rows_of_null_and_equal_ids_apart(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").filter("text is not null").orderBy("doc_id").limit(40)
+    item = spark.read.parquet(f"{SF001}/benchmark.parquet").orderBy(F.length("text").desc()).first()["text"]
+    clean = P.drop_contaminated(spark, docs, SF001).checkpoint()
+    dirty = clean.limit(1).withColumn("text", F.lit(item))   # has the id of a clean document
+    nameless = dirty.withColumn("doc_id", F.lit(None).cast("long"))
+    out = P.drop_contaminated(spark, clean.unionByName(dirty).unionByName(nameless), SF001)
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in clean.collect())
