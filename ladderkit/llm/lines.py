@@ -6,8 +6,8 @@ as its bucket's rank and the rest of its hash, so sorting a line's numbers puts
 Lines of equal sets are collapsed to their first place. Two lines match at a Jaccard similarity
 of ``NUM / DEN``; then they share a word in the prefixes that the threshold leaves, the smaller
 in its shorter one. Pairs that meet pass the length and positional filters and the parity
-filter (64 parities of the words' hashes cannot differ in more places than the sets) and are
-verified on the whole sets. A line goes when any line at an earlier place matches it, whether
+filter (128 parities of the words' hashes cannot differ in more places than the sets; with 64,
+lines of over 80 words pass that have nothing else in common) and are verified on the whole sets. A line goes when any line at an earlier place matches it, whether
 that one stays or not; places are in the order of doc_id, line number and the line's hash.
 
 Groups of similar lines do not pair up: each line is tried first against the earliest line of
@@ -28,7 +28,7 @@ from .common import stash
 NUM, DEN = 75, 100
 BUCKETS = 1 << 18
 BROADCAST_ROWS = 500_000   # rows of a few numbers each
-SLICES = 4                 # parts of the words, and of the pairs, that are joined one after the other, to hold less disk
+SLICES = 4                 # parts of the words whose postings are joined one after the other, to hold less disk
 
 
 def _words(text: Column) -> Column:
@@ -56,8 +56,14 @@ def _ranks(docs: DataFrame) -> DataFrame:
     return full.agg(F.transform(packed, lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int")).alias("ranks"))
 
 
-def _lines(docs: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(doc, line, hash, s1, n, words) of every line with a word: words as numbers in the order of rarity."""
+def _split(docs: DataFrame) -> DataFrame:
+    """(doc, line, t, hash) of every line with a word."""
+    return (docs.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line", "t"))
+            .filter(_worded(F.col("t"))).select("doc", "line", "t", F.xxhash64("t").alias("hash")))
+
+
+def _sets(split: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(doc, line, hash, s1, n, words) of split lines: words as numbers in the order of rarity."""
 
     def number(w: Column) -> Column:
         h = F.xxhash64(w)
@@ -66,12 +72,16 @@ def _lines(docs: DataFrame, ranks: DataFrame) -> DataFrame:
         return F.coalesce(F.shiftleft(rank.cast("long"), 45).bitwiseOR(F.shiftrightunsigned(h, 19)), F.lit(0).cast("long"))
 
     words = F.sort_array(F.array_distinct(F.transform(_words(F.col("t")), number)))
-    return (docs.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line", "t"))
-            .filter(_worded(F.col("t"))).select("doc", "line", "t", ranks.scalar().alias("ranks"))
-            .select("doc", "line", F.xxhash64("t").alias("hash"), words.alias("words"))
+    return (split.withColumn("ranks", ranks.scalar()).select("doc", "line", "hash", words.alias("words"))
             .select("doc", "line", "hash", F.xxhash64("words").alias("s1"), F.size("words").alias("n"), "words"))
 
 
+def _parities(bit: Callable[[Column], Column]) -> Column:
+    """64 parities of the words, each at the place of its lowest six bits, of the words whose ``bit`` is 1."""
+    return F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(
+        F.call_function("shiftleft", bit(w).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
+
+
 def _need(n: str, other: str | None = None) -> str:
     """SQL for the least overlap: of a set of ``n`` with any match, or with one of ``other`` words."""
     if other is None:
@@ -84,7 +94,8 @@ def _passes(a: str, b: str) -> Column:
     na, nb, need = f"{a}.n", f"{b}.n", _need(f"{a}.n", f"{b}.n")
     return (F.expr(f"{DEN} * least({na}, {nb}) >= {NUM} * greatest({na}, {nb})")
             & F.expr(f"1 + least({na} - {a}.place - 1, {nb} - {b}.place - 1) >= {need}")
-            & F.expr(f"bit_count({a}.parity ^ {b}.parity) <= {na} + {nb} - 2 * {need}"))
+            & F.expr(f"bit_count({a}.parity ^ {b}.parity) <= {na} + {nb} - 2 * {need}")
+            & F.expr(f"bit_count({a}.parity ^ {b}.parity ^ {a}.odd ^ {b}.odd) + bit_count({a}.odd ^ {b}.odd) <= {na} + {nb} - 2 * {need}"))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -107,25 +118,23 @@ def _verified(pairs: DataFrame, docs: DataFrame, ranks: DataFrame, groups: DataF
                  .join(groups.select("s1", "doc", "line", "hash"), "s1"), "line-need")
     rows = need.count()
     if rows <= BROADCAST_ROWS:
+        place = F.broadcast(need.select(*[F.col(c).alias(f"need_{c}") for c in ("doc", "line", "hash")]))
         ids = F.broadcast(need.select(F.col("doc").alias("need_doc")).distinct())
-        made = _lines(docs.join(ids, F.col("doc").eqNullSafe(F.col("need_doc")), "left_semi"), ranks)
+        split = (_split(docs.join(ids, F.col("doc").eqNullSafe(F.col("need_doc")), "left_semi"))
+                 .join(place, F.expr("doc <=> need_doc and line = need_line and hash = need_hash"), "left_semi"))
     else:   # texts stay where they are: a table of fixed size passes nearly only the lines that are needed
-        bits = pii.bit_table(need.select(F.col("s1").alias("w")))
-        made = _lines(docs, ranks).withColumn("bits", bits.scalar()).filter(pii.in_bit_table(F.col("s1"), "bits"))
+        at = F.xxhash64("doc", "line", "hash")
+        bits = pii.bit_table(need.select(at.alias("w")))
+        split = _split(docs).withColumn("bits", bits.scalar()).filter(pii.in_bit_table(at, "bits")).drop("bits")
+    made = _sets(split, ranks)
     sets = (made.select("s1", "n", "words").join(_small(need.select("s1"), rows), "s1", "left_semi")
             .dropDuplicates(["s1"]).join(need, "s1").withColumn("at", F.struct("doc", "line", "hash")).drop("doc", "line", "hash"))
     sets = stash(sets, "line-sets")
     x = sets.select(F.col("s1").alias("x"), F.col("words").alias("xw"), F.col("at").alias("xa"))
     y = sets.select(F.col("s1").alias("y"), F.col("words").alias("yw"), F.col("at").alias("ya"))
-    both = F.size(F.array_intersect("xw", "yw"))
-
-    def checked(i: int) -> DataFrame:   # a part of the pairs at a time, since each carries a set
-        part = pairs.filter(F.pmod("y", F.lit(SLICES)) == i)
-        return (part.join(y, "y").join(x, "x").withColumn("o", both)
-                .filter(f"{DEN} * o >= {NUM} * (size(xw) + size(yw) - o)").filter("xa <> ya")
-                .select(F.when(F.col("xa") < F.col("ya"), F.col("y")).otherwise(F.col("x")).alias("s1")).distinct())
-
-    return reduce(DataFrame.union, [stash(checked(i), "line-checked") for i in range(SLICES)]).distinct()
+    return (pairs.join(y, "y").join(x, "x").withColumn("o", F.size(F.array_intersect("xw", "yw")))
+            .filter(f"{DEN} * o >= {NUM} * (size(xw) + size(yw) - o)").filter("xa <> ya")
+            .select(F.when(F.col("xa") < F.col("ya"), F.col("y")).otherwise(F.col("x")).alias("s1")).distinct())
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -138,26 +147,25 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     """
     base = docs.select(F.col(id_col).alias("doc"), F.col(text).alias("text"))
     ranks = stash(_ranks(base), "ranks")
-    lines = _lines(base, ranks)
+    lines = _sets(_split(base), ranks)
     probe = F.expr(f"n - {_need('n')} + 1")
     # lines of equal sets, at their first place; the prefix and the parities follow from the set
-    parity = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(
-        F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
-    groups = (lines.select("s1", "n", "doc", "line", "hash", parity.alias("parity"), F.slice("words", F.lit(1), probe).alias("prefix"))
-              .groupBy("s1", "n", "parity", "prefix").agg(F.min(F.struct("doc", "line", "hash")).alias("at"))
-              .select("s1", "n", "parity", "prefix", "at.doc", "at.line", "at.hash"))
+    parity, odd = _parities(lambda w: F.lit(1)), _parities(lambda w: F.getbit(w, F.lit(6)))
+    groups = (lines.select("s1", "n", "doc", "line", "hash", parity.alias("parity"), odd.alias("odd"),
+                           F.slice("words", F.lit(1), probe).alias("prefix"))
+              .groupBy("s1", "n", "parity", "odd", "prefix").agg(F.min(F.struct("doc", "line", "hash")).alias("at"))
+              .select("s1", "n", "parity", "odd", "prefix", "at.doc", "at.line", "at.hash"))
     groups = stash(groups, "line-groups")
     shorter = F.expr(f"n - {_need('n', 'n')} + 1")
 
     def postings(g: DataFrame, length: Column, *more: str) -> DataFrame:
-        return (g.select("s1", "n", "parity", *more, F.posexplode(F.slice("prefix", F.lit(1), length)).alias("place", "w")))
+        return (g.select("s1", "n", "parity", "odd", *more, F.posexplode(F.slice("prefix", F.lit(1), length)).alias("place", "w")))
 
     # each line against the earliest line of each word of its shorter prefix
     def tried(part: Column) -> DataFrame:
         own = postings(groups, shorter, "doc", "line").filter(part)
-        first = (own.groupBy("w").agg(F.min(F.struct("doc", "line", "s1", "n", "parity", "place")).alias("e"))
-                 .select("w", F.col("e.s1").alias("s1"), F.col("e.n").alias("n"), F.col("e.parity").alias("parity"),
-                         F.col("e.place").alias("place")))
+        first = (own.groupBy("w").agg(F.min(F.struct("doc", "line", "s1", "n", "parity", "odd", "place")).alias("e"))
+                 .select("w", "e.s1", "e.n", "e.parity", "e.odd", "e.place"))
         return (postings(groups, shorter).filter(part).alias("a").join(first.alias("b"), "w")
                 .filter((F.col("a.s1") != F.col("b.s1")) & _passes("a", "b"))
                 .select(F.col("a.s1").alias("x"), F.col("b.s1").alias("y")))
@@ -177,8 +185,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     # a line stays if it stands at the first place of its set and no earlier line matches the set
     stay = groups.join(_small(late, late.count()), "s1", "left_anti").select("doc", "line", "hash")
-    every = (base.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line", "t"))
-             .filter(_worded(F.col("t"))).select("doc", "line", F.xxhash64("t").alias("hash")))
+    every = _split(base).select("doc", "line", "hash")
     gone = (every.alias("e").join(stay.alias("s"), F.expr("e.doc <=> s.doc and e.line = s.line and e.hash = s.hash"), "left_anti")
             .groupBy("doc").agg(F.collect_set(F.xxhash64("line", "hash")).alias("__gone"))
             .select(F.col("doc").alias("__doc"), "__gone"))
