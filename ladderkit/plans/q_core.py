@@ -112,7 +112,28 @@ def head_rows(spark, sf):
     return head(v_ticks(spark, sf), 10, ["t", "id"]).select("id", "price")
 
 
-@register("schema_diff")
+def _schema_side(view: str, where: str, drop: str, side: str) -> list[str]:
+    """CTEs of one side: its types under Spark's names, and its non-null counts (none for ``t``)."""
+    types = f"SELECT any_value(typeof(COLUMNS('(.*)'))) AS '\\1' FROM {side}_rows"
+    counts = f"SELECT COUNT(COLUMNS('(.*)')) AS '\\1' FROM (SELECT * EXCLUDE (t) FROM {side}_rows)"
+    return [f"{side}_rows AS (SELECT * EXCLUDE ({drop}) FROM {view} WHERE {where})",
+            f"{side}_types AS (UNPIVOT ({types}) ON COLUMNS(*) INTO NAME name VALUE type)",
+            f"{side}_counts AS (UNPIVOT ({counts}) ON COLUMNS(*) INTO NAME name VALUE n)"]
+
+
+def _spark_type(side: str) -> str:
+    return (f"CASE {side}_types.type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' "
+            f"ELSE lower({side}_types.type) END AS {side}_type")
+
+
+@register("schema_diff", with_views("v_ticks", extra=[
+    *_schema_side("v_ticks", "is_test = 0", "is_test", "left"),
+    *_schema_side("v_ticks", "is_test = 1", "target, is_test, s2_l1", "right")]) + f"""
+SELECT coalesce(left_types.name, right_types.name) AS "column",
+       CASE WHEN right_types.name IS NULL THEN 'left_only' WHEN left_types.name IS NULL THEN 'right_only' ELSE 'both' END AS status,
+       {_spark_type("left")}, {_spark_type("right")}, left_counts.n AS left_non_null, right_counts.n AS right_non_null
+FROM left_types FULL JOIN right_types ON left_types.name = right_types.name
+LEFT JOIN left_counts ON left_counts.name = left_types.name LEFT JOIN right_counts ON right_counts.name = right_types.name""")
 def schema_diff(spark, sf):
     """S13 + U4: column-set comparison of the train and test sides, with each side's non-null count per
     column (one unpivoted aggregate per side, so the work grows with the tables)."""
