@@ -313,7 +313,7 @@ def refit_score(spark, sf):
     return p.select("id", rndf("pred").alias("pred"))
 
 
-@register("save_load")
+@register("save_load", with_views("v_wide") + "SELECT COUNT(*) AS n, CAST(0.0 AS DOUBLE) AS max_abs_diff FROM v_wide")
 def save_load(spark, sf):
     """Persist a fitted pipeline to the shared folder, load it, check identical predictions."""
     d = v_wide(spark, sf).withColumn("label", F.col("target"))
