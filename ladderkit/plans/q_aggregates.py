@@ -292,15 +292,11 @@ def _ridge_sql(feats: list[str], y: str, view: str, ridge: float) -> str:
     """Standardised ridge in SQL: normal equations from pair covariances, solved by Gauss-Jordan steps
     of a recursive CTE (positive definite, so the pivots are the diagonal)."""
     k = len(feats)
-    sd = {f: f"COALESCE(NULLIF(STDDEV_POP({f}), 0), 1)" for f in feats}
-    rows = [[f"COUNT(*) * COVAR_POP({a}, {b}) / ({sd[a]} * {sd[b]})" + (f" + {ridge}" if a == b else "") for b in feats]
-            + [f"COUNT(*) * COVAR_POP({a}, {y}) / {sd[a]}"] for a in feats]
-    matrix = "[" + ", ".join("[" + ", ".join(r) + "]" for r in rows) + "]"
     return with_views(view, extra=[
-        f"eq AS (SELECT COUNT(*) * VAR_POP({y}) AS sst, COUNT(*) * (VAR_POP({y}) + AVG({y}) * AVG({y})) AS yy, {matrix} AS m FROM {view})",
-        f"""solve AS (SELECT 1 AS k, m FROM eq UNION ALL
-  SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / r[k])
-    ELSE list_transform(r, lambda v, j: v - r[k] / m[k][k] * m[k][j]) END) FROM solve WHERE k <= {k})""",
+        f"eq AS (SELECT COUNT(*) * VAR_POP({y}) AS sst, COUNT(*) * (VAR_POP({y}) + AVG({y}) * AVG({y})) AS yy, "
+        f"{S.normal_equations(feats, y)} AS m FROM {view})",
+        f"solve AS (SELECT 1 AS k, {S.add_ridge('m', str(ridge))} AS m FROM eq UNION ALL "
+        f"SELECT k + 1, {S.solve_step('m', 'k')} FROM solve WHERE k <= {k})",
         f"beta AS (SELECT list_transform(m, lambda r: r[{k + 1}]) AS b FROM solve WHERE k = {k + 1})",
         f"""fit AS (SELECT b, 1 - (yy - list_sum(list_transform(b, lambda v, i: v * m[i][{k + 1}]))
     - {ridge} * list_sum(list_transform(b, lambda v: v * v))) / sst AS r2 FROM beta, eq)""",

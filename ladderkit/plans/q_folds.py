@@ -59,7 +59,8 @@ def group_kfold(spark, sf):
     return g.groupBy("grp", "fold").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-_GREEDY_SQL = with_views("v_wide").replace("WITH ", "WITH RECURSIVE ", 1) + """
+#: Greedy folds of the groups of v_wide, as s (grp, n, r) and g (r, loads, grp, fold).
+GREEDY_CTES = with_views("v_wide").replace("WITH ", "WITH RECURSIVE ", 1) + """
 , s AS (SELECT grp, COUNT(*) AS n, row_number() OVER (ORDER BY COUNT(*) DESC, grp) AS r FROM v_wide GROUP BY grp),
 g(r, loads, grp, fold) AS (
   SELECT CAST(0 AS BIGINT), [0, 0, 0, 0, 0]::BIGINT[], CAST(NULL AS INTEGER), CAST(NULL AS INTEGER)
@@ -69,7 +70,8 @@ g(r, loads, grp, fold) AS (
                                             THEN g.loads[i + 1] + s.n ELSE g.loads[i + 1] END),
          s.grp, CAST(list_position(g.loads, list_min(g.loads)) - 1 AS INTEGER)
   FROM g JOIN s ON s.r = g.r + 1)
-SELECT g.fold, CAST(SUM(s.n) AS BIGINT) AS n_rows, CAST(COUNT(*) AS BIGINT) AS n_groups
+"""
+_GREEDY_SQL = GREEDY_CTES + """SELECT g.fold, CAST(SUM(s.n) AS BIGINT) AS n_rows, CAST(COUNT(*) AS BIGINT) AS n_groups
 FROM g JOIN s ON s.grp = g.grp GROUP BY g.fold"""
 
 

@@ -22,6 +22,7 @@ from ..operators.windows import forward_block
 from ..session import ensure_checkpoint_dir
 from . import sqlgen as S
 from .fixtures import v_preds, v_ticks, v_wide, with_views
+from .q_folds import GREEDY_CTES
 from .registry import register
 
 FEATS = [f"f{i}" for i in range(1, 9)]
@@ -105,7 +106,28 @@ def quantile_normal(spark, sf):
     return q.select("id", rndf("qnorm").alias("qnorm"))
 
 
-@register("ridge_grid")
+def _grid_ctes(feats, alphas, tag=""):
+    """CTEs of a ridge grid under the greedy folds: errors (alpha, fold, sse, sst) per held-out fold as ``err<tag>``."""
+    k = len(feats)
+    pred = " + ".join(f"m[{i}][{k + 1}] * ({f} - mean[{i}]) / sd[{i}]" for i, f in enumerate(feats, 1))
+    means, sds = ", ".join(f"AVG({f})" for f in feats), ", ".join(S.pop_std(f) for f in feats)
+    return f"""
+, eq{tag} AS (SELECT held AS fold, AVG(target) AS ybar, [{means}] AS mean, [{sds}] AS sd, {S.normal_equations(feats, "target")} AS m
+  FROM train GROUP BY held),
+solve{tag} AS (SELECT alpha, fold, 1 AS k, {S.add_ridge("m", "alpha")} AS m FROM eq{tag}, (SELECT unnest({alphas}::DOUBLE[]) AS alpha)
+  UNION ALL SELECT alpha, fold, k + 1, {S.solve_step("m", "k")} FROM solve{tag} WHERE k <= {k}),
+err{tag} AS (SELECT alpha, fold, SUM((target - ybar - ({pred})) ** 2) AS sse, COUNT(*) * VAR_POP(target) AS sst
+  FROM (SELECT alpha, fold, m FROM solve{tag} WHERE k = {k + 1}) JOIN (SELECT fold, ybar, mean, sd FROM eq{tag}) USING (fold)
+  JOIN folded USING (fold) GROUP BY alpha, fold)"""
+
+
+_FOLDED = GREEDY_CTES + """, folded AS (SELECT v_wide.*, g.fold FROM v_wide JOIN g USING (grp)),
+train AS (SELECT h.fold AS held, folded.* FROM folded JOIN (SELECT DISTINCT fold FROM folded) h ON folded.fold <> h.fold)"""
+
+
+@register("ridge_grid", _FOLDED + _grid_ctes(FEATS, ALPHAS) + f"""
+SELECT alpha, fold, {S.rf("1 - sse / sst")} AS r2,
+       {S.rf("1 - SUM(sse) OVER (PARTITION BY alpha) / (SELECT COUNT(*) * VAR_POP(target) FROM folded)")} AS pooled_r2 FROM err""")
 def ridge_grid(spark, sf):
     """M4: ridge alpha grid under group 5-fold CV from one grouped Gram aggregate."""
     return _round_metrics(M.ridge_grid(spark, _wide_folds(spark, sf), FEATS, "target", "fold", ALPHAS),
@@ -119,7 +141,9 @@ def ridge_grid_winsor(spark, sf):
     return _round_metrics(g, ["alpha", "fold"])
 
 
-@register("ablation")
+@register("ablation", _FOLDED + _grid_ctes(BASE_FEATS, [1.0, 100.0], "_base") + _grid_ctes(FEATS, [1.0, 100.0], "_all")
+          + " UNION ALL ".join(f"""
+SELECT alpha, {S.rf("AVG(1 - sse / sst)")} AS mean_r2, '{name}' AS feature_set FROM err_{name} GROUP BY alpha""" for name in ("base", "all")))
 def ablation(spark, sf):
     """Base columns only vs all columns, mean held-out R^2 per alpha."""
     d = _wide_folds(spark, sf)
