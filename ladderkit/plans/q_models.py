@@ -328,7 +328,23 @@ def forward_regression(spark, sf):
     return spark.createDataFrame(rows, "term string, coef double").select("term", rndf("coef").alias("coef"))
 
 
-@register("refit_score")
+def _refit_sql(feats, reg=0.1):
+    """The fit that Spark ML's normal solver defines: penalty ``reg`` / sd(y) on the correlation matrix."""
+    k = len(feats)
+    pred = " + ".join(f"m[{i}][{k + 1}] * ({f} - mean[{i}]) / sd[{i}]" for i, f in enumerate(feats, 1))
+    means, sds = ", ".join(f"AVG({f})" for f in feats), ", ".join(S.pop_std(f) for f in feats)
+    u = "CAST(('0x' || substr(md5('42:' || CAST(id AS VARCHAR)), 1, 8)) AS UBIGINT) / 4294967296.0"
+    return with_views("v_wide", extra=[
+        f"u AS (SELECT *, {u} < 0.2 AS hold FROM v_wide)",
+        f"""eq AS (SELECT AVG(target) AS ybar, COUNT(*) * {reg} / STDDEV_POP(target) AS penalty, [{means}] AS mean, [{sds}] AS sd,
+  {S.normal_equations(feats, "target")} AS m FROM u WHERE NOT hold)""",
+        f"""solve AS (SELECT 1 AS k, {S.add_ridge("m", "penalty")} AS m FROM eq UNION ALL
+  SELECT k + 1, {S.solve_step("m", "k")} FROM solve WHERE k <= {k})""",
+    ]).replace("WITH ", "WITH RECURSIVE ", 1) + f"""SELECT id, {S.rf(f"ybar + {pred}")} AS pred
+FROM u, (SELECT ybar, mean, sd FROM eq), (SELECT m FROM solve WHERE k = {k + 1}) WHERE hold"""
+
+
+@register("refit_score", _refit_sql(FEATS))
 def refit_score(spark, sf):
     """Refit on all labelled rows and score the unlabelled ones."""
     d = v_wide(spark, sf)
