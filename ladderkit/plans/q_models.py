@@ -313,7 +313,25 @@ def drift_rank(spark, sf):
     return r.select("feature", "batch", "rank", "dropped", rndf("importance").alias("importance"), rndf("auc").alias("auc"))
 
 
-@register("forward_regression")
+def _forward_sql(n, reg):
+    """Coefficients by the normal solver's definition: penalty ``reg`` / sd(y) on the correlation matrix."""
+    cols = [f"fwd_{i}" for i in range(1, n + 1)]
+    ratios = ", ".join(f"{S.nz(f'lead(price, {i}) OVER w - price', 'ABS(price) + 1e-8')} AS {c}" for i, c in enumerate(cols, 1))
+    means, sds = ", ".join(f"AVG({c})" for c in cols), ", ".join(S.pop_std(c) for c in cols)
+    coef = "list_transform(solve.m, lambda r, i: r[{0}] / sd[i])".format(n + 1)
+    return with_views("v_ticks", extra=[
+        f"f AS (SELECT target, is_test, {ratios} FROM v_ticks WINDOW w AS (PARTITION BY grp ORDER BY t, id))",
+        f"""eq AS (SELECT AVG(target) AS ybar, COUNT(*) * {reg} / STDDEV_POP(target) AS penalty, [{means}] AS mean, [{sds}] AS sd,
+  {S.normal_equations(cols, "target")} AS m FROM f WHERE is_test = 0 AND target IS NOT NULL)""",
+        f"""solve AS (SELECT 1 AS k, {S.add_ridge("m", "penalty")} AS m FROM eq UNION ALL
+  SELECT k + 1, {S.solve_step("m", "k")} FROM solve WHERE k <= {n})""",
+        f"fit AS (SELECT ybar, mean, {coef} AS b FROM solve, eq WHERE k = {n + 1})",
+    ]).replace("WITH ", "WITH RECURSIVE ", 1) + "".join(
+        f"SELECT '{c}' AS term, {S.rf(f'b[{i}]')} AS coef FROM fit UNION ALL " for i, c in enumerate(cols, 1)) + (
+        f"SELECT 'intercept' AS term, {S.rf('ybar - list_sum(list_transform(b, lambda v, i: v * mean[i]))')} AS coef FROM fit")
+
+
+@register("forward_regression", _forward_sql(19, 0.001))
 def forward_regression(spark, sf):
     """M6: ridge of the target on the next 19 price ratios (W3); coefficients."""
     fb = forward_block(v_ticks(spark, sf), "price", ["grp"], ["t", "id"], 19).filter("is_test = 0")
