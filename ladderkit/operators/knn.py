@@ -40,13 +40,14 @@ MIN_LEAVES = 16
 PIVOT_BYTES = 1 << 24
 CHUNK_BYTES = 1 << 25
 TILE_BYTES = 1 << 23
+PROBE_TILE = 256
 
 _PAIR_SCHEMA = "probe_id long, base_id long, dist double"
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
     """Rows of a list column as a matrix of doubles."""
-    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(col), -1)
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -96,50 +97,179 @@ def _tree(base: DataFrame, n_pivots: int | None) -> tuple[Tree | None, int]:
     return Tree.of(pivots, len(pivots) if n_pivots else math.isqrt(max(0, len(pivots) - 1)) + 1), shape["n"]
 
 
+@dataclass
+class _Base:
+    """Base rows of a task: vectors, ids, and the vectors about their centre beside their squared lengths."""
+    rows: np.ndarray
+    ids: np.ndarray
+    centre: np.ndarray
+    about: np.ndarray
+
+    @classmethod
+    def of(cls, b: np.ndarray, bid: np.ndarray) -> _Base:
+        centre = b.mean(axis=0)          # near the data the terms are small, and so is their rounding
+        about = np.empty((len(b), b.shape[1] + 1))
+        np.subtract(b, centre, out=about[:, :-1])
+        np.einsum("ij,ij->i", about[:, :-1], about[:, :-1], out=about[:, -1])
+        return cls(b, bid, centre, about)
+
+
+def _slack(dim: int, sq: np.ndarray, most: float) -> np.ndarray:
+    """What |q|^2 + |b|^2 - 2 q.b may be off by."""
+    return 8 * (dim + 4) * np.finfo(float).eps * (sq + most)
+
+
 def _tile_topk(q: np.ndarray, pid: np.ndarray, b: np.ndarray, bid: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """(probe_id, base_id, dist): the k nearest of ``b`` for each row of ``q``, by exact distances.
+    """(probe_id, base_id, dist): the k nearest of ``b`` for each row of ``q``."""
+    return _nearest(q, pid, _Base.of(b, bid), k)
+
+
+def _nearest(q: np.ndarray, pid: np.ndarray, base: _Base, k: int, tau: np.ndarray | None = None,
+             at: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(probe_id, base_id, dist): the k nearest of ``base`` for each row of ``q``, by exact distances.
+    ``tau`` bounds the distances that are wanted, ``at`` names the base rows to look at.
 
     Distances are made in tiles of at most ``TILE_BYTES``; |q|^2 + |b|^2 - 2 q.b may be off by a
     few roundings of its terms, so all rows within that of the k-th are kept and ranked again."""
     out = []
     dim = q.shape[1]
+    total = len(base.rows) if at is None else len(at)
     # at most half the bytes a side of the tile, for its vectors as for its distances
-    n_b = max(1, min(len(b), TILE_BYTES // (16 * max(dim, 1)), 1 << 13))
+    n_b = max(1, min(total, TILE_BYTES // (16 * max(dim, 1)), 1 << 12))
     n_q = max(1, min(len(q), TILE_BYTES // (16 * n_b)))
-    centre = b.mean(axis=0)          # near the data the terms are small, and so is their rounding
-    b_sq = ((b - centre) ** 2).sum(axis=1)
+    step = max(1, TILE_BYTES // (16 * max(dim, 1)))
     for lo in range(0, len(q), n_q):
         part = q[lo:lo + n_q]
-        shifted = part - centre
-        q_sq = (shifted ** 2).sum(axis=1)
+        turned = np.empty((len(part), dim + 1))
+        np.subtract(part, base.centre, out=turned[:, :-1])
+        q_sq = (turned[:, :-1] ** 2).sum(axis=1)
+        turned[:, :-1] *= -2
+        turned[:, -1] = 1
+        bound = np.full(len(part), np.inf) if tau is None else np.where(np.isnan(tau[lo:lo + n_q]), np.inf, tau[lo:lo + n_q])
         best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        for at in range(0, len(b), n_b):
-            tile = b[at:at + n_b]
-            near = shifted @ (tile - centre).T
-            near *= -2
-            near += b_sq[at:at + n_b]
-            near += q_sq[:, None]
-            slack = 8 * (dim + 4) * np.finfo(float).eps * (q_sq + b_sq[at:at + n_b].max())
-            if near.shape[1] > k:
-                cut = np.partition(near, k - 1, axis=1)[:, k - 1]
-                rows, cols = np.nonzero(near <= (cut + 2 * slack)[:, None])
-            else:
-                rows, cols = (v.ravel() for v in np.indices(near.shape))
-            exact = np.empty(len(rows))
-            step = max(1, TILE_BYTES // (16 * max(dim, 1)))
+        more, waiting = [], 0
+        for i in range(0, total, n_b):
+            some = slice(i, i + n_b) if at is None else at[i:i + n_b]
+            about = base.about[some]
+            near = turned @ about.T          # less |q|^2
+            slack = 2 * _slack(dim, q_sq, about[:, -1].max())
+            cut = bound ** 2 * (1 + 1e-12) - q_sq
+            if near.shape[1] > k and np.isinf(bound).any():
+                cut = np.minimum(cut, np.partition(near, k - 1, axis=1)[:, k - 1])
+            rows, cols = np.nonzero(near <= (cut + slack)[:, None])
+            tile = base.rows[some]
+            dist = np.empty(len(rows))
             for s in range(0, len(rows), step):
-                exact[s:s + step] = ((part[rows[s:s + step]] - tile[cols[s:s + step]]) ** 2).sum(axis=1)
-            rows = np.concatenate([best[0], rows])
-            cols = np.concatenate([best[1], bid[at + cols]])
-            exact = np.concatenate([best[2], exact])
-            order = np.lexsort((cols, exact, rows))
-            rows = rows[order]
-            keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-            best = (rows[keep], cols[order][keep], exact[order][keep])
-        out.append((pid[lo + best[0]], best[1], np.sqrt(best[2])))
+                dist[s:s + step] = ((part[rows[s:s + step]] - tile[cols[s:s + step]]) ** 2).sum(axis=1)
+            more.append((rows, base.ids[some][cols], np.sqrt(dist)))
+            waiting += len(rows)
+            if waiting > 2 * k * len(part) or i + n_b >= total:
+                rows, ids, dist = (np.concatenate(c) for c in zip(best, *more))
+                order = np.lexsort((ids, dist, rows))
+                rows = rows[order]
+                rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                best = tuple(v[rank < k] for v in (rows, ids[order], dist[order]))
+                last = rank == k - 1
+                bound[rows[last]] = np.minimum(bound[rows[last]], dist[order][last])
+                more, waiting = [], 0
+        out.append((pid[lo + best[0]], best[1], best[2]))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+def _below(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of the rows of ``x`` to the pivots, less what their rounding may add."""
+    centre = pivots.mean(axis=0)
+    xc, pc = x - centre, pivots - centre
+    x_sq, p_sq = (xc ** 2).sum(axis=1), (pc ** 2).sum(axis=1)
+    sq = xc @ (-2 * pc.T)
+    sq += p_sq
+    sq += (x_sq - _slack(x.shape[1], x_sq, p_sq.max()))[:, None]
+    return np.sqrt(np.maximum(sq, 0, out=sq), out=sq)
+
+
+def _reach(tau: np.ndarray) -> np.ndarray:
+    """How near a ball must come, with room for rounding; anything where no k rows are known."""
+    return np.where(np.isnan(tau), np.inf, tau * (1 + 1e-9) + 1e-12)
+
+
+def _block_topk(tree: Tree, radius: np.ndarray, k: int):
+    """Top-k of a block's probes: the probes go through it in tiles of neighbours, each over the leaves
+    whose ball reaches within ``tau`` of one of them."""
+    def fn(probes: pa.Table, base: pa.Table) -> pa.Table:
+        out = []
+        if probes.num_rows and base.num_rows:
+            b, leaf, bid = _matrix(base["_bv"].combine_chunks()), base["part"].to_numpy(), base["_bid"].to_numpy()
+            kept = np.flatnonzero(np.isfinite(b).all(axis=1))
+            order = kept[np.argsort(leaf[kept], kind="stable")]
+            held, leaf = _Base.of(b[order], bid[order]) if len(order) else None, leaf[order]
+            here, size = np.unique(leaf, return_counts=True)
+            del b
+            q, pid, tau = _matrix(probes["_qv"].combine_chunks()), probes["_pid"].to_numpy(), probes["tau"].to_numpy()
+            wanted = np.flatnonzero(np.isfinite(q).all(axis=1)) if len(here) else np.zeros(0, np.int64)
+            pivots, r = tree.leaves[here], radius[here] * (1 + 1e-9)
+            n = max(1, min(PROBE_TILE, TILE_BYTES // (16 * max(len(here), 1))))
+            home = [_below(q[wanted[i:i + n]], pivots).argmin(axis=1) for i in range(0, len(wanted), n)]
+            wanted = wanted[np.argsort(np.concatenate(home), kind="stable")] if home else wanted
+            for i in range(0, len(wanted), n):
+                rows = wanted[i:i + n]
+                near = (~(_below(q[rows], pivots) - r > _reach(tau[rows])[:, None])).any(axis=0)
+                if near.any():
+                    at = None if near.all() else np.flatnonzero(np.repeat(near, size))
+                    out.append(_nearest(q[rows], pid[rows], held, k, tau[rows], at))
+        cols = [np.concatenate(c) for c in zip(*out)] or (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table(dict(zip(("probe_id", "base_id", "dist"), cols)))
+    return fn
+
+
+def _blocks(sizes: np.ndarray, rows: int) -> list[tuple[int, int]]:
+    """Leaves ``lo`` to ``hi - 1`` of each block of ``rows`` base rows, taken in the order of the leaves;
+    a leaf on a border belongs to both."""
+    end = np.cumsum(sizes)
+    starts = range(0, int(end[-1]), rows)
+    return [(int(np.searchsorted(end, s, "right")), int(np.searchsorted(end, min(s + rows, end[-1]), "left")) + 1) for s in starts]
+
+
+def _blocked_topk(probes: DataFrame, parts: DataFrame, tree: Tree, sizes: np.ndarray, radius: np.ndarray, most: int, k: int) -> DataFrame:
+    """Top-k within ``tau`` of every probe (_pid, _qv, tau) in each block of leaves that it reaches; parts:
+    (_bid, part, _bv). A probe is sent once a block, however many of its leaves it needs, and a block
+    of at most ``2 * most`` rows once a chunk of ``most`` probes."""
+    spark = probes.sparkSession
+    blocks = _blocks(sizes, 2 * most)
+
+    def places(batches):
+        for b in batches:
+            x, reach = _matrix(b.column(1)), _reach(b.column(2).to_numpy(zero_copy_only=False))
+            n = max(1, TILE_BYTES // (16 * len(radius)))
+            need = np.zeros((len(x), len(blocks)), bool)
+            for i in range(0, len(x), n):
+                near = (sizes > 0) & ~(_below(x[i:i + n], tree.leaves) - radius * (1 + 1e-9) > reach[i:i + n, None])
+                for j, (lo, hi) in enumerate(blocks):
+                    need[i:i + n, j] = near[:, lo:hi].any(axis=1)
+            for j in range(len(blocks)):
+                at = pa.array(np.flatnonzero(need[:, j]))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(np.full(len(at), j, np.int32)), b.column(1).take(at),
+                                                      b.column(2).take(at)], names=["_pid", "block", "_qv", "tau"])
+    q = probes.mapInArrow(places, "_pid long, block int, _qv array<double>, tau double")
+    counts = {int(r["block"]): int(r["n"]) for r in q.groupBy("block").agg(F.count("*").alias("n")).collect()}   # a row a block
+    if not counts:
+        return spark.createDataFrame([], _PAIR_SCHEMA)
+    share = math.ceil(2 * spark.sparkContext.defaultParallelism / len(counts))   # chunks that keep all cores busy
+    chunks = F.broadcast(spark.createDataFrame(
+        [(j, max(math.ceil(n / most), min(share, math.ceil(n / PROBE_TILE)))) for j, n in counts.items()], "block int, _Q int"))
+    before = np.cumsum(sizes) - sizes
+    leaves = F.broadcast(spark.createDataFrame([(p, int(before[p]), int(n)) for p, n in enumerate(sizes) if n],
+                                               "part int, _from long, _n long"))   # at most one row a leaf
+    b = (parts.join(leaves, "part")
+         .withColumn("block", F.floor((F.col("_from") + F.floor(hash01("_bid", 11) * F.col("_n"))) / F.lit(2 * most)).cast("int"))
+         .join(chunks, "block").withColumn("_pc", F.explode(F.sequence(F.lit(0), F.col("_Q") - 1))))
+    q = q.join(chunks, "block").withColumn("_pc", F.pmod(hash_u32("_pid", 13), F.col("_Q")).cast("int"))
+    keys = ["block", "_pc"]
+    return (q.select(*keys, "_pid", "_qv", "tau").groupBy(*keys)
+            .cogroup(b.select(*keys, "_bid", "part", "_bv").groupBy(*keys))
+            .applyInArrow(_block_topk(tree, radius, k), _PAIR_SCHEMA))
+
+
 def _group_topk(k: int):
     def fn(probes: pa.Table, base: pa.Table) -> pa.Table:
         if probes.num_rows and base.num_rows:
@@ -211,12 +341,12 @@ def _searched(x: np.ndarray, tree: Tree, sizes: np.ndarray, k: int, home_only: b
 
 
 def _probe_parts(rows: DataFrame, leaves_of) -> DataFrame:
-    """(_pid, part, _qv): each row once for every leaf that ``leaves_of``(vectors, tau) names."""
+    """(_pid, part, _qv): each row once for every leaf that ``leaves_of``(vectors) names."""
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            lists = leaves_of(_matrix(b.column(1)), b.column(2).to_numpy(zero_copy_only=False))
+            lists = leaves_of(_matrix(b.column(1)))
             n = np.array([len(v) for v in lists])
             at = pa.array(np.repeat(np.arange(len(n)), n))
             part = np.concatenate(lists).astype(np.int32) if n.sum() else np.zeros(0, np.int32)
@@ -241,22 +371,20 @@ def knn(probe: DataFrame, base: DataFrame, k: int, id_col: str = "vec_id", vec:
     if tree is None:
         return base.sparkSession.createDataFrame([], "probe_id long, rank int, base_id long, dist double")
     parts = _with_leaf(rows, tree).checkpoint()     # used by both phases
-    stats = parts.groupBy("part").agg(F.count("*").alias("n"), F.max("d_leaf").alias("r"), F.max("d_top").alias("rt")).collect()
+    stats = parts.groupBy("part").agg(F.count("*").alias("n"), F.max("d_leaf").alias("r")).collect()
     sizes, radius = np.zeros(len(tree.leaves), np.int64), np.full(len(tree.leaves), -np.inf)
-    top_radius, top = np.full(len(tree.tops), -np.inf), tree.top_of()
     for r in stats:
         p = r["part"]
         sizes[p], radius[p] = r["n"], r["r"]
-        top_radius[top[p]] = max(top_radius[top[p]], r["rt"])
     held = {int(p): int(n) for p, n in enumerate(sizes) if n}
     base_parts = parts.select("_bid", "part", "_bv")
     block = block or max(1, CHUNK_BYTES // (8 * tree.tops.shape[1]))
     home_only = not exact
 
-    def first(x, tau):
+    def first(x):
         return _searched(x, tree, sizes, k, home_only)
     probes = side(probe, "_pid", "_qv")
-    q1 = _probe_parts(probes.withColumn("tau", lit_d(0.0)), first)
+    q1 = _probe_parts(probes, first)
     phase1 = _keep_topk(_chunked_topk(q1, base_parts, held, block, k), k)
     if not exact:
         return phase1.select("probe_id", "rank", "base_id", "dist")
@@ -264,21 +392,9 @@ def knn(probe: DataFrame, base: DataFrame, k: int, id_col: str = "vec_id", vec:
     tau = phase1.groupBy(F.col("probe_id").alias("_pid")).agg(
         F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("tau"))
 
-    def more(x, tau):
-        """Leaves not searched yet whose ball reaches within tau, with room for its rounding."""
-        reach = np.where(np.isnan(tau), np.inf, tau * (1 + 1e-9) + 1e-12)
-        done = _searched(x, tree, sizes, k, False)
-        near_top = _distances(x, tree.tops) - top_radius * (1 + 1e-9) <= reach[:, None]
-        out = []
-        for i, v in enumerate(x):
-            leaves = np.flatnonzero(near_top[i][top] & (sizes > 0))
-            d = np.sqrt(((tree.leaves[leaves] - v) ** 2).sum(axis=1))
-            out.append(np.setdiff1d(leaves[d - radius[leaves] * (1 + 1e-9) <= reach[i]], done[i]))
-        return out
-    q2 = _probe_parts(probes.join(tau, "_pid", "left").select("_pid", "_qv", "tau"), more)
-    phase2 = _chunked_topk(q2, base_parts, held, block, k)
-    both = phase1.select("probe_id", "base_id", "dist").unionByName(phase2)
-    return _keep_topk(both, k).select("probe_id", "rank", "base_id", "dist")
+    bounded = probes.join(tau, "_pid", "left").select("_pid", "_qv", "tau")
+    found = _blocked_topk(bounded, base_parts, tree, sizes, radius, block, k)
+    return _keep_topk(found, k).select("probe_id", "rank", "base_id", "dist")
 
 
 def knn_predict(neigh: DataFrame, base_labels: DataFrame, ks, label: str = "label", id_col: str = "vec_id",

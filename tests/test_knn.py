@@ -92,3 +92,24 @@ def test_pca_query_is_exact_in_its_space(spark):
     assert len(got) == 50 * len(p)
     for i, g in got.groupby("probe_id"):
         assert g.sort_values("rank").base_id.tolist() == [x[0] for x in want[i]]
+
+
+def test_a_probe_goes_to_a_block_once_however_many_leaves_it_needs(spark, monkeypatch):
+    """In many dimensions every leaf is needed: the rows shuffled grow with the blocks and not with the leaves."""
+    monkeypatch.setattr(Kn, "LEAF_ROWS", 4)
+    rng = np.random.default_rng(8)
+    q, b = rng.normal(size=(60, 24)), rng.normal(size=(400, 24))
+    sent, whole = [], Kn._blocked_topk
+
+    def spy(probes, parts, tree, sizes, radius, most, k):
+        sent.append((len(tree.leaves), len(Kn._blocks(sizes, 2 * most))))
+        return whole(probes, parts, tree, sizes, radius, most, k)
+
+    monkeypatch.setattr(Kn, "_blocked_topk", spy)
+    check(Kn.knn(frame(spark, q), frame(spark, b, 1000), 7, block=50), brute(q, range(60), b, np.arange(1000, 1400), 7))
+    assert sent == [(100, 4)]
+
+
+def test_blocks_cover_every_leaf_and_split_a_hot_one():
+    assert Kn._blocks(np.array([3, 0, 4, 25, 1]), 10) == [(0, 4), (3, 4), (3, 4), (3, 5)]
+    assert Kn._blocks(np.array([0, 5]), 10) == [(1, 2)]
