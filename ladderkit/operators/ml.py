@@ -352,26 +352,26 @@ def cv_oof(df: DataFrame, feats: Sequence[str], y: str, fold: str, make_est, id_
     """
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
-    data = df.withColumn("label", F.col(y).cast("double")).persist()  # read once for all k fits
+    assembler, = features_pipeline(feats, standardize=False)[:-1]
+    data = assembler.transform(df.withColumn("label", F.col(y).cast("double"))).select(id_col, fold, "label", "raw")
+    if early_stopping:
+        from ..functions.expr import hash01
+        data = data.withColumn("_val", hash01(id_col, 99) < 0.1)
+    data = data.persist()  # read and assembled once for all k fits, which make several passes each
     folds = sorted(r[0] for r in data.select(fold).distinct().collect())  # the k fold labels
     folds = [k for k in folds if only is None or k in only]
     oof, imps, tests = None, [], None
     spark = df.sparkSession
     for k in folds:
         tr = data.filter(F.col(fold) != k)
-        if early_stopping:
-            from ..functions.expr import hash01
-            tr = tr.withColumn("_val", hash01(id_col, 99) < 0.1)
-        est = make_est()
-        model = make_pipeline(feats, est, standardize=False).fit(tr)
+        model = make_est().setFeaturesCol("raw").fit(tr)
         p = model.transform(data.filter(F.col(fold) == k)).select(id_col, fold, F.col("label").alias(y),
                                                                     F.col("prediction").alias("pred"))
         oof = p if oof is None else oof.unionByName(p)
-        last = model.stages[-1]
-        if hasattr(last, "featureImportances"):
-            imps += [(int(k), f, float(v)) for f, v in zip(feats, last.featureImportances.toArray())]
+        if hasattr(model, "featureImportances"):
+            imps += [(int(k), f, float(v)) for f, v in zip(feats, model.featureImportances.toArray())]
         if test is not None:
-            tp = model.transform(test).select(id_col, F.lit(int(k)).alias(fold), F.col("prediction").alias("pred"))
+            tp = model.transform(assembler.transform(test)).select(id_col, F.lit(int(k)).alias(fold), F.col("prediction").alias("pred"))
             tests = tp if tests is None else tests.unionByName(tp)
     imp_df = spark.createDataFrame(imps, "fold int, feature string, gain double") if imps else None
     oof = oof.checkpoint()  # materialise OOF on the shared folder, then release the cached input

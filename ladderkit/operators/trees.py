@@ -1,7 +1,7 @@
 """Boosted trees from gradient histograms (M9): symmetric trees, leaf-wise cuts, dropped rounds.
 
-Features are binned once by approximate quantiles. A level of a tree is one pass over the binned
-rows: each task adds up gradients by (model, leaf, feature, bin), the sums meet on the shuffle, and
+Features are binned once by approximate quantiles, and the binned rows are packed once, a batch of
+rows to a few byte strings. A level of a tree is one pass over the packed rows: each task adds up gradients by (model, leaf, feature, bin), the sums meet on the shuffle, and
 Spark keeps the best cut; only the cut and its leaves' sums reach the driver. The models of all
 folds grow in the same passes: a row counts for every model but that of its own fold.
 """
@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 @dataclass
 class Tree:
@@ -28,7 +30,10 @@ class Tree:
         at = np.zeros(len(x), dtype=np.int64)
         rows = np.arange(len(x))
         for feature, last in self.cuts:
-            at = 2 * at + (x[rows, feature[at]] > last[at])
+            if (feature == feature[0]).all() and (last == last[0]).all():
+                at = 2 * at + (x[:, feature[0]] > last[0])
+            else:
+                at = 2 * at + (x[rows, feature[at]] > last[at])
         return at
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -76,30 +81,44 @@ def binned(df: DataFrame, feats: Sequence[str], y: str, fold: str, id_col: str,
     return rows.mapInPandas(place, f"id {id_type}, fold int, y double, " + ", ".join(f"{n} smallint" for n in names))
 
 
-def _level(data: DataFrame, n_feats: int, n_bins: int, models: dict, growing: dict, without: dict, l2: float,
+def packed(data: DataFrame, n_feats: int) -> DataFrame:
+    """Rows of :func:`binned` as (fold, y, bins) byte strings, an Arrow batch each: a pass over them
+    turns no row into a Python value. The bins stand feature by feature."""
+    names = [f"b{i}" for i in range(n_feats)]
+
+    def pack(batches):
+        for b in batches:
+            yield pd.DataFrame({"fold": [b["fold"].to_numpy(np.int32).tobytes()], "y": [b["y"].to_numpy(np.float64).tobytes()],
+                                "bins": [b[names].to_numpy(np.int16).T.tobytes()]})
+
+    return data.mapInPandas(pack, "fold binary, y binary, bins binary")
+
+
+def _level(blocks: DataFrame, n_feats: int, n_bins: int, models: dict, growing: dict, without: dict, l2: float,
            symmetric: bool) -> dict:
     """``{model: [(leaf, feature, last bin, n and gradient left, n and gradient right)]}`` of the next level."""
-    names = [f"b{i}" for i in range(n_feats)]
     leaves = 1 << len(next(iter(growing.values())).cuts)
 
     def sums(batches):
         acc = {k: np.zeros((2, leaves, n_feats, n_bins)) for k in models}
         for b in batches:
-            x, y, own = b[names].to_numpy(np.int64), b["y"].to_numpy(), b["fold"].to_numpy()
-            for k, m in models.items():
-                use = own != k
-                xk = x[use]
-                g = y[use] - m.predict(xk, without[k])
-                at = growing[k].leaves(xk) * n_bins
-                for j in range(n_feats):
-                    cell = at + xk[:, j]
-                    acc[k][0, :, j] += np.bincount(cell, minlength=leaves * n_bins).reshape(leaves, n_bins)
-                    acc[k][1, :, j] += np.bincount(cell, weights=g, minlength=leaves * n_bins).reshape(leaves, n_bins)
+            for fold, y, bins in zip(b["fold"], b["y"], b["bins"]):
+                own, y = np.frombuffer(fold, np.int32), np.frombuffer(y)
+                x = np.frombuffer(bins, np.int16).reshape(n_feats, -1)
+                for k, m in models.items():
+                    use = own != k
+                    xk = x[:, use]
+                    g = y[use] - m.predict(xk.T, without[k])
+                    at = growing[k].leaves(xk.T) * n_bins
+                    for j in range(n_feats):
+                        cell = at + xk[j]
+                        acc[k][0, :, j] += np.bincount(cell, minlength=leaves * n_bins).reshape(leaves, n_bins)
+                        acc[k][1, :, j] += np.bincount(cell, weights=g, minlength=leaves * n_bins).reshape(leaves, n_bins)
         leaf, feature, last = (v.ravel() for v in np.indices((leaves, n_feats, n_bins)))
         for k, (n, g) in acc.items():
             yield pd.DataFrame({"model": k, "leaf": leaf, "feature": feature, "last": last, "n": n.ravel(), "g": g.ravel()})
 
-    hist = (data.mapInPandas(sums, "model int, leaf int, feature int, last int, n double, g double")
+    hist = (blocks.mapInPandas(sums, "model int, leaf int, feature int, last int, n double, g double")
             .groupBy("model", "leaf", "feature", "last").agg(F.sum("n").alias("n"), F.sum("g").alias("g")))
     along = Window.partitionBy("model", "leaf", "feature")   # n_bins rows each
     run = along.orderBy("last").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -138,12 +157,13 @@ def boost(data: DataFrame, n_feats: int, n_bins: int, rounds: int, depth: int, s
     models = {k: Boosted((s - b) / (n - a) if n > a else 0.0) for k, (a, b) in stats.items()}
     if not models:
         return models
+    blocks = written(packed(data, n_feats), "packed")
     rng = {k: np.random.default_rng([seed, i]) for i, k in enumerate(sorted(models))}
     for _ in range(rounds):
         without = {k: [t for t in range(len(m.trees)) if rng[k].random() < drop] for k, m in models.items()}
         growing = {k: Tree() for k in models}
         for _ in range(depth):
-            found = _level(data, n_feats, n_bins, models, growing, without, l2, symmetric)
+            found = _level(blocks, n_feats, n_bins, models, growing, without, l2, symmetric)
             for k, cuts in found.items():
                 growing[k].cuts.append((np.array([c[1] for c in cuts]), np.array([c[2] for c in cuts])))
                 growing[k].values = np.array([g / (m + l2) if m + l2 > 0 else 0.0
@@ -164,10 +184,8 @@ def boosted_oof(df: DataFrame, feats: Sequence[str], y: str, fold: str, id_col:
     Each row is predicted by the model that did not see its fold. Rows without a target or fold
     are left out; an empty table gives no rows. ``how`` goes to :func:`boost`.
     """
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
     edges = bin_edges(df, feats, bins)
-    data = binned(df, feats, y, fold, id_col, edges).checkpoint()
+    data = written(binned(df, feats, y, fold, id_col, edges), "binned")
     models = boost(data, len(feats), bins + 1, rounds, depth, **how)
     names = [f"b{i}" for i in range(len(feats))]
 

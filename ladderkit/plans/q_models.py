@@ -19,7 +19,7 @@ from ..operators import ml as M
 from ..operators import trees as T
 from ..operators.metrics import importance_mean, regression_metrics
 from ..operators.windows import forward_block
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, written
 from . import sqlgen as S
 from .fixtures import v_preds, v_ticks, v_wide, with_views
 from .q_folds import GREEDY_CTES
@@ -31,8 +31,9 @@ ALPHAS = [10.0 ** e for e in range(-2, 7)]
 
 
 def _wide_folds(spark, sf):
-    """Features and group folds, written once: every fit of a query reads the copy."""
-    return Fo.group_kfold(v_wide(spark, sf), "grp", 5, method="greedy").checkpoint()
+    """Features and group folds, written once: every fit of a query reads the copy. The features are
+    written before as well, as the folds are made in several passes over them."""
+    return written(Fo.group_kfold(written(v_wide(spark, sf), "wide"), "grp", 5, method="greedy"), "folds")
 
 
 def _round_metrics(df, keep):
