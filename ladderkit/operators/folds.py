@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import hash01, hash_u32
+from ..session import written
 from .sequence import dense_index
 
 
@@ -98,7 +99,7 @@ def group_kfold(df: DataFrame, group: str, k: int, method: str = "greedy", out:
     the usual balanced group k-fold, at any number of groups: only the table of distinct group
     sizes (about the square root of the rows at most) reaches the driver, the groups stay in Spark.
     """
-    sizes = group_sizes(df, group)
+    sizes = written(group_sizes(df, group), "sizes")    # a row a group: several passes read them, the rows are made once
     ix, _ = dense_index(sizes.withColumn("_neg", -F.col("n")), ["_neg", group])
     if method == "round_robin":
         fmap = ix.select(F.col(group).alias("_g"), F.pmod(F.col("_idx"), F.lit(k)).cast("int").alias(out))

@@ -284,3 +284,11 @@ def test_pruning_stops_a_bad_trial_and_keeps_the_best(spark):
     assert got.pruned.tolist() == [False, False, True, False]
     assert got.folds_scored.tolist() == [4, 4, 1, 4]
     assert got.r2.idxmax() == 3
+
+
+def test_vectors_are_assembled_once_for_all_folds(spark, monkeypatch):
+    df, pdf = _data(spark)
+    calls, whole = [], M.VectorAssembler._transform
+    monkeypatch.setattr(M.VectorAssembler, "_transform", lambda self, d: calls.append(1) or whole(self, d))
+    oof, _, _ = M.cv_oof(df, ["x1", "x2", "x3"], "y", "fold", lambda: LinearRegression(labelCol="label", solver="normal"))
+    assert calls == [1] and oof.count() == len(pdf)

@@ -93,3 +93,14 @@ def test_nulls_constants_and_empty_tables(spark):
     assert ((got.pred > 0.5) == (got.y > 0.5)).all()     # a null is a bin of its own
     empty, models = T.boosted_oof(df.limit(0), ["a", "k"], "y", "fold", rounds=1, depth=1)
     assert empty.count() == 0 and models == {}
+
+
+def test_packed_rows_are_the_binned_rows(spark):
+    data = T.binned(spark.createDataFrame(_frame()).repartition(3), ["a", "b", "c"], "y", "fold", "id",
+                    T.bin_edges(spark.createDataFrame(_frame()), ["a", "b", "c"], 8)).checkpoint()
+    want = data.toPandas()
+    blocks = T.packed(data, 3).toPandas()
+    assert len(blocks) < 10   # a row an Arrow batch
+    bins = np.concatenate([np.frombuffer(b, np.int16).reshape(3, -1).T for b in blocks.bins])
+    got = np.column_stack([np.frombuffer(b"".join(blocks.fold), np.int32), np.frombuffer(b"".join(blocks.y)), bins])
+    assert np.array_equal(got[np.lexsort(got.T)], (w := want[["fold", "y", "b0", "b1", "b2"]].to_numpy(float))[np.lexsort(w.T)])
