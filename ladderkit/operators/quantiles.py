@@ -13,7 +13,7 @@ without sorting the rows:
    are the values that hold them.
 
 A rank that falls into a gap shows that the sketch missed it; then the rows are sorted by value
-(``_sorted_quantiles``). Groups of at most ``SMALL_GROUP`` rows need no brackets: their buffers are
+(``_sorted_quantiles``), as they are where a whole table has no more than ``SMALL_GROUP`` rows. Groups of at most ``SMALL_GROUP`` rows need no brackets: their buffers are
 bounded, so ``percentile()`` takes them, and a join on the keys of the larger ones parts the two.
 
 ``exact=False`` switches to the ``percentile_approx`` sketch (bounded memory, one pass, approximate).
@@ -93,9 +93,11 @@ def _selected(d: DataFrame, group: list[str], ps: Sequence[float]) -> DataFrame:
         found = _renamed(d.groupBy(*group).agg(sketch), group, "_s").checkpoint()   # a row for each large group
         rows, low = d.join(found, _same(group)), lambda i: F.col("_s")[i]
     else:
-        found = d.agg(sketch).first()["_s"]
+        total, found = d.agg(F.count(F.lit(1)), sketch).first()
         if found is None:
             return d.sparkSession.createDataFrame([], "p double, q double")
+        if total <= SMALL_GROUP:   # few values: sorted at once, without brackets
+            return _sorted_quantiles(d, group, ps)
         rows, low = d, lambda i: lit_d(found[i])
     x, n = F.col("_x"), len(ps)
     inside = reduce(lambda u, v: u | v, [x.between(low(2 * i), low(2 * i + 1)) for i in range(n)])
