@@ -11,10 +11,13 @@ driver - the data is read once for the whole grid.
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+from threading import Semaphore
 from typing import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -24,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import c, lit_d
+from ..session import ensure_checkpoint_dir, written
 from .windows import rank_ordinal
 
 
@@ -341,7 +345,50 @@ def forest(seed: int = 42, trees: int = 12, depth: int = 4):
     return RandomForestRegressor(labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8)
 
 
-def cv_oof(df: DataFrame, feats: Sequence[str], y: str, fold: str, make_est, id_col: str = "id",
+FITS = 4                  # fits of one set of rows that run at the same time, to fill idle cores
+FIT_ROWS = 40_000_000     # rows that these fits may read together: each keeps the bins of its own
+
+
+class FoldRows:
+    """Rows for fits under folds: read and assembled once, kept on the executors' disks until the block ends.
+
+    Takes the place of the table in :func:`cv_oof`, so several calls share the rows. The executors'
+    memory is left to the learners, which keep their own copy.
+    """
+
+    def __init__(self, df: DataFrame, feats: Sequence[str], y: str, fold: str, id_col: str = "id",
+                 early_stopping: bool = False):
+        ensure_checkpoint_dir(df.sparkSession)
+        self.sparkSession = df.sparkSession
+        self.assembler, = features_pipeline(feats, standardize=False)[:-1]
+        data = self.assembler.transform(df.withColumn("label", F.col(y).cast("double"))).select(id_col, fold, "label", "raw")
+        if early_stopping:
+            from ..functions.expr import hash01
+            data = data.withColumn("_val", hash01(id_col, 99) < 0.1)
+        self.data = data.persist(StorageLevel.DISK_ONLY)
+        sizes = {r[0]: r["count"] for r in self.data.groupBy(fold).count().collect()}   # the k fold labels
+        self.folds, self.n = sorted(sizes), sum(sizes.values())
+        self.slots = Semaphore(max(1, min(FITS, FIT_ROWS // max(1, self.n))))
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.data.unpersist()
+
+    def count(self) -> int:
+        return self.n
+
+
+def _at_once(spark: SparkSession, fn, items: Sequence) -> list:
+    """``fn`` of every item, in their order, each in a thread of its own."""
+    if len(items) < 2:
+        return [fn(x) for x in items]
+    with ThreadPool(len(items)) as pool:
+        return pool.map(inheritable_thread_target(spark)(fn), items, chunksize=1)
+
+
+def cv_oof(df: DataFrame | FoldRows, feats: Sequence[str], y: str, fold: str, make_est, id_col: str = "id",
            early_stopping: bool = False, test: DataFrame | None = None, only: Sequence[int] | None = None):
     """M7: fit on ``fold != k``, predict ``fold == k`` for every fold; union = out-of-fold predictions.
 
@@ -349,35 +396,32 @@ def cv_oof(df: DataFrame, feats: Sequence[str], y: str, fold: str, make_est, id_
     importances ``(fold, feature, gain)`` and, if ``test`` is given, per-fold test predictions.
     ``early_stopping`` (M10) marks a hash-chosen 10 % of the training fold as validation. With
     ``only`` just those folds are held out and scored, each by a model of all the other folds.
+    The fits are independent of each other and run at the same time as far as ``FIT_ROWS`` allows.
     """
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    assembler, = features_pipeline(feats, standardize=False)[:-1]
-    data = assembler.transform(df.withColumn("label", F.col(y).cast("double"))).select(id_col, fold, "label", "raw")
-    if early_stopping:
-        from ..functions.expr import hash01
-        data = data.withColumn("_val", hash01(id_col, 99) < 0.1)
-    data = data.persist()  # read and assembled once for all k fits, which make several passes each
-    folds = sorted(r[0] for r in data.select(fold).distinct().collect())  # the k fold labels
-    folds = [k for k in folds if only is None or k in only]
+    if not isinstance(df, FoldRows):
+        with FoldRows(df, feats, y, fold, id_col, early_stopping) as rows:
+            return cv_oof(rows, feats, y, fold, make_est, id_col, early_stopping, test, only)
+    data, spark = df.data, df.sparkSession
+    folds = [k for k in df.folds if only is None or k in only]
+
+    def fitted(k):
+        with df.slots:
+            return make_est().setFeaturesCol("raw").fit(data.filter(F.col(fold) != k))
+
     oof, imps, tests = None, [], None
-    spark = df.sparkSession
-    for k in folds:
-        tr = data.filter(F.col(fold) != k)
-        model = make_est().setFeaturesCol("raw").fit(tr)
+    for k, model in zip(folds, _at_once(spark, fitted, folds)):
         p = model.transform(data.filter(F.col(fold) == k)).select(id_col, fold, F.col("label").alias(y),
                                                                     F.col("prediction").alias("pred"))
         oof = p if oof is None else oof.unionByName(p)
         if hasattr(model, "featureImportances"):
             imps += [(int(k), f, float(v)) for f, v in zip(feats, model.featureImportances.toArray())]
         if test is not None:
-            tp = model.transform(assembler.transform(test)).select(id_col, F.lit(int(k)).alias(fold), F.col("prediction").alias("pred"))
+            tp = model.transform(df.assembler.transform(test)).select(id_col, F.lit(int(k)).alias(fold), F.col("prediction").alias("pred"))
             tests = tp if tests is None else tests.unionByName(tp)
     imp_df = spark.createDataFrame(imps, "fold int, feature string, gain double") if imps else None
-    oof = oof.checkpoint()  # materialise OOF on the shared folder, then release the cached input
+    oof = written(oof, "oof")  # OOF on the shared folder, column by column: the rows kept for the fits may go
     if tests is not None:
-        tests = tests.checkpoint()
-    data.unpersist()
+        tests = written(tests, "tests")
     return oof, imp_df, tests
 
 
@@ -483,17 +527,21 @@ def tune(df: DataFrame, feats: Sequence[str], y: str, fold: str, n_trials: int =
     the R^2 of its out-of-fold predictions (of the folds ``only``, if given)."""
     from .metrics import regression_metrics
     rng = np.random.default_rng(seed)
-    rows = []
-    for t in range(n_trials):
-        depth, step = int(rng.integers(2, 6)), float(round(rng.uniform(0.05, 0.3), 3))
-        oof, _, _ = cv_oof(df, feats, y, fold, lambda: gbt(seed, depth=depth, step=step), only=only)
-        rows.append((t, depth, step, float(regression_metrics(oof, y, "pred").first()["r2"])))
+    trials = [(t, int(rng.integers(2, 6)), float(round(rng.uniform(0.05, 0.3), 3))) for t in range(n_trials)]
+
+    with FoldRows(df, feats, y, fold) as data:
+        def scored(trial):
+            _, depth, step = trial
+            oof, _, _ = cv_oof(data, feats, y, fold, lambda: gbt(seed, depth=depth, step=step), only=only)
+            return (*trial, float(regression_metrics(oof, y, "pred").first()["r2"]))
+
+        rows = _at_once(df.sparkSession, scored, trials)
     return df.sparkSession.createDataFrame(rows, "trial int, max_depth int, step_size double, r2 double")
 
 
 def tune_pruned(df: DataFrame, feats: Sequence[str], y: str, fold: str, n_trials: int = 8, seed: int = 42,
                 startup: int = 3, draw=None) -> DataFrame:
-    """M18 with pruning: seeded draws, scored fold by fold, stopped by the median rule.
+    """M18 with pruning: seeded draws, scored fold by fold, all trials at the same time, stopped by the median rule.
 
     After each fold the trial's R^2 over the rows predicted so far is held against the median of
     the earlier trials' R^2 after as many folds; a trial below it is stopped. The first ``startup``
@@ -507,23 +555,27 @@ def tune_pruned(df: DataFrame, feats: Sequence[str], y: str, fold: str, n_trials
         return depth, step, lambda: gbt(seed, depth=depth, step=step)
 
     rng = np.random.default_rng(seed)
-    folds = sorted(r[0] for r in df.select(fold).distinct().collect())  # the k fold labels
-    reached: list[list[float]] = [[] for _ in folds]  # by folds scored, the scores of earlier trials
-    rows = []
-    for t in range(n_trials):
-        depth, step, make = (draw or default)(rng)
-        oof, scores, pruned = None, [], False
-        for i, k in enumerate(folds):
-            part, _, _ = cv_oof(df, feats, y, fold, make, only=[k])
-            oof = part if oof is None else oof.unionByName(part)
-            r2 = regression_metrics(oof, y, "pred").first()["r2"]
-            scores.append(0.0 if r2 is None else float(r2))
-            if t >= startup and reached[i] and scores[-1] < float(np.median(reached[i])) and i + 1 < len(folds):
-                pruned = True
-                break
-        for i, v in enumerate(scores):
-            reached[i].append(v)
-        rows.append((t, depth, step, len(scores), pruned, scores[-1] if scores else None))
+    trials = [(draw or default)(rng) for _ in range(n_trials)]
+    scores: list[list[float]] = [[] for _ in trials]
+    oof: dict = {}
+    alive, pruned = list(range(n_trials)), set()
+    with FoldRows(df, feats, y, fold) as data:
+        for i, k in enumerate(data.folds):
+            def score(t):
+                part, _, _ = cv_oof(data, feats, y, fold, trials[t][2], only=[k])
+                oof[t] = oof[t].unionByName(part) if t in oof else part
+                r2 = regression_metrics(oof[t], y, "pred").first()["r2"]
+                scores[t].append(0.0 if r2 is None else float(r2))
+
+            _at_once(df.sparkSession, score, alive)   # a trial's next fold waits for no later trial
+            reached: list[float] = []   # scores of earlier trials after as many folds
+            for t in list(alive):
+                if t >= startup and reached and scores[t][-1] < float(np.median(reached)) and i + 1 < len(data.folds):
+                    pruned.add(t)
+                    alive.remove(t)
+                reached.append(scores[t][-1])
+    rows = [(t, depth, step, len(scores[t]), t in pruned, scores[t][-1] if scores[t] else None)
+            for t, (depth, step, _) in enumerate(trials)]
     return df.sparkSession.createDataFrame(
         rows, "trial int, max_depth int, step_size double, folds_scored int, pruned boolean, r2 double")
 

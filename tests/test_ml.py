@@ -292,3 +292,41 @@ def test_vectors_are_assembled_once_for_all_folds(spark, monkeypatch):
     monkeypatch.setattr(M.VectorAssembler, "_transform", lambda self, d: calls.append(1) or whole(self, d))
     oof, _, _ = M.cv_oof(df, ["x1", "x2", "x3"], "y", "fold", lambda: LinearRegression(labelCol="label", solver="normal"))
     assert calls == [1] and oof.count() == len(pdf)
+
+
+def test_trials_share_rows_assembled_once(spark, monkeypatch):
+    df, _ = _data(spark, n=200)
+    calls, whole = [], M.VectorAssembler._transform
+    monkeypatch.setattr(M.VectorAssembler, "_transform", lambda self, d: calls.append(1) or whole(self, d))
+    monkeypatch.setattr(M, "gbt", lambda *a, **kw: LinearRegression(labelCol="label", solver="normal"))
+    assert M.tune(df, ["x1", "x3"], "y", "fold", n_trials=3).count() == 3 and calls == [1]
+    calls.clear()
+    got = M.tune_pruned(df, ["x1", "x3"], "y", "fold", n_trials=3, startup=3).collect()
+    assert calls == [1] and [(r.trial, r.folds_scored, r.pruned) for r in got] == [(t, 4, False) for t in range(3)]
+
+
+def test_fits_of_different_folds_run_at_the_same_time(spark, monkeypatch):
+    import threading
+    df, pdf = _data(spark, n=200)
+    gate = threading.Barrier(2)
+
+    class Meets(LinearRegression):
+        def fit(self, rows):
+            gate.wait(60)   # broken unless another fit runs
+            return super().fit(rows)
+
+    make = lambda: Meets(labelCol="label", solver="normal")
+    oof, _, _ = M.cv_oof(df, ["x1", "x2", "x3"], "y", "fold", make)
+    assert oof.count() == len(pdf)
+    monkeypatch.setattr(M, "FIT_ROWS", len(pdf))   # many rows: one fit after the other
+    with M.FoldRows(df, ["x1", "x2", "x3"], "y", "fold") as rows:
+        assert rows.slots.acquire(blocking=False) and not rows.slots.acquire(blocking=False)
+
+
+def test_stack_fit_query_joins_its_columns_once(spark, monkeypatch):
+    plans, whole = [], M.stack_fit
+    monkeypatch.setattr(M, "gbt", lambda: LinearRegression(labelCol="label", solver="normal"))
+    monkeypatch.setattr(M, "stack_fit", lambda wide, cols, y: plans.append(
+        wide._jdf.queryExecution().toString()) or whole(wide, cols, y))
+    assert len(E.queries()["stack_fit"](spark, SF001).collect()) == 1
+    assert len(plans) == 1 and "Join" not in plans[0]   # means, moments and metrics read a copy
