@@ -19,7 +19,7 @@ from ..operators import ml as M
 from ..operators import trees as T
 from ..operators.metrics import importance_mean, regression_metrics
 from ..operators.windows import forward_block
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, written
 from . import sqlgen as S
 from .fixtures import v_preds, v_ticks, v_wide, with_views
 from .q_folds import GREEDY_CTES
@@ -31,8 +31,8 @@ ALPHAS = [10.0 ** e for e in range(-2, 7)]
 
 
 def _wide_folds(spark, sf):
-    """Features and group folds, written once: every fit of a query reads the copy."""
-    return Fo.group_kfold(v_wide(spark, sf), "grp", 5, method="greedy").checkpoint()
+    """Features written once, each row with its group's fold: the group sizes and every fit of a query read the copy."""
+    return Fo.group_kfold(v_wide(spark, sf).checkpoint(), "grp", 5, method="greedy")
 
 
 def _round_metrics(df, keep):
@@ -245,13 +245,15 @@ def fold_mean(spark, sf):
 def stack_fit(spark, sf):
     """OOF boosted-tree and ridge predictions + oscillators into an evidence-tuned meta-model, x1.15."""
     d = _wide_folds(spark, sf)
-    gb, _, _ = M.cv_oof(d, FEATS, "target", "fold", lambda: M.gbt())
-    lr, _, _ = M.cv_oof(d, FEATS, "target", "fold",
-                        lambda: LinearRegression(labelCol="label", regParam=0.1, solver="normal"))
+    with M.FoldRows(d, FEATS, "target", "fold") as rows:
+        gb, _, _ = M.cv_oof(rows, FEATS, "target", "fold", lambda: M.gbt())
+        lr, _, _ = M.cv_oof(rows, FEATS, "target", "fold",
+                            lambda: LinearRegression(labelCol="label", regParam=0.1, solver="normal"))
     osc = oscillators(FEATS, len(FEATS) // 2)
     names = [f"osc_{i}" for i in range(len(osc))]
     wide = (gb.select("id", "target", F.col("pred").alias("p_gbt"))
             .join(lr.select("id", F.col("pred").alias("p_lr")), "id").join(d.select("id", *osc), "id"))
+    wide = written(wide, "stack")   # means, moments and metrics each read it: the joins run once
     _, out = M.stack_fit(wide, ["p_gbt", "p_lr", *names], "target")
     return _round_metrics(regression_metrics(out, "target", "stacked"), ["n"])
 
@@ -281,13 +283,13 @@ def tune_pruned(spark, sf):
 @register("compare_params")
 def compare_params(spark, sf):
     """Capacity comparison - boosted trees per parameter set, two folds scored, each by a model of the others."""
-    d = _wide_folds(spark, sf)
     out = None
-    for depth, it in ((2, 5), (3, 8), (4, 8), (5, 8), (3, 16)):
-        oof, _, _ = M.cv_oof(d, FEATS, "target", "fold", lambda: M.gbt(max_iter=it, depth=depth), only=[0, 1])
-        r = regression_metrics(oof, "target", "pred").select(F.lit(depth).alias("max_depth"), F.lit(it).alias("max_iter"),
-                                                             rndf("r2").alias("r2"))
-        out = r if out is None else out.unionByName(r)
+    with M.FoldRows(_wide_folds(spark, sf), FEATS, "target", "fold") as rows:
+        for depth, it in ((2, 5), (3, 8), (4, 8), (5, 8), (3, 16)):
+            oof, _, _ = M.cv_oof(rows, FEATS, "target", "fold", lambda: M.gbt(max_iter=it, depth=depth), only=[0, 1])
+            r = regression_metrics(oof, "target", "pred").select(F.lit(depth).alias("max_depth"), F.lit(it).alias("max_iter"),
+                                                                 rndf("r2").alias("r2"))
+            out = r if out is None else out.unionByName(r)
     return out
 
 
@@ -295,9 +297,10 @@ def compare_params(spark, sf):
 def blend_fold(spark, sf):
     """Fixed 0.7 boosted trees + 0.3 ridge blend, per-fold R^2."""
     d = _wide_folds(spark, sf)
-    gb, _, _ = M.cv_oof(d, FEATS, "target", "fold", lambda: M.gbt())
-    lr, _, _ = M.cv_oof(d, FEATS, "target", "fold",
-                        lambda: LinearRegression(labelCol="label", regParam=0.1, solver="normal"))
+    with M.FoldRows(d, FEATS, "target", "fold") as rows:
+        gb, _, _ = M.cv_oof(rows, FEATS, "target", "fold", lambda: M.gbt())
+        lr, _, _ = M.cv_oof(rows, FEATS, "target", "fold",
+                            lambda: LinearRegression(labelCol="label", regParam=0.1, solver="normal"))
     j = gb.select("id", "fold", "target", F.col("pred").alias("a")).join(lr.select("id", F.col("pred").alias("b")), "id")
     j = j.withColumn("blend", F.col("a") * 0.7 + F.col("b") * 0.3)
     return _round_metrics(regression_metrics(j, "target", "blend", ["fold"]), ["fold", "n"])
