@@ -12,23 +12,27 @@ that one stays or not; places are in the order of doc_id, line number and the li
 
 Groups of similar lines do not pair up: each line is tried first against the earliest line of
 each of its prefix words, and afterwards only pairs with a line that is still open are looked at.
+Both go by ranges of set sizes, one after the other; a range holds the pairs whose smaller set
+is in it, so the larger sets need no more of their prefix than a match of that size leaves.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import pii
 from .common import stash
 
 NUM, DEN = 75, 100
-BUCKETS = 1 << 18
+BITS = 16                  # so few that counting them stays in a task's fast map
+BUCKETS = 1 << BITS
 BROADCAST_ROWS = 500_000   # rows of a few numbers each
-SLICES = 4                 # parts of the words whose postings are joined one after the other, to hold less disk
+SLICES = 4                 # ranges of set sizes whose postings are joined one after the other, to hold less disk
 
 
 def _words(text: Column) -> Column:
@@ -47,13 +51,14 @@ def _bucket(h: Column) -> Column:
 
 
 def _ranks(docs: DataFrame) -> DataFrame:
-    """One row, ``ranks``: for each bucket its place when buckets are ordered by their count."""
+    """One row, ``ranks``: for each bucket its place when buckets are ordered by their count, in
+    the upper bits, where the number of a word has it."""
     counts = (docs.select(F.explode(_words(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))).alias("w"))
               .select(_bucket(F.xxhash64("w")).cast("long").alias("id")).groupBy("id").agg(F.count("*").alias("c")))
     full = (docs.sparkSession.range(BUCKETS).join(counts, "id", "left")
             .select("id", F.expr("row_number() over (order by coalesce(c, 0), id) - 1").cast("long").alias("rank")))
     packed = F.sort_array(F.collect_list(F.col("id") * BUCKETS + F.col("rank")))
-    return full.agg(F.transform(packed, lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int")).alias("ranks"))
+    return full.agg(F.transform(packed, lambda x: F.shiftleft(F.pmod(x, F.lit(BUCKETS)), 63 - BITS)).alias("ranks"))
 
 
 def _split(docs: DataFrame) -> DataFrame:
@@ -65,13 +70,12 @@ def _split(docs: DataFrame) -> DataFrame:
 def _sets(split: DataFrame, ranks: DataFrame) -> DataFrame:
     """(doc, line, hash, s1, n, words) of split lines: words as numbers in the order of rarity."""
 
-    def number(w: Column) -> Column:
-        h = F.xxhash64(w)
-        rank = F.element_at(F.col("ranks"), _bucket(h) + 1)
-        # 18 bits of rank (one a bucket, so 18 bits of the hash) and the upper 45 bits of the hash
-        return F.coalesce(F.shiftleft(rank.cast("long"), 45).bitwiseOR(F.shiftrightunsigned(h, 19)), F.lit(0).cast("long"))
+    def number(h: Column) -> Column:
+        # 16 bits of rank (one a bucket, so 16 bits of the hash) and the upper 47 bits of the hash
+        return F.coalesce(F.get("ranks", _bucket(h)).bitwiseOR(F.shiftrightunsigned(h, BITS + 1)), F.lit(0).cast("long"))
 
-    words = F.sort_array(F.array_distinct(F.transform(_words(F.col("t")), number)))
+    hashes = F.array_distinct(F.transform(_words(F.col("t")), lambda w: F.xxhash64(w)))
+    words = F.sort_array(F.transform(hashes, number))
     return (split.withColumn("ranks", ranks.scalar()).select("doc", "line", "hash", words.alias("words"))
             .select("doc", "line", "hash", F.xxhash64("words").alias("s1"), F.size("words").alias("n"), "words"))
 
@@ -103,11 +107,21 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _sliced(pairs: Callable[[Column], DataFrame]) -> DataFrame:
-    """The distinct rows of ``pairs(part)`` over all parts of the words, each part a write of its
+#: Length of the prefix in which a set meets any match that is not larger.
+PROBE = f"n - {_need('n')} + 1"
+
+
+def _ranges(groups: DataFrame) -> list[tuple[int, int]]:
+    """At most ``SLICES`` ranges (from, to) of set sizes with about equally many postings."""
+    cuts = groups.agg(F.percentile("n", [i / SLICES for i in range(1, SLICES)], F.expr(PROBE))).first()[0] or []
+    ends = sorted({0, *(math.ceil(x) for x in cuts), 1 << 31})
+    return list(zip(ends, [x - 1 for x in ends[1:]]))
+
+
+def _sliced(pairs: Callable[[int, int], DataFrame], ranges: list[tuple[int, int]]) -> DataFrame:
+    """The distinct rows of ``pairs(low, high)`` over all ranges of sizes, each range a write of its
     own, whose shuffle files go before the next one starts."""
-    part = F.pmod(F.col("w"), F.lit(SLICES))
-    return stash(reduce(DataFrame.union, [stash(pairs(part == i).distinct(), "line-part") for i in range(SLICES)])
+    return stash(reduce(DataFrame.union, [stash(pairs(*r).distinct(), "line-part") for r in ranges])
                  .distinct(), "line-pairs")
 
 
@@ -148,11 +162,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     base = docs.select(F.col(id_col).alias("doc"), F.col(text).alias("text"))
     ranks = stash(_ranks(base), "ranks")
     lines = _sets(_split(base), ranks)
-    probe = F.expr(f"n - {_need('n')} + 1")
     # lines of equal sets, at their first place; the prefix and the parities follow from the set
     parity, odd = _parities(lambda w: F.lit(1)), _parities(lambda w: F.getbit(w, F.lit(6)))
     groups = (lines.select("s1", "n", "doc", "line", "hash", parity.alias("parity"), odd.alias("odd"),
-                           F.slice("words", F.lit(1), probe).alias("prefix"))
+                           F.slice("words", F.lit(1), F.expr(PROBE)).alias("prefix"))
               .groupBy("s1", "n", "parity", "odd", "prefix").agg(F.min(F.struct("doc", "line", "hash")).alias("at"))
               .select("s1", "n", "parity", "odd", "prefix", "at.doc", "at.line", "at.hash"))
     groups = stash(groups, "line-groups")
@@ -161,27 +174,32 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     def postings(g: DataFrame, length: Column, *more: str) -> DataFrame:
         return (g.select("s1", "n", "parity", "odd", *more, F.posexplode(F.slice("prefix", F.lit(1), length)).alias("place", "w")))
 
-    # each line against the earliest line of each word of its shorter prefix
-    def tried(part: Column) -> DataFrame:
-        own = postings(groups, shorter, "doc", "line").filter(part)
-        first = (own.groupBy("w").agg(F.min(F.struct("doc", "line", "s1", "n", "parity", "odd", "place")).alias("e"))
-                 .select("w", "e.s1", "e.n", "e.parity", "e.odd", "e.place"))
-        return (postings(groups, shorter).filter(part).alias("a").join(first.alias("b"), "w")
+    ranges = _ranges(groups)
+
+    # each line against the earliest line, of its range of sizes, of each word of its shorter prefix
+    def tried(low: int, high: int) -> DataFrame:
+        a = F.struct("doc", "line", "s1", "n", "parity", "odd", "place")
+        return (postings(groups.filter(F.col("n").between(low, high)), shorter, "doc", "line")
+                .repartition("w").select(a.alias("a"), "w")   # dealt out before, so that the struct is sent once
+                .select("a", F.min("a").over(Window.partitionBy("w")).alias("b"))
                 .filter((F.col("a.s1") != F.col("b.s1")) & _passes("a", "b"))
                 .select(F.col("a.s1").alias("x"), F.col("b.s1").alias("y")))
 
-    late = stash(_verified(_sliced(tried), base, ranks, groups), "line-late")
+    late = stash(_verified(_sliced(tried, ranges), base, ranks, groups), "line-late")
     closed = late.withColumn("closed", F.lit(True))
     marked = groups.join(_small(closed, late.count()), "s1", "left").withColumn("open", F.col("closed").isNull())
 
-    def rest(part: Column) -> DataFrame:
-        a = postings(marked, shorter, "open").filter(part).alias("a")
-        b = postings(marked, probe, "open").filter(part).alias("b")
+    # sets of the range as the smaller ones, and all that can match one of them as the larger ones,
+    # with the prefix for a match of at least ``low`` words
+    def rest(low: int, high: int) -> DataFrame:
+        probe = F.expr(f"n - {_need('n', f'greatest({low}, {_need('n')})')} + 1")
+        a = postings(marked.filter(F.col("n").between(low, high)), shorter, "open").alias("a")
+        b = postings(marked.filter((F.col("n") >= low) & (F.col("n") * NUM <= F.lit(high).cast("long") * DEN)), probe, "open").alias("b")
         return (a.join(b, (F.col("a.w") == F.col("b.w")) & F.expr("a.open or b.open")
                        & F.expr("a.n < b.n or (a.n = b.n and a.s1 < b.s1)") & _passes("a", "b"))
                 .select(F.col("a.s1").alias("x"), F.col("b.s1").alias("y")))
 
-    late = stash(late.union(_verified(_sliced(rest), base, ranks, groups)).distinct(), "line-late")
+    late = stash(late.union(_verified(_sliced(rest, ranges), base, ranks, groups)).distinct(), "line-late")
 
     # a line stays if it stands at the first place of its set and no earlier line matches the set
     stay = groups.join(_small(late, late.count()), "s1", "left_anti").select("doc", "line", "hash")
