@@ -200,25 +200,25 @@ def test_line_dedup_similar_lines_and_hard_rows(spark, hard, none):
     assert lines.dedup_lines(none).count() == 0
 
 
-def test_line_dedup_ranges_of_sizes(spark):
-    """Every size is in one range; pairs whose sizes lie in two ranges are found like the others."""
-    rnd = random.Random(4)
+def test_line_dedup_first_pass_sends_postings_once(spark, monkeypatch):
+    """Each posting meets its word's earliest line without a second shuffle and a join; lines of
+    sizes as far apart as a match allows are found."""
+    rnd, plans, inner = random.Random(4), [], lines._sliced
+
+    def spy(pairs):
+        plans.append(pairs(F.lit(True))._jdf.queryExecution().optimizedPlan().toString())
+        return inner(pairs)
+
+    monkeypatch.setattr(lines, "_sliced", spy)
     rows = []
     for i in range(120):
         line = [f"r{i}w{j}" for j in range(rnd.randint(1, 60))]
         more = [f"r{i}x{j}" for j in range(rnd.randint(0, len(line) // 2))]
         less = line[:rnd.randint(len(line) * 2 // 3, len(line))]
         rows += [(3 * i, " ".join(line)), (3 * i + 1, " ".join(line + more)), (3 * i + 2, " ".join(rnd.sample(less, len(less))))]
-    sizes = spark.createDataFrame([(len(t.split()),) for _, t in rows], "n int")
-    ranges = lines._ranges(sizes)
-    assert len(ranges) == lines.SLICES and ranges[0][0] == 0 and ranges[-1][1] >= 1 << 30
-    assert all(a[1] + 1 == b[0] for a, b in zip(ranges, ranges[1:]))
-    assert lines._ranges(sizes.limit(0)) == [(0, ranges[-1][1])]
     got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    want = {i: (t, g) for i, t, g in B.dedup_lines(rows)}
-    assert {r["doc_id"]: (r["text"], r["removed"]) for r in got} == want
-    of = [next(k for k, (a, b) in enumerate(ranges) if a <= len(t.split()) <= b) for _, t in rows]
-    assert any(want[i][1] and of[i] != of[i - i % 3] for i, _ in rows)   # some cross a border
+    assert {r["doc_id"]: (r["text"], r["removed"]) for r in got} == {i: (t, g) for i, t, g in B.dedup_lines(rows)}
+    assert len(plans) == 2 and "Join" not in plans[0] and plans[0].count("Repartition") == 1
 
 
 # 4 ------------------------------------------------------------------------------
