@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ladderkit.llm import decontaminate, jaccard, lines, packing, quality
-from ladderkit.llm.common import stash, table
+from ladderkit.llm.common import small, stash, table
 from ladderkit.llm.queries import scored_documents
 
 
@@ -36,15 +36,15 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """The document of least id of each group of near duplicates; rows without an id stay."""
     groups = stash(jaccard.linked_components(docs), "groups")
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item; rows are told apart by a hash of id and text, so ids may be null or equal."""
     key = F.xxhash64("doc_id", "text")
     found = decontaminate.contaminated(docs.withColumn("doc_id", key), table(spark, sf_dir, "benchmark"))
-    gone = found.select(F.col("doc_id").alias("__key")).distinct()
-    return docs.join(gone, key == F.col("__key"), "left_anti").select(*docs.columns)
+    gone = stash(found.select(F.col("doc_id").alias("__key")).distinct(), "contaminated")
+    return docs.join(small(gone, gone.count()), key == F.col("__key"), "left_anti").select(*docs.columns)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

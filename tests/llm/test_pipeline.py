@@ -60,3 +60,20 @@ def test_decontamination_tells_rows_of_null_and_equal_ids_apart(spark):
     nameless = dirty.withColumn("doc_id", F.lit(None).cast("long"))
     out = P.drop_contaminated(spark, clean.unionByName(dirty).unionByName(nameless), SF001)
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in clean.collect())
+
+
+def test_few_decisions_meet_texts_without_a_shuffle(spark, monkeypatch):
+    docs = spark.range(2000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    pairs = spark.range(2000).selectExpr("id as doc_id", "if(id % 500 = 3, 0, id) as component_id")
+    monkeypatch.setattr(P.jaccard, "linked_components", lambda d: pairs)
+    monkeypatch.setattr(P.decontaminate, "contaminated", lambda d, b: d.filter("text in ('text 7', 'text 9')"))
+    monkeypatch.setattr(P, "table", lambda *a: None)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # as when the decisions' file is large
+    try:
+        for stage, n in ((P.one_of_each_group, 1996), (P.drop_contaminated, 1998)):
+            out = stage(spark, docs, "")
+            assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+            assert out.count() == n
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
