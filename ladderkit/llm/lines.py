@@ -6,12 +6,14 @@ as its bucket's rank and the rest of its hash, so sorting a line's numbers puts
 Lines of equal sets are collapsed to their first place. Two lines match at a Jaccard similarity
 of ``NUM / DEN``; then they share a word in the prefixes that the threshold leaves, the smaller
 in its shorter one. Pairs that meet pass the length and positional filters and the parity
-filter (128 parities of the words' hashes cannot differ in more places than the sets; with 64,
-lines of over 80 words pass that have nothing else in common) and are verified on the whole sets. A line goes when any line at an earlier place matches it, whether
-that one stays or not; places are in the order of doc_id, line number and the line's hash.
+filter (128 parities of the words' hashes, or 256 for long lines, cannot differ in more places
+than the sets; with 64, lines of over 80 words pass that have nothing else in common, with 128
+those of over 150) and are verified on the whole sets. A line goes when any line at an earlier
+place matches it, whether that one stays or not; places are in the order of doc_id, line number
+and the line's hash.
 
 Groups of similar lines do not pair up: each line is tried first against the earliest line of
-each of its prefix words, and afterwards only pairs with a line that is still open are looked at.
+each of its prefix words, and afterwards only pairs whose later line is still open are looked at.
 """
 
 from __future__ import annotations
@@ -23,13 +25,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import pii
-from .common import stash
+from .common import BROADCAST_ROWS, small, stash
 
 NUM, DEN = 75, 100
 BITS = 16                  # so few that counting them stays in a task's fast map
 BUCKETS = 1 << BITS
-BROADCAST_ROWS = 500_000   # rows of a few numbers each
-SLICES = 4                 # parts of the words whose postings are joined one after the other, to hold less disk
+WIDE = 128                 # words from which 128 parities are too full to tell sets apart, and a set has 256
+SIGNATURE = ["parity", "odd", "half", "both"]
+SLICES = 3                 # parts of the words whose postings are joined one after the other, to hold less disk
 
 
 def _words(text: Column) -> Column:
@@ -83,6 +86,15 @@ def _parities(bit: Callable[[Column], Column]) -> Column:
         F.call_function("shiftleft", bit(w).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
 
 
+def _signature() -> list[Column]:
+    """256 parities of the words by the lowest eight bits: all words, those of bit 6, of bit 7 and of both.
+    The latter two, left 0 in sets of under ``WIDE`` words, split the first two further."""
+    six, seven = (lambda w: F.getbit(w, F.lit(6))), (lambda w: F.getbit(w, F.lit(7)))
+    wide = lambda bit: F.when(F.size("words") >= WIDE, _parities(bit)).otherwise(F.lit(0).cast("long"))
+    return [_parities(lambda w: F.lit(1)).alias("parity"), _parities(six).alias("odd"),
+            wide(seven).alias("half"), wide(lambda w: six(w).bitwiseAND(seven(w))).alias("both")]
+
+
 def _need(n: str, other: str | None = None) -> str:
     """SQL for the least overlap: of a set of ``n`` with any match, or with one of ``other`` words."""
     if other is None:
@@ -90,18 +102,17 @@ def _need(n: str, other: str | None = None) -> str:
     return f"(({NUM} * ({n} + {other}) + {NUM + DEN - 1}) div {NUM + DEN})"
 
 
-def _passes(a: str, b: str) -> Column:
-    """Length, positional and parity filters of two posting rows."""
+def _passes(a: str, b: str, inner: str = "") -> Column:
+    """Length, positional and parity filters of two posting rows, whose parities are in ``inner``."""
     na, nb, need = f"{a}.n", f"{b}.n", _need(f"{a}.n", f"{b}.n")
+    p, o, h, x = (f"({a}{inner}.{c} ^ {b}{inner}.{c})" for c in SIGNATURE)
+    most = f"{na} + {nb} - 2 * {need}"
     return (F.expr(f"{DEN} * least({na}, {nb}) >= {NUM} * greatest({na}, {nb})")
             & F.expr(f"1 + least({na} - {a}.place - 1, {nb} - {b}.place - 1) >= {need}")
-            & F.expr(f"bit_count({a}.parity ^ {b}.parity) <= {na} + {nb} - 2 * {need}")
-            & F.expr(f"bit_count({a}.parity ^ {b}.parity ^ {a}.odd ^ {b}.odd) + bit_count({a}.odd ^ {b}.odd) <= {na} + {nb} - 2 * {need}"))
-
-
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` to be broadcast if it was counted to be small, else as it is, to be shuffled."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+            & F.expr(f"bit_count({p}) <= {most}")
+            & F.expr(f"bit_count({p} ^ {o}) + bit_count({o}) <= {most}")
+            & F.expr(f"least({na}, {nb}) < {WIDE} or bit_count({p} ^ {o} ^ {h} ^ {x}) + bit_count({o} ^ {x}) + bit_count({h} ^ {x}) "
+                     f"+ bit_count({x}) <= {most}"))
 
 
 def _sliced(pairs: Callable[[Column], DataFrame]) -> DataFrame:
@@ -128,7 +139,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, ranks: DataFrame, groups: DataF
         bits = pii.bit_table(need.select(at.alias("w")))
         split = _split(docs).withColumn("bits", bits.scalar()).filter(pii.in_bit_table(at, "bits")).drop("bits")
     made = _sets(split, ranks)
-    sets = (made.select("s1", "n", "words").join(_small(need.select("s1"), rows), "s1", "left_semi")
+    sets = (made.select("s1", "n", "words").join(small(need.select("s1"), rows), "s1", "left_semi")
             .dropDuplicates(["s1"]).join(need, "s1").withColumn("at", F.struct("doc", "line", "hash")).drop("doc", "line", "hash"))
     sets = stash(sets, "line-sets")
     x = sets.select(F.col("s1").alias("x"), F.col("words").alias("xw"), F.col("at").alias("xa"))
@@ -151,21 +162,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     lines = _sets(_split(base), ranks)
     probe = F.expr(f"n - {_need('n')} + 1")
     # lines of equal sets, at their first place; the prefix and the parities follow from the set
-    parity, odd = _parities(lambda w: F.lit(1)), _parities(lambda w: F.getbit(w, F.lit(6)))
-    groups = (lines.select("s1", "n", "doc", "line", "hash", parity.alias("parity"), odd.alias("odd"),
-                           F.slice("words", F.lit(1), probe).alias("prefix"))
-              .groupBy("s1", "n", "parity", "odd", "prefix").agg(F.min(F.struct("doc", "line", "hash")).alias("at"))
-              .select("s1", "n", "parity", "odd", "prefix", "at.doc", "at.line", "at.hash"))
+    groups = (lines.select("s1", "n", "doc", "line", "hash", *_signature(), F.slice("words", F.lit(1), probe).alias("prefix"))
+              .groupBy("s1", "n", *SIGNATURE, "prefix").agg(F.min(F.struct("doc", "line", "hash")).alias("at"))
+              .select("s1", "n", *SIGNATURE, "prefix", "at.doc", "at.line", "at.hash"))
     groups = stash(groups, "line-groups")
     shorter = F.expr(f"n - {_need('n', 'n')} + 1")
 
-    def postings(g: DataFrame, length: Column, *more: str) -> DataFrame:
-        return (g.select("s1", "n", "parity", "odd", *more, F.posexplode(F.slice("prefix", F.lit(1), length)).alias("place", "w")))
-
     # each line against the earliest line of each word of its shorter prefix
     def tried(part: Column) -> DataFrame:
-        a = F.struct("doc", "line", "s1", "n", "parity", "odd", "place")
-        return (postings(groups, shorter, "doc", "line").filter(part)
+        a = F.struct("doc", "line", "s1", "n", *SIGNATURE, "place")
+        return (groups.select("s1", "n", *SIGNATURE, "doc", "line", F.posexplode(F.slice("prefix", F.lit(1), shorter)).alias("place", "w"))
+                .filter(part)
                 .repartition("w").select(a.alias("a"), "w")   # dealt out before, so that the struct is sent once
                 .select("a", F.min("a").over(Window.partitionBy("w")).alias("b"))
                 .filter((F.col("a.s1") != F.col("b.s1")) & _passes("a", "b"))
@@ -173,26 +180,31 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     late = stash(_verified(_sliced(tried), base, ranks, groups), "line-late")
     closed = late.withColumn("closed", F.lit(True))
-    marked = groups.join(_small(closed, late.count()), "s1", "left").withColumn("open", F.col("closed").isNull())
+    marked = groups.join(small(closed, late.count()), "s1", "left").withColumn("open", F.col("closed").isNull())
+
+    # what is left, if the later line of the two is open; most rows that meet fail by n and place alone, the rest is read after
+    more = marked.select("n", "prefix", F.struct("s1", *SIGNATURE, "doc", "open").alias("z"))
+    later = F.expr("case when a.z.doc <=> b.z.doc then a.z.open or b.z.open "
+                   "when a.z.doc is null or a.z.doc < b.z.doc then b.z.open else a.z.open end")
 
     def rest(part: Column) -> DataFrame:
-        a = postings(marked, shorter, "open").filter(part).alias("a")
-        b = postings(marked, probe, "open").filter(part).alias("b")
-        return (a.join(b, (F.col("a.w") == F.col("b.w")) & F.expr("a.open or b.open")
-                       & F.expr("a.n < b.n or (a.n = b.n and a.s1 < b.s1)") & _passes("a", "b"))
-                .select(F.col("a.s1").alias("x"), F.col("b.s1").alias("y")))
+        a, b = (more.select("n", "z", F.posexplode(F.slice("prefix", F.lit(1), length)).alias("place", "w"))
+                .filter(part).alias(side) for side, length in (("a", shorter), ("b", probe)))
+        return (a.join(b, (F.col("a.w") == F.col("b.w")) & F.expr("a.n < b.n or (a.n = b.n and a.z.s1 < b.z.s1)")
+                       & _passes("a", "b", ".z") & later)
+                .select(F.col("a.z.s1").alias("x"), F.col("b.z.s1").alias("y")))
 
     late = stash(late.union(_verified(_sliced(rest), base, ranks, groups)).distinct(), "line-late")
 
     # a line stays if it stands at the first place of its set and no earlier line matches the set
-    stay = groups.join(_small(late, late.count()), "s1", "left_anti").select("doc", "line", "hash")
+    stay = groups.join(small(late, late.count()), "s1", "left_anti").select("doc", "line", "hash")
     every = _split(base).select("doc", "line", "hash")
     gone = (every.alias("e").join(stay.alias("s"), F.expr("e.doc <=> s.doc and e.line = s.line and e.hash = s.hash"), "left_anti")
             .groupBy("doc").agg(F.collect_set(F.xxhash64("line", "hash")).alias("__gone"))
             .select(F.col("doc").alias("__doc"), "__gone"))
     gone = stash(gone, "line-gone")
     gone_size = gone.agg(F.coalesce(F.sum(F.size("__gone") + 2), F.lit(0))).first()[0]   # numbers it holds
-    rows = docs.join(_small(gone, gone_size), docs[id_col].eqNullSafe(F.col("__doc")), "left").drop("__doc")
+    rows = docs.join(small(gone, gone_size), docs[id_col].eqNullSafe(F.col("__doc")), "left").drop("__doc")
     parts = F.split(F.col(text), "\n", -1)
     goes = F.when(F.col("__gone").isNotNull(), F.transform(parts, lambda t, i: F.array_contains(
         "__gone", F.xxhash64(i, F.xxhash64(t)))))

@@ -221,6 +221,26 @@ def test_line_dedup_first_pass_sends_postings_once(spark, monkeypatch):
     assert len(plans) == 2 and "Join" not in plans[0] and plans[0].count("Repartition") == 1
 
 
+def test_line_dedup_verifies_few_pairs(spark, monkeypatch):
+    """Long lines with frequent words in common, and lines that are gone already, are not verified again."""
+    rnd, counts, inner = random.Random(5), [], lines._sliced
+
+    def spy(pairs):
+        out = inner(pairs)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "_sliced", spy)
+    vocab, rows = [f"v{i}" for i in range(1500)], []
+    for i in range(20):
+        line = [f"r{i}w{j}" for j in range(30)]
+        rows += [(5 * i + k, " ".join([*line[:k], f"x{i}k{k}", *line[k + 1:]] if k else line)) for k in range(5)]
+    rows += [(1000 + i, " ".join(rnd.sample(vocab, 210))) for i in range(60)]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["text"], r["removed"]) for r in got} == {i: (t, g) for i, t, g in B.dedup_lines(rows)}
+    assert len(counts) == 2 and 80 <= counts[0] <= 90 and counts[1] <= 10, counts
+
+
 # 4 ------------------------------------------------------------------------------
 
 def check_pack(got, ids_of, capacity):
