@@ -11,6 +11,7 @@ driver - the data is read once for the whole grid.
 
 from __future__ import annotations
 
+from contextlib import nullcontext
 from multiprocessing.pool import ThreadPool
 from threading import Semaphore
 from typing import Sequence
@@ -546,8 +547,10 @@ def tune_pruned(df: DataFrame, feats: Sequence[str], y: str, fold: str, n_trials
     After each fold the trial's R^2 over the rows predicted so far is held against the median of
     the earlier trials' R^2 after as many folds; a trial below it is stopped. The first ``startup``
     trials run through. ``draw(rng)`` gives a trial's ``(depth, step, learner)``. Returns (trial,
-    max_depth, step_size, folds_scored, pruned, r2), with r2 over the folds scored.
+    max_depth, step_size, folds_scored, pruned, r2), with r2 over the folds scored. Boosted trees
+    that differ in depth, step and rounds only grow in the same passes over the rows.
     """
+    from . import gbt as G
     from .metrics import regression_metrics
 
     def default(rng):
@@ -559,10 +562,17 @@ def tune_pruned(df: DataFrame, feats: Sequence[str], y: str, fold: str, n_trials
     scores: list[list[float]] = [[] for _ in trials]
     oof: dict = {}
     alive, pruned = list(range(n_trials)), set()
-    with FoldRows(df, feats, y, fold) as data:
+    learners = [make() for _, _, make in trials]
+    together = G.fits(learners)
+    with nullcontext(G.FoldBlocks(df, feats, y, fold)) if together else FoldRows(df, feats, y, fold) as data:
         for i, k in enumerate(data.folds):
+            scored = data.score(k, {t: learners[t] for t in alive}) if together else None
+
             def score(t):
-                part, _, _ = cv_oof(data, feats, y, fold, trials[t][2], only=[k])
+                if together:
+                    part = scored.select(F.col("y").alias(y), F.col(f"p{t}").alias("pred"))
+                else:
+                    part, _, _ = cv_oof(data, feats, y, fold, trials[t][2], only=[k])
                 oof[t] = oof[t].unionByName(part) if t in oof else part
                 r2 = regression_metrics(oof[t], y, "pred").first()["r2"]
                 scores[t].append(0.0 if r2 is None else float(r2))
