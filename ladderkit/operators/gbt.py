@@ -7,7 +7,8 @@ few numbers a node, feature and bin) reach the driver, which chooses the cuts.
 
 The trees are those of Spark ML: the same sample for the bin edges, the same rows left out of
 each tree (both are drawn by the position of a row in its partition), the same gains and ties.
-Sums over partitions are added in another order, so values may differ by rounding.
+Where several tasks read one partition, its sums are added in another order, so values may differ
+by rounding there.
 """
 
 from __future__ import annotations
@@ -178,8 +179,37 @@ class Tree:
 
     cuts: list = field(default_factory=list)
     values: np.ndarray | None = None
+    tables: tuple | None = field(default=None, repr=False)
+
+    def _tables(self) -> tuple[int, dict]:
+        """Leaves as bits of a number: those that are met at all and, per feature cut on, those that each bin leaves over."""
+        n = 1 << len(self.cuts)
+        some, by_feature, below = (1 << n) - 1, {}, n
+        for feature, last in self.cuts:
+            below >>= 1
+            for i, (f, b) in enumerate(zip(feature, last)):
+                left = (1 << below) - 1 << 2 * i * below
+                if f < 0:
+                    some &= ~(left << below)
+                else:
+                    table = by_feature.setdefault(int(f), np.full(256, (1 << n) - 1, np.uint64))
+                    table[:int(b) + 1] &= np.uint64((1 << n) - 1 & ~(left << below))
+                    table[int(b) + 1:] &= np.uint64((1 << n) - 1 & ~left)
+        kind = np.uint32 if n <= 32 else np.uint64
+        return some, {f: t.astype(kind) for f, t in by_feature.items()}
 
     def leaves(self, x: Sequence[np.ndarray]) -> np.ndarray:
+        if len(self.cuts) <= 6:   # every cut strikes out the leaves behind its other side, so one is left
+            if self.tables is None:
+                self.tables = self._tables()
+            some, tables = self.tables
+            if not tables:
+                return np.zeros(len(x[0]), np.uint8)
+            bits = None
+            for f, table in tables.items():
+                found = table.take(x[f], mode="clip")
+                bits = found & found.dtype.type(some) if bits is None else np.bitwise_and(bits, found, out=bits)
+            return np.bitwise_count(bits - 1)
         at = np.zeros(len(x[0]), np.uint8)
         for feature, last in self.cuts:
             right = np.zeros(len(at), bool)
@@ -201,7 +231,7 @@ class Boosted:
     def predict(self, x: Sequence[np.ndarray]) -> np.ndarray:
         out = np.zeros(len(x[0]))
         for t, tree in enumerate(self.trees):
-            out += (tree.values if t == 0 else tree.values * self.step)[tree.leaves(x)]
+            out += (tree.values if t == 0 else tree.values * self.step).take(tree.leaves(x), mode="clip")
         return out
 
 
@@ -239,6 +269,7 @@ class Growing(Tree):
         f, b = np.divmod(best, hist.shape[-1])
         last = [np.searchsorted(edges[i], edges[i][j], side="right") - 1 if c else 0 for i, j, c in zip(f, b, cut)]
         self.cuts.append((np.where(cut, f, -1), np.array(last, np.uint8)))
+        self.tables = None
         to_left = np.where(cut, left[:, nodes, f, b], self.sums)
         to_right = np.where(cut, right[:, nodes, f, b], 0.0)
         self.sums = np.stack([to_left, to_right], axis=-1).reshape(3, -1)
@@ -436,8 +467,10 @@ class FoldBlocks:
             for m in range(rounds):
                 trees = {t: Growing(e.getMaxDepth()) for t, e in learners.items() if m < e.getMaxIter()}
                 while growing := {t: g for t, g in trees.items() if not g.done}:
-                    for t, hist in self._histograms(rows, many, m, models, growing, n_bins).items():
-                        growing[t].grow(hist, edges)
+                    one = next(iter(growing))   # the first trees of all learners have the same cuts as far as they reach
+                    found = self._histograms(rows, many, m, models, growing if m else {one: growing[one]}, n_bins)
+                    for t, g in growing.items():
+                        g.grow(found[t if m else one], edges)
                 for t, g in trees.items():
                     models[t].trees.append(Tree(g.cuts, g.values))
             d = self.n_feats
