@@ -7,8 +7,8 @@ few numbers a node, feature and bin) reach the driver, which chooses the cuts.
 
 The trees are those of Spark ML: the same sample for the bin edges, the same rows left out of
 each tree (both are drawn by the position of a row in its partition), the same gains and ties.
-Where several tasks read one partition, its sums are added in another order, so values may differ
-by rounding there.
+Beyond ``APART`` partitions, or where several tasks read one, sums are added in another order, so
+values may differ by rounding there, and cuts of equal gain with them.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from ..session import written
 
 BLOCK = 1 << 15        # rows of a block, which fit a core's cache
 MERGE = 64             # tasks whose sums go straight to the driver; beyond it they are added up in between
+APART = 16             # partitions whose sums go apart to the driver, which adds them in Spark ML's order
 EPSILON = 2.0 ** -52   # a child with less impurity is not cut
 
 
@@ -340,6 +341,7 @@ class FoldBlocks:
                  .groupBy("part", "z.labels").agg(F.sum("z.sizes").alias("n")).collect())   # a row a partition and fold
         self.sizes = {(r["part"], r["labels"]): r["n"] for r in sizes}
         self.folds = sorted({k for _, k in self.sizes})
+        self.apart = len({p for p, _ in self.sizes}) <= APART
         self.edges: dict = {}
 
     @staticmethod
@@ -405,9 +407,10 @@ class FoldBlocks:
 
     def _histograms(self, rows: DataFrame, many: bool, round_: int, models: dict, growing: dict, n_bins: int) -> dict:
         """``{learner: (3, nodes, features, bins)}``: number, sum and squares of the labels of the round's rows.
-        Each partition is added up row by row, as by Spark ML, since cuts of equal gain are told apart by rounding."""
+        Each partition is added up row by row, as by Spark ML, since cuts of equal gain are told apart by rounding;
+        beyond ``APART`` partitions a task adds up all its own, so what the driver gets grows with the tasks only."""
         d = self.n_feats
-        nodes = {t: len(g.open) for t, g in growing.items()}
+        nodes, apart = {t: len(g.open) for t, g in growing.items()}, self.apart
 
         def sums(batches):
             part, acc = None, {}
@@ -417,7 +420,7 @@ class FoldBlocks:
 
             for b in batches:
                 for p, n, y, x, bag in zip(b["part"], b["n"], b["y"], b["x"], b["bag"]):
-                    if p != part:
+                    if not acc or (apart and p != part):
                         if acc:
                             yield row()
                         part, acc = p, {t: np.zeros((3, d, m * n_bins)) for t, m in nodes.items()}
@@ -447,7 +450,7 @@ class FoldBlocks:
             return parts.rdd.map(lambda r: {r["learner"]: shaped(r)}).treeReduce(
                 lambda a, b: {t: a[t] + b[t] if t in a and t in b else a.get(t, b.get(t)) for t in {**a, **b}})
         out: dict = {}
-        for r in sorted(parts.collect(), key=lambda r: r["part"]):   # a row a partition and learner
+        for r in sorted(parts.collect(), key=lambda r: r["part"]):   # a row a task (or one of few partitions) and learner
             out[r["learner"]] = out[r["learner"]] + shaped(r) if r["learner"] in out else shaped(r)
         return out
 

@@ -37,13 +37,23 @@ def test_trees_are_those_of_spark_ml(spark, n, parts, monkeypatch):
             assert np.array_equal(got.y, want.y) and np.allclose(got[f"p{t}"], want.pred, rtol=1e-12, atol=1e-12)
 
 
-def test_sums_of_many_tasks_are_merged_before_the_driver(spark, monkeypatch):
-    df = _frame(spark, 500, 3)
+def test_sums_of_many_tasks_and_partitions_are_merged_before_the_driver(spark, monkeypatch):
+    df = _frame(spark, 500, 6)
     blocks = G.FoldBlocks(df, FEATS, "y", "fold")
     want = blocks.score(0, {0: M.gbt(depth=3, max_iter=2)}).toPandas().sort_values("y")
-    monkeypatch.setattr(G, "MERGE", 0)
-    got = blocks.score(0, {0: M.gbt(depth=3, max_iter=2)}).toPandas().sort_values("y")
-    assert np.allclose(got.to_numpy(), want.to_numpy())
+    for apart, merge in ((False, 64), (False, 0), (True, 0)):
+        blocks.apart = apart
+        monkeypatch.setattr(G, "MERGE", merge)
+        got = blocks.score(0, {0: M.gbt(depth=3, max_iter=2)}).toPandas().sort_values("y")
+        assert np.allclose(got.to_numpy(), want.to_numpy())
+
+
+def test_what_the_driver_gets_does_not_grow_with_the_partitions(spark, monkeypatch):
+    blocks = G.FoldBlocks(_frame(spark, 600, 40), FEATS, "y", "fold")
+    got, whole = [], type(blocks.blocks).collect
+    monkeypatch.setattr(type(blocks.blocks), "collect", lambda self: got.append(len(rows := whole(self))) or rows)
+    assert blocks.score(0, {0: M.gbt(depth=2, max_iter=2)}).count() > 0
+    assert got and max(got) < 20   # a row a task, not one a partition
 
 
 def test_numbers_from_any_place_are_those_of_the_stream():
