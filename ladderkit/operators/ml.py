@@ -534,7 +534,8 @@ def tune(df: DataFrame, feats: Sequence[str], y: str, fold: str, n_trials: int =
         def scored(trial):
             _, depth, step = trial
             oof, _, _ = cv_oof(data, feats, y, fold, lambda: gbt(seed, depth=depth, step=step), only=only)
-            return (*trial, float(regression_metrics(oof, y, "pred").first()["r2"]))
+            # sums meet in any order: digits beyond the twelfth differ from run to run
+            return (*trial, round(float(regression_metrics(oof, y, "pred").first()["r2"]), 12))
 
         rows = _at_once(df.sparkSession, scored, trials)
     return df.sparkSession.createDataFrame(rows, "trial int, max_depth int, step_size double, r2 double")
